@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import bpe, pii, token_count
+from furrow.llm import bpe, langid, pii, token_count
 from furrow.session import table
 
 
@@ -24,6 +24,12 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    named = langid.predict(docs.select("doc_id", "text"), langid.fit(docs), score_out="score")
+    return named.select("doc_id", F.coalesce(~langid.learnable("doc_id"), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -47,6 +53,6 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_pii": op1_pii, "op4_bpe": op4_bpe, "op10_token_count": op10_token_count}
+QUERIES = {"op1_pii": op1_pii, "op2_language": op2_language, "op4_bpe": op4_bpe, "op10_token_count": op10_token_count}
 
 ORACLES: dict[str, str] = {}
