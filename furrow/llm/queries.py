@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import bpe, langid, pii, token_count
+from furrow.llm import bpe, langid, pii, simhash, token_count
 from furrow.session import table
 
 
@@ -30,6 +30,13 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", F.coalesce(~langid.learnable("doc_id"), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return groups.select(
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
+    )
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -53,6 +60,6 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_language": op2_language, "op4_bpe": op4_bpe, "op10_token_count": op10_token_count}
+QUERIES = {"op1_pii": op1_pii, "op2_language": op2_language, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op10_token_count": op10_token_count}
 
 ORACLES: dict[str, str] = {}
