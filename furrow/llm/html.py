@@ -56,6 +56,7 @@ ARTICLE_WORDS = frozenset("article content entry main post story text body page
 COMMENT_WORDS = frozenset("comment comments disqus replies reply respond discussion".split())
 #: Elements that hold one line, and so are no region.
 SINGLE = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 td th tr span b i em strong a pre blockquote".split())
+_OPENED = re.compile(r"<[A-Za-z/!?]")
 _WORDS = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
@@ -208,6 +209,9 @@ def main_text(html: str, sigma: float = 1.0, share: float = 0.7) -> str:
     parser = Lines()
     if html.rfind("<!--") > html.rfind("-->"):
         html += "-->"  # an open comment ends with the page
+    tail = html.rfind(">") + 1
+    if opened := _OPENED.search(html, tail):
+        html = html[: opened.start()]  # markup that never closes is no text
     parser.feed(html)
     lines = parser.finish()
     if not lines:

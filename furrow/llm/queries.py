@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import bpe, html, langid, pii, simhash, token_count
+from furrow.llm import bpe, decontam, html, langid, pii, simhash, token_count
 from furrow.session import table
 
 
@@ -49,6 +49,14 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("contamination").alias("hit")).select(
+        "doc_id", "hit.item_id", "hit.score", "hit.first_word", "hit.last_word"
+    )
+
+
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = html.extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
@@ -65,6 +73,6 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_language": op2_language, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op9_main_text": op9_main_text, "op10_token_count": op10_token_count}
+QUERIES = {"op1_pii": op1_pii, "op2_language": op2_language, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op8_decontamination": op8_decontamination, "op9_main_text": op9_main_text, "op10_token_count": op10_token_count}
 
 ORACLES: dict[str, str] = {}
