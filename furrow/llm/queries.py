@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import bpe, decontam, html, langid, pii, simhash, token_count
+from furrow.llm import bpe, decontam, html, langid, pii, simhash, token_count, topk
 from furrow.session import table
 
 
@@ -49,6 +49,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = topk.top_inner_products(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 20 == 0)
+    return best.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -73,6 +78,21 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_language": op2_language, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op8_decontamination": op8_decontamination, "op9_main_text": op9_main_text, "op10_token_count": op10_token_count}
-
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_pii": op1_pii, "op2_language": op2_language, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op6_top_products": op6_top_products, "op8_decontamination": op8_decontamination, "op9_main_text": op9_main_text, "op10_token_count": op10_token_count}
+
+ORACLES: dict[str, str] = {
+    "op6_top_products": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> CAST(floor(CAST(x AS DOUBLE) * 64) AS BIGINT)) AS w
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.w, c.w), p -> p[1] * p[2])) AS BIGINT) AS score
+            FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id
+            WHERE q.vec_id % 20 = 0
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM s QUALIFY rank <= 20
+    """,
+}
