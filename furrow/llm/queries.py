@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import bpe, decontam, html, langid, pii, simhash, token_count, topk
+from furrow.llm import bpe, chat, decontam, html, langid, pii, simhash, token_count, topk
 from furrow.session import table
 
 
@@ -49,6 +49,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair_chats(table(spark, sf_dir, "conversations"))
+
+
 def op6_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = topk.top_inner_products(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 20 == 0)
     return best.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
@@ -78,7 +82,7 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_language": op2_language, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op6_top_products": op6_top_products, "op8_decontamination": op8_decontamination, "op9_main_text": op9_main_text, "op10_token_count": op10_token_count}
+QUERIES = {"op1_pii": op1_pii, "op2_language": op2_language, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op5_chat": op5_chat, "op6_top_products": op6_top_products, "op8_decontamination": op8_decontamination, "op9_main_text": op9_main_text, "op10_token_count": op10_token_count}
 
 ORACLES: dict[str, str] = {
     "op6_top_products": """
