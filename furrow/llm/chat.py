@@ -13,7 +13,7 @@ its own: no task needs more than one block, however long the conversation.
 Defined results: turns are ordered by turn number (null last), then role, then text; repeated rows are turns of
 their own; a null text is empty; rows with a null conversation id form one conversation; an
 empty table gives no rows. Among repairs of equal cost, keep goes before merge, merge before relabel, fewer insertions
-before more, and states follow their listed order.
+before more, and states follow their listed order; at the border of two blocks the state listed first goes first.
 """
 
 from __future__ import annotations
