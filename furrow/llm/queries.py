@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import bpe, chat, decontam, html, langid, pii, simhash, token_count, topk
+from furrow.llm import bpe, chat, decontam, html, langid, pii, simhash, suffix_dedup, token_count, topk
 from furrow.session import table
 
 
@@ -58,6 +58,11 @@ def op6_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -82,7 +87,7 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_language": op2_language, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op5_chat": op5_chat, "op6_top_products": op6_top_products, "op8_decontamination": op8_decontamination, "op9_main_text": op9_main_text, "op10_token_count": op10_token_count}
+QUERIES = {"op1_pii": op1_pii, "op2_language": op2_language, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op5_chat": op5_chat, "op6_top_products": op6_top_products, "op7_suffix_dedup": op7_suffix_dedup, "op8_decontamination": op8_decontamination, "op9_main_text": op9_main_text, "op10_token_count": op10_token_count}
 
 ORACLES: dict[str, str] = {
     "op6_top_products": """
