@@ -40,8 +40,8 @@ def page_n(spark, sf_dir):
 
 
 def append_page(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return rp.append_page(o.filter("o_orderkey < 5000"), o.filter("o_orderkey >= 4000 AND o_orderkey < 9000"), "o_orderkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return rp.append_page(o.filter("o_orderstatus = 'F'"), o.filter("o_orderstatus <> 'P'"), "o_orderkey")
 
 
 def zone_volume(spark, sf_dir):
@@ -153,7 +153,7 @@ def union_tagged(spark, sf_dir):
 
 
 def day_buckets(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("event_type = 'purchase' AND user_id < 20")
+    e = table(spark, sf_dir, "events").filter("event_type = 'purchase'")
     b = rp.bucket_by_day(e, "ts", "event_id")
     return b.select("day", F.array_join(F.col("items").cast("array<string>"), ",").alias("items"))
 
@@ -189,7 +189,7 @@ ORACLES = {
     "latest_per_key": "SELECT user_id, event_id, ts, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "left_lookup_one": "SELECT c_custkey, o_orderkey, o_orderdate FROM customer LEFT JOIN (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1) ON c_custkey = o_custkey",
     "page_n": "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 24 OFFSET 72",
-    "append_page": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey < 9000",
+    "append_page": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'P'",
     "zone_volume": "SELECT l_suppkey, CAST(sum(CASE WHEN l_quantity > 0 AND l_discount > 0 THEN CAST(CAST(l_quantity AS DECIMAL(18,6)) * CAST(l_discount AS DECIMAL(18,6)) AS DECIMAL(28,6)) ELSE 0 END) AS DOUBLE) AS litres, count(*) AS zones FROM lineitem GROUP BY 1",
     "litres_by_input": f"""WITH p AS (SELECT p_partkey, lower({_LIST}[p_partkey % {len(ISSUES)} + 1] || ' ' || p_name || ' ' || p_type) AS t FROM part),
         i AS (SELECT p_partkey, {_INPUT} AS input FROM (SELECT p_partkey, {_ISSUE} AS k FROM p))
@@ -214,7 +214,7 @@ ORACLES = {
     "semi_membership": "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1",
     "anti_undecided": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')",
     "union_tagged": "SELECT s_suppkey AS id, s_acctbal AS rate, NULL AS issue, 'ai' AS source FROM supplier UNION ALL SELECT c_custkey, NULL, c_mktsegment, 'grid' FROM customer UNION ALL SELECT DISTINCT user_id, NULL, NULL, 'user' FROM events",
-    "day_buckets": "SELECT strftime(ts, '%Y-%m-%d') AS day, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts, event_id) AS items FROM events WHERE event_type = 'purchase' AND user_id < 20 GROUP BY 1",
+    "day_buckets": "SELECT strftime(ts, '%Y-%m-%d') AS day, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts, event_id) AS items FROM events WHERE event_type = 'purchase' GROUP BY 1",
     "spec_lookup": """WITH s(model_id, tank_l, swath_m) AS (VALUES ('model-0', 10.0, 4.0), ('model-1', 16.0, 6.0), ('model-2', 30.0, 7.5), ('model-3', 40.0, 9.0)), a(alias, model_id) AS (VALUES ('model-5', 'model-1'))
         SELECT p_partkey, coalesce(s.model_id, 'custom') AS model_id, coalesce(s.tank_l, 20.0)::DOUBLE AS tank_l, coalesce(s.swath_m, 6.0)::DOUBLE AS swath_m FROM (SELECT p_partkey, 'model-' || (p_size % 7) AS m FROM part) LEFT JOIN a ON a.alias = m LEFT JOIN s ON s.model_id = coalesce(a.model_id, m)""",
     "refill_plan": """WITH o AS (SELECT o_orderkey, o_totalprice / 1000 AS required FROM orders), l AS (SELECT *, greatest(1, CAST(ceil(required / 32.0::DOUBLE) AS BIGINT)) AS loads FROM o)

@@ -52,9 +52,9 @@ def tile_index(spark, sf_dir):
 
 
 def nearest_site(spark, sf_dir):
-    p = _points(spark, sf_dir).select("id", (40 + F.col("lat") / 4000).alias("lat"), (-95 + F.col("lng") / 4000).alias("lng"))
-    sites = p.filter("id % 25 = 0").withColumnRenamed("id", "site_id")
-    missions = p.select(F.col("id").alias("mission_id"), F.when(F.col("id") % 10 == 0, F.col("id")).alias("field_id"), "lat", "lng")
+    p = _points(spark, sf_dir).select("id", "label", (40 + F.col("lat") / 4000).alias("lat"), (-95 + F.col("lng") / 4000).alias("lng"))
+    sites = p.filter("label = 0").select(F.col("id").alias("site_id"), "lat", "lng")
+    missions = p.select(F.col("id").alias("mission_id"), F.when(F.col("label") < 2, F.col("id")).alias("field_id"), "lat", "lng")
     return sp.match_site(missions, sites, 1000.0)
 
 
@@ -137,7 +137,7 @@ ORACLES = {
     "ring_area": """WITH s AS (SELECT s_suppkey, s_nationkey * 2.0::DOUBLE - 20 AS a, CAST(s_suppkey % 90 AS DOUBLE) AS b FROM supplier), e AS (SELECT s_suppkey, unnest([{'p': a, 'q': a, 'd': 0.5}, {'p': a, 'q': a + 0.25, 'd': 0.25}, {'p': a + 0.25, 'q': a + 0.5, 'd': -0.75}, {'p': a + 0.5, 'q': a, 'd': 0.0}]) AS e FROM s)
         SELECT s_suppkey, round(abs(sum(radians(e.d::DOUBLE) * (2 + sin(radians(e.p)) + sin(radians(e.q)))) * 6378137.0::DOUBLE * 6378137.0::DOUBLE / 2) / 4046.8564224::DOUBLE, 3) AS acres FROM e GROUP BY 1""",
     "tile_index": f"WITH {_P} SELECT id, CAST(floor((lng + 180) / 360 * 256) AS BIGINT) AS x, CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 256) AS BIGINT) AS y FROM pts WHERE abs(lat) < 85",
-    "nearest_site": f"""WITH {_P}, q AS (SELECT id, 40 + lat / 4000 AS lat, -95 + lng / 4000 AS lng FROM pts), d AS (SELECT a.id AS mission_id, b.id AS site_id, a.id % 10 = 0 AND a.id = b.id AS own, {_DIST} AS d FROM q a JOIN q b ON b.id % 25 = 0)
+    "nearest_site": f"""WITH {_P}, q AS (SELECT id, label, 40 + lat / 4000 AS lat, -95 + lng / 4000 AS lng FROM pts), d AS (SELECT a.id AS mission_id, b.id AS site_id, a.label < 2 AND a.id = b.id AS own, {_DIST} AS d FROM q a JOIN q b ON b.label = 0)
         SELECT q.id AS mission_id, w.site_id FROM q LEFT JOIN (SELECT * FROM d WHERE own OR d <= 1000 QUALIFY row_number() OVER (PARTITION BY mission_id ORDER BY own DESC, d, site_id) = 1) w ON w.mission_id = q.id""",
     "lattice_cells": f"""WITH {_C} SELECT col, "row", rate, 'g:' || col || ':' || "row" AS cell_id FROM cells""",
     "components": _COMP + ' SELECT col, "row", rate, component FROM comp',

@@ -81,7 +81,7 @@ MISSION_SQL = "missions AS (SELECT event_id AS mission_id, user_id AS site_id, C
 
 
 def asof_first_within(spark, sf_dir):
-    h = _judged(spark, sf_dir).filter("idx % 3 = 0").select("site_id", "idx", F.unix_timestamp("time").alias("t"), "verdict")
+    h = _judged(spark, sf_dir).select("site_id", "idx", F.unix_timestamp("time").alias("t"), "verdict")
     m = ts.asof_first_within(_missions(spark, sf_dir), h, "site_id", "at", "t", "idx", 1800)
     return m.select("mission_id", "site_id", "at", F.col("r_idx").alias("idx"), F.col("r_verdict").alias("verdict"))
 
@@ -134,7 +134,7 @@ def condition_fallback(spark, sf_dir):
 _W = "WITH " + HOURS_SQL
 _ASOF = (
     f"{_W}, {MISSION_SQL}, matched AS (SELECT m.mission_id, m.site_id, m.at, h.idx, h.verdict FROM missions m LEFT JOIN (SELECT site_id, idx, verdict,"
-    " CAST(floor(epoch(\"time\")) AS BIGINT) AS t FROM judged WHERE idx % 3 = 0) h ON m.site_id = h.site_id AND abs(h.t - m.at) <= 1800"
+    " CAST(floor(epoch(\"time\")) AS BIGINT) AS t FROM judged) h ON m.site_id = h.site_id AND abs(h.t - m.at) <= 1800"
     " QUALIFY row_number() OVER (PARTITION BY m.mission_id ORDER BY h.idx) = 1)"
 )
 _LONG = HOURS_SQL.replace("idx < 72 AND ", "")
