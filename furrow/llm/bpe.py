@@ -30,7 +30,7 @@ from furrow.llm.pretokens import Memory, Pieces, chunks
 VOCABULARY_BYTES = 64 << 20
 
 #: Pairs of tokens whose test one process remembers before it starts anew.
-PAIRS = 1_000_000
+PAIRS = 400_000
 
 
 class Vocabulary:

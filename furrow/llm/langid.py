@@ -51,7 +51,12 @@ def letters_of(text: str) -> np.ndarray:
     """Lower-case letters; each run of other characters is one 0."""
     if not _LETTER:
         _LETTER.append(_letter_table())
-    found = _LETTER[0][np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
+    return _read(text, _LETTER[0])
+
+
+def _read(text: str, table: np.ndarray) -> np.ndarray:
+    """The table's values for the text's characters, runs of 0 as one."""
+    found = table[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
     keep = np.ones(len(found), bool)
     keep[1:] = (found[1:] != 0) | (found[:-1] != 0)
     return found[keep]
@@ -99,11 +104,12 @@ class Parser:
         fail = np.full(width, 2, np.int64)
         for symbol, state in moves[0].items():
             fail[symbol] = state * width * 4 + 1
-        table = np.tile(fail, (len(moves), 1))
+        table = np.tile(fail.astype(np.int32 if len(moves) * width * 4 < 2**31 else np.int64), (len(moves), 1))
         table[0] = np.where(fail == 2, 1, fail - 1)
-        at = np.array([(s, c, t) for s, row in enumerate(moves) for c, t in row.items()], np.int64).reshape(-1, 3)
-        table[at[:, 0], at[:, 1]] = at[:, 2] * width * 4
-        self.table = table.reshape(-1).astype(np.int32 if table.max() < 2**31 else np.int64)
+        for state, row in enumerate(moves):
+            for symbol, to in row.items():
+                table[state, symbol] = to * width * 4
+        self.table = table.reshape(-1)
 
     def phrases(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Phrases of each block; blocks come with the longest first."""
@@ -136,6 +142,7 @@ class Model:
         self.width = 1 + len(self.alphabet) + BUCKETS
         self.sequences = [self.symbols(s) for s in read.values()]
         self._parsers: list[Parser] | None = None
+        self._table: np.ndarray | None = None
 
     def symbols(self, letters: np.ndarray) -> np.ndarray:
         """0 for a gap, 1.. for letters of the alphabet, the last BUCKETS for all others."""
@@ -145,17 +152,19 @@ class Model:
         return np.where(letters == 0, 0, np.where(known, at + 1, other)).astype(np.int32)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_parsers": None}
+        return self.__dict__ | {"_parsers": None, "_table": None}
 
     def predict(self, rows: list[str]) -> tuple[list[str], list[float]]:
         if self._parsers is None:
             self._parsers = [Parser(s, self.width) for s in self.sequences]
-        read = [letters_of(t) for t in rows]
+            # Character -> symbol at once; 0 is what is no letter.
+            self._table = self.symbols(_letter_table()).astype(np.uint16)
+        read = [_read(t, self._table) for t in rows]
         sizes = np.array([len(r) for r in read], np.int64)
         has = np.array([bool(r.any()) for r in read], bool)
         if not self.langs or not has.any():
             return [UNKNOWN] * len(rows), [0.0] * len(rows)
-        flat = self.symbols(np.concatenate(read))
+        flat = np.concatenate(read)
         # blocks of each document
         n_blocks = -(-sizes // BLOCK)
         owner = np.repeat(np.arange(len(rows)), n_blocks)

@@ -15,7 +15,7 @@ import regex
 _DOUBTFUL = re.compile(r"\s (?:\s|\Z)")
 
 #: Entries of one generation of a memory of results.
-MEMORY = 250_000
+MEMORY = 200_000
 
 
 class Memory:
