@@ -60,19 +60,22 @@ def verdict_rank(verdict: Column) -> Column:
 
 
 def air_density(temp_c: Column, elevation_m: Column, humidity: Column) -> Column:
-    """kg/m3 from the barometric formula and vapour pressure; humidity is clamped to 0..1."""
+    """kg/m3 of moist air from temperature, height and humidity (clamped to 0..1)."""
     kelvin = temp_c + 273.15
-    pressure = 101325.0 * F.pow(F.greatest(F.lit(0.0), 1 - 0.0065 * elevation_m / 288.15), F.lit(5.25588))
-    saturated = 610.78 * F.exp(17.27 * temp_c / (temp_c + 237.3))
-    vapour = F.greatest(F.lit(0.0), F.least(F.lit(1.0), humidity)) * saturated
+    pressure = 101_325 * F.pow(1 - 2.25577e-5 * F.greatest(F.lit(0.0), elevation_m), F.lit(5.25588))
+    vapour = F.greatest(F.lit(0.0), F.least(F.lit(1.0), humidity)) * 610.78 * F.exp(17.27 * temp_c / (temp_c + 237.3))
     return (pressure - vapour) / (287.058 * kelvin) + vapour / (461.495 * kelvin)
 
 
-def hover_amps(mass_kg: Column, cog_cm: Column, rho: Column, efficiency: float, voltage: float, rotor_area_m2: float, cog_penalty: float) -> Column:
-    """Current from momentum theory: (m g)^1.5 over sqrt(2 rho A), floors on density, efficiency and voltage."""
-    thrust = F.greatest(F.lit(0.0), mass_kg) * 9.80665
-    ideal = F.pow(thrust, F.lit(1.5)) / F.sqrt(2 * F.greatest(rho, F.lit(0.1)) * rotor_area_m2)
-    return ideal / max(efficiency, 0.05) * (1 + cog_penalty * F.abs(cog_cm)) / max(voltage, 1.0)
+def density_power_factor(rho: Column) -> Column:
+    """How much more power thin air costs against sea level."""
+    return F.sqrt(1.225 / F.greatest(F.lit(0.3), rho))
+
+
+def hover_amps(mass_kg: Column, cog_cm: Column, rho: Column, efficiency: float, voltage: float, rotor_area_m2: float, amp_per_cm: float) -> Column:
+    """Current from momentum theory, (m g)^1.5 over sqrt(2 rho A), plus what an off-centre load costs; floors on all inputs."""
+    ideal = F.pow(F.greatest(F.lit(1.0), mass_kg) * 9.80665, F.lit(1.5)) / F.sqrt(2 * F.greatest(rho, F.lit(0.3)) * rotor_area_m2)
+    return ideal / max(efficiency, 0.2) / max(voltage, 1.0) + amp_per_cm * F.abs(cog_cm)
 
 
 def wind_components(speed: Column, from_deg: Column, heading_deg: Column) -> tuple[Column, Column]:
@@ -81,15 +84,19 @@ def wind_components(speed: Column, from_deg: Column, heading_deg: Column) -> tup
     return speed * F.cos(angle), speed * F.sin(angle)
 
 
-def drift_level(speed: Column, gust: Column, low: float = 3.0, high: float = 6.0) -> Column:
-    """low, moderate or high by the worse of wind and gust less 2 m/s."""
-    worst = F.greatest(speed, F.coalesce(gust, speed) - 2.0)
-    return F.when(worst >= high, "high").when(worst >= low, "moderate").otherwise("low")
+#: Drift advisories, 10 and 12 miles an hour in m/s, and what a gust may have above. Fixed values.
+DRIFT_CAUTION, DRIFT_UNSAFE, GUST_ALLOWANCE = 10 * 0.44704, 12 * 0.44704, 2.0
+
+
+def drift_level(speed: Column, gust: Column) -> Column:
+    """ok, caution or unsafe; a missing gust is the wind."""
+    worst = F.coalesce(gust, speed)
+    return F.when((speed >= DRIFT_UNSAFE) | (worst >= DRIFT_UNSAFE + GUST_ALLOWANCE), "unsafe").when(speed >= DRIFT_CAUTION, "caution").otherwise("ok")
 
 
-def usable_capacity(capacity_ah: Column, cycles: Column, fade: Column, reserve: Column) -> Column:
-    """Capacity after fade (never below 0.6) and the reserve, clamped to 0..0.5."""
-    kept = F.greatest(F.lit(0.6), 1 - fade * F.greatest(F.lit(0), cycles))
+def usable_capacity(capacity_ah: Column, cycles: Column, reserve: Column) -> Column:
+    """Capacity after fade (a fifth in a thousand cycles, never below 0.6) and the reserve, clamped to 0..0.5."""
+    kept = F.greatest(F.lit(0.6), 1 - F.greatest(F.lit(0), cycles) / 1000 * 0.2)
     return capacity_ah * kept * (1 - F.greatest(F.lit(0.0), F.least(F.lit(0.5), reserve)))
 
 
