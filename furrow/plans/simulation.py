@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from furrow.operators import simulation as sim
-from furrow.plans.spatial import _COMP, _cells, _points, components
+from furrow.plans.spatial import _C, _COMP, _cells, _points, components
 from furrow.session import table
 
 
@@ -82,6 +82,13 @@ _V = "px AS (SELECT event_id % 100 AS x, CAST(floor(event_id / 100) AS BIGINT) A
 QUERIES = {f.__name__: f for f in (tank_scan, tour_order, outline, sweep_lines, lattice_area, regularised, best_heading, histogram, zonal_pixels, raster_burn)}
 ORACLES = {
     "outline": _COMP + " SELECT component, CAST(count(*) AS DOUBLE) AS area FROM comp GROUP BY 1",
+    "sweep_lines": """WITH s AS (SELECT s_suppkey, CAST(s_nationkey + 2 AS DOUBLE) AS h FROM supplier), p AS (SELECT *, unnest(range(0, greatest(1, CAST(floor(2 * h / 1.5) AS BIGINT)))) AS pass, greatest(1, CAST(floor(2 * h / 1.5) AS BIGINT)) AS n FROM s),
+        y AS (SELECT *, (-h + h) / 2 - (n - 1) * 1.5::DOUBLE / 2 + pass * 1.5::DOUBLE AS y FROM p), e AS (SELECT *, unnest([{'a': 0.0::DOUBLE, 'b': -h, 'c': 8.0::DOUBLE, 'd': 0.0::DOUBLE}, {'a': 8.0, 'b': 0.0, 'c': 0.0, 'd': h}, {'a': 0.0, 'b': h, 'c': -4.0, 'd': 0.0}, {'a': -4.0, 'b': 0.0, 'c': 0.0, 'd': -h}]) AS e FROM y),
+        x AS (SELECT s_suppkey, pass, e.a + (e.c - e.a) * (y - e.b) / (e.d - e.b) AS x FROM e WHERE (e.b > y) <> (e.d > y)), r AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey, pass ORDER BY x) AS k FROM x)
+        SELECT a.s_suppkey, CAST(a.pass AS INTEGER) AS pass, round(a.x, 9) AS x1, round(b.x, 9) AS x2 FROM r a JOIN r b ON a.s_suppkey = b.s_suppkey AND a.pass = b.pass AND a.k % 2 = 1 AND b.k = a.k + 1""",
+    "regularised": f"""WITH {_C}, m AS (SELECT * FROM cells WHERE col % 5 <> 0), g AS (SELECT DISTINCT rate, col + dc AS col, "row" + dr AS "row" FROM m, range(-1, 2) a(dc), range(-1, 2) b(dr)),
+        k AS (SELECT rate, col + dc AS col, "row" + dr AS "row" FROM g, range(-1, 2) a(dc), range(-1, 2) b(dr) GROUP BY ALL HAVING count(*) = 9), f AS (SELECT col, "row", min(rate) AS rate FROM k WHERE NOT EXISTS (SELECT 1 FROM cells c WHERE c.col = k.col AND c."row" = k."row") GROUP BY 1, 2 HAVING count(*) = 1)
+        SELECT 1 AS field, rate, col, "row", false AS added FROM m UNION ALL SELECT 1, rate, col, "row", true FROM f""",
     "best_heading": """WITH c AS (SELECT l_suppkey, l_linenumber, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS cost FROM lineitem GROUP BY 1, 2), n AS (SELECT l_suppkey, cost AS now FROM c WHERE l_linenumber = 1)
         SELECT c.l_suppkey, CASE WHEN now IS NULL OR cost < now THEN l_linenumber ELSE 1 END AS l_linenumber, CASE WHEN now IS NULL OR cost < now THEN cost ELSE now END AS cost FROM c LEFT JOIN n USING (l_suppkey) QUALIFY row_number() OVER (PARTITION BY c.l_suppkey ORDER BY cost, l_linenumber) = 1""",
     "histogram": f"WITH {_V} SELECT r, count(*) AS n FROM px GROUP BY r",
