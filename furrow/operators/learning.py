@@ -147,3 +147,33 @@ def outlier_scan(features: DataFrame, threshold: float = OUTLIER_Z) -> DataFrame
     z = features.join(F.broadcast(base), "f").select("id", "f", (F.abs(F.col("x") - F.col("med")) / F.col("mad")).alias("z"))
     best = z.groupBy("id").agg(F.max("z").alias("z"), F.max_by("f", F.struct("z", -F.col("f"))).alias("f"))
     return best.filter(F.col("z") >= threshold)
+
+
+def centroid_loo(features: DataFrame, delta: float = DELTA) -> DataFrame:
+    """(n, accuracy) of the centroid model with each row (id, f, x, cls) held out in turn.
+
+    Holding a row out only takes its values from its class's sums, so no model is fitted anew: the work
+    is one row for each mark and feature. A fold that loses a class counts half.
+    """
+    sums = features.groupBy("f", "cls").agg(F.count("x").alias("n"), F.sum("x").alias("s1"), F.sum(F.col("x") * F.col("x")).alias("s2"))
+    side = lambda c, name: F.max(F.when(F.col("cls") == c, F.col(name)))
+    wide = sums.groupBy("f").agg(*[F.coalesce(side(c, k), F.lit(0)).alias(f"{k}_{c}") for c in (0, 1) for k in ("n", "s1", "s2")])
+    x = F.col("x")
+    own = lambda c, v: F.when(F.col("cls") == c, v).otherwise(F.lit(0))
+    left = {f"{k}{c}": F.col(f"{k}_{c}") - own(c, v) for c in (0, 1) for k, v in (("n", F.lit(1)), ("s1", x), ("s2", x * x))}
+    rows = features.join(wide, "f").select("id", "f", "x", "cls", *[v.alias(k) for k, v in left.items()])
+    n0, n1 = F.col("n0"), F.col("n1")
+    var = lambda c: F.pow(sample_sd(F.col(f"n{c}"), F.col(f"s1{c}"), F.col(f"s2{c}")), F.lit(2))
+    pooled = F.sqrt(F.greatest(F.lit(0.0), ((n0 - 1) * var(0) + (n1 - 1) * var(1)) / F.greatest(F.lit(1), n0 + n1 - 2)))
+    whole = rows.filter((n0 > 0) & (n1 > 0)).select("id", "f", "x", "cls", (F.col("s10") / n0).alias("c0"), (F.col("s11") / n1).alias("c1"), pooled.alias("sd"))
+    s0 = whole.groupBy("id").agg(F.coalesce(F.median(F.when(F.col("sd") > 0, F.col("sd"))), F.lit(1e-6)).alias("s0"))
+    w = whole.join(s0, "id").withColumn("w", F.greatest(F.lit(0.0), F.abs(F.col("c1") - F.col("c0")) / (F.col("sd") + F.col("s0")) - delta))
+    far = lambda c, weight: F.sqrt(F.sum(weight * (x - F.col(c)) * (x - F.col(c))))
+    d = w.groupBy("id", "cls").agg(F.max("w").alias("top"), far("c0", F.col("w")).alias("a0"), far("c1", F.col("w")).alias("a1"), far("c0", F.lit(1.0)).alias("b0"), far("c1", F.lit(1.0)).alias("b1"))
+    d0, d1 = F.when(F.col("top") > 0, F.col("a0")).otherwise(F.col("b0")), F.when(F.col("top") > 0, F.col("a1")).otherwise(F.col("b1"))
+    score = F.when(d0 + d1 < 1e-12, F.lit(0.5)).otherwise(d0 / (d0 + d1))
+    right = d.select(((score >= 0.5).cast("int") == F.col("cls")).cast("double").alias("right"))
+    total = features.select("id").distinct().agg(F.count("*").alias("n"))
+    hits = right.agg(F.coalesce(F.sum("right"), F.lit(0.0)).alias("hits"), F.count("*").alias("m"))
+    accuracy = F.when(F.col("n") >= 3, (F.col("hits") + (F.col("n") - F.col("m")) * 0.5) / F.col("n")).otherwise(F.lit(0.0))
+    return total.join(F.broadcast(hits)).select("n", accuracy.alias("accuracy"))

@@ -62,6 +62,13 @@ def centroid_score(spark, sf_dir):
     return ln.centroid_score(_rows(spark, sf_dir), _fit(spark, sf_dir), "v").select("id", F.round("score", 9).alias("score"))
 
 
+def centroid_loo(spark, sf_dir):
+    rows = _rows(spark, sf_dir).filter("label < 2")
+    f = rows.select("id", F.col("label").alias("cls"), F.posexplode("v").alias("f", "x"))
+    loo = ln.centroid_loo(f, 0.05)
+    return loo.select("n", "accuracy", separability(F.col("accuracy")).alias("verdict"))
+
+
 def outlier_scan(spark, sf_dir):
     return ln.outlier_scan(_features(spark, sf_dir), 2.5).select("id", F.round("z", 9).alias("z"), "f")
 
@@ -98,7 +105,7 @@ _OUT = """med AS (SELECT f, list_sort(list(x))[CAST(floor(count(*) / 2) AS BIGIN
 
 QUERIES = {
     f.__name__: f
-    for f in (field_moments, zscore, knn_score, similar_candidates, knn_loo, shrunken_weights, centroid_score, outlier_scan, zonal_stats, drivers_by_feature)
+    for f in (field_moments, zscore, knn_score, similar_candidates, knn_loo, shrunken_weights, centroid_score, centroid_loo, outlier_scan, zonal_stats, drivers_by_feature)
 }
 ORACLES = {
     "field_moments": f"WITH {_F}, {_M} SELECT f, n, mean, sd FROM moments",
@@ -110,6 +117,11 @@ ORACLES = {
     "centroid_score": f"""WITH {_F}, {_FIT}, w AS (SELECT *, CASE WHEN (SELECT max(weight) FROM fit) > 0 THEN weight ELSE 1 END AS w FROM fit),
         d AS (SELECT id, sqrt(sum(w * (x - c0) * (x - c0))) AS d0, sqrt(sum(w * (x - c1) * (x - c1))) AS d1 FROM feats JOIN w USING (f) GROUP BY id)
         SELECT id, round(CASE WHEN d0 + d1 < 1e-12 THEN 0.5 ELSE d0 / (d0 + d1) END, 9) AS score FROM d""",
+    "centroid_loo": f"""WITH {_F}, h AS (SELECT DISTINCT id AS held, label AS hl FROM r WHERE label < 2), q AS (SELECT held, hl, f, label, n, s1, s2, {_SD} AS sd FROM (SELECT held, hl, f, label, count(*) AS n, CAST(sum(x) AS BIGINT) AS s1, CAST(sum(x * x) AS BIGINT) AS s2
+        FROM feats JOIN h ON feats.id <> h.held WHERE label < 2 GROUP BY ALL)), p AS (SELECT a.held, a.hl, a.f, CAST(a.s1 AS DOUBLE) / a.n AS c0, CAST(b.s1 AS DOUBLE) / b.n AS c1, sqrt(greatest(0, ((a.n - 1) * a.sd * a.sd + (b.n - 1) * b.sd * b.sd) / greatest(1, a.n + b.n - 2))) AS sd
+        FROM q a JOIN q b ON a.held = b.held AND a.f = b.f AND a.label = 0 AND b.label = 1), m AS (SELECT held, coalesce(median(sd) FILTER (sd > 0), 1e-6) AS s0 FROM p GROUP BY held), w AS (SELECT p.*, greatest(0, abs(c1 - c0) / (sd + s0) - 0.05::DOUBLE) AS w FROM p JOIN m USING (held)),
+        d AS (SELECT held, hl, sqrt(sum(w * (x - c0) * (x - c0))) AS d0, sqrt(sum(w * (x - c1) * (x - c1))) AS d1 FROM w JOIN feats ON feats.id = held AND feats.f = w.f GROUP BY held, hl),
+        g AS (SELECT count(*) AS n, CAST(count(*) FILTER ((d0 / (d0 + d1) >= 0.5) = (hl = 1)) AS DOUBLE) / count(*) AS accuracy FROM d) SELECT n, accuracy, CASE WHEN accuracy >= 0.9 THEN 'clear' WHEN accuracy >= 0.7 THEN 'weak' ELSE 'indistinguishable' END AS verdict FROM g""",
     "outlier_scan": f"WITH {_F}, {_OUT} SELECT * FROM o",
     "drivers_by_feature": f"WITH {_F}, {_OUT} SELECT f, count(*) AS n FROM o GROUP BY f",
     "zonal_stats": """WITH l AS (SELECT l_suppkey, CAST(l_quantity AS BIGINT) AS x FROM lineitem), g AS (SELECT l_suppkey, count(*) AS n, CAST(sum(x) AS BIGINT) AS s1, CAST(sum(x * x) AS BIGINT) AS s2,
