@@ -122,3 +122,16 @@ def ring_wkt(ring: Column, srid: int | None = None) -> Column:
 
 def metres_per_pixel(lat: Column, zoom: int) -> Column:
     return F.cos(F.radians(lat)) * (2 * math.pi * AREA_RADIUS_M / 256 / 2**zoom)
+
+
+def footprint(ring: Column) -> Column:
+    """The ring's box as south, west, north, east."""
+    lat, lng = ring.getField("lat"), ring.getField("lng")
+    return F.struct(F.array_min(lat).alias("south"), F.array_min(lng).alias("west"), F.array_max(lat).alias("north"), F.array_max(lng).alias("east"))
+
+
+def geojson(ring: Column) -> Column:
+    """A Polygon as GeoJSON text, closed, in the order lng lat."""
+    points = F.transform(ring, lambda p: F.array(p["lng"], p["lat"]))
+    closed = F.when(F.element_at(points, 1) == F.element_at(points, -1), points).otherwise(F.concat(points, F.slice(points, 1, 1)))
+    return F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(closed).alias("coordinates")))

@@ -110,3 +110,15 @@ def crossfade(position: Column, n: int) -> Column:
     a = F.floor(p)
     b = F.least(a + 1, F.lit(n - 1))
     return F.struct(a.alias("a"), b.alias("b"), (1 - (p - a)).alias("weight_a"), F.when(b > a, p - a).otherwise(F.lit(0.0)).alias("weight_b"))
+
+
+def mission_rows(passes: DataFrame, mission: str, order: str, least_connector: float = 0.5) -> DataFrame:
+    """(mission, seq, action, x, y) of ordered passes (x1, y1, x2, y2): a transit to the pass if it starts further away
+    than `least_connector` from the last end, then sprayer on at its start and off at its end."""
+    w = ordered(mission, order)
+    dx, dy = F.col("x1") - F.lag("x2").over(w), F.col("y1") - F.lag("y2").over(w)
+    hop = F.coalesce(F.sqrt(dx * dx + dy * dy), F.lit(float("inf")))
+    at = lambda action, x, y: F.struct(F.lit(action).alias("action"), F.col(x).alias("x"), F.col(y).alias("y"))
+    steps = F.concat(F.when(F.col("hop") > least_connector, F.array(at("transit", "x1", "y1"))).otherwise(F.array().cast("array<struct<action:string,x:double,y:double>>")), F.array(at("spray_on", "x1", "y1"), at("spray_off", "x2", "y2")))
+    rows = passes.withColumn("hop", hop).select(mission, order, F.posexplode(steps).alias("k", "s"))
+    return rows.select(mission, (F.row_number().over(ordered(mission, order, "k")) - 1).alias("seq"), "s.action", "s.x", "s.y")

@@ -199,3 +199,23 @@ def burn(pixels: DataFrame, zones: DataFrame, default: float = 0.0) -> DataFrame
 
 def histogram(rows: DataFrame, value: str) -> DataFrame:
     return rows.groupBy(value).agg(F.count("*").alias("n")).orderBy(value)
+
+
+STEPS = 240
+
+
+def integrate_mission(spray_s: float, transit_s: float, spray_ms: float, transit_ms: float, litres: float, craft: Craft = Craft(), rho: float = 1.2) -> dict[str, float]:
+    """Charge and peaks of a mission in STEPS equal steps: the tank drains over the spraying time, which comes first in
+    each part of the flight in proportion. The peak off-centre load is the one largest in size, with its sign."""
+    total = spray_s + transit_s
+    if total <= 0:
+        return {"amp_s": 0.0, "peak_amps": 0.0, "peak_cog_cm": 0.0}
+    t = (np.arange(STEPS) + 0.5) / STEPS
+    left = np.maximum(0.0, litres * (1 - t))
+    fill = left / craft.tank_l if craft.tank_l > 0 else left * 0
+    # speed changes twice a part: the load swings by what the change needs
+    swing = np.degrees(np.arctan2(abs(transit_ms - spray_ms) / max(0.25, total / STEPS), 9.80665)) / craft.max_pitch_deg
+    cog = (fill - 1) * craft.static_offset_cm + np.where(np.arange(STEPS) % 2 == 0, 1, -1) * min(1.0, swing) * fill * craft.slosh_max_cm
+    mass = craft.dry_kg + left * craft.density
+    amps = (mass * 9.80665) ** 1.5 / np.sqrt(2 * max(rho, 0.3) * craft.rotor_m2) / craft.efficiency * (1 + craft.cog_penalty * np.abs(cog)) / craft.voltage
+    return {"amp_s": float(amps.sum() * total / STEPS), "peak_amps": float(amps.max()), "peak_cog_cm": float(cog[np.argmax(np.abs(cog))])}

@@ -176,3 +176,27 @@ def archive_members(files: DataFrame, *patterns: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "member", "content"])
 
     return files.select("path", "content").mapInPandas(run, "path string, member string, content binary")
+
+
+def has_gps(raw: bytes) -> bool:
+    """Whether a JPEG's EXIF block points to a GPS directory; reads the header segments only."""
+    at = 2
+    while raw[:2] == b"\xff\xd8" and at + 4 <= len(raw) and raw[at] == 0xFF and raw[at + 1] not in (0xD9, 0xDA):
+        size = struct.unpack_from(">H", raw, at + 2)[0]
+        body = raw[at + 4 : at + 2 + size]
+        if raw[at + 1] == 0xE1 and body[:6] == b"Exif\0\0":
+            tiff = body[6:]
+            end = "<" if tiff[:2] == b"II" else ">"
+            where = struct.unpack_from(end + "I", tiff, 4)[0]
+            n = struct.unpack_from(end + "H", tiff, where)[0]
+            return any(struct.unpack_from(end + "H", tiff, where + 2 + 12 * i)[0] == 0x8825 for i in range(n))
+        at += 2 + size
+    return False
+
+
+def list_objects(spark, folder: str, name: str) -> DataFrame:
+    """(path, length, modificationTime) of the files of that very name."""
+    from pyspark.sql import functions as F
+
+    found = spark.read.format("binaryFile").option("pathGlobFilter", f"{name}*").load(folder)
+    return found.filter(F.element_at(F.split("path", "/"), -1) == name).select("path", "length", "modificationTime")

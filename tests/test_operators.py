@@ -219,3 +219,21 @@ def test_keyed_writes(spark):
     assert sorted(tuple(r) for r in sinks.upsert(old, new, "id").collect()) == [(1, "a"), (2, "c"), (3, "d")]
     assert [r.id for r in sinks.delete_by_key(old, new, "id").collect()] == [1]
     assert sinks.reduce_waypoints([(0, 0, False), (0.1, 0, False), (0.2, 0, True), (5, 0, True)]) == [(0, 0, False), (0.2, 0, True), (5, 0, True)]
+
+
+def test_mission_rows_and_small_readers(spark, tmp_path):
+    p = spark.createDataFrame([(1, 0, 0.0, 0.0, 5.0, 0.0), (1, 1, 5.2, 0.0, 9.0, 0.0), (1, 2, 9.0, 3.0, 0.0, 3.0)], "m int, o int, x1 double, y1 double, x2 double, y2 double")
+    got = [r.action for r in paths.mission_rows(p, "m", "o").orderBy("seq").collect()]
+    assert got == ["transit", "spray_on", "spray_off", "spray_on", "spray_off", "transit", "spray_on", "spray_off"]
+    tiff = b"II*\0\x08\0\0\0\x01\0\x25\x88\x04\0\x01\0\0\0\0\0\0\0"
+    exif = b"Exif\0\0" + tiff
+    jpeg = b"\xff\xd8\xff\xe1" + (len(exif) + 2).to_bytes(2, "big") + exif + b"\xff\xd9"
+    assert binary.has_gps(jpeg) and not binary.has_gps(jpeg.replace(b"\x25\x88", b"\x26\x88")) and not binary.has_gps(b"")
+    (tmp_path / "a.tif").write_bytes(b"x")
+    (tmp_path / "a.tif.old").write_bytes(b"x")
+    assert binary.list_objects(spark, str(tmp_path), "a.tif").count() == 1
+    ring = F.array(*[F.struct(F.lit(a).alias("lat"), F.lit(b).alias("lng")) for a, b in ((1.0, 2.0), (3.0, 2.0), (3.0, 5.0))])
+    r = spark.range(1).select(geo.footprint(ring).alias("f"), geo.geojson(ring).alias("j")).first()
+    assert tuple(r.f) == (1.0, 2.0, 3.0, 5.0) and r.j.count("[2.0,1.0]") == 2
+    m = simulation.integrate_mission(600, 60, 5, 10, 20)
+    assert m["amp_s"] > 0 and m["peak_amps"] > m["amp_s"] / 660
