@@ -37,8 +37,6 @@ LENGTH = 50
 MARK_BYTES = 20
 #: Windows of one segment at most, so that a bit mask holds them.
 SEGMENT_WINDOWS = 64
-#: Shards for each partition of the shuffles between, so that they fill evenly.
-SHARDS_EACH = 4
 #: Bytes of documents whose windows are computed together.
 CHUNK_BYTES = 2 << 20
 NULL_ID = np.iinfo(np.int64).max
@@ -167,6 +165,31 @@ def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(s[a]), order[a:b]
 
 
+def _first_of_windows(
+    raw: bytes, begin: np.ndarray, size: np.ndarray, count: np.ndarray, group: np.ndarray, ids: np.ndarray, length: int
+) -> Iterator[np.ndarray]:
+    """For each window of the segments the smallest id among equal windows of its group, segment by segment.
+
+    Whole groups are sorted a few MB at a time.
+    """
+    total = np.cumsum(size)
+    new = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    at = 0
+    while at < len(new):
+        a = int(new[at])
+        fit = int(np.searchsorted(total[np.append(new[1:], len(group)) - 1], total[a] - size[a] + CHUNK_BYTES, side="right"))
+        at = max(at + 1, fit)
+        b = int(new[at]) if at < len(new) else len(group)
+        data = np.frombuffer(b"".join([raw[x : x + n] for x, n in zip(begin[a:b].tolist(), size[a:b].tolist(), strict=True)]), np.uint8)
+        here = np.cumsum(size[a:b]) - size[a:b]
+        owner = np.repeat(np.arange(b - a), count[a:b])
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(count[a:b]) - count[a:b], count[a:b])
+        cls = classes(PrefixHashes(data), here[owner] + nth, group[a:b][owner], length)
+        first = np.full(int(cls.max()) + 1, NULL_ID, np.int64)
+        np.minimum.at(first, cls, ids[a:b][owner])
+        yield first[cls]
+
+
 def _messages(rows: list[tuple[int, int, bytes]], names: tuple[str, str] = ("to", "from")) -> pa.Table:
     cols = list(zip(*rows, strict=True)) or [(), (), ()]
     return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=[*names, "blob"])
@@ -178,7 +201,8 @@ _MESSAGE = "to long, from long, blob binary"
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, mark_bytes: int = MARK_BYTES) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept): what is left of each document's bytes."""
     groups = shuffle_width(df.sparkSession, df, mb_each=24)
-    shards = groups * SHARDS_EACH
+    # As many shards as groups: messages are few and large, and never more than there are marks.
+    shards = groups
     docs = df.select(
         F.pmod(F.xxhash64(id_col), F.lit(groups)).alias("g"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")
     )
@@ -257,13 +281,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         chosen = order[several]
         if len(chosen):
             seg = lead[chosen]
-            owner = np.repeat(np.arange(len(chosen)), count[seg])
-            nth = np.arange(len(owner)) - np.repeat(np.cumsum(count[seg]) - count[seg], count[seg])
-            starts = begin[seg][owner] + nth
-            hashes = PrefixHashes(np.frombuffer(raw, np.uint8))
-            cls = classes(hashes, starts, run[several][owner], length)
-            first = np.full(int(cls.max()) + 1, NULL_ID, np.int64)
-            np.minimum.at(first, cls, least[chosen][owner])
+            first = np.concatenate(list(_first_of_windows(raw, begin[seg], size[seg], count[seg], run[several], least[chosen], length)))
             window_first = np.zeros(len(lead), np.int64)
             # Each segment's windows lie together: where its row begins among them.
             window_first[chosen] = np.cumsum(count[seg]) - count[seg]
@@ -272,7 +290,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             rows = np.flatnonzero(sorted_too[same])
             r_owner = np.repeat(np.arange(len(rows)), count[rows])
             r_nth = np.arange(len(r_owner)) - np.repeat(np.cumsum(count[rows]) - count[rows], count[rows])
-            earlier = first[cls[window_first[same[rows]][r_owner] + r_nth]] < ids[rows][r_owner]
+            earlier = first[window_first[same[rows]][r_owner] + r_nth] < ids[rows][r_owner]
             bits = np.where(earlier, np.uint64(1) << r_nth.astype(np.uint64), np.uint64(0))
             got = np.zeros(len(rows), np.uint64)
             np.bitwise_or.at(got, r_owner, bits)
@@ -282,7 +300,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def cut(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         group = read(left)
-        covered = np.zeros(len(group.raw) + 1, np.int32)
+        covered = np.zeros(len(group.raw) + 1, np.int8)
         kinds = right.column("kind").to_pylist() if right.num_rows else []
         blobs = right.column("blob").to_pylist() if right.num_rows else []
         marks = marks_of([b for k, b in zip(kinds, blobs, strict=True) if k == 0])
@@ -299,9 +317,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             owner = np.repeat(np.arange(len(shared.first)), shared.count)
             nth = np.arange(len(owner)) - np.repeat(np.cumsum(shared.count) - shared.count, shared.count)
             hit = later[owner] | ((masks[shared.number][owner] >> nth.astype(np.uint64)) & np.uint64(1) == 1)
-            at = (shared.first[owner] + nth)[hit]
-            covered = np.bincount(at, minlength=len(covered)) - np.bincount(at + length, minlength=len(covered))
-        gone = np.cumsum(covered[:-1]) > 0
+            at = np.sort((shared.first[owner] + nth)[hit])
+            # Windows that overlap or touch are one run, so starts and ends are all different.
+            head = np.append(True, at[1:] > at[:-1] + length) if len(at) else np.zeros(0, bool)
+            covered[at[head]] += 1
+            covered[at[np.append(head[1:], True)] + length if len(at) else at] -= 1
+        gone = np.cumsum(covered[:-1], dtype=np.int8) > 0
         data = np.frombuffer(group.raw, np.uint8)
         out = []
         for k, (a, n) in enumerate(zip(group.begin.tolist(), group.sizes.tolist(), strict=True)):
