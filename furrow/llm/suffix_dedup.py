@@ -13,7 +13,7 @@ suffixes that can have a partner are sorted:
    equal ones get the smallest document of all.
 4. A group learns which windows of its segments lie in an earlier document, and removes their bytes.
 
-Messages are packed arrays, a row for each group and shard. Texts are shuffled once, by group; the exchange is
+Messages are packed arrays, a row for each group and shard; segments travel compressed. Texts are shuffled once, by group; the exchange is
 reused. A mark or segment of a third of all documents is sent once a group, not once a document.
 
 Defined results: a null text is empty; texts shorter than `length` bytes lose nothing; repeated rows of one
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -251,7 +252,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         out = []
         for s, i in _by_shard((mark % np.uint64(shards)).astype(np.int64)):
             texts = b"".join([group.raw[a : a + c + length - 1] for a, c in zip(first[i].tolist(), count[i].tolist(), strict=True)])
-            out.append((s, key[0].as_py(), _pack(mark[i], ids[i], i.astype(np.int32), count[i]) + texts))
+            out.append((s, key[0].as_py(), _pack(mark[i], ids[i], i.astype(np.int32), count[i]) + zstandard.compress(texts, 3)))
         return _messages(out)
 
     def judge(key: tuple, table: pa.Table) -> pa.Table:
@@ -259,7 +260,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         parts = [_unpack(b, "<u8", "<i8", "<i4", "u1") for b in blobs]
         mark, ids, number, count = (np.concatenate([p[0][k] for p in parts]) for k in range(4))
         sender = np.repeat(np.array(senders, np.int64), [len(p[0][0]) for p in parts])
-        raw = b"".join(p[1] for p in parts)
+        raw = b"".join(zstandard.decompress(p[1]) for p in parts)
         count = count.astype(np.int64)
         size = count + length - 1
         begin = np.cumsum(size) - size
