@@ -40,10 +40,19 @@ class PrefixHashes:
 
     def __init__(self, data: np.ndarray):
         self.data = data
+        self._words: np.ndarray | None = None
         self.power = powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(BYTE[data] * self.power[: len(data)], out=self.sums[1:])
 
+    def words(self, at: np.ndarray) -> np.ndarray:
+        """Eight bytes from each place as one number, in the order of the bytes."""
+        if self._words is None:
+            padded = np.concatenate([self.data, np.zeros(16, np.uint8)]).tobytes()
+            n = (len(padded) - 8) // 8
+            self._words = np.stack([np.frombuffer(padded, ">u8", n, o).astype(np.uint64) for o in range(8)])
+        return self._words[at & 7, at >> 3]
+
     def equal(self, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Whether the stretches from a and from b have the same hash."""
         s, p = self.sums, self.power
@@ -70,6 +79,20 @@ class PrefixHashes:
 def sort_groups(hashes: PrefixHashes, starts: np.ndarray, group: np.ndarray, limit: int) -> np.ndarray:
     """Order that sorts suffixes within each group (rows of one group are adjacent), stable.
 
+    The first eight bytes are sorted as numbers; only suffixes that agree in them are compared by hashes.
+    """
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    head = hashes.words(starts) >> np.uint64(max(0, 64 - 8 * limit))
+    order = np.lexsort((head, group))
+    g, h = group[order], head[order]
+    fine = np.cumsum(np.append(False, (g[1:] != g[:-1]) | (h[1:] != h[:-1])))
+    return order[_sort_fine(hashes, starts[order], fine, limit)]
+
+
+def _sort_fine(hashes: PrefixHashes, starts: np.ndarray, group: np.ndarray, limit: int) -> np.ndarray:
+    """The same by comparisons alone.
+
     Groups are padded to powers of two and sorted together by size. Runs of 1, 2, 4, ... merge:
     the place of an element is its own rank plus its rank in the partner run, a binary search whose
     comparisons run for all elements at once.
@@ -139,9 +162,11 @@ def classes(hashes: PrefixHashes, starts: np.ndarray, group: np.ndarray, limit:
     order = sort_groups(hashes, starts, group, limit)
     a, b = starts[order[:-1]], starts[order[1:]]
     same = (group[order[:-1]] == group[order[1:]]) & hashes.equal(a, b, np.full(len(a), limit, np.int64))
-    for k in range(limit):  # verification: the hash only proposes equality
+    # Verification: the hash only proposes equality. Eight bytes at a time, the last eight may overlap.
+    for k in sorted({*range(0, limit - 7, 8), max(0, limit - 8)}):
         hit = np.flatnonzero(same)
-        same[hit] = hashes.data[a[hit] + k] == hashes.data[b[hit] + k]
+        x, y = hashes.words(a[hit] + k), hashes.words(b[hit] + k)
+        same[hit] = (x == y) if limit >= 8 else (x >> np.uint64(64 - 8 * limit)) == (y >> np.uint64(64 - 8 * limit))
     out = np.zeros(len(starts), np.int64)
     out[order] = np.concatenate([[0], np.cumsum(~same)])
     return out
