@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -25,25 +26,114 @@ INDICES = {
     "NDRE": Index(("nir", "rededge"), _ratio),
     "VARI": Index(("green", "red", "blue"), lambda g, r, b: F.when(g + r - b != 0, (g - r) / (g + r - b))),
 }
-#: Ordered tests of a band's description, and roles by number of bands where nothing is described. Fixed values.
-NAMES = (("rededge", r"red\s*-?\s*edge|\bre\b"), ("nir", r"\bnir\b|near\s*-?\s*infra"), ("red", r"\bred\b"), ("green", r"\bgreen\b"), ("blue", r"\bblue\b"))
-PROFILES = {3: ("red", "green", "blue"), 4: ("red", "green", "blue", "nir"), 5: ("blue", "green", "red", "nir", "rededge")}
+#: What a band's description must match for a role, tried in this order; red edge is neither red nor near infrared.
+RED_EDGE = r"red\s*[-_]?\s*edge|^re$"
+ROLE_PATTERNS = (
+    ("rededge", RED_EDGE),
+    ("nir", r"nir|near.?infra"),
+    ("red", r"^r$|(^|[^a-z])red([^a-z]|$)"),
+    ("green", r"^g$|(^|[^a-z])green([^a-z]|$)"),
+    ("blue", r"^b$|(^|[^a-z])blue([^a-z]|$)"),
+)
+#: What a writer puts where nothing was labelled.
+UNLABELLED = r"|b\d+|band[\s_]?\d+"
+#: Sensor layouts as (camera pattern, roles of bands 1, 2, ..).
+LAYOUTS = (
+    ("", ("red", "nir")),
+    (r"rgb.?nir|sentera", ("red", "green", "blue", "nir")),
+    (r"mavic\s*3\s*m|m3m|p4\s*multi|p4m", ("green", "red", "rededge", "nir")),
+    (r"micasense|rededge|altum", ("blue", "green", "red", "nir", "rededge")),
+    (r"sequoia|parrot", ("green", "red", "rededge", "nir")),
+)
+
+
+@dataclass(frozen=True)
+class Bands:
+    """What is known of a raster: spectral bands, role -> band from 1, how roles were found, whether many bands stay nameless."""
+
+    spectral: int
+    roles: dict[str, int]
+    method: str
+    ambiguous: bool
+
+
+def _role(text: str, taken: dict[str, int]) -> str | None:
+    edge = re.search(RED_EDGE, text) is not None
+    fits = (r for r, p in ROLE_PATTERNS if r not in taken and (r == "rededge" or not (edge and r in ("red", "nir"))) and re.search(p, text))
+    return next(fits, None)
+
+
+def _layout(spectral: int, camera: str) -> tuple[str, ...] | None:
+    """The one layout that the camera names, else the only one of that many bands."""
+    sized = [x for x in LAYOUTS if len(x[1]) == spectral]
+    named = [x for x in sized if camera and x[0] and re.search(x[0], camera, re.I)]
+    if len(named) == 1:
+        return named[0][1]
+    return sized[0][1] if len(sized) == 1 else None
+
+
+def analyse(descriptions: list[str], colours: list[str], count: int | None = None, camera: str = "") -> Bands:
+    """Roles by description, then colour, then red, green, blue and one spare band, then sensor layout; alpha never gets a role.
+
+    A layout needs bands without labels, and more than one of a size needs a camera; else roles stay open.
+    """
+    names, colours = [d.strip().lower() for d in descriptions], [c.lower() for c in colours]
+    total = count or len(colours) or 3
+    is_alpha = lambda band: band <= len(colours) and colours[band - 1] == "alpha"
+    spectral, roles, method = max(0, total - colours.count("alpha")), {}, "unresolved"
+    for band, text in enumerate(names, 1):
+        role = None if is_alpha(band) else _role(text, roles)
+        if role:
+            roles[role], method = band, "descriptions"
+    for band, colour in enumerate(colours, 1):
+        if colour in ("red", "green", "blue") and colour not in roles:
+            roles[colour], method = band, "colorinterp" if method == "unresolved" else method
+    if spectral == 4 and "nir" not in roles and {"red", "green", "blue"} <= set(roles):
+        spare = [b for b in range(1, total + 1) if not is_alpha(b) and b not in roles.values()]
+        if spare:
+            roles["nir"], method = spare[0], "convention"
+    layout = _layout(spectral, camera.strip())
+    if ("nir" not in roles or "red" not in roles) and layout and all(re.fullmatch(UNLABELLED, n) for n in names):
+        roles |= {r: i for i, r in enumerate(layout, 1)}
+        method = "profile"
+    can = available(roles)
+    return Bands(spectral, roles, method if can else "unresolved", "NDVI" not in can and spectral >= 4)
 
 
 def band_roles(descriptions: list[str], colours: list[str]) -> dict[str, int]:
-    """role -> band from 1: by description, then colour, then the usual profile; alpha never gets a role."""
-    import re
-
-    usable = [i for i, c in enumerate(colours) if c.lower() != "alpha"]
-    roles: dict[str, int] = {}
-    for i in usable:
-        text = descriptions[i].lower() if i < len(descriptions) else ""
-        role = next((r for r, p in NAMES if re.search(p, text)), None) or (colours[i].lower() if colours[i].lower() in ("red", "green", "blue") else None)
-        if role and role not in roles:
-            roles[role] = i + 1
-    if not roles and len(usable) in PROFILES:
-        roles = {r: usable[k] + 1 for k, r in enumerate(PROFILES[len(usable)])}
-    return roles
+    return analyse(descriptions, colours).roles
+
+
+def choose(bands: Bands, prefer: str = "NDVI") -> tuple[str, dict[str, int]]:
+    """The index to draw and the bands it reads: the preferred one, NDVI, VARI, else VARI over bands 1, 2, 3."""
+    can = available(bands.roles)
+    pick = next((n for n in (prefer, "NDVI", "VARI") if n in can), None)
+    return (pick, bands.roles) if pick else ("VARI", {"red": 1, "green": 2, "blue": 3})
+
+
+def preview(bands: Bands) -> tuple[int, int, int] | None:
+    """Bands of a true-colour picture; none if one is missing."""
+    rgb = [bands.roles.get(c) for c in ("red", "green", "blue")]
+    return tuple(rgb) if all(rgb) else None
+
+
+def options(bands: Bands | None) -> list[tuple[str, str | None]]:
+    """Each index with the reason that it can't be had, if there is one; null bands are not known yet."""
+    visible = "This scan does not carry the visible bands this index needs."
+
+    def reason(name: str) -> str | None:
+        if bands is None:
+            return "Still checking what this scan's imagery contains."
+        if name in available(bands.roles):
+            return None
+        if name == "VARI":
+            return visible
+        band = "near-infrared and red-edge" if name == "NDRE" else "near-infrared"
+        if bands.ambiguous:
+            return f"This scan has extra bands but nothing identifies which is {band}, so a true {name} cannot be computed from it."
+        return f"This scan is ordinary RGB imagery. {name} needs a {band} band the camera did not record."
+
+    return [(name, reason(name)) for name in INDICES]
 
 
 def available(roles: dict[str, int]) -> list[str]:

@@ -66,14 +66,17 @@ def owned_by(rows: DataFrame, user: object, column: str = "user_id") -> DataFram
 
 
 def comparable(status: Column, tiles: Column, uuid: Column) -> Column:
-    """Finished, with tiles, with an id; null counts as no."""
-    return F.coalesce((status == "completed") & tiles & uuid.isNotNull(), F.lit(False))
+    """Finished, with tiles, with an id that isn't empty; null counts as no."""
+    return F.coalesce((status == "completed") & tiles & (F.length(uuid) > 0), F.lit(False))
 
 
 def why_not_comparable(status: Column, tiles: Column, uuid: Column) -> Column:
-    """The first reason, null if there is none."""
+    """The first reason, null if there is none: no image, then the status, then the tiles."""
+    waits = F.concat(F.lit("This scan is still "), F.coalesce(status, F.lit("null")), F.lit("."))
     return (
-        F.when(~status.eqNullSafe("completed"), "not processed yet").when(uuid.isNull(), "no imagery").when(~F.coalesce(tiles, F.lit(False)), "tiles are not ready")
+        F.when(~F.coalesce(F.length(uuid) > 0, F.lit(False)), "This scan has no orthomosaic.")
+        .when(~status.eqNullSafe("completed"), waits)
+        .when(~F.coalesce(tiles, F.lit(False)), "This scan's map tiles have not finished baking yet.")
     )
 
 
@@ -86,10 +89,35 @@ def validation_errors(rules: dict[str, Column]) -> Column:
 EMAIL = r"(?i)^[^@\s]+@[^@\s]+\.[^@\s]+$"
 
 
-def valid_email(value: Column, longest: int = 255) -> Column:
+def valid_email(value: Column, longest: int = 320) -> Column:
     return F.coalesce((F.length(value).between(3, longest)) & value.rlike(EMAIL), F.lit(False))
 
 
+def may_insert(needed: dict[str, int], optional: dict[str, int], email: str = "email") -> Column:
+    """Whether a row may be added: needed columns hold 1 to so many characters, optional ones are null or no longer, the email fits.
+    A null in a needed column refuses the row."""
+    ok = valid_email(F.col(email))
+    for name, longest in needed.items():
+        ok = ok & F.length(name).between(1, longest)
+    for name, longest in optional.items():
+        ok = ok & (F.col(name).isNull() | (F.length(name) <= longest))
+    return F.coalesce(ok, F.lit(False))
+
+
+def form_errors(needed: dict[str, str], choices: dict[str, tuple[str, list[str], bool]], longest: dict[str, int], email: str = "email") -> Column:
+    """field -> message over trimmed values. `needed` gives labels; `choices` label, options and whether an answer is needed;
+    a text over its limit replaces what was said before of the field."""
+    text = lambda k: F.trim(F.coalesce(F.col(k), F.lit("")))
+    said: dict[str, Column] = {k: F.when(text(k) == "", f"{label} is required") for k, label in needed.items()}
+    said[email] = F.when(text(email) == "", "Email is required").when(~text(email).rlike(EMAIL), "That doesn't look like an email address")
+    for k, (label, options, must) in choices.items():
+        odd = F.when(~text(k).isin(options) & (text(k) != ""), "Pick one of the listed options")
+        said[k] = F.when(text(k) == "", f"{label} is required").otherwise(odd) if must else odd
+    for k, n in longest.items():
+        said[k] = F.when(F.length(text(k)) > n, f"Keep this under {n} characters").otherwise(said.get(k, F.lit(None).cast("string")))
+    return validation_errors(said)
+
+
 def normalised(value: Column, lower: bool = False) -> Column:
     """Trimmed, null if nothing is left."""
     trimmed = F.nullif(F.trim(value), F.lit(""))

@@ -86,17 +86,37 @@ def file_key(name: Column, size: Column, modified: Column) -> Column:
     return F.concat_ws(":", name, size, modified)
 
 
-def rate_colour(rate: Column, low: Column, high: Column) -> Column:
-    """Green to red ramp as #rrggbb; without a span the top colour."""
+def cell_paint(state: Column, source: Column, rate: Column, low: Column, high: Column) -> Column:
+    """(fill, stroke) of a cell. Treated ones go from yellow to red by rate, with the top colour where all rates are
+    equal, and a stronger edge where an operator set them; others are undecided (default) or skipped, without colour."""
     t = F.when(high > low, (rate - low) / (high - low)).otherwise(F.lit(1.0))
-    part = lambda a, b: F.floor(a + (b - a) * t + 0.5).cast("int")
-    return F.format_string("#%02x%02x%02x", part(46.0, 214.0), part(160.0, 69.0), part(67.0, 65.0))
+    rgb = F.concat_ws(",", F.lit("250"), F.floor(204 - 150 * t + 0.5).cast("string"), F.floor(61 - 40 * t + 0.5).cast("string"))
+    shade = lambda alpha: F.concat(F.lit("rgba("), rgb, F.lit(","), alpha, F.lit(")"))
+    edge = shade(F.when(source == "operator", "0.95").otherwise(F.lit("0.55")))
+    treated = state == "treated"
+    kind = F.when(treated, "treated").when(source == "default", "undecided").otherwise(F.lit("skipped"))
+    return F.struct(kind.alias("kind"), F.when(treated, shade(F.format_string("%.3f", 0.30 + 0.35 * t))).alias("fill"), F.when(treated, edge).alias("stroke"))
+
+
+#: The largest code of each kind of weather, its text and its icon; beyond the last one it thunders.
+WEATHER_CODES = (
+    (0, "clear sky", "01d"), (2, "mainly clear", "02d"), (3, "overcast", "04d"), (48, "fog", "50d"), (57, "drizzle", "09d"),
+    (67, "rain", "10d"), (77, "snow", "13d"), (82, "rain showers", "09d"), (86, "snow showers", "13d"),
+)
+STORM = ("thunderstorm", "11d")
+
+
+def _by_code(code: Column, at: int) -> Column:
+    out = F.lit(STORM[at - 1])
+    for row in reversed(WEATHER_CODES):
+        out = F.when(code <= row[0], row[at]).otherwise(out)
+    return out
 
 
 def weather_text(code: Column) -> Column:
     """Description of a weather code; the first upper bound that holds wins."""
-    bounds = ((0, "Clear"), (3, "Cloudy"), (48, "Fog"), (57, "Drizzle"), (67, "Rain"), (77, "Snow"), (82, "Showers"), (86, "Snow showers"))
-    out = F.lit("Thunderstorm")
-    for most, text in reversed(bounds):
-        out = F.when(code <= most, text).otherwise(out)
-    return out
+    return _by_code(code, 1)
+
+
+def weather_icon(code: Column) -> Column:
+    return _by_code(code, 2)

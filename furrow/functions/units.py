@@ -34,10 +34,10 @@ def price_per_acre(price_per_ha: Column) -> Column:
     return price_per_ha * (4046.8564224 / 10_000)
 
 
-def decimals(value: Column) -> Column:
+def decimals(value: Column, most: int = 3) -> Column:
     """Digits after the point by magnitude; for display only."""
     size = F.abs(value)
-    return F.when(size >= 100, 0).when(size >= 10, 1).otherwise(2)
+    return F.when((size == 0) | (size >= 1000), 0).when(size >= 100, 1).when(size >= 1, min(2, most)).otherwise(most)
 
 
 def half_up(value: Column) -> Column:

@@ -132,8 +132,8 @@ ORACLES = {
     "url_parse": "SELECT page_id, nullif(regexp_extract(url, '^(https?)://([^/?#]+)([^?#]*)(?:\\?([^#]*))?', 1), '') AS scheme, nullif(regexp_extract(url, '^(https?)://([^/?#]+)([^?#]*)(?:\\?([^#]*))?', 2), '') AS host, nullif(regexp_extract(url, '^(https?)://([^/?#]+)([^?#]*)(?:\\?([^#]*))?', 3), '') AS path, nullif(regexp_extract(url, '^(https?)://([^/?#]+)([^?#]*)(?:\\?([^#]*))?', 4), '') AS query FROM pages",
     "cell_id_parse": 'SELECT event_id, CASE WHEN event_id % 5 <> 0 AND event_id % 7 <> 0 THEN CAST(-user_id AS INTEGER) END AS col, CASE WHEN event_id % 5 <> 0 AND event_id % 7 <> 0 THEN CAST(event_id AS INTEGER) END AS "row" FROM events',
     "unit_report": f"""SELECT p_partkey, p_retailprice * {1 / 10_000!r}::DOUBLE AS area_0, p_retailprice * {1 / 3.785411784!r}::DOUBLE AS volume_1, p_retailprice * {1 / 0.3048!r}::DOUBLE AS distance_2, p_retailprice * {3600 / 1609.344!r}::DOUBLE AS speed_3, p_retailprice * {1 / 0.45359237!r}::DOUBLE AS mass_4,
-        p_retailprice * 9 / 5 + 32 AS f, CAST(CASE WHEN abs(p_retailprice) >= 100 THEN 0 WHEN abs(p_retailprice) >= 10 THEN 1 ELSE 2 END AS INTEGER) AS digits, {list(tx.COMPASS)!r}[CAST(floor(p_retailprice / 22.5::DOUBLE + 0.5) AS BIGINT) % 16 + 1] AS compass FROM part""",
+        p_retailprice * 9 / 5 + 32 AS f, CAST(CASE WHEN p_retailprice = 0 OR abs(p_retailprice) >= 1000 THEN 0 WHEN abs(p_retailprice) >= 100 THEN 1 WHEN abs(p_retailprice) >= 1 THEN 2 ELSE 3 END AS INTEGER) AS digits, {list(tx.COMPASS)!r}[CAST(floor(p_retailprice / 22.5::DOUBLE + 0.5) AS BIGINT) % 16 + 1] AS compass FROM part""",
     "note_and_stage": f"""WITH o AS (SELECT o_orderkey, lower(['Wheat', 'corn', 'beans'][o_orderkey % 3 + 1]) AS crop, CAST(floor((epoch(TIMESTAMP '1998-01-01') - floor(epoch(o_orderdate))) / 86400) AS BIGINT) AS days, o_orderpriority, o_orderkey % 100 AS w FROM orders),
         k AS (SELECT *, CAST(floor(days / 7.0 + 0.5) AS BIGINT) AS wk FROM o) SELECT o_orderkey, {_STAGE} AS stage, replace(replace(replace(substr(o_orderpriority || '<&>', 1, 12), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS note,
-        CASE WHEN w <= 0 THEN 'Clear' WHEN w <= 3 THEN 'Cloudy' WHEN w <= 48 THEN 'Fog' WHEN w <= 57 THEN 'Drizzle' WHEN w <= 67 THEN 'Rain' WHEN w <= 77 THEN 'Snow' WHEN w <= 82 THEN 'Showers' WHEN w <= 86 THEN 'Snow showers' ELSE 'Thunderstorm' END AS weather FROM k""",
+        CASE WHEN w <= 0 THEN 'clear sky' WHEN w <= 2 THEN 'mainly clear' WHEN w <= 3 THEN 'overcast' WHEN w <= 48 THEN 'fog' WHEN w <= 57 THEN 'drizzle' WHEN w <= 67 THEN 'rain' WHEN w <= 77 THEN 'snow' WHEN w <= 82 THEN 'rain showers' WHEN w <= 86 THEN 'snow showers' ELSE 'thunderstorm' END AS weather FROM k""",
 }

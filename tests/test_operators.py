@@ -182,6 +182,45 @@ def test_scalars(spark):
     assert bands.available(bands.band_roles([""] * 5, ["undefined"] * 5)) == ["NDVI", "NDRE", "VARI"]
 
 
+def test_bands():
+    grey = ["gray", "undefined", "undefined", "undefined"]
+    assert bands.analyse(["red edge", "NIR", "Red", "green"], grey).roles == {"rededge": 1, "nir": 2, "red": 3, "green": 4}
+    spare = bands.analyse(["", "", "", ""], ["red", "green", "blue", "undefined"])
+    assert (spare.roles["nir"], spare.method, bands.preview(spare)) == (4, "convention", (1, 2, 3))
+    pair = bands.analyse(["b1", "band 2"], ["gray", "undefined", "alpha"], 3)
+    assert (pair.roles, pair.method, pair.spectral) == ({"red": 1, "nir": 2}, "profile", 2) and bands.preview(pair) is None
+    open4 = bands.analyse([""] * 4, grey)
+    assert (open4.roles, open4.method, open4.ambiguous) == ({}, "unresolved", True)
+    assert bands.analyse([""] * 4, grey, camera="M3M").roles["rededge"] == 3
+    assert bands.analyse(["thermal"] * 5, ["undefined"] * 5).roles == {}  # labelled otherwise: no layout
+    assert bands.choose(open4) == ("VARI", {"red": 1, "green": 2, "blue": 3}) and bands.choose(pair, "NDRE")[0] == "NDVI"
+    assert [r is None for _, r in bands.options(spare)] == [True, False, True]
+    assert "extra bands" in bands.options(open4)[0][1] and "ordinary RGB" in bands.options(bands.analyse([], ["red", "green", "blue"]))[1][1]
+    assert all("Still checking" in r for _, r in bands.options(None))
+
+
+def test_filters_and_paint(spark):
+    rows = [("completed", True, "u"), ("completed", True, ""), ("running", True, "u"), (None, None, "u"), ("completed", False, "u")]
+    df = spark.createDataFrame(rows, "s string, t boolean, u string")
+    c = [F.col(x) for x in "stu"]
+    got = [tuple(r) for r in df.select(filters.comparable(*c), filters.why_not_comparable(*c)).collect()]
+    assert got[0] == (True, None) and [g[1] for g in got[1:4]] == ["This scan has no orthomosaic.", "This scan is still running.", "This scan is still null."]
+    assert got[4][1].endswith("baking yet.")
+    form = spark.createDataFrame([(" a ", "x@y.z", "pilot", ""), (None, "bad", "else", "no"), ("n" * 9, "", "", "yes")], "name string, email string, role string, survey string")
+    e = filters.form_errors({"name": "Your name"}, {"role": ("Your role", ["pilot"], True), "survey": ("Survey", ["yes"], False)}, {"name": 5})
+    assert [r[0] for r in form.select(e).collect()] == [
+        {},
+        {"name": "Your name is required", "email": "That doesn't look like an email address", "role": "Pick one of the listed options", "survey": "Pick one of the listed options"},
+        {"name": "Keep this under 5 characters", "email": "Email is required", "role": "Your role is required"},
+    ]
+    assert [r[0] for r in form.select(filters.may_insert({"name": 8}, {"survey": 2})).collect()] == [True, False, False]
+    cells = spark.createDataFrame([("treated", "operator", 10.0), ("treated", "threshold", 20.0), ("untreated", "default", None), ("untreated", "operator", None)], "s string, o string, r double")
+    p = [tuple(r[0]) for r in cells.select(text.cell_paint(F.col("s"), F.col("o"), F.col("r"), F.lit(10.0), F.lit(20.0))).collect()]
+    assert p == [("treated", "rgba(250,204,61,0.300)", "rgba(250,204,61,0.95)"), ("treated", "rgba(250,54,21,0.650)", "rgba(250,54,21,0.55)"), ("undecided", None, None), ("skipped", None, None)]
+    shown = spark.createDataFrame([(0, 0.0), (2, 0.5), (3, 5.0), (90, 500.0)], "c int, v double").select(text.weather_text(F.col("c")), text.weather_icon(F.col("c")), units.decimals(F.col("v")))
+    assert [tuple(r) for r in shown.collect()] == [("clear sky", "01d", 0), ("mainly clear", "02d", 3), ("overcast", "04d", 2), ("thunderstorm", "11d", 1)]
+
+
 def test_pipeline_state():
     assert pipeline.next_status("completed", 30) == "completed" and pipeline.next_status(None, 20) == "running"
     assert pipeline.claim("x", 0.0, "me", 100.0) == ("x", 0.0, False)
