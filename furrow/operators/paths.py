@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from furrow.functions import geo
+
 
 def ordered(key: str, *order: str):
     return Window.partitionBy(key).orderBy(*order)
@@ -112,13 +114,50 @@ def crossfade(position: Column, n: int) -> Column:
     return F.struct(a.alias("a"), b.alias("b"), (1 - (p - a)).alias("weight_a"), F.when(b > a, p - a).otherwise(F.lit(0.0)).alias("weight_b"))
 
 
-def mission_rows(passes: DataFrame, mission: str, order: str, least_connector: float = 0.5) -> DataFrame:
-    """(mission, seq, action, x, y) of ordered passes (x1, y1, x2, y2): a transit to the pass if it starts further away
-    than `least_connector` from the last end, then sprayer on at its start and off at its end."""
+def mission_rows(passes: DataFrame, mission: str, order: str, home: tuple[float, float], spray_alt: float = 3.0, transit_alt: float = 15.0, spray_ms: float = 5.0, transit_ms: float = 8.0, least_connector: float = 0.5) -> DataFrame:
+    """(mission, seq, action, lat, lng, alt, speed) of ordered passes (lat1, lng1, lat2, lng2, spray).
+
+    The sprayer's state after a pass is that pass's own flag, so the whole machine is a look at the row before: a gap of more
+    than `least_connector` metres is flown high with the sprayer off. Each mission starts and ends at home. A mission without
+    passes has no rows.
+    """
     w = ordered(mission, order)
-    dx, dy = F.col("x1") - F.lag("x2").over(w), F.col("y1") - F.lag("y2").over(w)
-    hop = F.coalesce(F.sqrt(dx * dx + dy * dy), F.lit(float("inf")))
-    at = lambda action, x, y: F.struct(F.lit(action).alias("action"), F.col(x).alias("x"), F.col(y).alias("y"))
-    steps = F.concat(F.when(F.col("hop") > least_connector, F.array(at("transit", "x1", "y1"))).otherwise(F.array().cast("array<struct<action:string,x:double,y:double>>")), F.array(at("spray_on", "x1", "y1"), at("spray_off", "x2", "y2")))
-    rows = passes.withColumn("hop", hop).select(mission, order, F.posexplode(steps).alias("k", "s"))
-    return rows.select(mission, (F.row_number().over(ordered(mission, order, "k")) - 1).alias("seq"), "s.action", "s.x", "s.y")
+    point = lambda a, b: F.struct(F.col(a).alias("lat"), F.col(b).alias("lng"))
+    base = F.struct(F.lit(float(home[0])).alias("lat"), F.lit(float(home[1])).alias("lng"))
+    rows = passes.withColumns({"_a": point("lat1", "lng1"), "_b": point("lat2", "lng2"), "_s": F.coalesce("spray", F.lit(False))})
+    rows = rows.withColumns({"_p": F.coalesce(F.lag("_b").over(w), base), "_on": F.coalesce(F.lag("_s").over(w), F.lit(False)), "_first": F.lag("_b").over(w).isNull(), "_last": F.lead("_b").over(w).isNull()})
+    far = geo.planar_distance(F.col("_p.lat"), F.col("_p.lng"), F.col("_a.lat"), F.col("_a.lng")) > least_connector
+    step = lambda action, at, alt, speed: F.struct(F.lit(action).alias("action"), at["lat"].alias("lat"), at["lng"].alias("lng"), F.lit(float(alt)).alias("alt"), F.lit(float(speed)).alias("speed"))
+    high = lambda action, at: step(action, at, transit_alt, transit_ms)
+    low = lambda action, at: step(action, at, spray_alt, spray_ms)
+    p, a, b, spray = F.col("_p"), F.col("_a"), F.col("_b"), F.col("_s")
+    on = F.col("_on") & ~far
+    parts = [
+        (F.col("_first"), [high("TAKEOFF", base)]),
+        (far & F.col("_on"), [low("SPRAY_OFF", p)]),
+        (far, [high("ALTITUDE_CHANGE", p), high("SPEED_CHANGE", p), high("TRANSIT", a)]),
+        (spray & ~on, [low("ALTITUDE_CHANGE", a), low("SPEED_CHANGE", a), low("SPRAY_ON", a)]),
+        (spray, [low("SPRAY_WP", b)]),
+        (~spray & on, [low("SPRAY_OFF", a)]),
+        (~spray, [high("ALTITUDE_CHANGE", a), high("SPEED_CHANGE", a), high("TRANSIT", b)]),
+        (F.col("_last") & spray, [low("SPRAY_OFF", b)]),
+        (F.col("_last"), [high("ALTITUDE_CHANGE", b), high("RTH", base), step("LAND", base, 0.0, 1.0)]),
+    ]
+    steps = F.concat(*[F.when(c, F.array(*s)).otherwise(F.array().cast("array<struct<action:string,lat:double,lng:double,alt:double,speed:double>>")) for c, s in parts])
+    exploded = rows.select(mission, order, F.posexplode(steps).alias("_k", "_w"))
+    return exploded.select(mission, (F.row_number().over(ordered(mission, order, "_k")) - 1).alias("seq"), "_w.*")
+
+
+def reduce_waypoints(rows: DataFrame, mission: str, least_m: float = 0.5, least_alt: float = 0.01) -> DataFrame:
+    """(mission, seq, lat, lng, alt, speed) of a camera route: flown points only, without those that lie at the place and height
+    of the last one kept. A fold over one flight's waypoints, which its format bounds."""
+    flown = rows.filter(F.col("action").isin("TRANSIT", "SPRAY_WP", "RTH"))
+    way = flown.groupBy(mission).agg(F.array_sort(F.collect_list(F.struct("seq", "lat", "lng", "alt", "speed"))).alias("way"))
+
+    def add(kept, w):
+        last = F.try_element_at(kept, F.lit(-1))
+        same = (F.abs(last["alt"] - w["alt"]) < least_alt) & (geo.planar_distance(last["lat"], last["lng"], w["lat"], w["lng"]) < least_m)
+        return F.when(F.coalesce(same, F.lit(False)), kept).otherwise(F.concat(kept, F.array(w)))
+
+    kept = F.aggregate("way", F.slice("way", 1, 0), add)
+    return way.select(mission, F.posexplode(kept).alias("seq", "w")).select(mission, "seq", "w.lat", "w.lng", "w.alt", "w.speed")

@@ -15,7 +15,10 @@ from furrow.sources import binary
 
 #: Limits of the consumer formats. Fixed values.
 MAX_WAYPOINTS, MAX_PIXELS, AREA_DRIFT = 200, 2_000_000, 0.005
-COMMANDS = {"takeoff": 22, "land": 21, "spray_on": 216, "spray_off": 216}
+#: Fixed values of the waypoint text: header, command codes, the pump's servo and its pulse widths.
+HEADER, WAYPOINT = "QGC WPL 110", 16
+COMMANDS = {"TAKEOFF": 22, "SPEED_CHANGE": 178, "SPRAY_ON": 183, "SPRAY_OFF": 183, "RTH": 20, "LAND": 21}
+PUMP_SERVO, PUMP_ON, PUMP_OFF = 8.0, 2000.0, 1000.0
 
 
 def upsert(existing: DataFrame, changes: DataFrame, *key: str) -> DataFrame:
@@ -34,21 +37,26 @@ def set_json_key(raw: Column, key: str, value: Column) -> Column:
 
 
 def waypoint_text(points: DataFrame, mission: str) -> DataFrame:
-    """(mission, seq, line): tab-separated waypoint lines in order; a writer sorts by them."""
-    command = F.lit(16)
-    for action, code in COMMANDS.items():
-        command = F.when(F.col("action") == action, code).otherwise(command)
-    cells = [F.col("seq"), (F.col("seq") == 0).cast("int"), F.lit(3), command, *[F.lit("0.00000000")] * 4, F.format_string("%.8f", "lat"), F.format_string("%.8f", "lng"), F.format_string("%.6f", "alt"), F.lit(1)]
-    return points.select(mission, "seq", F.concat_ws("\t", *[c.cast("string") for c in cells]).alias("line"))
-
-
-def reduce_waypoints(points: list[tuple[float, float, bool]], least_m: float = 0.5) -> list[tuple[float, float, bool]]:
-    """Drop points that lie closer than `least_m` to the last kept one with the same sprayer state."""
-    kept: list[tuple[float, float, bool]] = []
-    for x, y, on in points:
-        if not kept or kept[-1][2] != on or np.hypot(x - kept[-1][0], y - kept[-1][1]) >= least_m:
-            kept.append((x, y, on))
-    return kept
+    """(mission, line_no, line) of the waypoint text: a header, home as row 0 (the first waypoint's place), then a tab-separated row
+    for each waypoint (seq, action, lat, lng, alt, speed). A writer sorts by line_no. Speed and pump commands have no place."""
+    number = lambda c, digits=2: F.format_string(f"%.{digits}f", c.cast("double") if not isinstance(c, float) else F.lit(c))
+    code = F.lit(WAYPOINT)
+    for action, c in COMMANDS.items():
+        code = F.when(F.col("action") == action, c).otherwise(code)
+    speed, pump = F.col("action") == "SPEED_CHANGE", F.col("action").isin("SPRAY_ON", "SPRAY_OFF")
+    p1 = F.when(speed, 1.0).when(pump, PUMP_SERVO).otherwise(0.0)
+    p2 = F.when(speed, F.col("speed")).when(F.col("action") == "SPRAY_ON", PUMP_ON).when(F.col("action") == "SPRAY_OFF", PUMP_OFF).otherwise(0.0)
+    p3 = F.when(speed, -1.0).otherwise(0.0)
+    place = lambda c: F.when(speed | pump, 0.0).otherwise(F.col(c))
+    row = lambda idx, current, frame, command, params, lat, lng, alt: F.concat_ws(
+        "\t", idx.cast("string"), F.lit(current), F.lit(frame), command.cast("string"), *[number(x) for x in params], number(lat, 8), number(lng, 8), number(alt), F.lit("1")
+    )
+    own = row(F.col("seq") + 1, "0", "3", code, (p1, p2, p3, F.lit(0.0)), place("lat"), place("lng"), place("alt"))
+    home = row(F.lit(0), "1", "0", F.lit(WAYPOINT), (F.lit(0.0),) * 4, F.col("lat"), F.col("lng"), F.col("alt"))
+    at = lambda n, text: F.struct(n.cast("int").alias("line_no"), text.alias("line"))
+    first = F.array(at(F.lit(0), F.lit(HEADER)), at(F.lit(1), home), at(F.lit(2), own))
+    lines = F.when(F.col("seq") == 0, first).otherwise(F.array(at(F.col("seq") + 2, own)))
+    return points.select(mission, F.inline(lines))
 
 
 def route_package(name: str, points: list[tuple[float, float, float]]) -> bytes:

@@ -161,14 +161,48 @@ def test_semistructured(spark):
     df = spark.createDataFrame([('{"a": {"b": 2.5}, "n": "x"}',), ("broken",), (None,)], "j string")
     got = [tuple(r[0]) for r in df.select(semistructured.settings(F.col("j"), {"a.b": 1.0, "n": "d", "k": 3})).collect()]
     assert got == [(2.5, "x", 3), (1.0, "d", 3), (1.0, "d", 3)]
-    grid = '{"rates": {"g:0:0": {"state": "treated", "source": "operator", "rate_lha": 5}, "g:0:1": {"state": "odd", "source": "operator"}}, "detection": {"cell_ids": ["a"], "scores": [1, 2]}}'
-    g = spark.createDataFrame([(grid,)], "j string").select(semistructured.stored_grid(F.col("j")).alias("g")).first().g
-    assert list(g.rates) == ["g:0:0"] and g.detection is None
+    define = '"definition": {"swathM": 6, "cellMultiple": 1, "headingRad": 0.5, "origin": {"lat": 1, "lng": 2}, "boundaryHash": "h"}'
+    rates = '"rates": {"a": {"state": "treated", "source": "operator", "rateLha": 5, "issue": " ", "note": " x "}, "b": {"state": "odd", "source": "operator"}, "c": {"state": "treated", "source": "default", "rateLha": 0}, "d": 7, "e": {"state": "untreated", "source": "threshold", "note": "n"}}'
+    found = '"detection": {"modelVersion": "m", "scoredAt": "t", "cellIds": ["a"], "scores": [1%s]}'
+    grids = ["{" + ", ".join(x) + "}" for x in ((define, rates, found % ""), (define, rates, found % ", 2"), (rates,), (define,))] + ["broken", None]
+    g = [r.g for r in spark.createDataFrame([(x,) for x in grids], "j string").select(semistructured.stored_grid(F.col("j")).alias("g")).collect()]
+    assert {k: tuple(v) for k, v in g[0].rates.items()} == {"a": ("treated", "operator", 5.0, None, "x"), "e": ("untreated", "threshold", None, None, None)}
+    assert g[0].detection.scores == [1.0] and g[1].detection is None and g[0].definition.boundary_hash == "h"
+    assert g[2] is None and g[3].rates == {} and g[4] is None and g[5] is None
     b = spark.createDataFrame([('[{"lat":1,"lng":2},{"lat":1,"lng":3}]',), ('[[{"lat":1,"lng":2}],[{"lat":1,"lng":2},{"lat":2,"lng":2},{"lat":3,"lng":3}]]',)], "j string")
     assert [len(r[0]) for r in b.select(semistructured.boundary(F.col("j"))).collect()] == [1, 1]
-    f = spark.createDataFrame([('{"hourly": {"time": [1, 2], "wind": [1.0], "rain": [0.1, 0.2], "snow": [0.3]}}',)], "j string")
-    h = f.select(semistructured.forecast_hours(F.col("j")).alias("h")).first().h
-    assert [(x.time, x.wind_kmh, round(x.precip_mm, 6)) for x in h] == [(1, 3.6, 0.4), (2, 0.0, 0.2)]
+    feed = '{"hourly": [{"dt": 5, "temp": 20.5, "wind_speed": 1.0, "rain": {"1h": 0.1}, "snow": {"1h": 0.3}, "pop": 0.125, "weather": [{"id": 500, "icon": "10d", "description": "r"}]}, {"dt": 6}], "daily": [{"dt": 9, "temp": {"min": 1, "max": 2}, "rain": 4}]}'
+    f = spark.createDataFrame([(feed,), ("{}",)], "j string").select(semistructured.forecast(F.col("j")).alias("f")).collect()
+    h = f[0].f.hourly
+    assert [(x.time, x.temp_c, x.wind_kmh, round(x.precip_mm, 6), x.precip_prob, x.code, x.icon) for x in h] == [(5, 20.5, 3.6, 0.4, 13.0, 500, "10d"), (6, None, 0.0, 0.0, 0.0, 800, "01d")]
+    assert (f[0].f.daily[0].tmax_c, f[0].f.daily[0].precip_mm) == (2.0, 4.0) and f[1].f.hourly == []
+    spare = '{"hourly": {"time": ["1970-01-01T00:01", "1970-01-01T01:00"], "temperature_2m": [3.0], "wind_speed_10m": [7.0, 8.0], "weather_code": [2]}, "daily": {"time": ["1970-01-02"], "precipitation_sum": [1.5]}}'
+    f = spark.createDataFrame([(spare,)], "j string").select(semistructured.forecast_spare(F.col("j")).alias("f")).first().f
+    assert [(x.time, x.temp_c, x.wind_kmh, x.precip_mm, x.desc) for x in f.hourly] == [(60, 3.0, 7.0, 0.0, "mainly clear"), (3600, None, 8.0, 0.0, "clear sky")]
+    assert [(d.time, d.precip_mm, d.humidity) for d in f.daily] == [(86400, 1.5, None)]
+    many = '{"hourly": {"time": [' + ", ".join(['"1970-01-01"'] * 60) + "]}}"
+    assert len(spark.createDataFrame([(many,)], "j string").select(semistructured.forecast_spare(F.col("j")).alias("f")).first().f.hourly) == 48
+
+
+def test_analysis_zones(spark):
+    zones = [
+        '{"issue": "Row gap", "confidence": "high", "polygon": [[1,11],[11.5,1.5],[0.5,0.5]], "recommendation": "r"}',  # second vertex swapped, third as shares
+        '{"issue": "Row gap", "confidence": "medium", "tier": 2, "recommendation": "r"}',
+        '{"issue": "Row gap", "confidence": "LOW", "tier": 2}',
+        '{"issue": "Other", "confidence": "HIGH", "tier": 2}',
+        '{"issue": "Row gap", "confidence": "HIGH", "tier": 1, "polygon": [[1,11]]}',
+        '{"issue": "Row gap", "confidence": "HIGH", "polygon": [[1.9,11.9],[1.9,11.8],[1.8,11.9]]}',  # outside of the ring below
+    ]
+    box = F.struct(F.lit(2.0).alias("north"), F.lit(1.0).alias("south"), F.lit(12.0).alias("east"), F.lit(11.0).alias("west"))
+    ring = F.array(*[F.struct(F.lit(a).alias("lat"), F.lit(b).alias("lng")) for a, b in ((1.0, 11.0), (1.7, 11.0), (1.7, 11.7), (1.0, 11.7))])
+    df = spark.createDataFrame([('{"zones": [' + ", ".join(zones) + "]}",), ("no json",), (None,)], "j string")
+    got = [r[0] for r in df.select(semistructured.analysis_zones(F.col("j"), box, F.array(ring))).collect()]
+    assert [(z.id, z.tier, z.recommendation, len(z.ring)) for z in got[0]] == [("ai-0", 1, "r", 3), ("ai-1", 2, None, 0)]
+    assert [tuple(v) for v in got[0][0].ring] == [(1.0, 11.0), (1.5, 11.5), (1.5, 11.5)] and got[1] == [] and got[2] == []
+    rate = F.struct(F.col("s").alias("state"), F.lit("operator").alias("source"), F.lit("i").alias("issue"), F.lit("n").alias("note"))
+    cells = spark.createDataFrame([("treated", " j ", True, None, False), ("treated", " ", True, None, True), ("untreated", "j", True, "k", True)], "s string, i string, hi boolean, n string, hn boolean")
+    p = cells.select(semistructured.classify_cell(rate, F.col("i"), F.col("hi"), F.col("n"), F.col("hn"))).collect()
+    assert [tuple(r[0])[2:] for r in p] == [("j", "n"), (None, None), ("i", "n")]
 
 
 def test_scalars(spark):
@@ -257,13 +291,25 @@ def test_keyed_writes(spark):
     new = spark.createDataFrame([(2, "c"), (3, "d")], "id int, v string")
     assert sorted(tuple(r) for r in sinks.upsert(old, new, "id").collect()) == [(1, "a"), (2, "c"), (3, "d")]
     assert [r.id for r in sinks.delete_by_key(old, new, "id").collect()] == [1]
-    assert sinks.reduce_waypoints([(0, 0, False), (0.1, 0, False), (0.2, 0, True), (5, 0, True)]) == [(0, 0, False), (0.2, 0, True), (5, 0, True)]
 
 
 def test_mission_rows_and_small_readers(spark, tmp_path):
-    p = spark.createDataFrame([(1, 0, 0.0, 0.0, 5.0, 0.0), (1, 1, 5.2, 0.0, 9.0, 0.0), (1, 2, 9.0, 3.0, 0.0, 3.0)], "m int, o int, x1 double, y1 double, x2 double, y2 double")
-    got = [r.action for r in paths.mission_rows(p, "m", "o").orderBy("seq").collect()]
-    assert got == ["transit", "spray_on", "spray_off", "spray_on", "spray_off", "transit", "spray_on", "spray_off"]
+    m = 1 / 111_320  # a metre in degrees of latitude
+    legs = [(0, 5, True), (5.2, 9, True), (9, 12, False), (20, 25, True)]
+    p = spark.createDataFrame([(1, i, a * m, 0.0, b * m, 0.0, s) for i, (a, b, s) in enumerate(legs)], "m int, o int, lat1 double, lng1 double, lat2 double, lng2 double, spray boolean")
+    rows = paths.mission_rows(p, "m", "o", (0.0, 0.0))
+    short = {"ALTITUDE_CHANGE": "alt", "SPEED_CHANGE": "speed"}
+    got = [short.get(r.action, r.action) for r in rows.orderBy("seq").collect()]
+    start, climb = ["alt", "speed", "SPRAY_ON", "SPRAY_WP"], ["alt", "speed", "TRANSIT"]
+    assert got == ["TAKEOFF", *start, "SPRAY_WP", "SPRAY_OFF", *climb, *climb, *start, "SPRAY_OFF", "alt", "RTH", "LAND"]
+    kept = paths.reduce_waypoints(rows, "m").orderBy("seq").collect()
+    assert [(round(r.lat / m, 3), r.alt) for r in kept] == [(5, 3), (9, 3), (12, 15), (20, 15), (25, 3), (0, 15)]
+    twice = rows.withColumn("action", F.lit("TRANSIT")).withColumn("alt", F.lit(1.0))
+    assert [round(r.lat / m, 3) for r in paths.reduce_waypoints(twice, "m").orderBy("seq").collect()] == [0, 5, 9, 12, 20, 25, 0]
+    lines = [r.line for r in sinks.waypoint_text(rows, "m").orderBy("line_no").collect()]
+    assert lines[0] == "QGC WPL 110" and lines[1].startswith("0\t1\t0\t16\t0.00") and len(lines) == len(got) + 2
+    assert lines[2].split("\t")[:4] == ["1", "0", "3", "22"] and lines[5] == "4\t0\t3\t183\t8.00\t2000.00\t0.00\t0.00\t0.00000000\t0.00000000\t0.00\t1"
+    assert lines[4] == "3\t0\t3\t178\t1.00\t5.00\t-1.00\t0.00\t0.00000000\t0.00000000\t0.00\t1"
     tiff = b"II*\0\x08\0\0\0\x01\0\x25\x88\x04\0\x01\0\0\0\0\0\0\0"
     exif = b"Exif\0\0" + tiff
     jpeg = b"\xff\xd8\xff\xe1" + (len(exif) + 2).to_bytes(2, "big") + exif + b"\xff\xd9"
