@@ -11,13 +11,13 @@ HA_TO_AC = 2.4710538147
 DEFAULT_LITRES_PER_ACRE = 4.05
 #: Issue -> priced input; waterlogging has none. Fixed values.
 ISSUE_INPUT = {
-    "nitrogen_deficiency": "nitrogen",
-    "phosphorus_deficiency": "phosphorus",
-    "potassium_deficiency": "potassium",
+    "nitrogen_deficiency": "nitrogen_fertilizer",
+    "phosphorus_deficiency": "phosphorus_fertilizer",
+    "potassium_deficiency": "potassium_fertilizer",
     "weed_pressure": "herbicide",
     "disease": "fungicide",
-    "pest_damage": "pesticide",
-    "bare_soil": "seed",
+    "pest_damage": "insecticide",
+    "bare_soil": "reseeding",
     "waterlogging": None,
 }
 #: Ordered tests of an issue's text; the first that matches wins. Fixed values.

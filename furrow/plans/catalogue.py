@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from furrow.plans import flight, learning, paths, reports, simulation, spatial, weather
+from furrow.plans import flight, learning, paths, reports, screens, simulation, spatial, weather
 
-MODULES = (weather, reports, learning, spatial, paths, simulation, flight)
+MODULES = (weather, reports, learning, spatial, paths, simulation, flight, screens)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: s for m in MODULES for k, s in m.ORACLES.items()}

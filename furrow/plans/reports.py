@@ -58,6 +58,7 @@ def litres_by_input(spark, sf_dir):
     return rp.litres_by_input(li.join(p, li.l_partkey == p.p_partkey), "input", F.col("v"))
 
 
+MODELS = ("DJI Agras T40", "XAG P100", "XAG V40", "DJI Mavic 3 Multispectral", "Custom", "", "Homebuilt")
 ISSUES = ("Low nitrogen", "n  deficiency", "Phosphorus", "Standing water", "weeds", "rust spots", "aphids", "bare patch", "Potassium", "fertilise", "unknown")
 
 
@@ -159,11 +160,13 @@ def day_buckets(spark, sf_dir):
 
 
 def spec_lookup(spark, sf_dir):
-    """Model -> spec with an alias table and defaults for unknown models; both tables are constants."""
+    """Model -> spec with an alias table and, for unknown models, the owner's tank over the defaults."""
     from furrow.sources.dimensions import resolve_specs
 
-    p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("model-"), F.col("p_size") % 7).alias("model"))
-    return resolve_specs(p, "model").select("p_partkey", "model_id", "tank_l", "swath_m")
+    names = F.array(*[F.lit(x) for x in MODELS])
+    p = table(spark, sf_dir, "part").select("p_partkey", F.get(names, (F.col("p_size") % 7).cast("int")).alias("model"), F.col("p_size").cast("double").alias("tank"))
+    own = F.struct(F.col("tank").alias("tank_l"))
+    return resolve_specs(p, "model", own).select("p_partkey", "model_key", "is_custom", "tank_l", "spray_swath_m", "weight_kg")
 
 
 def refill_plan(spark, sf_dir):
@@ -215,8 +218,8 @@ ORACLES = {
     "anti_undecided": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')",
     "union_tagged": "SELECT s_suppkey AS id, s_acctbal AS rate, NULL AS issue, 'ai' AS source FROM supplier UNION ALL SELECT c_custkey, NULL, c_mktsegment, 'grid' FROM customer UNION ALL SELECT DISTINCT user_id, NULL, NULL, 'user' FROM events",
     "day_buckets": "SELECT strftime(ts, '%Y-%m-%d') AS day, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts, event_id) AS items FROM events WHERE event_type = 'purchase' GROUP BY 1",
-    "spec_lookup": """WITH s(model_id, tank_l, swath_m) AS (VALUES ('model-0', 10.0, 4.0), ('model-1', 16.0, 6.0), ('model-2', 30.0, 7.5), ('model-3', 40.0, 9.0)), a(alias, model_id) AS (VALUES ('model-5', 'model-1'))
-        SELECT p_partkey, coalesce(s.model_id, 'custom') AS model_id, coalesce(s.tank_l, 20.0)::DOUBLE AS tank_l, coalesce(s.swath_m, 6.0)::DOUBLE AS swath_m FROM (SELECT p_partkey, 'model-' || (p_size % 7) AS m FROM part) LEFT JOIN a ON a.alias = m LEFT JOIN s ON s.model_id = coalesce(a.model_id, m)""",
+    "spec_lookup": f"""WITH s(k, t, w, kg) AS (VALUES ('DJI Agras T40', 40, 9, 65.5), ('XAG P100 Pro', 50, 10, 75), ('XAG V40', 16, 5, 40), ('DJI Mavic 3M', 0, 0, 0.95)), a(alias, k) AS (VALUES ('XAG P100', 'XAG P100 Pro'), ('DJI Mavic 3 Multispectral', 'DJI Mavic 3M')), p AS (SELECT p_partkey, p_size, {list(MODELS)!r}[p_size % 7 + 1] AS m FROM part)
+        SELECT p_partkey, coalesce(s.k, nullif(m, ''), 'Custom') AS model_key, s.k IS NULL AS is_custom, coalesce(s.t, p_size)::DOUBLE AS tank_l, coalesce(s.w, 6)::DOUBLE AS spray_swath_m, coalesce(s.kg, 50)::DOUBLE AS weight_kg FROM p LEFT JOIN a ON a.alias = m LEFT JOIN s ON s.k = coalesce(a.k, m)""",
     "refill_plan": """WITH o AS (SELECT o_orderkey, o_totalprice / 1000 AS required FROM orders), l AS (SELECT *, greatest(1, CAST(ceil(required / 32.0::DOUBLE) AS BIGINT)) AS loads FROM o)
         SELECT o_orderkey, loads, loads - 1 AS refills, CASE WHEN loads > 1 THEN 32.0::DOUBLE / required ELSE 0 END AS first_dry, 32.0::DOUBLE * loads - required AS leftover FROM l""",
 }
