@@ -149,7 +149,7 @@ QUERIES = {
 }
 ORACLES = {
     "cell_colours": """WITH e AS (SELECT event_id, event_type IN ('click', 'view') AS t, event_id % 3 AS s, (event_id % 9) / 8.0::DOUBLE AS f FROM events), c AS (SELECT *, '250,' || CAST(floor(204 - 150 * f + 0.5) AS BIGINT) || ',' || CAST(floor(61 - 40 * f + 0.5) AS BIGINT) AS rgb FROM e)
-        SELECT event_id, CASE WHEN t THEN 'treated' WHEN s = 1 THEN 'undecided' ELSE 'skipped' END AS kind, CASE WHEN t THEN 'rgba(' || rgb || ',' || printf('%.3f', 0.30::DOUBLE + 0.35::DOUBLE * f) || ')' END AS fill, CASE WHEN t THEN 'rgba(' || rgb || CASE WHEN s = 0 THEN ',0.95)' ELSE ',0.55)' END END AS stroke FROM c""",
+        SELECT event_id, CASE WHEN t THEN 'treated' WHEN s = 1 THEN 'undecided' ELSE 'skipped' END AS kind, CASE WHEN t THEN 'rgba(' || rgb || ',' || printf('%.3f', floor((0.30::DOUBLE + 0.35::DOUBLE * f) * 1000 + 0.5) / 1000) || ')' END AS fill, CASE WHEN t THEN 'rgba(' || rgb || CASE WHEN s = 0 THEN ',0.95)' ELSE ',0.55)' END END AS stroke FROM c""",
     "scan_reasons": """WITH e AS (SELECT event_id, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'running' END AS s, event_id % 2 = 0 AS t, event_id % 5 > 1 AS u FROM events)
         SELECT event_id, u AND t AND s = 'completed' AS ok, CASE WHEN NOT u THEN 'This scan has no orthomosaic.' WHEN s <> 'completed' THEN 'This scan is still ' || s || '.' WHEN NOT t THEN 'This scan''s map tiles have not finished baking yet.' END AS reason FROM e""",
     "form_check": """SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'Your name is required' END AS full_name, CASE c_custkey % 3 WHEN 1 THEN 'That doesn''t look like an email address' WHEN 2 THEN 'Email is required' END AS email,
