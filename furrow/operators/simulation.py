@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions import kernels as kn
+from furrow.functions import rules
+from furrow.functions.flight import turn_seconds
 
 #: Ceilings above which a field is refused. Fixed values.
 MAX_CELLS, MAX_CANDIDATES = 20_000, 80_000
@@ -21,17 +23,20 @@ SLIVER_SHARE = 0.01
 class Craft:
     """An aircraft's physical parameters."""
 
-    dry_kg: float = 28.0
-    tank_l: float = 30.0
+    # Those of the one airframe that was worked out.
+    dry_kg: float = 50.0
+    tank_l: float = 40.0
     density: float = 1.0
-    max_pitch_deg: float = 15.0
-    slosh_max_cm: float = 6.0
-    slosh_tau_s: float = 1.2
-    static_offset_cm: float = 2.0
-    rotor_m2: float = 2.4
-    efficiency: float = 0.6
-    voltage: float = 50.0
-    cog_penalty: float = 0.01
+    rotor_m2: float = 4 * np.pi * (1.27 / 2) ** 2
+    max_pitch_deg: float = 25.0
+    slosh_tau_s: float = 1.8
+    slosh_max_cm: float = 12.0
+    static_offset_cm: float = 4.0
+    amp_per_cm: float = 0.9
+    battery_ah: float = 30.0
+    voltage: float = 52.22
+    efficiency: float = 0.72
+    pivot_s: float = 2.5
 
 
 class GridTooLarge(ValueError):
@@ -65,7 +70,8 @@ def tank_profile(segments: pd.DataFrame, start_litres: float, craft: Craft = Cra
         slosh[i] = before + (target[i] - before) * share[i]
     cog = (fill - 1) * craft.static_offset_cm + slosh
     mass = craft.dry_kg + litres * craft.density
-    amps = (mass * 9.80665) ** 1.5 / np.sqrt(2 * max(rho, 0.1) * craft.rotor_m2) / craft.efficiency * (1 + craft.cog_penalty * np.abs(cog)) / craft.voltage
+    hover = (np.maximum(1.0, mass) * 9.80665) ** 1.5 / np.sqrt(2 * max(rho, 0.3) * craft.rotor_m2)
+    amps = hover / max(0.2, craft.efficiency) / max(1.0, craft.voltage) + craft.amp_per_cm * np.abs(cog)
     used = np.concatenate([[0.0], np.cumsum(amps[1:] * dt)])
     return pd.DataFrame({"t": t, "litres": litres, "mass_kg": mass, "pitch_deg": pitch, "slosh_cm": slosh, "cog_cm": cog, "amps": amps, "amp_s": used, "spraying": spray})
 
@@ -204,18 +210,42 @@ def histogram(rows: DataFrame, value: str) -> DataFrame:
 STEPS = 240
 
 
-def integrate_mission(spray_s: float, transit_s: float, spray_ms: float, transit_ms: float, litres: float, craft: Craft = Craft(), rho: float = 1.2) -> dict[str, float]:
-    """Charge and peaks of a mission in STEPS equal steps: the tank drains over the spraying time, which comes first in
-    each part of the flight in proportion. The peak off-centre load is the one largest in size, with its sign."""
-    total = spray_s + transit_s
-    if total <= 0:
-        return {"amp_s": 0.0, "peak_amps": 0.0, "peak_cog_cm": 0.0}
-    t = (np.arange(STEPS) + 0.5) / STEPS
-    left = np.maximum(0.0, litres * (1 - t))
-    fill = left / craft.tank_l if craft.tank_l > 0 else left * 0
-    # speed changes twice a part: the load swings by what the change needs
-    swing = np.degrees(np.arctan2(abs(transit_ms - spray_ms) / max(0.25, total / STEPS), 9.80665)) / craft.max_pitch_deg
-    cog = (fill - 1) * craft.static_offset_cm + np.where(np.arange(STEPS) % 2 == 0, 1, -1) * min(1.0, swing) * fill * craft.slosh_max_cm
-    mass = craft.dry_kg + left * craft.density
-    amps = (mass * 9.80665) ** 1.5 / np.sqrt(2 * max(rho, 0.3) * craft.rotor_m2) / craft.efficiency * (1 + craft.cog_penalty * np.abs(cog)) / craft.voltage
-    return {"amp_s": float(amps.sum() * total / STEPS), "peak_amps": float(amps.max()), "peak_cog_cm": float(cog[np.argmax(np.abs(cog))])}
+def integrate_flight(
+    total_s: Column, spray_s: Column, litres: Column, rho: Column, head_ms: Column, turns: Column, craft: Craft = Craft(), cycles: Column | None = None, reserve: float = 0.2, turn_ms: float = 6.0
+) -> Column:
+    """Charge, peaks and batteries of a flight in STEPS equal steps: (mean_amps, peak_amps, peak_cog_cm, end_kg, usable_ah, minutes, batteries).
+
+    Spraying comes first and drains the tank evenly; a headwind tilts the load, which swings toward its target step by step, so only
+    the swing is folded. The peak offset is the one largest in size, with its sign. Turns cost time and 15 % more than the mean current.
+    """
+    number = lambda x: F.lit(float(x))
+    dt = total_s / STEPS
+    start = F.greatest(number(0), F.least(number(craft.tank_l), litres))
+    sprayed_steps = F.least(number(STEPS), F.ceil(F.when(total_s > 0, spray_s / total_s).otherwise(0.0) * STEPS))
+    flow = F.when(spray_s > 0, start / spray_s).otherwise(0.0)
+    lean = F.degrees(F.atan2(head_ms * 0.15, number(9.80665)))
+    pitch = F.greatest(number(-craft.max_pitch_deg), F.least(number(craft.max_pitch_deg), lean)) / craft.max_pitch_deg
+    left = lambda i: F.greatest(number(0), F.least(start, start - flow * dt * F.least(i + 1, sprayed_steps)))
+
+    def step(state: Column, i: Column) -> Column:
+        fill = left(i) / craft.tank_l
+        share = 1 - F.exp(-dt / F.greatest(number(0.15), craft.slosh_tau_s * (0.35 + 0.65 * fill)))
+        swing = F.when(fill > 0, state["slosh"] + (pitch * fill * craft.slosh_max_cm - state["slosh"]) * share).otherwise(0.0)
+        cog = (fill - 1) * craft.static_offset_cm + swing
+        amps = rules.hover_amps(craft.dry_kg + left(i) * craft.density, cog, rho, craft.efficiency, craft.voltage, craft.rotor_m2, craft.amp_per_cm)
+        peak = F.when(F.abs(cog) > F.abs(state["cog"]), cog).otherwise(state["cog"])
+        return F.struct(swing.alias("slosh"), (state["sum"] + amps).alias("sum"), F.greatest(state["peak"], amps).alias("peak"), peak.alias("cog"))
+
+    zero = F.struct(*[number(0).alias(n) for n in ("slosh", "sum", "peak", "cog")])
+    usable = rules.usable_capacity(number(craft.battery_ah), cycles if cycles is not None else F.lit(0), number(reserve))
+
+    def finish(state: Column) -> Column:
+        mean = F.when(total_s > 0, state["sum"] / STEPS).otherwise(0.0)
+        turning = turn_seconds(turns, number(turn_ms), craft.pivot_s)
+        used = (state["sum"] * dt + turning * mean * 1.15) / 3600
+        return F.struct(
+            mean.alias("mean_amps"), state["peak"].alias("peak_amps"), state["cog"].alias("peak_cog_cm"), (craft.dry_kg + left(F.lit(STEPS - 1)) * craft.density).alias("end_kg"),
+            usable.alias("usable_ah"), ((total_s + turning) / 60).alias("minutes"), F.when(usable > 0, F.greatest(F.lit(1), F.ceil(used / usable))).otherwise(F.lit(1)).alias("batteries"),
+        )
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(STEPS - 1)), zero, step, finish)

@@ -94,5 +94,34 @@ def asof_first_within(left: DataFrame, right: DataFrame, key: str, left_time: st
     r = right.withColumn("__rb", F.explode(reach)).select("__rb", *[F.col(c).alias(f"r_{c}") for c in right.columns])
     rt2 = F.col(f"r_{right_time}").cast("double")
     hit = l.join(r, (l[key] == r[f"r_{key}"]) & (F.col("__b") == F.col("__rb")) & (F.abs(lt - rt2) <= tolerance_s))
-    first = hit.groupBy(*left.columns).agg(F.min_by(F.struct(*[f"r_{c}" for c in right.columns]), F.col(f"r_{right_idx}")).alias("m"))
-    return left.join(first, left.columns, "left").select(*left.columns, *[F.col(f"m.r_{c}").alias(f"r_{c}") for c in right.columns])
+    first = hit.groupBy(*left.columns).agg(F.min_by(F.struct(*[f"r_{c}" for c in right.columns]), F.col(f"r_{right_idx}")).alias("__m"))
+    return left.join(first, left.columns, "left").select(*left.columns, *[F.col(f"__m.r_{c}").alias(f"r_{c}") for c in right.columns])
+
+
+def conditions_at(missions: DataFrame, hourly: DataFrame, daily: DataFrame, current: DataFrame, site: str = "site_id", at: str = "at") -> DataFrame:
+    """Missions with wind_ms, temp_c, sky and their basis: the first hour within half an hour, else the calendar day, else what it is now.
+
+    `hourly` has (site, idx, time, temp_c, wind_kmh, desc) and `daily` (site, time, tmin_c, tmax_c, wind_kmh, desc), times in epoch seconds;
+    a day's stamp is UTC midnight, a mission's day is the session's. `current` has one row a site. available is
+    false where only current conditions or nothing matched.
+    """
+    near = asof_first_within(missions, hourly, site, at, "time", "idx", 1800)
+    first = daily.groupBy(site, F.to_date(F.timestamp_seconds("time")).alias("_day")).agg(F.min_by(F.struct("tmin_c", "tmax_c", "wind_kmh", "desc"), "time").alias("_d"))
+    now = current.select(site, F.struct("temp_c", "wind_kmh", "desc").alias("_c"))
+    j = near.withColumn("_day", F.to_date(F.timestamp_seconds(at))).join(first, [site, "_day"], "left").join(now, site, "left")
+    has = {"hour": F.col("r_time").isNotNull(), "day": F.col("_d").isNotNull(), "current": F.lit(True)}
+
+    def pick(hour: Column, day: Column, cur: Column) -> Column:
+        found = F.when(has["hour"], hour).when(has["day"], day).otherwise(cur)
+        return F.when(F.col("_c").isNotNull(), found)
+
+    wind = lambda c: F.coalesce(c, F.lit(0.0)) / 3.6
+    basis = F.when(F.col("_c").isNull(), "none").when(has["hour"] | has["day"], "forecast").otherwise("current")
+    return j.select(
+        *missions.columns,
+        basis.alias("basis"),
+        (basis == "forecast").alias("available"),
+        pick(wind(F.col("r_wind_kmh")), wind(F.col("_d.wind_kmh")), wind(F.col("_c.wind_kmh"))).alias("wind_ms"),
+        pick(F.col("r_temp_c"), (F.col("_d.tmin_c") + F.col("_d.tmax_c")) / 2, F.col("_c.temp_c")).alias("temp_c"),
+        pick(F.col("r_desc"), F.col("_d.desc"), F.col("_c.desc")).alias("sky"),
+    )

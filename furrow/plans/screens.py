@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from furrow.functions import bands, filters, geo
 from furrow.functions import text as tx
 from furrow.operators import paths
+from furrow.operators import simulation as sim
 from furrow.session import table
 from furrow.sources import semistructured as ss
 from furrow.sources import sinks
@@ -119,6 +120,14 @@ def mission_text(spark, sf_dir):
     return sinks.waypoint_text(rows, "user_id")
 
 
+def flight_physics(spark, sf_dir):
+    """A flight a supplier, summed up in 240 steps."""
+    k = F.col("s_suppkey")
+    f = sim.integrate_flight(k % 7 * 60 + 60.0, k % 5 * 30.0, k % 50 + 0.0, 0.9 + k % 4 / 10, k % 11 - 5.0, k % 6)
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", f.alias("f"))
+    return s.select("s_suppkey", *[F.round(f"f.{n}", 6).alias(n) for n in ("mean_amps", "peak_amps", "end_kg", "minutes")], "f.batteries")
+
+
 def upsert_rows(spark, sf_dir):
     """Customers with some replaced and some added, then some deleted."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
@@ -145,7 +154,7 @@ _N = {
 _B = "CAST(p_partkey * {} % 251 AS DOUBLE)"
 QUERIES = {
     f.__name__: f
-    for f in (cell_colours, scan_reasons, form_check, insert_guard, tile_corners, ring_texts, forecast_rows, stored_rates, shown_zones, classify_cells, band_index, mission_actions, mission_text, upsert_rows, fresh_rows)
+    for f in (cell_colours, scan_reasons, form_check, insert_guard, tile_corners, ring_texts, forecast_rows, stored_rates, shown_zones, classify_cells, band_index, mission_actions, mission_text, flight_physics, upsert_rows, fresh_rows)
 }
 ORACLES = {
     "cell_colours": """WITH e AS (SELECT event_id, event_type IN ('click', 'view') AS t, event_id % 3 AS s, (event_id % 9) / 8.0::DOUBLE AS f FROM events), c AS (SELECT *, '250,' || CAST(floor(204 - 150 * f + 0.5) AS BIGINT) || ',' || CAST(floor(61 - 40 * f + 0.5) AS BIGINT) AS rgb FROM e)
@@ -176,6 +185,13 @@ ORACLES = {
             CASE WHEN k IN ('click', 'error') THEN 0.0::DOUBLE ELSE lat END, CASE WHEN k IN ('click', 'error') THEN 0.0 ELSE 7.5 END::DOUBLE, CASE WHEN k IN ('click', 'error') THEN 0.0 ELSE 15.0 END::DOUBLE) AS line FROM e
         UNION ALL SELECT user_id, 0, 'QGC WPL 110' FROM e WHERE i = 1 UNION ALL SELECT user_id, 1, printf('0\t1\t0\t16\t0.00\t0.00\t0.00\t0.00\t%.8f\t7.50000000\t15.00\t1', lat) FROM e WHERE i = 1)
         SELECT user_id, CAST(line_no AS INTEGER) AS line_no, line FROM r""",
+    "flight_physics": """WITH RECURSIVE s AS (SELECT s_suppkey, s_suppkey % 7 * 60 + 60.0::DOUBLE AS t, s_suppkey % 5 * 30.0::DOUBLE AS sp, least(40.0::DOUBLE, s_suppkey % 50) AS l, 0.9::DOUBLE + s_suppkey % 4 / 10.0::DOUBLE AS rho, s_suppkey % 11 - 5.0::DOUBLE AS h, s_suppkey % 6 AS n FROM supplier),
+        f(i, s_suppkey, t, sp, l, rho, h, n, litres, slosh, total, peak) AS (SELECT -1, *, l, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM s UNION ALL SELECT i + 1, s_suppkey, t, sp, l, rho, h, n, w, z, total + a, greatest(peak, a) FROM (
+            SELECT *, pow((50 + w) * 9.80665::DOUBLE, 1.5::DOUBLE) / sqrt(2 * rho * 4 * pi() * pow(0.635::DOUBLE, 2)) / 0.72::DOUBLE / 52.22::DOUBLE + 0.9::DOUBLE * abs((w / 40 - 1) * 4 + z) AS a FROM (
+            SELECT *, CASE WHEN w > 0 THEN slosh + (least(25, greatest(-25, degrees(atan2(h * 0.15::DOUBLE, 9.80665::DOUBLE)))) / 25 * w / 40 * 12 - slosh) * (1 - exp(-(t / 240) / greatest(0.15::DOUBLE, 1.8::DOUBLE * (0.35::DOUBLE + 0.65::DOUBLE * w / 40)))) ELSE 0 END AS z FROM (
+            SELECT *, CASE WHEN sp > 0 THEN greatest(0, l - l / sp * (t / 240) * least(i + 2, ceil(sp / t * 240))) ELSE l END AS w FROM f WHERE i < 239)))),
+        e AS (SELECT *, CASE WHEN n > 0 THEN n * (6 / 2.5::DOUBLE * 2 + 2.5::DOUBLE) ELSE 0 END AS turning FROM f WHERE i = 239)
+        SELECT s_suppkey, round(total / 240, 6) AS mean_amps, round(peak, 6) AS peak_amps, round(50 + litres, 6) AS end_kg, round((t + turning) / 60, 6) AS minutes, greatest(1, CAST(ceil((total * t / 240 + turning * total / 240 * 1.15::DOUBLE) / 3600 / 24) AS BIGINT)) AS batteries FROM e""",
     "upsert_rows": """WITH ch AS (SELECT c_custkey * 2 AS c_custkey, upper(c_name) AS c_name FROM customer WHERE c_custkey % 3 = 0), u AS (SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM ch) UNION ALL SELECT * FROM ch)
         SELECT * FROM u WHERE c_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 = 0)""",
     "fresh_rows": "SELECT event_id, ts FROM events WHERE CAST(floor(epoch(TIMESTAMP '2024-01-15 12:00:00')) AS BIGINT) - CAST(floor(epoch(ts)) AS BIGINT) <= 86400",

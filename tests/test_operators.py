@@ -320,5 +320,36 @@ def test_mission_rows_and_small_readers(spark, tmp_path):
     ring = F.array(*[F.struct(F.lit(a).alias("lat"), F.lit(b).alias("lng")) for a, b in ((1.0, 2.0), (3.0, 2.0), (3.0, 5.0))])
     r = spark.range(1).select(geo.footprint(ring).alias("f"), geo.geojson(ring).alias("j")).first()
     assert tuple(r.f) == (1.0, 2.0, 3.0, 5.0) and r.j.count("[2.0,1.0]") == 2
-    m = simulation.integrate_mission(600, 60, 5, 10, 20)
-    assert m["amp_s"] > 0 and m["peak_amps"] > m["amp_s"] / 660
+
+
+def test_conditions_fall_back(spark):
+    day = 86_400
+    m = spark.createDataFrame([(1, "a", 1800), (2, "a", 5401), (3, "a", 5 * day), (4, "b", 0)], "m int, site_id string, at long")
+    hourly = spark.createDataFrame([("a", 0, 0, 20.0, 3.6, "h0"), ("a", 1, 3600, 21.0, None, "h1")], "site_id string, idx int, time long, temp_c double, wind_kmh double, desc string")
+    daily = spark.createDataFrame([("a", 0, 10.0, 20.0, 7.2, "d0")], "site_id string, time long, tmin_c double, tmax_c double, wind_kmh double, desc string")
+    now = spark.createDataFrame([("a", 5.0, 36.0, "now")], "site_id string, temp_c double, wind_kmh double, desc string")
+    got = sorted(tuple(r)[0:1] + tuple(r)[3:] for r in timeseries.conditions_at(m, hourly, daily, now).collect())
+    assert got == [(1, "forecast", True, 1.0, 20.0, "h0"), (2, "forecast", True, 2.0, 15.0, "d0"), (3, "current", False, 10.0, 5.0, "now"), (4, "none", False, None, None, None)]
+
+
+def test_flight_physics_is_the_step_by_step_sum(spark):
+    cases = [(600.0, 400.0, 20.0, 1.2, 4.0, 3), (660.0, 0.0, 50.0, 1.0, -2.0, 0), (0.0, 0.0, 10.0, 1.2, 0.0, 0), (300.0, 300.0, 40.0, 0.2, 30.0, 9)]
+    df = spark.createDataFrame(cases, "t double, s double, l double, rho double, h double, n int")
+    got = [r[0] for r in df.select(simulation.integrate_flight(*[F.col(c) for c in ("t", "s", "l", "rho", "h", "n")])).collect()]
+    c = simulation.Craft()
+    for (total, spray, litres, rho, head, turns), g in zip(cases, got, strict=True):
+        start, dt, done, slosh, amp_s, cogs, amps = min(litres, c.tank_l), total / 240, 0.0, 0.0, 0.0, [0.0], [0.0]
+        for i in range(240):
+            done += dt if total and i / 240 < spray / total else 0.0
+            left = max(0.0, start - (start / spray if spray else 0.0) * done)
+            fill = left / c.tank_l
+            pitch = np.clip(np.degrees(np.arctan2(head * 0.15, 9.80665)), -c.max_pitch_deg, c.max_pitch_deg)
+            a = 1 - np.exp(-dt / max(0.15, c.slosh_tau_s * (0.35 + 0.65 * fill)))
+            slosh = slosh + (pitch / c.max_pitch_deg * fill * c.slosh_max_cm - slosh) * a if fill > 1e-12 else 0.0
+            cogs.append((fill - 1) * c.static_offset_cm + slosh)
+            amps.append(((c.dry_kg + left) * 9.80665) ** 1.5 / np.sqrt(2 * max(rho, 0.3) * c.rotor_m2) / c.efficiency / c.voltage + c.amp_per_cm * abs(cogs[-1]))
+            amp_s += amps[-1] * dt
+        mean = amp_s / total if total else 0.0
+        turning = turns * (6 / 2.5 * 2 + c.pivot_s)
+        want = (mean, max(amps), max(cogs, key=abs), c.dry_kg + left, 24.0, (total + turning) / 60, max(1, np.ceil((amp_s + turning * mean * 1.15) / 3600 / 24)))
+        assert tuple(g) == pytest.approx(want, abs=1e-6)
