@@ -129,3 +129,26 @@ def logged_litres(area_done: Column, area_total: Column, estimate: Column, refil
     """An estimate a load times loads times the share that was flown; whole where nothing was planned."""
     share = F.when(area_total > 0, F.least(F.lit(1.0), area_done / area_total)).otherwise(F.lit(1.0))
     return estimate * (refills + 1) * share
+
+
+def refills(required_l: Column, tank_l: Column, load_pct: Column) -> Column:
+    """(per_load, loads, refills, dry_fractions, leftover): each load runs dry after its own share of what is required.
+
+    Nothing required is one load; something required with an empty tank is none.
+    """
+    per = F.greatest(F.lit(0.0), tank_l) * geo.clamp(load_pct, 0.0, 100.0) / 100
+    need = F.greatest(F.lit(0.0), required_l)
+    some = (per > 0) & (need > 0)
+    loads = F.when(some, F.greatest(F.lit(1), F.ceil(need / per))).when(need > 0, 0).otherwise(1)
+    dry = F.when(some & (loads > 1), F.transform(F.sequence(F.lit(1), (loads - 1).cast("int")), lambda i: per * i / need)).otherwise(F.array().cast("array<double>"))
+    left = F.when(some, per * loads - need).otherwise(per)
+    return F.struct(per.alias("per_load"), loads.alias("loads"), F.greatest(F.lit(0), loads - 1).alias("refills"), dry.alias("dry_fractions"), left.alias("leftover"))
+
+
+def empty_at(fractions: Column, legs: Column) -> Column:
+    """For each fraction of the sprayed distance the first leg (0-based) on which it falls; null beyond the last.
+
+    `legs` is array<double> of leg lengths in order."""
+    total = F.aggregate(legs, F.lit(0.0), lambda s, x: s + x)
+    sums = F.transform(legs, lambda _, i: F.aggregate(F.slice(legs, 1, i + 1), F.lit(0.0), lambda s, x: s + x))
+    return F.transform(fractions, lambda f: F.nullif(F.size(F.filter(sums, lambda s: s < f * total)), F.size(legs)))

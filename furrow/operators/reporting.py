@@ -84,14 +84,19 @@ def litres_by_input(zones: DataFrame, input_col: str, volume: Column) -> DataFra
 
 
 def treated_volume(area: Column, rate: Column) -> Column:
-    """Area times rate where both are positive."""
+    """Litres: hectares times litres a hectare where both are positive."""
     return F.when((area > 0) & (rate > 0), area * rate)
 
 
 def percent_untreated(treated: Column, targeted: Column) -> Column:
-    """Clamped to 0..100 and rounded half up; 0 without a target."""
+    """Percent that stays unsprayed, clamped to 0..100; 0 without a target."""
     share = F.when(targeted > 0, (1 - treated / targeted) * 100).otherwise(F.lit(0.0))
-    return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(100.0), share)) + 0.5)
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), share))
+
+
+def savings_percent(litres: Column, whole_litres: Column) -> Column:
+    """Whole percent saved against treating everything, halves up."""
+    return F.floor(percent_untreated(litres, whole_litres) + 0.5)
 
 
 def change_percent(older: Column, newer: Column) -> Column:

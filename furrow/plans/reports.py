@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from furrow.functions import flight as fl
 from furrow.operators import reporting as rp
 from furrow.session import table
 
@@ -97,7 +98,8 @@ def treated_report(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(
         rp.exact_sum(F.when(F.col("l_returnflag") != "N", F.col("l_quantity"))).alias("treated"), rp.exact_sum(F.col("l_quantity")).alias("targeted")
     )
-    return li.withColumn("untreated_pct", rp.percent_untreated(F.coalesce("treated", F.lit(0.0)), F.col("targeted")))
+    shares = F.coalesce("treated", F.lit(0.0)), F.col("targeted")
+    return li.withColumns({"untreated_pct": rp.percent_untreated(*shares), "savings_pct": rp.savings_percent(*shares)})
 
 
 def history_delta(spark, sf_dir):
@@ -170,12 +172,9 @@ def spec_lookup(spark, sf_dir):
 
 
 def refill_plan(spark, sf_dir):
-    per = 40.0 * 80 / 100
-    need = F.col("o_totalprice") / 1000
-    loads = F.greatest(F.lit(1), F.ceil(need / per))
-    o = table(spark, sf_dir, "orders").select("o_orderkey", need.alias("required"), loads.alias("loads"))
-    dry = F.when(F.col("loads") > 1, F.transform(F.sequence(F.lit(1), (F.col("loads") - 1).cast("int")), lambda i: F.lit(per) * i / F.col("required")))
-    return o.select("o_orderkey", "loads", (F.col("loads") - 1).alias("refills"), F.coalesce(F.element_at(dry, 1), F.lit(0.0)).alias("first_dry"), (F.lit(per) * F.col("loads") - F.col("required")).alias("leftover"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", fl.refills(F.col("o_totalprice") / 1000, F.lit(40.0), F.lit(80.0)).alias("p"))
+    dry = F.coalesce(F.get("p.dry_fractions", F.lit(0)), F.lit(0.0))
+    return o.select("o_orderkey", "p.loads", "p.refills", dry.alias("first_dry"), F.col("p.leftover").alias("leftover"))
 
 
 _ISSUE = "CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{k}'" for p, k in rp.ISSUE_PATTERNS) + " END"
@@ -205,8 +204,8 @@ ORACLES = {
         min(l_discount) FILTER (l_returnflag = 'R') AS min_rate, max(l_discount) FILTER (l_returnflag = 'R') AS max_rate,
         count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'O') AS operator_cells FROM lineitem GROUP BY 1)""",
     "settings_merge": "SELECT event_id, coalesce(CAST(json_extract_string(props, '$.k') AS INTEGER), 50) AS k, coalesce(json_extract_string(props, '$.unit'), 'metric') AS unit, coalesce(CAST(json_extract_string(props, '$.nested.rate') AS DOUBLE), 4.05) AS rate FROM events",
-    "treated_report": """SELECT *, CAST(floor(greatest(0, least(100, CASE WHEN targeted > 0 THEN (1 - coalesce(treated, 0) / targeted) * 100 ELSE 0 END)) + 0.5) AS BIGINT) AS untreated_pct FROM (
-        SELECT l_suppkey, CAST(sum(CAST(l_quantity AS DECIMAL(28,6))) FILTER (l_returnflag <> 'N') AS DOUBLE) AS treated, CAST(sum(CAST(l_quantity AS DECIMAL(28,6))) AS DOUBLE) AS targeted FROM lineitem GROUP BY 1)""",
+    "treated_report": """SELECT *, CAST(floor(untreated_pct + 0.5) AS BIGINT) AS savings_pct FROM (SELECT *, greatest(0, least(100, CASE WHEN targeted > 0 THEN (1 - coalesce(treated, 0) / targeted) * 100 ELSE 0 END))::DOUBLE AS untreated_pct FROM (
+        SELECT l_suppkey, CAST(sum(CAST(l_quantity AS DECIMAL(28,6))) FILTER (l_returnflag <> 'N') AS DOUBLE) AS treated, CAST(sum(CAST(l_quantity AS DECIMAL(28,6))) AS DOUBLE) AS targeted FROM lineitem GROUP BY 1))""",
     "history_delta": """SELECT o_custkey, CAST(ordinal AS INTEGER) AS ordinal, CASE WHEN older > 0 THEN (o_totalprice - older) / older * 100 ELSE 0 END AS change_pct FROM (SELECT o_custkey, o_totalprice,
         row_number() OVER w AS ordinal, lag(o_totalprice) OVER w AS older FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) WHERE ordinal > 1""",
     "status_latest": """SELECT user_id, code, code IN (20, 30) AND ts < TIMESTAMP '2024-01-29 11:45:00' AS claimable FROM (SELECT *, CAST(CASE event_type WHEN 'error' THEN 30 WHEN 'purchase' THEN 40 WHEN 'view' THEN 10 ELSE 20 END AS INTEGER) AS code

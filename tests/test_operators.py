@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from furrow.functions import bands, filters, geo, kernels, rules, text, units
+from furrow.functions import bands, filters, flight, geo, kernels, rules, text, units
 from furrow.operators import learning, paths, reporting, simulation, spatial, timeseries
 from furrow.operators.graph import connected_components
 from furrow.sources import binary, semistructured, sinks
@@ -322,6 +322,15 @@ def test_mission_rows_and_small_readers(spark, tmp_path):
     assert tuple(r.f) == (1.0, 2.0, 3.0, 5.0) and r.j.count("[2.0,1.0]") == 2
 
 
+def test_refills(spark):
+    df = spark.createDataFrame([(70.0, 40.0, 80.0), (0.0, 40.0, 50.0), (10.0, 40.0, 0.0), (32.0, 40.0, 150.0)], "need double, tank double, load double")
+    got = [tuple(r[0]) for r in df.select(flight.refills(F.col("need"), F.col("tank"), F.col("load"))).collect()]
+    assert got[0] == (32.0, 3, 2, [32 / 70, 64 / 70], 26.0)
+    assert got[1:] == [(20.0, 1, 0, [], 20.0), (0.0, 0, 0, [], 0.0), (40.0, 1, 0, [], 8.0)]
+    legs = spark.range(1).select(flight.empty_at(F.array(F.lit(0.25), F.lit(0.5), F.lit(1.0)), F.array(F.lit(10.0), F.lit(30.0))))
+    assert legs.first()[0] == [0, 1, 1]
+
+
 def test_conditions_fall_back(spark):
     day = 86_400
     m = spark.createDataFrame([(1, "a", 1800), (2, "a", 5401), (3, "a", 5 * day), (4, "b", 0)], "m int, site_id string, at long")
