@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
-Documents and test items are sequences of lower-cased words. A first pass counts in how many documents
-each n-gram of the items occurs. Of each item the rarer half of its n-grams become seeds (and any
-that is rare in itself), so that even an item that leaked everywhere keeps seeds. In a second
-pass the seeds of a document are clustered by item and place; each cluster is aligned, and the score over
-the best possible score decides.
+Documents and test items are sequences of lower-cased words. Every n-gram of an item is a seed and one
+is enough, so what a document holds never depends on the other documents. The stretch around a seed
+reaches as far as an alignment of the asked score can; stretches of one item that overlap are
+joined. Those with too few of the item's words for that score are left out, the others are aligned, and the
+score over the best possible score decides.
 
 Items come in blocks of bounded size, each broadcast and held against all documents. Word and gap
 scores are +2, -1, -1.
@@ -17,7 +17,6 @@ length are read whole.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from furrow.llm.common import append_columns, slices, texts
+from furrow.llm.common import append_columns, texts
 
 NGRAM = 3
-#: An n-gram in a smaller share of the documents is a seed whatever its rank in the item.
-RARE_SHARE = 0.001
-#: Distinct seeds of an item that a cluster needs.
-MIN_SEEDS = 2
 MIN_SCORE = 0.5
 #: Items of one block, and characters of one; the broadcast stays below their product.
 BLOCK_ITEMS, ITEM_CHARS = 20_000, 100_000
@@ -68,10 +63,16 @@ class Items:
         self.base = len(self.words) + 1
         if self.base**NGRAM >= 2**63:
             raise ValueError("too many distinct words in a block of items")
+        self.lengths = np.array([len(s) for s in self.sequences], np.int64)
+        # The seeds sorted by code: those of known[i] are first[i] to first[i + 1] of owner and offset.
         grams = [self.grams(s)[0] for s in self.sequences]
-        self.known = np.unique(np.concatenate([*grams, np.zeros(0, np.int64)]))
-        self.seeds: dict[int, list[tuple[int, int]]] = {}
-        self.seed_codes = self.known
+        codes = np.concatenate([*grams, np.zeros(0, np.int64)])
+        order = np.argsort(codes, kind="stable")
+        sizes = np.array([len(g) for g in grams], np.int64)
+        self.owner = np.repeat(np.arange(len(grams)), sizes)[order]
+        self.offset = np.concatenate([*map(np.arange, sizes), np.zeros(0, np.int64)])[order]
+        self.known, first = np.unique(codes[order], return_index=True)
+        self.first = np.append(first, len(codes))
 
     def numbers(self, text: str) -> np.ndarray:
         """The words as numbers, 0 for words of no item."""
@@ -100,38 +101,33 @@ class Items:
         same = codes[near] == grams
         return grams[same], at[same]
 
-    def choose(self, frequency: dict[int, int], n_docs: int) -> None:
-        """Make seeds: the rarer half of each item's n-grams, and all that are rare in themselves."""
-        for k, sequence in enumerate(self.sequences):
-            grams, at = self.grams(sequence)
-            times = np.array([frequency.get(g, 0) for g in grams.tolist()])
-            limit = max(float(np.median(times)), RARE_SHARE * n_docs)
-            for g, place, n in zip(grams.tolist(), at.tolist(), times.tolist(), strict=True):
-                if n <= limit:
-                    self.seeds.setdefault(g, []).append((k, place))
-        self.seed_codes = np.array(sorted(self.seeds), np.int64)
-
-    def candidates(self, numbers: np.ndarray) -> list[tuple[int, int, int]]:
+    def reach(self, item: int | np.ndarray, min_score: float) -> int | np.ndarray:
+        """Gaps that an alignment of the asked score can have at most."""
+        return np.ceil(MATCH * self.lengths[item] * max(0.0, 1 - min_score) / -GAP).astype(np.int64)
+
+    def candidates(self, numbers: np.ndarray, min_score: float = MIN_SCORE) -> list[tuple[int, int, int]]:
         """(item, begin, end) of the stretches of a document that are worth aligning."""
-        grams, at = self.found(numbers, self.seed_codes)
-        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for g, place in zip(grams.tolist(), at.tolist(), strict=True):
-            for item, offset in self.seeds[g]:
-                hits[item].append((place - offset, offset))
+        grams, at = self.found(numbers, self.known)
+        if not len(grams):
+            return []
+        code = np.searchsorted(self.known, grams)
+        times = self.first[code + 1] - self.first[code]
+        seed = np.repeat(self.first[code] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        item, place = self.owner[seed], np.repeat(at, times) - self.offset[seed]
+        order = np.lexsort((place, item))
+        item, place = item[order], place[order]
+        reach = self.reach(item, min_score)
+        begin, end = np.maximum(0, place - reach), np.minimum(len(numbers), place + self.lengths[item] + reach)
+        new = np.ones(len(item), bool)
+        new[1:] = (item[1:] != item[:-1]) | (begin[1:] > end[:-1])
+        starts = np.flatnonzero(new)
+        ends = end[np.append(starts[1:], len(item)) - 1]
         out = []
-        for item, found in hits.items():
-            length = len(self.sequences[item])
-            slack = max(2, length // 4)
-            found.sort()
-            begin = 0
-            for i in range(1, len(found) + 1):
-                if i == len(found) or found[i][0] - found[i - 1][0] > slack:
-                    group = found[begin:i]
-                    if len({o for _, o in group}) >= min(MIN_SEEDS, length - NGRAM + 1):
-                        a = max(0, group[0][0] - slack)
-                        b = min(len(numbers), group[-1][0] + length + slack)
-                        out.append((item, a, b))
-                    begin = i
+        for k, a, b in zip(item[starts].tolist(), begin[starts].tolist(), ends.tolist(), strict=True):
+            words, stretch = self.sequences[k], numbers[a:b]
+            least = min_score * len(words)
+            if np.isin(words, stretch).sum() >= least and np.isin(stretch, words).sum() >= least:
+                out.append((k, a, b))
         return out
 
 
@@ -166,7 +162,7 @@ def matches(items: Items, rows: list[str], min_score: float = MIN_SCORE) -> list
     jobs: list[tuple[int, int, int, np.ndarray]] = []
     for r, text in enumerate(rows):
         numbers = items.numbers(text)
-        jobs += [(r, item, a, numbers[a:b]) for item, a, b in items.candidates(numbers)]
+        jobs += [(r, item, a, numbers[a:b]) for item, a, b in items.candidates(numbers, min_score)]
     jobs.sort(key=lambda j: (len(j[3]), len(items.sequences[j[1]])))
     at = 0
     while at < len(jobs):
@@ -180,7 +176,8 @@ def matches(items: Items, rows: list[str], min_score: float = MIN_SCORE) -> list
             known = out[r].get(item)
             if share >= min_score and (known is None or share > known[1]):
                 # The same alignment backwards tells where it begins.
-                _, back = align([q[::-1]], [stretch[:stop][::-1]])
+                near = stretch[max(0, stop - len(q) - int(items.reach(item, min_score))) : stop]
+                _, back = align([q[::-1]], [near[::-1]])
                 out[r][item] = (items.ids[item], share, a + stop - int(back[0]), a + stop)
     return [sorted(found.values()) for found in out]
 
@@ -198,30 +195,6 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block: int) ->
         yield held
 
 
-def frequencies(docs: DataFrame, items: Items, text_col: str = "text") -> tuple[dict[int, int], int]:
-    """In how many documents each n-gram of the items occurs, and the number of documents. Each task adds up
-    its own counts first; the result has at most one row for each n-gram of the block."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
-        times, n = np.zeros(len(block.known), np.int64), 0
-        for whole in batches:
-            for batch in slices(whole):
-                for text in texts(batch, text_col):
-                    grams, _ = block.found(block.numbers(text), block.known)
-                    times[np.unique(np.searchsorted(block.known, grams))] += 1
-                    n += 1
-        some = np.flatnonzero(times)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(block.known[some], -1)), pa.array(np.append(times[some], n))], names=["gram", "n"]
-        )
-
-    counted = docs.select(text_col).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    found = {r.gram: r.n for r in counted}
-    return found, found.pop(-1, 0)
-
-
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -232,14 +205,12 @@ def find_contamination(
     min_score: float = MIN_SCORE,
     block: int = BLOCK_ITEMS,
 ) -> DataFrame:
-    """Append an array of the test items that each whole text holds; two passes a block, no text shuffle."""
+    """Append an array of the test items that each whole text holds; one pass a block, no text shuffle."""
     result, part = docs, f"__{out}_part"
     fields = T.StructType([T.StructField(part, T.ArrayType(HIT))])
     result = result.withColumn(out, F.array().cast(T.ArrayType(HIT)))
     for rows in item_blocks(benchmark, item_id_col, item_text_col, block):
-        items = Items(rows)
-        items.choose(*frequencies(docs, items, text_col))
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+        shared = docs.sparkSession.sparkContext.broadcast(Items(rows))
 
         def run(batch: pa.RecordBatch, shared=shared) -> list[pa.Array]:
             return [pa.array([[dict(zip(HIT.names, h, strict=True)) for h in hits] for hits in matches(shared.value, texts(batch, text_col), min_score)],

@@ -405,6 +405,19 @@ def test_decontamination(spark, odd, none):
     assert decontam.drop_contaminated(odd, b.limit(0)).columns == odd.columns
 
 
+def test_decontamination_of_edited_copies_in_a_hot_group(spark):
+    words = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen".split()
+    edited = [f"zz{i}" if i in (3, 7, 11) else w for i, w in enumerate(words)]
+    b = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    docs = spark.createDataFrame([(i, "lead in " + " ".join(edited) if i < 30 else "nothing of the kind") for i in range(60)], "doc_id long, text string")
+    hits = {r.doc_id: [(h.item_id, h.score, h.first_word, h.last_word) for h in r.contamination] for r in decontam.find_contamination(docs, b).collect()}
+    assert hits == {i: [(1, 0.7, 2, 17)] if i < 30 else [] for i in range(60)}
+    # one seed is enough, and words put in between don't move the end out of the stretch
+    spread = "one two three four x five x six x seven x eight x nine x ten x eleven x twelve x thirteen x fourteen x fifteen"
+    lone = "one two three zz five six zz eight nine zz eleven twelve zz fourteen fifteen"
+    assert [[h[1:] for h in f] for f in decontam.matches(decontam.Items([(1, " ".join(words))]), [spread, lone])] == [[(19 / 30, 0, 26)], [(18 / 30, 0, 15)]]
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style><script>x="<p>no</p>"</script></head><body><header><a href=/>Site</a></header><nav><ul><li><a>Menu</a></ul></nav>
 <div class="ad">Buy</div><div id="cookie-notice">We use cookies on this long notice of ours</div><article><header><h1>Head &amp; more</h1></header><p>First   <b>bold</b> line<br>two.<p>And a
 long paragraph with &eacute; and <a href="#">a link</a> in it, well over any threshold.<ul><li>one<li>two</ul><form>Name <input></form><p>End.</article>
