@@ -10,8 +10,8 @@ Items come in blocks of bounded size, each broadcast and held against all docume
 scores are +2, -1, -1.
 
 Defined results: null and empty texts match nothing; items that are null or shorter than the n-gram match
-nothing; repeated documents get equal rows, items with equal text are all reported; texts of any
-length are read whole.
+nothing; repeated documents get equal rows, items with equal text are all reported; texts and items of
+any length are read whole, and the score of an item is over all its words.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from furrow.llm.common import append_columns, texts
 
 NGRAM = 3
 MIN_SCORE = 0.5
-#: Items of one block, and characters of one; the broadcast stays below their product.
-BLOCK_ITEMS, ITEM_CHARS = 20_000, 100_000
+#: A block is full at so many items or characters; an item is never cut, so a longer one is a block of its own.
+BLOCK_ITEMS, BLOCK_CHARS = 20_000, 4_000_000
 #: Cells of one batch of alignments.
 CELLS = 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -60,9 +60,7 @@ class Items:
             if len(words) >= NGRAM:
                 self.ids.append(item_id)
                 self.sequences.append(np.array([self.words.setdefault(w, len(self.words) + 1) for w in words], np.int64))
-        self.base = len(self.words) + 1
-        if self.base**NGRAM >= 2**63:
-            raise ValueError("too many distinct words in a block of items")
+        self.base = len(self.words) + 1  # beyond 2 million words codes wrap; what then clashes, the alignment tells apart
         self.lengths = np.array([len(s) for s in self.sequences], np.int64)
         # The seeds sorted by code: those of known[i] are first[i] to first[i + 1] of owner and offset.
         grams = [self.grams(s)[0] for s in self.sequences]
@@ -182,15 +180,22 @@ def matches(items: Items, rows: list[str], min_score: float = MIN_SCORE) -> list
     return [sorted(found.values()) for found in out]
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks; the driver holds one block and one partition at a time."""
-    rows = benchmark.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, F.substring(text_col, 1, ITEM_CHARS))
+def item_blocks(
+    benchmark: DataFrame, id_col: str, text_col: str, block: int, block_chars: int = BLOCK_CHARS
+) -> Iterator[list[tuple[int, str]]]:
+    """The whole items in blocks; the driver holds one block and one partition at a time."""
+    rows = benchmark.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col)
     held: list[tuple[int, str]] = []
+    chars = 0
     for r in rows.toLocalIterator():
+        if held and chars + len(r[1]) > block_chars:
+            yield held
+            held, chars = [], 0
         held.append((r[0], r[1]))
+        chars += len(r[1])
         if len(held) == block:
             yield held
-            held = []
+            held, chars = [], 0
     if held:
         yield held
 

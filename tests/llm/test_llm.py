@@ -418,6 +418,15 @@ def test_decontamination_of_edited_copies_in_a_hot_group(spark):
     assert [[h[1:] for h in f] for f in decontam.matches(decontam.Items([(1, " ".join(words))]), [spread, lone])] == [[(19 / 30, 0, 26)], [(18 / 30, 0, 15)]]
 
 
+def test_decontamination_by_the_later_part_of_a_long_item(spark):
+    words = [f"{i:04d}" + "x" * 46 for i in range(3000)]
+    b = spark.createDataFrame([(1, "a short item of words"), (2, " ".join(words)), (3, "another short item here")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(words[1200:])), (2, " ".join(words[:1600])), (3, " ".join(words[:1400]))], "doc_id long, text string")
+    hits = {r.doc_id: [(h.item_id, h.score) for h in r.contamination] for r in decontam.find_contamination(docs, b).collect()}
+    assert hits == {1: [(2, 0.6)], 2: [(2, 1600 / 3000)], 3: []}
+    assert [[i for i, _ in x] for x in decontam.item_blocks(b, "item_id", "text", 20_000, 1_000)] == [[1], [2], [3]]
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style><script>x="<p>no</p>"</script></head><body><header><a href=/>Site</a></header><nav><ul><li><a>Menu</a></ul></nav>
 <div class="ad">Buy</div><div id="cookie-notice">We use cookies on this long notice of ours</div><article><header><h1>Head &amp; more</h1></header><p>First   <b>bold</b> line<br>two.<p>And a
 long paragraph with &eacute; and <a href="#">a link</a> in it, well over any threshold.<ul><li>one<li>two</ul><form>Name <input></form><p>End.</article>
