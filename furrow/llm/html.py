@@ -3,8 +3,9 @@
 The standard library's parser yields tags and text. Text is gathered into lines (one for each block
 of the page) with the number of tags since the line before. Lines inside menus, adverts, forms and the
 like are set aside by element or by name. The text-to-tag ratio of the other lines is smoothed by
-a Gaussian and cut at a threshold; the lines above it form clusters, and the element that holds
-them decides the region. All lines of the region are the article, short ones too.
+a Gaussian and cut at a threshold. All lines above it are the article, wherever they stand, and so are
+the short lines of the regions, which are the elements that hold the dense lines. Names like article and main
+say only how far a region reaches.
 
 Defined results: null html, empty html and pages without text give an empty text; repeated rows get
 equal rows; pages of any length are read whole.
@@ -56,6 +57,8 @@ ARTICLE_WORDS = frozenset("article content entry main post story text body page
 COMMENT_WORDS = frozenset("comment comments disqus replies reply respond discussion".split())
 #: Elements that hold one line, and so are no region.
 SINGLE = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 td th tr span b i em strong a pre blockquote".split())
+#: Elements that hold menus as well as text: a region only if dense lines stand in them directly.
+PAGE = frozenset(("#root", "html", "body"))
 _OPENED = re.compile(r"<[A-Za-z/!?]")
 _WORDS = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
@@ -64,12 +67,12 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 class _Node:
     """An open element that may hold the region."""
 
-    __slots__ = ("tag", "parent", "outside", "named", "depth", "weight", "inside")
+    __slots__ = ("tag", "parent", "outside", "named", "dense", "kids", "names", "inside")
 
     def __init__(self, tag: str, parent: "_Node | None", outside: bool, named: bool):
         self.tag, self.parent, self.outside, self.named = tag, parent, outside, named
-        self.depth = parent.depth + 1 if parent else 0
-        self.weight, self.inside = 0, False
+        # dense lines of its own; elements in it that hold some; whether a named one does
+        self.dense, self.kids, self.names, self.inside = False, [], False, False
 
 
 class Lines(HTMLParser):
@@ -192,20 +195,43 @@ def smoothed(values: np.ndarray, sigma: float) -> np.ndarray:
     return full / np.convolve(np.ones(len(values)), kernel)[reach : reach + len(values)]
 
 
-def content_lines(lines: list[tuple[str, int, _Node]], sigma: float) -> np.ndarray:
+def content_lines(lines: list[tuple[str, int, _Node]], sigma: float) -> tuple[np.ndarray, np.ndarray]:
     """Lines whose smoothed text-to-tag ratio reaches the threshold, a share of the spread as in
-    the ratio's own distribution; at least the densest line."""
+    the ratio's own distribution; at least the densest line. Then those of them that reach it by themselves."""
     ratio = np.array([len(text) / max(1, tags) for text, tags, _ in lines], float)
     smooth = smoothed(ratio, sigma)
-    return smooth >= min(float(smooth.max()), 0.5 * float(smooth.std()) or float(smooth.max()))
+    least = min(float(smooth.max()), 0.5 * float(smooth.std()) or float(smooth.max())) * (1 - 1e-9)
+    good = smooth >= least
+    dense = good & (ratio >= least)
+    return good, dense if dense.any() else good
 
 
-def main_text(html: str, sigma: float = 1.0, share: float = 0.7) -> str:
-    """The article's blocks, joined by empty lines.
+def regions(root: _Node) -> list[_Node]:
+    """The elements that together hold all dense lines.
 
-    The region is the named element (article, main) with most content, else the innermost
-    element that holds at least `share` of all content.
+    It is the innermost element that holds all; if that lies in a named element, the whole of the nearest such one. The
+    page, and an element of which only a part is named, are taken apart, branch by branch.
     """
+    out, left = [], [root]
+    while left:
+        node = whole = left.pop()
+        while not node.dense and len(node.kids) == 1:
+            node = node.kids[0]
+            whole = whole if node.tag in SINGLE else node
+        named: _Node | None = node
+        while named is not None and not named.named:
+            named = named.parent
+        if named is not None:
+            out.append(named)
+        elif not node.names and (node.dense or whole.tag not in PAGE):
+            out.append(whole)
+        else:
+            left += node.kids
+    return out
+
+
+def main_text(html: str, sigma: float = 1.0) -> str:
+    """The article's blocks, joined by empty lines: all lines of the regions, and content lines elsewhere."""
     parser = Lines()
     if html.rfind("<!--") > html.rfind("-->"):
         html += "-->"  # an open comment ends with the page
@@ -216,20 +242,21 @@ def main_text(html: str, sigma: float = 1.0, share: float = 0.7) -> str:
     lines = parser.finish()
     if not lines:
         return ""
-    for (text, _, node), good in zip(lines, content_lines(lines, sigma).tolist(), strict=True):
-        node.weight += len(text) if good else 0
+    good, dense = content_lines(lines, sigma)
+    for k in dense.nonzero()[0].tolist():
+        node = lines[k][2]
+        while node.tag in SINGLE and node.parent is not None and not node.named:
+            node = node.parent
+        node.dense = True
     for node in reversed(parser.nodes[1:]):
-        node.parent.weight += node.weight
-    named = [n for n in parser.nodes if n.named and n.weight]
-    if named:
-        region = max(named, key=lambda n: (n.weight, n.depth))
-    else:
-        least = share * parser.root.weight
-        holds = [n for n in parser.nodes if n.weight >= least and n.tag not in SINGLE]
-        region = max(holds, key=lambda n: n.depth)
-    for node in parser.nodes:
-        node.inside = node is region or (node.parent is not None and node.parent.inside)
-    return "\n\n".join(text for text, _, node in lines if node.inside)
+        if node.dense or node.kids:
+            node.parent.kids.append(node)
+            node.parent.names |= node.names or node.named
+    for node in regions(parser.root):
+        node.inside = True
+    for node in parser.nodes[1:]:
+        node.inside |= node.parent.inside
+    return "\n\n".join(text for (text, _, node), kept in zip(lines, good.tolist(), strict=True) if kept or node.inside)
 
 
 def extract_main_text(df: DataFrame, html_col: str = "html", out: str = "main_text") -> DataFrame:

@@ -453,6 +453,25 @@ def test_main_text(spark):
         assert r.text == "\n\n".join(x for x in want if x) and r.n_chars == len(r.text)
 
 
+def _long(name, n=6):
+    return f"{name} " + "is said here in a sentence of some length, and then once more. " * n
+
+
+def _page(body):
+    return html.main_text(f"<html><body><div><a href=/a>Home</a></div><div><a href=/b>News</a></div><div><a href=/c>More</a></div><div><a href=/d>Shop</a></div>{body}</body></html>")
+
+
+def test_main_text_keeps_dense_lines_beside_named_elements():
+    cards = "".join(f"<article class=teaser><h2>Card {i}</h2><p>A card with a few words about it.</p></article>" for i in range(3))
+    text = [_long(f"Part {i}").strip() for i in range(4)]
+    got = _page("<div class=story>" + "".join(f"<p>{t}</p>" for t in text) + "</div>" + cards).split("\n\n")
+    assert [t for t in got if t.startswith("Part")] == text and "Home" not in got
+    parts = "".join(f"<article><h2>Head {i}</h2><p>{t}</p><p>{i}.</p></article>" for i, t in enumerate(text))
+    want = [x for i, t in enumerate(text) for x in (f"Head {i}", t, f"{i}.")]
+    assert _page(parts).split("\n\n") == want
+    assert _page(f"<div id=wrap>{parts}<div><p>{_long('Beside').strip()}</p></div></div>").split("\n\n") == [*want, _long("Beside").strip()]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
