@@ -472,6 +472,13 @@ def test_main_text_keeps_dense_lines_beside_named_elements():
     assert _page(f"<div id=wrap>{parts}<div><p>{_long('Beside').strip()}</p></div></div>").split("\n\n") == [*want, _long("Beside").strip()]
 
 
+def test_main_text_keeps_a_lead_beside_the_body():
+    lead, body = _long("Lead", 5).strip(), [_long(f"Body {i}", 5).strip() for i in range(3)]
+    parts = f"<h1>Title</h1><div class=lead><p>{lead}</p></div><div class=body>" + "".join(f"<p>{t}</p>" for t in body) + "</div><div><p>Short.</p></div><div><p>End.</p></div>"
+    want = ["Title", lead, *body, "Short.", "End."]
+    assert _page(f"<div class=content>{parts}</div>").split("\n\n") == want
+    assert set(want[:-2]) <= set(_page(parts).split("\n\n"))  # straight in the page, whose branches of short lines are no article
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
