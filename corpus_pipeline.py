@@ -21,7 +21,7 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id."""
+    """One row of each group of near copies, that with the smallest id; a group of null ids keeps one too."""
     return simhash.drop_near_duplicates(docs)
 
 

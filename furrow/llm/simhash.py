@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -163,6 +163,14 @@ def close_pairs(values: DataFrame, col: str = "fingerprint", radius: int = 4) ->
     return rows.mapInArrow(run, "src long, dst long")
 
 
+def _classes(distinct: DataFrame, radius: int) -> DataFrame:
+    """The class of each distinct fingerprint: one of those that it is linked to, over any number of links."""
+    labels = connected_components(close_pairs(distinct.select("fingerprint"), radius=radius))
+    return distinct.join(labels, distinct["fingerprint"] == labels["node"], "left").select(
+        "fingerprint", "rep", F.coalesce("component", "fingerprint").alias("class")
+    )
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, words_each: int = 4) -> DataFrame:
     """(id, fingerprint, component): the component is the smallest id reachable over links.
 
@@ -172,24 +180,33 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ensure_checkpoint_dir(df.sparkSession)
     ids = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marked = fingerprints(ids, words_each=words_each).drop("text").checkpoint()
-    distinct = marked.groupBy("fingerprint").agg(F.min("id").alias("rep"))
-    labels = connected_components(close_pairs(distinct.select("fingerprint"), radius=radius))
-    classes = distinct.join(labels, distinct["fingerprint"] == labels["node"], "left").select(
-        "fingerprint", "rep", F.coalesce("component", "fingerprint").alias("class")
-    )
+    classes = _classes(marked.groupBy("fingerprint").agg(F.min("id").alias("rep")), radius)
     least = classes.groupBy("class").agg(F.min("rep").alias("component"))
     named = classes.join(least, "class").select("fingerprint", "component").checkpoint()
     return marked.join(named, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "component")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
-    """Keep one document of each group, that with the smallest id; of rows with that id, one. All columns
-    stay; of rows that share a null id as their whole group, one stays too."""
-    groups = near_duplicates(docs, id_col, text_col, radius)
-    keep = groups.groupBy("component").agg(F.min(id_col).alias("__keep"), F.count(F.when(F.col(id_col).eqNullSafe(F.col("component")), 1)).alias("__rows"))
-    keep = keep.select("__keep", "__rows").checkpoint()
-    kept = docs.join(keep, docs[id_col].eqNullSafe(keep["__keep"]))
-    if keep.filter(F.col("__rows") > 1).isEmpty():
-        return kept.select(*[docs[c] for c in docs.columns])
-    # ids repeat: choose a row of each
-    return kept.dropDuplicates([id_col]).select(*docs.columns)
+    """Keep one row of each class of fingerprints, whatever its ids: that with the smallest id, null ids last.
+
+    Rows are told apart by id and hashes of the text, so a class of null ids keeps a row, and a repeated id one in each class
+    that it is least of. All columns stay; of rows with equal id and text, one does.
+    """
+    ensure_checkpoint_dir(docs.sparkSession)
+
+    def key() -> list[Column]:
+        text = docs[text_col]
+        return [docs[id_col].alias("__id"), F.xxhash64(text).alias("__a"), F.xxhash64(F.lit(SEED), text).alias("__b")]
+
+    marked = fingerprints(docs.select(*key(), text_col), text_col, "fingerprint").drop(text_col)
+    rows = marked.groupBy("fingerprint", "__id", "__a", "__b").agg(F.count(F.lit(1)).alias("__rows")).checkpoint()
+    first = F.struct(F.col("__id").isNull().alias("__none"), "__id", "__a", "__b", "__rows")
+    classes = _classes(rows.groupBy("fingerprint").agg(F.min(first).alias("rep")), radius)
+    keep = classes.groupBy("class").agg(F.min("rep").alias("rep")).select("rep.*").checkpoint()
+    named = docs.select("*", *key()).alias("d")
+    k = keep.alias("k")
+    same = F.col("d.__id").eqNullSafe(F.col("k.__id")) & (F.col("d.__a") == F.col("k.__a")) & (F.col("d.__b") == F.col("k.__b"))
+    kept = named.join(k, same, "left_semi")
+    if not keep.filter(F.col("__rows") > 1).isEmpty():
+        kept = kept.dropDuplicates(["__id", "__a", "__b"])
+    return kept.drop("__id", "__a", "__b")

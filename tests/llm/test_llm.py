@@ -185,6 +185,15 @@ def test_near_copies_keep_one(spark, odd):
     assert kept.count() == len(groups)
 
 
+def test_near_copies_keep_one_row_a_class_whatever_the_ids(spark):
+    rng = random.Random(5)
+    text = [" ".join(rng.choice("abcdefghijkl") * rng.randint(1, 5) for _ in range(60)) for _ in range(6)]
+    rows = [(None, text[0]), (None, text[1]), (None, text[2]), (None, text[2]), (7, text[2]), (1, text[3]), (2, text[3]), (2, text[4]), (3, text[5]), (3, text[5])]
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n long").repartition(4)
+    got = sorted((r.doc_id or 0, text.index(r.text)) for r in simhash.drop_near_duplicates(df).collect())
+    assert got == [(0, 0), (0, 1), (1, 3), (2, 4), (3, 5), (7, 2)]
+
+
 @pytest.fixture(scope="module")
 def library():
     ranks = bpe.read_ranks(open(RANKS, "rb").read())
