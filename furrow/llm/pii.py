@@ -34,7 +34,18 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+_ALNUM = re.compile(r"[A-Za-z0-9]")
+_IBAN_WORD = re.compile(r"[A-Z0-9]+(?![A-Za-z0-9])")
+#: Characters of an account number by country; other countries and lengths are tried too, after these.
+_IBAN_LENGTH = {
+    country: int(group[:2])
+    for group in (
+        "15NO 16BE 18DKFIFKFOGLNLSD 19MKSI 20ATBAEEKZLTLUMNXK 21CHHRLILV 22BGBHCRDEGBGEIEMERSVA 23AEGIILIQOMSOTL 24ADCZESMDPKROSASESKTNVG 25LYPTST"
+        " 26ISTR 27BIDJFRGRITMCMRSM 28ALAZBYCYDOGTHULBNIPLSV 29BREGPSQAUA 30JOKWMUYE 31MTSC 32LC 33RU"
+    ).split()
+    for country in re.findall("[A-Z]{2}", group)
+}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
 #: Start score of a kind once its own test holds, and the words nearby that raise or lower it.
@@ -107,10 +118,21 @@ def _phones(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _ibans(text: str) -> Iterator[tuple[int, int]]:
-    for m in _IBAN.finditer(text):
-        code = m.group().replace(" ", "")
-        if 15 <= len(code) <= 34 and mod97(code):
-            yield m.span()
+    # The proposal may run on into what follows; each end of a word is tried, the country's length first, then from long to short.
+    m = _IBAN.search(text)
+    while m:
+        start, done = m.start(), m.start() + 1
+        ends = [w.end() for w in _IBAN_WORD.finditer(text, start, m.end())]
+        if ends and ends[-1] == m.end() and _ALNUM.match(text, m.end()):
+            ends.pop()  # the proposal was cut within a word
+        codes = [(text[start:end].replace(" ", ""), end) for end in reversed(ends)]
+        codes.sort(key=lambda c: len(c[0]) != _IBAN_LENGTH.get(c[0][:2]))
+        for code, end in codes:
+            if 15 <= len(code) <= 34 and mod97(code):
+                yield start, end
+                done = end
+                break
+        m = _IBAN.search(text, done)
 
 
 def _ssns(text: str) -> Iterator[tuple[int, int]]:

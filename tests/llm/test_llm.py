@@ -71,6 +71,19 @@ def test_pii_checksums_context_and_redaction():
         pii.spans_of(t)
 
 
+@pytest.mark.parametrize("code", ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB33BUKB20201555555555", "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"])
+def test_pii_account_numbers_end_where_they_end(code):
+    tails = ["", ".", " BIC COBADEFFXXX", " I", " A", " EUR", " EUR 100", " 2024-01-01", " 12", " Euro", " AND MANY MORE WORDS IN UPPER CASE", "\n", " " + code]
+    for head in ("", "pay to ", "AB12 ", "AB13 3456 7890 1234 567 ", "FR76 X "):
+        for tail in tails:
+            t = head + code + tail
+            got = [t[a:b] for k, a, b, _ in pii.spans_of(t) if k == "iban"]
+            assert got == [code] * (2 if tail[1:] == code else 1), t
+    assert pii.redact(f"to {code} EUR") == "to <IBAN> EUR"
+    assert not [s for s in pii.spans_of(code + "x") + pii.spans_of("x" + code) if s[0] == "iban" and len(code) == s[2] - s[1]]
+    pii.spans_of("DE89 " * 20_000 + "AA11" * 20_000)
+
+
 def test_pii_query(spark):
     rows = {r.doc_id: r for r in queries.op1_pii(spark, SF).collect()}
     for d in spark.read.parquet(f"{SF}/documents.parquet").collect():
