@@ -15,8 +15,11 @@ from furrow.session import ensure_checkpoint_dir, table
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without a letter go."""
-    named = langid.predict(docs, langid.fit(docs), lang_out="__lang", score_out="__score")
+    """Documents whose language can be told; those without a letter go. If no language could be learned, only they do."""
+    model = langid.fit(docs)
+    if not model.langs:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    named = langid.predict(docs, model, lang_out="__lang", score_out="__score")
     return named.filter(F.col("__lang") != langid.UNKNOWN).select(*docs.columns)
 
 

@@ -128,6 +128,13 @@ def test_language_accuracy_and_edges(spark, odd, none):
     assert {r.lang_pred for r in langid.predict(odd, langid.fit(none)).collect()} == {"und"}
 
 
+def test_language_stage_keeps_text_if_nothing_was_learned(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "the and of", None), (2, "42 !", None), (3, None, None), (4, "\u65e5\u672c", None)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_language(spark, docs, SF).collect()) == [1, 4]
+
+
 def slow_fingerprint(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
     if not w:
