@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from furrow.llm.common import append_columns, texts
+from furrow.llm.common import append_columns, resident, texts
 from furrow.llm.pretokens import Memory, Pieces, chunks
 
 #: A vocabulary file is broadcast; larger ones are refused.
 VOCABULARY_BYTES = 64 << 20
 
-#: Pairs of tokens whose test one process remembers before it starts anew.
-PAIRS = 400_000
+#: Pairs of tokens whose test one process remembers before it starts anew, at about 110 bytes each.
+PAIRS = 200_000
 
 
 class Vocabulary:
@@ -224,15 +224,10 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line)}
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
 def encoder(raw: bytes, pattern: str) -> Encoder:
-    """One encoder for each worker process and vocabulary."""
-    key = (hashlib.sha256(raw).hexdigest(), pattern)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(Vocabulary(read_ranks(raw)), pattern)
-    return _ENCODERS[key]
+    """One encoder for each worker process, until another vocabulary or operator takes its place."""
+    key = ("bpe", hashlib.sha256(raw).hexdigest(), pattern)
+    return resident(key, lambda: Encoder(Vocabulary(read_ranks(raw)), pattern))
 
 
 def _shared(spark: SparkSession, path: str):
@@ -243,35 +238,41 @@ def _shared(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(raw)
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out: str = "token_ids") -> DataFrame:
-    """Append the ids of each whole text as array<int>."""
+def _encoded(enc: Encoder, rows: list[str]) -> pa.ListArray:
+    coded = [enc.encode(text) for text in rows]
+    ends = np.zeros(len(coded) + 1, np.int32)
+    np.cumsum([len(c) // 4 for c in coded], out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), np.int32)))
+
+
+def _decoded(enc: Encoder, column: pa.ListArray) -> pa.Array:
+    counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    ids = column.flatten().to_numpy(zero_copy_only=False)
+    data = enc.decode(ids)
+    at = np.concatenate([[0], np.cumsum(enc.lengths[ids])])
+    ends = at[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def encode(
+    df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out: str = "token_ids", decoded_out: str | None = None
+) -> DataFrame:
+    """Append the ids of each whole text as array<int>, and in the same pass, if asked, the bytes that those ids decode to."""
     raw = _shared(df.sparkSession, ranks_path)
-    fields = T.StructType([T.StructField(out, T.ArrayType(T.IntegerType()))])
+    fields = [T.StructField(out, T.ArrayType(T.IntegerType()))]
+    if decoded_out is not None:
+        fields.append(T.StructField(decoded_out, T.BinaryType()))
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         enc = encoder(raw.value, pattern)
-        coded = [enc.encode(text) for text in texts(batch, text_col)]
-        ends = np.zeros(len(coded) + 1, np.int32)
-        np.cumsum([len(c) // 4 for c in coded], out=ends[1:])
-        flat = np.frombuffer(b"".join(coded), np.int32)
-        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+        ids = _encoded(enc, texts(batch, text_col))
+        return [ids] if decoded_out is None else [ids, _decoded(enc, ids)]
 
-    return append_columns(df, fields, run)
+    return append_columns(df, T.StructType(fields), run, "bpe")
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "token_ids", out: str = "decoded") -> DataFrame:
     """Append the bytes that the ids stand for; a null list decodes as an empty one."""
     raw = _shared(df.sparkSession, ranks_path)
     fields = T.StructType([T.StructField(out, T.BinaryType())])
-
-    def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        enc = encoder(raw.value, pattern)
-        column = batch.column(ids_col)
-        counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        ids = column.flatten().to_numpy(zero_copy_only=False)
-        data = enc.decode(ids)
-        at = np.concatenate([[0], np.cumsum(enc.lengths[ids])])
-        ends = at[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
-        return [pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])]
-
-    return append_columns(df, fields, run)
+    return append_columns(df, fields, lambda batch: [_decoded(encoder(raw.value, pattern), batch.column(ids_col))], "bpe")

@@ -1,7 +1,8 @@
 """Personal data: patterns propose spans, checksums confirm them, context words move the score.
 
 Kinds with a fixed definition (email, ip, card, phone) are always reported when their own test
-holds; kinds that only context or a checksum makes credible (iban, ssn) need `min_score`.
+holds; kinds that only context or a checksum makes credible (iban, ssn, secret) need `min_score`. A secret is a key in the form
+of its issuer, a private key block, or a value that a word such as token or password assigns, if it looks random.
 
 Defined results: a null text has no spans and an empty text none; repeated rows get the same
 spans each; spans of one kind never overlap, spans of different kinds may. Offsets are code
@@ -10,7 +11,9 @@ points, the end exclusive. Texts of any length are scanned in linear time.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,7 +24,7 @@ from pyspark.sql import types as T
 from furrow.llm.common import append_columns, texts
 
 #: Order of the kinds in a span list.
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 SPAN = T.StructType([
     T.StructField("kind", T.StringType()),
     T.StructField("start", T.IntegerType()),
@@ -48,8 +51,23 @@ _IBAN_LENGTH = {
 }
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
+#: Forms in which issuers write their keys.
+_KEY = re.compile(
+    r"(?<![A-Za-z0-9_-])(?:A[KS]IA[0-9A-Z]{16}|gh[opsur]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{22,}|xox[abprs]-[A-Za-z0-9-]{10,}"
+    r"|AIza[A-Za-z0-9_-]{35}|[prs]k_(?:live|test)_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_-]{20,}|glpat-[A-Za-z0-9_-]{20}|npm_[A-Za-z0-9]{36}"
+    r"|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})(?![A-Za-z0-9_-])"
+)
+_BLOCK_BEGIN, _BLOCK_END = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"), re.compile(r"-----END [A-Z ]{0,30}PRIVATE KEY-----")
+#: A word that names a secret, what assigns it, and the value, quoted or not.
+_ASSIGNED = re.compile(
+    r"(?i:token|secret|passwd|password|passphrase|pwd|api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key|credentials?|bearer)[\"'`]?"
+    r"(?:[ \t]{0,4}(?:=>|:=|[=:])[ \t]{0,4}[\"'`]?|[ \t][\"'`]?)([A-Za-z0-9_/+.=~!@#$%^&*-]{8,})"
+)
+#: Bits a character from which a value counts as random, and from which length on letters alone do.
+RANDOM_BITS, RANDOM_CHARS = 2.5, 8
+
 #: Start score of a kind once its own test holds, and the words nearby that raise or lower it.
-BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3}
+BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3, "secret": 0.6}
 RAISE = {
     "email": ("mail", "contact", "write"),
     "ip": ("ip", "address", "host", "server"),
@@ -57,6 +75,7 @@ RAISE = {
     "phone": ("phone", "call", "tel", "mobile", "fax"),
     "iban": ("iban", "account", "bank", "transfer"),
     "ssn": ("ssn", "social", "security", "taxpayer"),
+    "secret": ("token", "secret", "password", "passwd", "key", "credential", "credentials", "authorization", "bearer", "login"),
 }
 LOWER = ("version", "example", "sample", "test", "isbn", "serial")
 CONTEXT_CHARS = 48
@@ -142,7 +161,33 @@ def _ssns(text: str) -> Iterator[tuple[int, int]]:
             yield m.span()
 
 
-_FINDERS = {"email": _emails, "ip": _ips, "card": _cards, "phone": _phones, "iban": _ibans, "ssn": _ssns}
+def looks_random(value: str) -> bool:
+    """Digits among letters, and many different characters: the entropy of the value's own characters decides."""
+    n = len(value)
+    if n < RANDOM_CHARS or not any(c.isdigit() for c in value) or not any(c.isalpha() for c in value):
+        return False
+    return sum(-k / n * math.log2(k / n) for k in Counter(value).values()) >= RANDOM_BITS
+
+
+def _secrets(text: str) -> Iterator[tuple[int, int]]:
+    found = [m.span() for m in _KEY.finditer(text)]
+    if "-----BEGIN " in text:
+        at = 0
+        while m := _BLOCK_BEGIN.search(text, at):
+            end = _BLOCK_END.search(text, m.end())
+            if end is None:
+                break
+            found.append((m.start(), end.end()))
+            at = end.end()
+    found += [m.span(1) for m in _ASSIGNED.finditer(text) if looks_random(m.group(1))]
+    done = 0
+    for start, end in sorted(found, key=lambda s: (s[0], -s[1])):
+        if start >= done:
+            yield start, end
+            done = end
+
+
+_FINDERS = {"secret": _secrets, "email": _emails, "ip": _ips, "card": _cards, "phone": _phones, "iban": _ibans, "ssn": _ssns}
 _ALWAYS = ("email", "ip", "card", "phone")
 
 

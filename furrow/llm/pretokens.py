@@ -14,8 +14,10 @@ import regex
 #: A space with white space before it, and white space or the end behind it.
 _DOUBTFUL = re.compile(r"\s (?:\s|\Z)")
 
-#: Entries of one generation of a memory of results.
-MEMORY = 200_000
+#: Bytes of one generation of a memory of results, its objects and their places included.
+MEMORY_BYTES = 20 << 20
+#: What an entry takes besides its characters and ids.
+_ENTRY_BYTES = 180
 
 
 class Memory:
@@ -24,6 +26,7 @@ class Memory:
     def __init__(self):
         self.new: dict[str, object] = {}
         self.old: dict[str, object] = {}
+        self.left = MEMORY_BYTES
 
     def get(self, key: str):
         found = self.new.get(key)
@@ -34,8 +37,9 @@ class Memory:
     def put(self, key: str, value: object) -> None:
         if len(key) < 256:
             self.new[key] = value
-            if len(self.new) > MEMORY:
-                self.old, self.new = self.new, {}
+            self.left -= _ENTRY_BYTES + len(key) + (len(value) if isinstance(value, bytes) else 0)
+            if self.left < 0:
+                self.old, self.new, self.left = self.new, {}, MEMORY_BYTES
 
 
 def chunks(text: str) -> list[str]:

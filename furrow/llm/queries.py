@@ -18,9 +18,14 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.filter("pii_spans", lambda s: s["kind"] == name)
 
     base = F.filter("pii_spans", lambda s: s["kind"].isin("email", "ip", "card", "phone"))
-    counts = [F.size(kind(k)).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    counts = {k: F.size(kind(k)).cast("long").alias(f"n_{k}") for k in pii.KINDS}
     return found.select(
-        "doc_id", *counts, F.sha2(pii.joined(base).cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("pii_spans")).alias("spans")
+        "doc_id",
+        *[counts[k] for k in ("email", "ip", "card", "phone")],
+        F.sha2(pii.joined(base).cast("binary"), 256).alias("base_sha256"),
+        pii.joined(F.col("pii_spans")).alias("spans"),
+        *[counts[k] for k in ("iban", "ssn", "secret")],
+        F.size("pii_spans").cast("long").alias("n_spans"),
     )
 
 
@@ -40,8 +45,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = bpe.encode(docs, ranks, pattern).drop("text")
-    return bpe.decode(coded, ranks, pattern).select(
+    return bpe.encode(docs, ranks, pattern, decoded_out="decoded").select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from furrow.llm.common import append_columns, texts
+from furrow.llm.common import append_columns, resident, texts
 from furrow.llm.pretokens import Memory, Pieces, chunks
 
 VOCABULARY_BYTES = 64 << 20
@@ -145,15 +145,10 @@ class Counter:
         return [sum(map(known.__getitem__, part)) + extra for part, extra in split]
 
 
-_COUNTERS: dict[tuple[str, str], Counter] = {}
-
-
 def counter(raw: bytes, pattern: str) -> Counter:
-    """One counter for each worker process and tokenizer file."""
-    key = (hashlib.sha256(raw).hexdigest(), pattern)
-    if key not in _COUNTERS:
-        _COUNTERS[key] = Counter(raw, pattern)
-    return _COUNTERS[key]
+    """One counter for each worker process, until another file or operator takes its place."""
+    key = ("token_count", hashlib.sha256(raw).hexdigest(), pattern)
+    return resident(key, lambda: Counter(raw, pattern))
 
 
 def count_tokens(df: DataFrame, tokenizer_path: str, pattern: str, text_col: str = "text", out: str = "n_tokens") -> DataFrame:
@@ -168,4 +163,4 @@ def count_tokens(df: DataFrame, tokenizer_path: str, pattern: str, text_col: str
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         return [pa.array(counter(raw.value, pattern).count(texts(batch, text_col)), pa.int64())]
 
-    return append_columns(df, fields, run)
+    return append_columns(df, fields, run, "token_count")
