@@ -6,7 +6,9 @@ log2 of the training length over the text's length estimate the cross entropy in
 language with the lowest estimate wins, ties go to the smaller name.
 
 The failure moves are folded into a table state x symbol -> (next state, phrases ended), so that
-numpy can parse many blocks of text in step. A block has `BLOCK` symbols; parsing starts anew in each.
+numpy can parse many blocks of text in step. All blocks start in the empty state at first; then those that another state
+enters are parsed again from that state until they fall into step with the first pass, which soon happens. So the
+phrases are those of one parse of the whole text.
 
 Defined results: null text, empty text and text without a letter are `und` with score 0, as is all
 text if nothing could be learned; repeated rows get equal rows; texts of any length are read whole.
@@ -15,18 +17,20 @@ Score is the second-best estimate over the sum of the two best: 0.5 is a tie, 1.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from furrow.llm.common import append_columns, texts
+from furrow.llm.common import append_columns, quoted, resident, texts
 
 UNKNOWN = "und"
-#: Bounds of the sample that is learned from: labelled rows a language, characters of a row, and
-#: symbols of a language.
-SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_SYMBOLS = 64, 8_192, 40_000
+#: Bounds of the sample that is learned from: labelled rows a language, and what of each row is learned, in characters. All
+#: of it is learned, so an automaton reads ROWS * CHARS symbols at most.
+SAMPLE_ROWS, SAMPLE_CHARS = 64, 640
 #: Letters with a symbol of their own; the rest share BUCKETS symbols.
 LETTERS, BUCKETS = 160, 16
 BLOCK = 2_048
@@ -111,28 +115,56 @@ class Parser:
                 table[state, symbol] = to * width * 4
         self.table = table.reshape(-1)
 
-    def phrases(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Phrases of each block; blocks come with the longest first."""
-        state = np.zeros(len(starts), self.table.dtype)
-        count = np.zeros(len(starts), np.int64)
-        if not len(starts):
-            return count
-        active = len(starts) - np.searchsorted(lengths[::-1], np.arange(int(lengths[0])), side="right")
-        for j, n in enumerate(active.tolist()):
-            found = self.table[state[:n] + symbols[starts[:n] + j]]
-            count[:n] += found & 3
-            np.right_shift(found, 2, out=state[:n])
-        return count + (state > 0)
+    def phrases(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+        """Phrases of each block; blocks come with the longest first. `before` names the block of the same text that a
+        block goes on from, -1 at a beginning; what is open at a text's end counts there."""
+        n = len(starts)
+        if not n:
+            return np.zeros(0, np.int64)
+        before = np.full(n, -1) if before is None else before
+        # Step j is held by the blocks longer than j, one after another from at[j] on.
+        active = n - np.searchsorted(lengths[::-1], np.arange(int(lengths[0])), side="right")
+        at = np.concatenate([[0], np.cumsum(active)])
+        trace, ended = np.zeros(at[-1], self.table.dtype), np.zeros(at[-1], np.int8)
+        state = np.zeros(n, self.table.dtype)
+        for j, k in enumerate(active.tolist()):
+            found = self.table[state[:k] + symbols[starts[:k] + j]]
+            ended[at[j] : at[j + 1]] = found & 3
+            np.right_shift(found, 2, out=state[:k])
+            trace[at[j] : at[j + 1]] = state[:k]
+        last = at[lengths - 1] + np.arange(n)
+        entered = np.zeros(n, self.table.dtype)
+        while True:
+            wanted = np.where(before >= 0, trace[last[before]], 0)
+            block = np.flatnonzero(wanted != entered)
+            if not len(block):
+                break
+            entered[block] = state = wanted[block]
+            j = 0
+            while len(block):
+                found = self.table[state + symbols[starts[block] + j]]
+                place = at[j] + block
+                state = found >> 2
+                ended[place] = found & 3
+                other = trace[place] != state
+                trace[place] = state
+                j += 1
+                other &= lengths[block] > j
+                block, state = block[other], state[other]
+        owner = np.arange(at[-1]) - np.repeat(at[:-1], active)
+        count = np.bincount(owner, ended, minlength=n).astype(np.int64)
+        goes_on = np.zeros(n, bool)
+        goes_on[before[before >= 0]] = True
+        return count + (~goes_on & (trace[last] > 0))
 
 
 class Model:
     """What was learned: language names, the alphabet and the sequences; picklable and small."""
 
-    def __init__(self, samples: dict[str, list[str]], max_symbols: int = SAMPLE_SYMBOLS):
+    def __init__(self, samples: dict[str, list[str]]):
         read = {}
         for lang, rows in sorted(samples.items()):
-            parts = [np.append(letters_of(t), 0).astype(np.uint32) for t in rows]
-            whole = np.concatenate(parts)[:max_symbols] if parts else np.zeros(0, np.uint32)
+            whole = np.concatenate([np.append(letters_of(t), 0).astype(np.uint32) for t in rows] or [np.zeros(0, np.uint32)])
             if whole.any():
                 read[lang] = whole
         self.langs = list(read)
@@ -141,8 +173,6 @@ class Model:
         self.alphabet = np.sort([c for c in seen[order].tolist() if c][:LETTERS]).astype(np.uint32)
         self.width = 1 + len(self.alphabet) + BUCKETS
         self.sequences = [self.symbols(s) for s in read.values()]
-        self._parsers: list[Parser] | None = None
-        self._table: np.ndarray | None = None
 
     def symbols(self, letters: np.ndarray) -> np.ndarray:
         """0 for a gap, 1.. for letters of the alphabet, the last BUCKETS for all others."""
@@ -151,15 +181,13 @@ class Model:
         other = len(self.alphabet) + 1 + letters % BUCKETS
         return np.where(letters == 0, 0, np.where(known, at + 1, other)).astype(np.int32)
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_parsers": None, "_table": None}
+    def tables(self) -> tuple[list[Parser], np.ndarray]:
+        """The parsers, and for each character its symbol; 0 is what is no letter."""
+        return [Parser(s, self.width) for s in self.sequences], self.symbols(_letter_table()).astype(np.uint16)
 
-    def predict(self, rows: list[str]) -> tuple[list[str], list[float]]:
-        if self._parsers is None:
-            self._parsers = [Parser(s, self.width) for s in self.sequences]
-            # Character -> symbol at once; 0 is what is no letter.
-            self._table = self.symbols(_letter_table()).astype(np.uint16)
-        read = [_read(t, self._table) for t in rows]
+    def predict(self, rows: list[str], tables: tuple[list[Parser], np.ndarray] | None = None) -> tuple[list[str], list[float]]:
+        parsers, letters = tables or self.tables()
+        read = [_read(t, letters) for t in rows]
         sizes = np.array([len(r) for r in read], np.int64)
         has = np.array([bool(r.any()) for r in read], bool)
         if not self.langs or not has.any():
@@ -172,9 +200,13 @@ class Model:
         starts = (np.cumsum(sizes) - sizes)[owner] + nth * BLOCK
         lengths = np.minimum(BLOCK, sizes[owner] - nth * BLOCK)
         order = np.argsort(-lengths, kind="stable")
+        # a text's blocks follow each other before they are ordered
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        before = np.where(nth > 0, np.append(0, place[:-1]), -1)[order]
         owner, starts, lengths = owner[order], starts[order], lengths[order]
         rates = np.stack([
-            np.bincount(owner, p.phrases(flat, starts, lengths), minlength=len(rows)) * p.bits / np.maximum(sizes, 1) for p in self._parsers
+            np.bincount(owner, p.phrases(flat, starts, lengths, before), minlength=len(rows)) * p.bits / np.maximum(sizes, 1) for p in parsers
         ])
         best = np.argmin(rates, axis=0)
         least = np.sort(rates, axis=0)
@@ -191,17 +223,24 @@ def learnable(id_col: str) -> Column:
 
 
 def fit(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    sample_rows: int = SAMPLE_ROWS,
+    sample_chars: int = SAMPLE_CHARS,
 ) -> Model:
     """Learn from a bounded sample of the learnable rows: for each language those with the lowest hash of
-    the id. Only ids and languages are ranked, with the limit pushed before the shuffle; the
-    texts of the few chosen rows, each cut to SAMPLE_CHARS, go to the driver."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    the id, and of each `sample_chars` characters from its first letter on. Only ids and languages are ranked, with the limit pushed
+    before the shuffle; what is learned of the few chosen rows goes to the driver."""
+    id_, lang, text = (F.col(quoted(c)) for c in (id_col, lang_col, text_col))
+    rows = docs.select(id_.alias("id"), lang.cast("string").alias("lang"), text.alias("text"))
     rows = rows.filter(learnable("id") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
     chosen = rows.select("id", "lang").withColumn("nth", nth).filter(F.col("nth") <= sample_rows).select("id", "lang")
+    part = F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, sample_chars)
     sample = rows.join(F.broadcast(chosen.distinct()), ["id", "lang"], "left_semi").select(
-        "lang", F.xxhash64("id").alias("h"), "id", F.substring("text", 1, SAMPLE_CHARS).alias("text")
+        "lang", F.xxhash64("id").alias("h"), "id", part.alias("text")
     )
     samples: dict[str, list[str]] = {}
     for r in sorted(sample.distinct().collect(), key=lambda r: (r.lang, r.h, r.id, r.text)):
@@ -213,9 +252,11 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", lang_out: str =
     """Append language and score of each whole text; one pass, no shuffle."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     fields = T.StructType([T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
+    key = ("langid", uuid.uuid4().hex)
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        langs, scores = shared.value.predict(texts(batch, text_col))
+        model = shared.value
+        langs, scores = model.predict(texts(batch, text_col), resident(key, model.tables))
         return [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
 
-    return append_columns(df, fields, run)
+    return append_columns(df, fields, run, "langid")
