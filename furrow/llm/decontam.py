@@ -1,7 +1,7 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
 Documents and test items are sequences of lower-cased words. Every n-gram of an item is a seed and one
-is enough, so what a document holds never depends on the other documents. The stretch around a seed
+is enough (an item of fewer words is one seed as a whole), so what a document holds never depends on the other documents. The stretch around a seed
 reaches as far as an alignment of the asked score can; stretches of one item that overlap are
 joined. Those with too few of the item's words for that score are left out, the others are aligned, and the
 score over the best possible score decides.
@@ -9,9 +9,10 @@ score over the best possible score decides.
 Items come in blocks of bounded size, each broadcast and held against all documents. Word and gap
 scores are +2, -1, -1.
 
-Defined results: null and empty texts match nothing; items that are null or shorter than the n-gram match
-nothing; repeated documents get equal rows, items with equal text are all reported; texts and items of
-any length are read whole, and the score of an item is over all its words.
+Defined results: null and empty texts match nothing, nor do items that are null or without a word; an item shorter than
+the n-gram is found where all its words stand in a row; repeated documents get equal rows, items with equal text are all
+reported; texts and items of any length are read whole, and the score of an item is over all its words. Besides the array of
+hits a document keeps its columns, and a column with the array's name is replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from furrow.llm.common import append_columns, texts
+from furrow.llm.common import append_columns, fresh, quoted, texts
 
 NGRAM = 3
 MIN_SCORE = 0.5
@@ -57,13 +58,15 @@ class Items:
         self.sequences: list[np.ndarray] = []
         for item_id, text in rows:
             words = words_of(text)
-            if len(words) >= NGRAM:
+            if words:
                 self.ids.append(item_id)
                 self.sequences.append(np.array([self.words.setdefault(w, len(self.words) + 1) for w in words], np.int64))
         self.base = len(self.words) + 1  # beyond 2 million words codes wrap; what then clashes, the alignment tells apart
         self.lengths = np.array([len(s) for s in self.sequences], np.int64)
         # The seeds sorted by code: those of known[i] are first[i] to first[i + 1] of owner and offset.
-        grams = [self.grams(s)[0] for s in self.sequences]
+        grams = [self.grams(s, min(NGRAM, len(s)))[0] for s in self.sequences]
+        #: Lengths of the seeds; a shorter one's code is below the square, or the first power, of the base.
+        self.sizes = sorted({min(NGRAM, len(s)) for s in self.sequences})
         codes = np.concatenate([*grams, np.zeros(0, np.int64)])
         order = np.argsort(codes, kind="stable")
         sizes = np.array([len(g) for g in grams], np.int64)
@@ -77,27 +80,29 @@ class Items:
         get = self.words.get
         return np.array([get(w, 0) for w in words_of(text)], np.int64)
 
-    def grams(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def grams(self, numbers: np.ndarray, size: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
         """Codes and places of the n-grams that have known words only."""
-        n = len(numbers) - NGRAM + 1
+        n = len(numbers) - size + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         code, full = np.zeros(n, np.int64), np.ones(n, bool)
-        for k in range(NGRAM):
+        for k in range(size):
             part = numbers[k : k + n]
             code = code * self.base + part
             full &= part > 0
         at = np.flatnonzero(full)
         return code[at], at
 
-    def found(self, numbers: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Those n-grams that are among the sorted codes."""
-        grams, at = self.grams(numbers)
-        if not len(grams) or not len(codes):
-            return grams[:0], at[:0]
-        near = np.minimum(np.searchsorted(codes, grams), len(codes) - 1)
-        same = codes[near] == grams
-        return grams[same], at[same]
+    def found(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The seeds among a document's n-grams: their numbers in `known`, and their places."""
+        code, place = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for size in self.sizes:
+            grams, at = self.grams(numbers, size)
+            near = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
+            same = self.known[near] == grams
+            code.append(near[same])
+            place.append(at[same])
+        return np.concatenate(code), np.concatenate(place)
 
     def reach(self, item: int | np.ndarray, min_score: float) -> int | np.ndarray:
         """Gaps that an alignment of the asked score can have at most."""
@@ -105,10 +110,9 @@ class Items:
 
     def candidates(self, numbers: np.ndarray, min_score: float = MIN_SCORE) -> list[tuple[int, int, int]]:
         """(item, begin, end) of the stretches of a document that are worth aligning."""
-        grams, at = self.found(numbers, self.known)
-        if not len(grams):
+        code, at = self.found(numbers)
+        if not len(code):
             return []
-        code = np.searchsorted(self.known, grams)
         times = self.first[code + 1] - self.first[code]
         seed = np.repeat(self.first[code] - (np.cumsum(times) - times), times) + np.arange(times.sum())
         item, place = self.owner[seed], np.repeat(at, times) - self.offset[seed]
@@ -123,7 +127,7 @@ class Items:
         out = []
         for k, a, b in zip(item[starts].tolist(), begin[starts].tolist(), ends.tolist(), strict=True):
             words, stretch = self.sequences[k], numbers[a:b]
-            least = min_score * len(words)
+            least = (min_score if len(words) >= NGRAM else 1.0) * len(words)
             if np.isin(words, stretch).sum() >= least and np.isin(stretch, words).sum() >= least:
                 out.append((k, a, b))
         return out
@@ -172,7 +176,7 @@ def matches(items: Items, rows: list[str], min_score: float = MIN_SCORE) -> list
         for (r, item, a, stretch), q, score, stop in zip(group, queries, best.tolist(), end.tolist(), strict=True):
             share = score / (MATCH * len(q))
             known = out[r].get(item)
-            if share >= min_score and (known is None or share > known[1]):
+            if share >= (min_score if len(q) >= NGRAM else 1.0) and (known is None or share > known[1]):
                 # The same alignment backwards tells where it begins.
                 near = stretch[max(0, stop - len(q) - int(items.reach(item, min_score))) : stop]
                 _, back = align([q[::-1]], [near[::-1]])
@@ -184,7 +188,8 @@ def item_blocks(
     benchmark: DataFrame, id_col: str, text_col: str, block: int, block_chars: int = BLOCK_CHARS
 ) -> Iterator[list[tuple[int, str]]]:
     """The whole items in blocks; the driver holds one block and one partition at a time."""
-    rows = benchmark.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col)
+    item, text = F.col(quoted(id_col)), F.col(quoted(text_col))
+    rows = benchmark.filter(item.isNotNull() & text.isNotNull()).select(item, text)
     held: list[tuple[int, str]] = []
     chars = 0
     for r in rows.toLocalIterator():
@@ -211,7 +216,7 @@ def find_contamination(
     block: int = BLOCK_ITEMS,
 ) -> DataFrame:
     """Append an array of the test items that each whole text holds; one pass a block, no text shuffle."""
-    result, part = docs, f"__{out}_part"
+    result, (part,) = docs, fresh(docs, f"{out}_part")
     fields = T.StructType([T.StructField(part, T.ArrayType(HIT))])
     result = result.withColumn(out, F.array().cast(T.ArrayType(HIT)))
     for rows in item_blocks(benchmark, item_id_col, item_text_col, block):
@@ -221,11 +226,12 @@ def find_contamination(
             return [pa.array([[dict(zip(HIT.names, h, strict=True)) for h in hits] for hits in matches(shared.value, texts(batch, text_col), min_score)],
                              pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int32()), ("last_word", pa.int32())])))]
 
-        result = append_columns(result, fields, run).withColumn(out, F.concat(out, part)).drop(part)
+        result = append_columns(result, fields, run).withColumn(out, F.concat(F.col(quoted(out)), F.col(quoted(part)))).drop(part)
     return result
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that hold no test item; columns stay as they are."""
-    marked = find_contamination(docs, benchmark, text_col, out="__contamination")
-    return marked.filter(F.size("__contamination") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    (hits,) = fresh(docs, "contamination")
+    marked = find_contamination(docs, benchmark, text_col, out=hits)
+    return marked.filter(F.size(quoted(hits)) == 0).select(*[F.col(quoted(c)) for c in docs.columns])
