@@ -10,20 +10,29 @@ A step's costs form a min-plus matrix over the states, so blocks of a long conve
 one matrix each. The matrices decide the state at each border, and then every block is repaired on
 its own: no task needs more than one block, however long the conversation.
 
-Defined results: turns are ordered by turn number (null last), then role, then text; repeated rows are turns of
-their own; a null text is empty; rows with a null conversation id form one conversation; an
-empty table gives no rows. Among repairs of equal cost, keep goes before merge, merge before relabel, fewer insertions
+Rows are range-partitioned in the order of their turns and cut into blocks where they lie, so a block has `block_turns` rows at
+most whatever the numbers of its turns are: null, repeated or far apart.
+
+Defined results: turns are ordered by turn number (null last), then role (null first), then a hash of the text, then text;
+repeated rows are turns of their own; a null text is empty; rows with a null conversation id form one conversation; an
+empty table gives no rows. A control string inside a text is no control string of the rendering: a backslash goes behind its first
+character (and one more where backslashes stand there already), so that `unescaped` gives the text back. Among repairs of equal cost, keep goes before merge, merge before relabel, fewer insertions
 before more, and states follow their listed order; at the border of two blocks the state listed first goes first.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from furrow.llm.common import quoted
+from furrow.session import ensure_checkpoint_dir, shuffle_width
+
 ROLES = ("system", "user", "assistant", "tool")
 START = 4  # the state before the first turn; others are the role of the turn before
 STATES = 5
@@ -31,13 +40,26 @@ STATES = 5
 FOLLOWS = {0: (START,), 1: (START, 0, 2), 2: (1, 3), 3: (2,)}
 FINAL = 2
 MERGE, RELABEL, RELABEL_UNKNOWN, INSERT = 1, 3, 2, 2
-#: Turn numbers of one block.
+#: Turns of one block.
 BLOCK_TURNS = 4_096
 FAR = 10**9
 
 OPEN, CLOSE, BETWEEN = "<|im_start|>{role}\n", "<|im_end|>\n", "\n\n"
 
 
+_CONTROL = re.compile(r"<(\\*)(?=\|im_(?:start|end)\|>)")
+
+
+def escaped(text: str) -> str:
+    """The text without control strings of the rendering."""
+    return _CONTROL.sub(r"<\1\\", text)
+
+
+def unescaped(text: str) -> str:
+    """The text that `escaped` was given."""
+    return re.sub(r"<(\\*)\\(?=\|im_(?:start|end)\|>)", r"<\1", text)
+
+
 def _insertions() -> list[list[tuple[int, ...] | None]]:
     """The shortest run of inserted turns between each two states."""
     found: list[list[tuple[int, ...] | None]] = [[() if a == b else None for b in range(STATES)] for a in range(STATES)]
@@ -164,26 +186,45 @@ def repair_chats(
     Columns: conv_id, block, piece, turn (null if inserted), role, op (keep, relabel, merge, insert), cost
     (of the whole conversation), rendered. The pieces' texts, in order, are the rendered conversation.
     """
-    last = F.lit((1 << 63) - 1)
+    ensure_checkpoint_dir(df.sparkSession)
+    conv, turn, role, text = (F.col(quoted(c)) for c in (conv_col, turn_col, role_col, text_col))
     rows = df.select(
-        F.col(conv_col).cast("long").alias("c"),
-        F.floor(F.coalesce(F.col(turn_col).cast("long"), last) / block_turns).cast("long").alias("b"),
-        F.col(turn_col).cast("long").alias("n"),
-        F.col(role_col).cast("string").alias("r"),
-        F.col(text_col).cast("string").alias("t"),
+        conv.cast("long").alias("c"),
+        turn.cast("long").alias("n"),
+        role.cast("string").alias("r"),
+        F.xxhash64(text.cast("string")).alias("h"),
+        # Rows alike in all that counts may lie on both sides of a border of partitions.
+        F.monotonically_increasing_id().alias("u"),
+        text.cast("string").alias("t"),
     )
-    order = ["c", "b", F.col("n").asc_nulls_last(), F.col("r").asc_nulls_first(), F.col("t").asc_nulls_first()]
+    order = ["c", F.col("n").asc_nulls_last(), F.col("r").asc_nulls_first(), "h", "u"]
+    laid = rows.repartitionByRange(shuffle_width(df.sparkSession, rows), *order).sortWithinPartitions(*order[:4], F.col("t").asc_nulls_first())
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, left, conv, row = TaskContext.get().partitionId() << 32, 0, (), 0
+        for batch in batches:
+            found = []
+            for c in batch.column(0).to_pylist():
+                if left == 0 or (c,) != conv:
+                    block, left, conv = block + 1, block_turns, (c,)
+                left -= 1
+                found.append(block)
+            place = pa.array(range(row, row + batch.num_rows), pa.int64())
+            row += batch.num_rows
+            kept = [batch.column(k) for k in ("c", "n", "r", "t")]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), place, *kept], names=["b", "p", "c", "n", "r", "t"])
+
+    schema = "b long, p long, c long, n long, r string, t string"
+    numbered = laid.mapInArrow(number, schema).checkpoint()
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (c, b), held in _groups(batches, 2):
             yield pa.RecordBatch.from_arrays(
-                [pa.array([c], pa.int64()), pa.array([b], pa.int64()), pa.array([block_matrix([role_number(x[1]) for x in held])], pa.list_(pa.int64()))],
+                [pa.array([c], pa.int64()), pa.array([b], pa.int64()), pa.array([block_matrix([role_number(x[0]) for x in held])], pa.list_(pa.int64()))],
                 names=["c", "b", "m"],
             )
 
-    # The texts stay behind here: order among equal turn numbers and roles has no bearing on roles.
-    narrow = rows.select("c", "b", "n", "r").repartition("c", "b").sortWithinPartitions(*order[:4])
-    blocks = narrow.mapInArrow(_batched(matrices), "c long, b long, m array<long>")
+    blocks = numbered.select("c", "b", "r").mapInArrow(_batched(matrices), "c long, b long, m array<long>")
     whole = blocks.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("b", "m"))).alias("blocks"))
 
     def plans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,18 +233,18 @@ def repair_chats(
             for c, found in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 cost, states = borders([x["m"] for x in found])
                 for i, x in enumerate(found):
-                    out.append((c, x["b"], f"{states[i]} {states[i + 1]} {cost} {int(i == len(found) - 1)}"))
+                    out.append((c, x["b"], f"{states[i]} {states[i + 1]} {cost} {int(i == len(found) - 1)} {i}"))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)], names=["c", "b", "plan"])
 
     planned = whole.mapInArrow(plans, "c long, b long, plan string")
     # A block's plan travels as its first row, so that no join can tear a block apart.
-    both = rows.withColumn("plan", F.lit(None).cast("string")).unionByName(planned, allowMissingColumns=True)
-    ready = both.repartition("c", "b").sortWithinPartitions("c", "b", F.col("plan").isNull(), *order[2:]).select("c", "b", "n", "r", "t", "plan")
+    both = numbered.withColumn("plan", F.lit(None).cast("string")).unionByName(planned, allowMissingColumns=True)
+    ready = both.repartition("c", "b").sortWithinPartitions("c", "b", F.col("plan").isNull(), "p").select("c", "b", "n", "r", "t", "plan")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (c, b), held in _groups(batches, 2):
-            entry, exit_, cost, final = map(int, held[0][3].split())
+        for (c, _), held in _groups(batches, 2):
+            entry, exit_, cost, final, b = map(int, held[0][3].split())
             turns = held[1:]
             out: list[tuple] = []
             started = entry != START
@@ -218,7 +259,7 @@ def repair_chats(
                 for extra in inserted:
                     out.append((c, b, len(out), None, ROLES[extra], "insert", cost, begin(extra)))
                 mark = BETWEEN if op == "merge" else begin(role)
-                out.append((c, b, len(out), n, ROLES[role], op, cost, mark + (text or "")))
+                out.append((c, b, len(out), n, ROLES[role], op, cost, mark + escaped(text or "")))
             if final:
                 for extra in closing(exit_):
                     out.append((c, b, len(out), None, ROLES[extra], "insert", cost, begin(extra)))
