@@ -10,7 +10,8 @@ first threshold comes from the longest vectors, later ones from the best scores
 The bound is rounded up by a relative slack far above the error of float sums, so no true result is lost.
 
 Defined results: rows with a null id, a null vector, or a null or non-finite component take no part;
-shorter vectors count as padded with zeros; a query never meets rows of its own id; repeated candidate rows
+vectors so long that a product might not fit a 64-bit integer are refused with an error, never wrapped; shorter vectors count as
+padded with zeros; a query never meets rows of its own id; repeated candidate rows
 each take a rank, repeated query rows count as one; fewer than k candidates give all; ties go to the
 smaller id.
 """
@@ -31,6 +32,8 @@ QUERY_BLOCK, SEED_ROWS, SAMPLE_ROWS = 8_192, 2_048, 2_048
 #: Rotated coordinates whose products are summed before a pair may be dropped.
 LEADING = 16
 SLACK = 1e-9
+#: By Cauchy-Schwarz no product or partial sum of shorter vectors leaves 64 bits.
+LONGEST = 3e9
 
 
 def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: float = 64.0) -> DataFrame:
@@ -142,7 +145,10 @@ def top_inner_products(
         .sortWithinPartitions(F.col("norm").desc(), "id")
         .checkpoint()
     )
-    width = ranked.agg(F.max(F.size("v"))).first()[0] or 1
+    width, longest_norm = ranked.agg(F.max(F.size("v")), F.max("norm")).first()
+    width = width or 1
+    if longest_norm is not None and longest_norm >= LONGEST:
+        raise OverflowError(f"a vector is {longest_norm:.4g} long in whole units; products of vectors of {LONGEST:.4g} and more may not fit 64 bits")
     sample = ranked.select("v").limit(SAMPLE_ROWS).toArrow().column(0).combine_chunks()
     _, _, turned = np.linalg.svd(_matrix(sample, width).astype(np.float64), full_matrices=True)
     rotation = turned.T
