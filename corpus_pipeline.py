@@ -11,16 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.llm import bpe, decontam, langid, pii, simhash
+from furrow.llm.common import fresh, quoted
 from furrow.session import ensure_checkpoint_dir, table
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without a letter go. If no language could be learned, only they do."""
+    """Documents whose language can be told; those without a letter go. If no language could be learned, only they do.
+
+    What is predicted fills a missing label; a label that is there stays.
+    """
     model = langid.fit(docs)
     if not model.langs:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    named = langid.predict(docs, model, lang_out="__lang", score_out="__score")
-    return named.filter(F.col("__lang") != langid.UNKNOWN).select(*docs.columns)
+    lang, score = fresh(docs, "lang_pred", "lang_score")
+    named = langid.predict(docs, model, lang_out=lang, score_out=score).filter(F.col(lang) != langid.UNKNOWN)
+    filled = {"lang": F.coalesce(F.col("lang"), F.col(lang).cast(docs.schema["lang"].dataType)).alias("lang")}
+    return named.select(*[filled.get(c, F.col(quoted(c))) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +48,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether they decode to its bytes."""
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = bpe.decode(bpe.encode(docs, ranks, pattern), ranks, pattern)
+    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, pattern, decoded_out="decoded")
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return coded.select("doc_id", "lang", "source", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
 

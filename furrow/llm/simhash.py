@@ -22,11 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from furrow.llm.common import append_columns, texts
+from furrow.llm.common import append_columns, fresh, quoted, texts
 from furrow.operators.graph import connected_components
 from furrow.session import ensure_checkpoint_dir
 
@@ -178,7 +178,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     execution may split a hot one, since both sides are plain shuffles.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    ids = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    ids = df.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
     marked = fingerprints(ids, words_each=words_each).drop("text").checkpoint()
     classes = _classes(marked.groupBy("fingerprint").agg(F.min("id").alias("rep")), radius)
     least = classes.groupBy("class").agg(F.min("rep").alias("component"))
@@ -193,20 +193,23 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     that it is least of. All columns stay; of rows with equal id and text, one does.
     """
     ensure_checkpoint_dir(docs.sparkSession)
-
-    def key() -> list[Column]:
-        text = docs[text_col]
-        return [docs[id_col].alias("__id"), F.xxhash64(text).alias("__a"), F.xxhash64(F.lit(SEED), text).alias("__b")]
-
-    marked = fingerprints(docs.select(*key(), text_col), text_col, "fingerprint").drop(text_col)
-    rows = marked.groupBy("fingerprint", "__id", "__a", "__b").agg(F.count(F.lit(1)).alias("__rows")).checkpoint()
-    first = F.struct(F.col("__id").isNull().alias("__none"), "__id", "__a", "__b", "__rows")
+    i, a, b = fresh(docs, "row_id", "row_a", "row_b")
+    own, text = F.col(quoted(id_col)), F.col(quoted(text_col))
+    # Two hashes of the text, so that rows of one id are told apart by 128 bits.
+    key = {i: own, a: F.xxhash64(text), b: F.xxhash64(F.lit(SEED), text)}
+
+    narrow = docs.select(*[c.alias(n) for n, c in key.items()], text.alias("text"))
+    marked = fingerprints(narrow).drop("text")
+    rows = marked.groupBy("fingerprint", i, a, b).agg(F.count(F.lit(1)).alias("rows")).checkpoint()
+    first = F.struct(F.col(i).isNull().alias("none"), i, a, b, "rows")
     classes = _classes(rows.groupBy("fingerprint").agg(F.min(first).alias("rep")), radius)
     keep = classes.groupBy("class").agg(F.min("rep").alias("rep")).select("rep.*").checkpoint()
-    named = docs.select("*", *key()).alias("d")
+    named = docs.select("*", *[c.alias(n) for n, c in key.items()]).alias("d")
     k = keep.alias("k")
-    same = F.col("d.__id").eqNullSafe(F.col("k.__id")) & (F.col("d.__a") == F.col("k.__a")) & (F.col("d.__b") == F.col("k.__b"))
+    same = F.col(f"d.{i}").eqNullSafe(F.col(f"k.{i}")) & (F.col(f"d.{a}") == F.col(f"k.{a}")) & (F.col(f"d.{b}") == F.col(f"k.{b}"))
     kept = named.join(k, same, "left_semi")
-    if not keep.filter(F.col("__rows") > 1).isEmpty():
-        kept = kept.dropDuplicates(["__id", "__a", "__b"])
-    return kept.drop("__id", "__a", "__b")
+    if not keep.filter(F.col("rows") > 1).isEmpty():
+        # Rows equal in id and text may differ in other columns: the same one of them stays in every run.
+        whole = F.struct(*[F.col(quoted(c)) for c in docs.columns])
+        kept = kept.groupBy(i, a, b).agg(F.min_by(whole, F.sha2(F.to_json(whole), 256)).alias("row")).select("row.*")
+    return kept.select(*[F.col(quoted(c)) for c in docs.columns])
