@@ -135,3 +135,16 @@ def geojson(ring: Column) -> Column:
     points = F.transform(ring, lambda p: F.array(p["lng"], p["lat"]))
     closed = F.when(F.element_at(points, 1) == F.element_at(points, -1), points).otherwise(F.concat(points, F.slice(points, 1, 1)))
     return F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(closed).alias("coordinates")))
+
+
+def bounds_union(a: Column, b: Column) -> Column:
+    """The box of two boxes (south, west, north, east); a missing one counts for nothing, and two missing ones give none."""
+    low = lambda c: F.least(a[c], b[c]).alias(c)
+    high = lambda c: F.greatest(a[c], b[c]).alias(c)
+    return F.when(a.isNotNull() | b.isNotNull(), F.struct(low("south"), low("west"), high("north"), high("east")))
+
+
+def lattice_world(col: Column, row: Column, size_m: Column, lat0: Column, lng0: Column, heading: float) -> tuple[Column, Column]:
+    """Where a corner of a lattice lies that is turned by `heading` about its origin: (lat, lng)."""
+    lat, lng = lat0 + row * (size_m / M_PER_DEG), lng0 + col * (size_m / m_per_deg_lng(lat0))
+    return rotate(lat, lng, lat0, lng0, math.cos(heading), math.sin(heading))

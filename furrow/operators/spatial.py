@@ -150,8 +150,8 @@ def covariance(points: DataFrame, *keys: str) -> DataFrame:
     var = lambda a, b, ab: (n * F.col(ab) - F.col(a) * F.col(b)).cast("double") / (n * n).cast("double")
     vx, vy, cxy = var("sx", "sx", "sxx"), var("sy", "sy", "syy"), var("sx", "sy", "sxy")
     root = F.sqrt((vx - vy) * (vx - vy) / 4 + cxy * cxy)
-    major, minor = (vx + vy) / 2 + root, (vx + vy) / 2 - root
+    major, minor = (vx + vy) / 2 + root, (vx + vy) / 2 - root  # in sums of squares, as many times as there are points
     return s.select(
         *keys, "n", (F.col("sx") / n).alias("cx"), (F.col("sy") / n).alias("cy"), "min_x", "max_x", "min_y", "max_y",
-        (0.5 * F.atan2(2 * cxy, vx - vy)).alias("axis"), F.when(minor > 1e-12, F.sqrt(major / minor)).otherwise(F.lit(float("inf"))).alias("anisotropy"),
+        (0.5 * F.atan2(2 * cxy, vx - vy)).alias("axis"), F.when(minor * n > 1e-9, major / minor).otherwise(F.lit(float("inf"))).alias("anisotropy"),
     )

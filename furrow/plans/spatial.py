@@ -151,6 +151,6 @@ ORACLES = {
     "principal_axis": f"""WITH {_P}, s AS (SELECT label, count(*) AS n, CAST(sum(x) AS BIGINT) AS sx, CAST(sum(y) AS BIGINT) AS sy, CAST(sum(x * x) AS BIGINT) AS sxx, CAST(sum(y * y) AS BIGINT) AS syy, CAST(sum(x * y) AS BIGINT) AS sxy, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y
         FROM (SELECT label, CAST(floor(lat) AS BIGINT) AS x, CAST(floor(lng) AS BIGINT) AS y FROM pts) GROUP BY label), v AS (SELECT *, (n * sxx - sx * sx)::DOUBLE / (n * n) AS vx, (n * syy - sy * sy)::DOUBLE / (n * n) AS vy, (n * sxy - sx * sy)::DOUBLE / (n * n) AS c FROM s)
         SELECT label, n, sx / n AS cx, sy / n AS cy, min_x, max_x, min_y, max_y, round(0.5 * atan2(2 * c, vx - vy), 9) AS axis,
-        round(sqrt(((vx + vy) / 2 + sqrt((vx - vy) ^ 2 / 4 + c * c)) / ((vx + vy) / 2 - sqrt((vx - vy) ^ 2 / 4 + c * c))), 9) AS anisotropy FROM v""",
+        round(((vx + vy) / 2 + sqrt((vx - vy) ^ 2 / 4 + c * c)) / ((vx + vy) / 2 - sqrt((vx - vy) ^ 2 / 4 + c * c)), 9) AS anisotropy FROM v""",
     "coverage_class": f"WITH {_P} SELECT label, CASE WHEN max(lat) <= 60 AND min(lat) >= -60 AND max(lng) <= 110 AND min(lng) >= -110 THEN 'full' WHEN min(lat) <= 60 AND max(lat) >= -60 AND min(lng) <= 110 AND max(lng) >= -110 THEN 'partial' ELSE 'none' END AS coverage FROM pts GROUP BY label",
 }
