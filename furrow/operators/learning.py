@@ -6,11 +6,16 @@ results don't depend on the order in which tasks add up.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Labelled examples that one literal array may hold; more go in blocks of this size.
-EXAMPLES_EACH = 1_024
+#: Labelled examples that are broadcast at once, and rows that meet them in one product.
+EXAMPLES_EACH, ROWS_EACH = 16_384, 256
 DELTA = 0.5
 OUTLIER_Z, OUTLIER_MIN_ROWS, MAD_SCALE = 3.5, 8, 1.4826
 
@@ -69,29 +74,56 @@ def upper_median() -> Column:
     return F.floor(F.col("n") / 2)
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0).cast("long"), lambda s, x: s + x)
-
-
 def nearest_examples(rows: DataFrame, examples: DataFrame, vector: str, k: int, id_col: str, leave_out_self: bool) -> DataFrame:
     """Append `near`: the k closest examples as (d2, id, positive), ties to the smaller id.
 
-    Examples are few (marks of an operator): blocks of at most EXAMPLES_EACH of them are folded in as one-row
-    arrays, keeping the best k so far, so any number of examples works and no pair of rows is made.
+    Examples are marks of an operator. They are broadcast in blocks of at most EXAMPLES_EACH rows, so any number works; a batch
+    of rows meets a block as one product of matrices, and only the best k so far go on to the next block. Distances of
+    whole numbers are exact.
     """
-    n = examples.count()
-    blocks = max(1, -(-n // EXAMPLES_EACH) * 2 if n > EXAMPLES_EACH else 1)
-    kind = "array<struct<d2: bigint, id: bigint, positive: boolean>>"
-    out = rows.withColumn("near", F.array().cast(kind))
-    numbered = examples.withColumn("__b", F.pmod(F.xxhash64(id_col), F.lit(blocks)))
-    for b in range(blocks):
-        packed = numbered.filter(F.col("__b") == b).agg(F.collect_list(F.struct(F.col(id_col).alias("id"), F.col(vector).alias("v"), "positive")).alias("__e"))
-        out = out.join(F.broadcast(packed))
-        found = F.transform(
-            F.filter("__e", lambda e: e["id"] != F.col(id_col)) if leave_out_self else F.col("__e"),
-            lambda e: F.struct(squared_distance(F.col(vector), e["v"]).alias("d2"), e["id"].alias("id"), e["positive"].alias("positive")),
-        )
-        out = out.withColumn("near", F.slice(F.array_sort(F.concat("near", found.cast(kind))), 1, k)).drop("__e")
+    spark = rows.sparkSession
+    near = T.ArrayType(T.StructType([T.StructField("d2", T.DoubleType()), T.StructField("id", T.LongType()), T.StructField("positive", T.BooleanType())]))
+    out = rows.withColumn("near", F.array().cast(near))
+    ids = [f.name for f in rows.schema].index(id_col)
+    at = [f.name for f in rows.schema].index(vector)
+
+    names = out.columns
+
+    def chained(df: DataFrame, block) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, positive, matrix = block.value
+            squares = (matrix * matrix).sum(axis=1)
+            for whole in batches:
+                for begin in range(0, whole.num_rows, ROWS_EACH):
+                    batch = whole.slice(begin, ROWS_EACH)
+                    v = np.array(batch.column(at).to_pylist(), float).reshape(batch.num_rows, -1)
+                    d2 = np.maximum(0.0, (v * v).sum(axis=1)[:, None] + squares - 2 * (v @ matrix.T))
+                    if leave_out_self:
+                        d2[batch.column(ids).to_numpy()[:, None] == own] = np.inf
+                    found = []
+                    for row, before in zip(d2, batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                        few = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1]) if len(row) > k else np.arange(len(row))
+                        best = [(float(row[i]), int(own[i]), bool(positive[i])) for i in few[np.isfinite(row[few])]]
+                        best = sorted([(b["d2"], b["id"], b["positive"]) for b in before] + best)[:k]
+                        found.append([{"d2": a, "id": b, "positive": c} for a, b, c in best])
+                    kind = pa.list_(pa.struct([("d2", pa.float64()), ("id", pa.int64()), ("positive", pa.bool_())]))
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, kind)], names=names)
+
+        return df.mapInArrow(run, df.schema)
+
+    def blocks() -> Iterator[list]:
+        held = []
+        for r in examples.select(id_col, "positive", vector).toLocalIterator():
+            held.append(r)
+            if len(held) == EXAMPLES_EACH:
+                yield held
+                held = []
+        if held:
+            yield held
+
+    for held in blocks():
+        packed = (np.array([r[0] for r in held]), np.array([r[1] for r in held]), np.array([list(r[2]) for r in held], float))
+        out = chained(out, spark.sparkContext.broadcast(packed))
     return out
 
 
@@ -177,3 +209,73 @@ def centroid_loo(features: DataFrame, delta: float = DELTA) -> DataFrame:
     hits = right.agg(F.coalesce(F.sum("right"), F.lit(0.0)).alias("hits"), F.count("*").alias("m"))
     accuracy = F.when(F.col("n") >= 3, (F.col("hits") + (F.col("n") - F.col("m")) * 0.5) / F.col("n")).otherwise(F.lit(0.0))
     return total.join(F.broadcast(hits)).select("n", accuracy.alias("accuracy"))
+
+
+#: Marks a class needs before a vote means anything, the score from which a cell is like the wanted ones, and the versions
+#: that scores are stored with. Fixed values.
+MARKS_EACH, SIMILAR_FROM, NEIGHBOURS = 3, 0.65, 3
+KNN_VERSION, MATCH_VERSION = "knn-1", "match-1"
+
+
+def standard_rows(rows: DataFrame, usable: Column, vector: str = "v", floor: float = 1e-9) -> DataFrame:
+    """The usable rows with their vector in deviations from the usable field's means; the model is one row as wide as the features."""
+    kept = rows.filter(usable)
+    m = field_moments(kept.select(F.posexplode(vector).alias("f", "x")), "f")
+    packed = m.agg(F.array_sort(F.collect_list(F.struct("f", "mean", F.when(F.col("sd") > floor, F.col("sd")).otherwise(F.lit(1.0)).alias("sd")))).alias("__m"))
+    z = F.zip_with(F.col(vector), F.col("__m"), lambda x, e: (x - e["mean"]) / e["sd"])
+    return kept.join(F.broadcast(packed)).withColumn(vector, z).drop("__m")
+
+
+def ready(rows: DataFrame, wanted: Column, unwanted: Column) -> DataFrame:
+    """One row: marks of both kinds, whether they are enough, and what is missing."""
+    n = rows.agg(F.count_if(wanted).alias("wanted"), F.count_if(unwanted).alias("unwanted"))
+    w, u = F.greatest(F.lit(0), MARKS_EACH - F.col("wanted")), F.greatest(F.lit(0), MARKS_EACH - F.col("unwanted"))
+    more = F.concat_ws(" and ", F.when(w > 0, F.concat(w.cast("string"), F.lit(" more wanted"))), F.when(u > 0, F.concat(u.cast("string"), F.lit(" more to leave"))))
+    return n.select("wanted", "unwanted", ((w == 0) & (u == 0)).alias("ready"), more.alias("missing"))
+
+
+def find_similar(rows: DataFrame, threshold: float = SIMILAR_FROM, k: int = NEIGHBOURS) -> DataFrame:
+    """(id, score, candidate) of the undecided rows, from rows (id, v, usable, label: 1 wanted, 0 not, null undecided).
+
+    Rows that couldn't be measured are left out and not counted as unlike; without MARKS_EACH marks of either kind, or without a
+    measured example of either, there are no rows.
+    """
+    enough = rows.agg((F.count_if(F.col("label") == 1) >= MARKS_EACH).alias("a"), (F.count_if(F.col("label") == 0) >= MARKS_EACH).alias("b"),
+                      F.count_if(F.col("usable") & (F.col("label") == 1)).alias("p"), F.count_if(F.col("usable") & (F.col("label") == 0)).alias("q")).first()
+    z = standard_rows(rows, F.col("usable")).select("id", "v", "label")
+    marked = z.filter("label IS NOT NULL").select("id", "v", (F.col("label") == 1).alias("positive"))
+    open_rows = z.filter("label IS NULL")
+    if not (enough.a and enough.b and enough.p and enough.q):
+        open_rows, marked = open_rows.limit(0), marked.limit(0)
+    near = nearest_examples(open_rows.select("id", "v"), marked, "v", k, "id", False)
+    return near.select("id", knn_score(F.col("near")).alias("score")).withColumn("candidate", F.col("score") >= threshold)
+
+
+def apply_scores(rows: DataFrame, scores: DataFrame, version: str, scored_at: Column, id_col: str = "id") -> DataFrame:
+    """Rows with `detection` (score, version, time) of those that were scored; the others keep what they had."""
+    found = F.struct(F.col("__score").alias("score"), F.lit(version).alias("model_version"), scored_at.alias("scored_at"))
+    old = F.col("detection") if "detection" in rows.columns else F.lit(None)
+    joined = rows.join(scores.select(F.col(id_col), F.col("score").alias("__score")), id_col, "left")
+    return joined.withColumn("detection", F.when(F.col("__score").isNotNull(), found).otherwise(old)).drop("__score")
+
+
+def fit_report(fit: DataFrame, loo: DataFrame) -> DataFrame:
+    """One row: how many features count, the accuracy, the verdict (nothing counts: indistinguishable) and its message kind."""
+    used = fit.agg(F.count("*").alias("features"), F.count_if(F.col("weight") > 0).alias("used"))
+    j = used.join(F.broadcast(loo.select("n", "accuracy")))
+    verdict = F.when(F.col("used") == 0, "indistinguishable").when(F.col("accuracy") >= 0.9, "clear").when(F.col("accuracy") >= 0.7, "weak").otherwise("indistinguishable")
+    said = F.when(verdict == "clear", F.concat(F.lit("Separated by "), F.col("used").cast("string"), F.lit(" of "), F.col("features").cast("string"), F.lit(" measurements.")))
+    said = said.when(verdict == "weak", "Separated in part only.").when(F.col("used") == 0, "The marked rows look alike.").otherwise("The two sets can't be told apart.")
+    return j.select("n", "features", "used", "accuracy", verdict.alias("verdict"), said.alias("message"))
+
+
+def ranked_features(fit: DataFrame) -> DataFrame:
+    """Features that count, the heaviest first."""
+    return fit.filter("weight > 0").select("f", "weight").orderBy(F.col("weight").desc(), "f")
+
+
+def explain(rows: DataFrame, fit: DataFrame, vector: str = "v", limit: int = 3) -> DataFrame:
+    """Append `drivers`: the heaviest features that count, with the row's value of each."""
+    best = F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "f")))
+    packed = fit.filter("weight > 0").agg(F.slice(best, 1, limit).alias("__best"))
+    return rows.join(F.broadcast(packed)).withColumn("drivers", F.transform("__best", lambda e: F.struct(e["f"].alias("f"), F.get(F.col(vector), e["f"]).alias("value")))).drop("__best")

@@ -86,6 +86,56 @@ def drivers_by_feature(spark, sf_dir):
     return outlier_scan(spark, sf_dir).groupBy("f").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "f")
 
 
+def _labelled(spark, sf_dir):
+    """Embeddings as cells: every eleventh can't be measured; label 1 is wanted, 0 is not, others are undecided."""
+    return _rows(spark, sf_dir).select("id", "v", (F.col("id") % 11 > 0).alias("usable"), F.when((F.col("label") < 2) & (F.col("id") % 3 == 0), F.col("label")).alias("label"))
+
+
+def find_similar(spark, sf_dir):
+    return ln.find_similar(_labelled(spark, sf_dir)).select("id", F.round("score", 6).alias("score"), "candidate")
+
+
+def similar_ready(spark, sf_dir):
+    """Whether labels hold enough marks, a label as the wanted one."""
+    rows = _labelled(spark, sf_dir)
+    return ln.ready(rows, F.col("label") == 1, (F.col("label") == 0) & (F.col("id") < 60))
+
+
+def candidate_totals(spark, sf_dir):
+    """Area and litres of all candidates, a cell of 36 square metres and more each."""
+    c = ln.find_similar(_labelled(spark, sf_dir)).filter("candidate").select("id")
+    cells = _rows(spark, sf_dir).select("id", (F.lit(36) + F.col("id") % 5).alias("area_m2")).join(c, "id", "left_semi")
+    area = F.coalesce(F.sum("area_m2"), F.lit(0))
+    return cells.agg(area.alias("area_m2"), (area / 10_000 * 12.5).alias("volume_l"), F.count("*").alias("count"))
+
+
+def applied_scores(spark, sf_dir):
+    rows = _labelled(spark, sf_dir)
+    out = ln.apply_scores(rows.select("id"), ln.find_similar(rows), ln.KNN_VERSION, F.lit("2024-01-01T00:00:00Z"))
+    return out.select("id", F.round("detection.score", 6).alias("score"), F.col("detection.model_version").alias("model_version"), F.col("detection.scored_at").alias("scored_at"))
+
+
+def match_report(spark, sf_dir):
+    return ln.fit_report(_fit(spark, sf_dir), centroid_loo(spark, sf_dir))
+
+
+def match_preview(spark, sf_dir):
+    """Each row's score by the fitted model; rows that can't be measured have none."""
+    rows = _rows(spark, sf_dir).withColumn("usable", F.col("id") % 11 > 0)
+    scored = ln.centroid_score(rows.filter("usable"), _fit(spark, sf_dir), "v").select("id", "score")
+    return rows.select("id").join(scored, "id", "left").select("id", F.round("score", 9).alias("score"))
+
+
+def ranked_features(spark, sf_dir):
+    return ln.ranked_features(_fit(spark, sf_dir)).select("f", F.round("weight", 9).alias("weight"))
+
+
+def top_drivers(spark, sf_dir):
+    """The three heaviest features of the model, with each row's value."""
+    d = ln.explain(_rows(spark, sf_dir).select("id", "v"), _fit(spark, sf_dir))
+    return d.select("id", F.posexplode("drivers").alias("place", "d")).select("id", "place", "d.f", "d.value")
+
+
 _V = "r AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1000) AS BIGINT)) AS v FROM embeddings)"
 _F = _V + ", feats AS (SELECT id, label, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS f, unnest(v) AS x FROM r)"
 _SD = "sqrt(greatest(0, CAST(n * s2 - s1 * s1 AS DOUBLE) / CAST(n * greatest(1, n - 1) AS DOUBLE)))"
@@ -103,11 +153,24 @@ _OUT = """med AS (SELECT f, list_sort(list(x))[CAST(floor(count(*) / 2) AS BIGIN
  z AS (SELECT id, f, abs(x - med) / mad AS z FROM feats JOIN mad USING (f) WHERE mad >= 1e-9),
  o AS (SELECT id, round(z, 9) AS z, f FROM z WHERE z >= 2.5 QUALIFY row_number() OVER (PARTITION BY id ORDER BY z.z DESC, f) = 1)"""
 
+_SIM = _F + """, lab AS (SELECT id, CASE WHEN label < 2 AND id % 3 = 0 THEN label END AS label FROM r WHERE id % 11 > 0), um AS (SELECT f, CAST(s1 AS DOUBLE) / n AS mean, sqrt(greatest(0, CAST(n * s2 - s1 * s1 AS DOUBLE) / CAST(n * greatest(1, n - 1) AS DOUBLE))) AS sd
+ FROM (SELECT f, count(*) AS n, CAST(sum(x) AS BIGINT) AS s1, CAST(sum(x * x) AS BIGINT) AS s2 FROM feats WHERE id % 11 > 0 GROUP BY f)),
+ zz AS (SELECT id, list((x - mean) / CASE WHEN sd > 1e-9 THEN sd ELSE 1 END ORDER BY f) AS z FROM feats JOIN um USING (f) WHERE id % 11 > 0 GROUP BY id), lz AS (SELECT * FROM zz JOIN lab USING (id)),
+ pz AS (SELECT a.id, b.label = 1 AS positive, b.id AS eid, list_sum(list_transform(list_zip(a.z, b.z), lambda q: (q[1] - q[2]) * (q[1] - q[2]))) AS d2 FROM lz a JOIN lz b ON a.label IS NULL AND b.label IS NOT NULL),
+ tz AS (SELECT *, 1 / (d2 + 1e-6::DOUBLE) AS w FROM pz QUALIFY row_number() OVER (PARTITION BY id ORDER BY d2, eid) <= 3), sim AS (SELECT id, coalesce(sum(w) FILTER (positive), 0) / sum(w) AS score FROM tz GROUP BY id)"""
+
 QUERIES = {
     f.__name__: f
-    for f in (field_moments, zscore, knn_score, similar_candidates, knn_loo, shrunken_weights, centroid_score, centroid_loo, outlier_scan, zonal_stats, drivers_by_feature)
+    for f in (field_moments, zscore, knn_score, similar_candidates, knn_loo, shrunken_weights, centroid_score, centroid_loo, outlier_scan, zonal_stats, drivers_by_feature, find_similar, similar_ready, candidate_totals, applied_scores, match_report, match_preview, ranked_features, top_drivers)
 }
 ORACLES = {
+    "find_similar": f"WITH {_SIM} SELECT id, round(score, 6) AS score, score >= 0.65 AS candidate FROM sim",
+    "similar_ready": """WITH l AS (SELECT vec_id AS id, CASE WHEN label < 2 AND vec_id % 3 = 0 THEN label END AS label FROM embeddings), n AS (SELECT count(*) FILTER (label = 1) AS wanted, count(*) FILTER (label = 0 AND id < 60) AS unwanted FROM l)
+        SELECT wanted, unwanted, wanted >= 3 AND unwanted >= 3 AS ready, concat_ws(' and ', CASE WHEN wanted < 3 THEN (3 - wanted) || ' more wanted' END, CASE WHEN unwanted < 3 THEN (3 - unwanted) || ' more to leave' END) AS missing FROM n""",
+    "candidate_totals": f"WITH {_SIM} SELECT CAST(coalesce(sum(36 + id % 5), 0) AS BIGINT) AS area_m2, coalesce(sum(36 + id % 5), 0) / 10000 * 12.5 AS volume_l, count(*) AS count FROM sim WHERE score >= 0.65",
+    "applied_scores": f"WITH {_SIM} SELECT r.id, round(score, 6) AS score, CASE WHEN score IS NOT NULL THEN 'knn-1' END AS model_version, CASE WHEN score IS NOT NULL THEN '2024-01-01T00:00:00Z' END AS scored_at FROM r LEFT JOIN sim USING (id)",
+    "ranked_features": f"WITH {_F}, {_FIT} SELECT f, round(weight, 9) AS weight FROM fit WHERE weight > 0",
+    "top_drivers": f"WITH {_F}, {_FIT}, b AS (SELECT f, CAST(row_number() OVER (ORDER BY weight DESC, f) - 1 AS INTEGER) AS place FROM fit WHERE weight > 0) SELECT id, place, f, x AS value FROM feats JOIN b USING (f) WHERE place < 3",
     "field_moments": f"WITH {_F}, {_M} SELECT f, n, mean, sd FROM moments",
     "zscore": f"WITH {_F}, {_M} SELECT id, f, (x - mean) / CASE WHEN sd > 1e-9 THEN sd ELSE 1 END AS z FROM feats JOIN moments USING (f)",
     "knn_score": f"WITH {_V}, {_KNN.format(cond='a.label >= 2')} SELECT id, round(score, 9) AS score FROM s",
@@ -131,3 +194,9 @@ ORACLES = {
         v[least(CAST(floor(n * 0.1::DOUBLE) AS BIGINT), n - 1) + 1] AS p10, v[least(CAST(floor(n * 0.9::DOUBLE) AS BIGINT), n - 1) + 1] AS p90,
         v[CAST(floor(n / 2) AS BIGINT) + 1] AS med, n >= 30 AS usable FROM g""",
 }
+ORACLES["match_preview"] = "SELECT e.vec_id AS id, s.score FROM embeddings e LEFT JOIN (" + ORACLES["centroid_score"] + ") s ON s.id = e.vec_id AND e.vec_id % 11 > 0"
+ORACLES["match_report"] = (
+    "SELECT l.n, w.features, w.used, l.accuracy, CASE WHEN used = 0 THEN 'indistinguishable' WHEN accuracy >= 0.9 THEN 'clear' WHEN accuracy >= 0.7 THEN 'weak' ELSE 'indistinguishable' END AS verdict,"
+    " CASE WHEN used > 0 AND accuracy >= 0.9 THEN 'Separated by ' || used || ' of ' || features || ' measurements.' WHEN used > 0 AND accuracy >= 0.7 THEN 'Separated in part only.' WHEN used = 0 THEN 'The marked rows look alike.' ELSE 'The two sets can''t be told apart.' END AS message"
+    " FROM (" + ORACLES["centroid_loo"] + ") l, (SELECT count(*) AS features, count(*) FILTER (weight > 0) AS used FROM (" + ORACLES["shrunken_weights"] + ")) w"
+)
