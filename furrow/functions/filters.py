@@ -122,3 +122,28 @@ def normalised(value: Column, lower: bool = False) -> Column:
     """Trimmed, null if nothing is left."""
     trimmed = F.nullif(F.trim(value), F.lit(""))
     return F.lower(trimmed) if lower else trimmed
+
+
+#: Most images of a scan. Fixed value.
+MAX_IMAGES = 200
+UNCLASSIFIED = "Unclassified"
+
+
+def deny_all(rows: DataFrame) -> DataFrame:
+    """No row, whoever asks: a table that only its owner's service may read."""
+    return rows.filter(F.lit(False))
+
+
+def check_row(status: Column, allowed: list[str], model: Column, only_with: str) -> Column:
+    """Whether a row satisfies its table's checks: a listed status (null passes, as checks do), and a model with one status only."""
+    return F.coalesce(status.isin(allowed), F.lit(True)) & (model.isNull() | F.coalesce(status == only_with, F.lit(True)))
+
+
+def image_cap(reported: Column, most: int = MAX_IMAGES) -> Column:
+    """The limit that holds now: a node's own where it reports a positive one, never above the general one."""
+    return F.when(reported > 0, F.least(reported, F.lit(most))).otherwise(F.lit(most))
+
+
+def class_label(issue: Column) -> Column:
+    """What a treated zone without a class is called."""
+    return F.coalesce(issue, F.lit(UNCLASSIFIED))

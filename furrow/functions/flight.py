@@ -152,3 +152,8 @@ def empty_at(fractions: Column, legs: Column) -> Column:
     total = F.aggregate(legs, F.lit(0.0), lambda s, x: s + x)
     sums = F.transform(legs, lambda _, i: F.aggregate(F.slice(legs, 1, i + 1), F.lit(0.0), lambda s, x: s + x))
     return F.transform(fractions, lambda f: F.nullif(F.size(F.filter(sums, lambda s: s < f * total)), F.size(legs)))
+
+
+def cell_size(swath_m: Column, multiple: Column) -> Column:
+    """Metres of a cell: whole swaths, at least one."""
+    return swath_m * F.greatest(F.lit(1.0), multiple)

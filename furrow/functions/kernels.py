@@ -199,17 +199,28 @@ def shortest_path(free: np.ndarray, start: tuple[int, int], goal: tuple[int, int
     return out[::-1]
 
 
+def recurrence(keep: np.ndarray, add: np.ndarray) -> np.ndarray:
+    """s[i] = keep[i] * s[i-1] + add[i] from s[-1] = 0, in logarithmically many vector steps; keep is within 0..1, so nothing grows."""
+    a, b, d = keep.astype(float), add.astype(float), 1
+    while d < len(b):
+        b[d:], a[d:] = b[d:] + a[d:] * b[:-d], a[d:] * a[:-d]
+        d *= 2
+    return b
+
+
 def order_stops(points: np.ndarray, home: np.ndarray, sweeps: int = 12) -> list[int]:
-    """A short closed tour from home: nearest neighbour, then reversals that shorten it, in at most `sweeps` rounds."""
+    """A short closed tour from home: nearest neighbour, then reversals that shorten it, in at most `sweeps` rounds. Distances are
+    computed as they are needed, a row at a time."""
     n = len(points)
     if not n:
         return []
     full = np.vstack([home, points])
-    dist = np.hypot(*(full[:, None, :] - full[None, :, :]).transpose(2, 0, 1))
-    left, order, here = set(range(1, n + 1)), [], 0
-    while left:
-        here = min(left, key=lambda j: (dist[here, j], j))
-        left.discard(here)
+    far = lambda i, js: np.hypot(full[js, 0] - full[i, 0], full[js, 1] - full[i, 1])
+    left, order, here = np.arange(1, n + 1), [], 0
+    while len(left):
+        k = int(np.argmin(far(here, left)))
+        here = int(left[k])
+        left = np.delete(left, k)
         order.append(here)
     tour = np.array([0, *order, 0])
     for _ in range(sweeps):
@@ -217,7 +228,8 @@ def order_stops(points: np.ndarray, home: np.ndarray, sweeps: int = 12) -> list[
         for i in range(1, n):
             a, b = tour[i - 1], tour[i]
             js = np.arange(i + 1, n + 1)
-            gain = dist[a, b] + dist[tour[js], tour[js + 1]] - dist[a, tour[js]] - dist[b, tour[js + 1]]
+            here, after = tour[js], tour[js + 1]
+            gain = far(a, np.array([b]))[0] + np.hypot(*(full[here] - full[after]).T) - far(a, here) - far(b, after)
             k = int(np.argmax(gain)) if len(gain) else 0
             if len(gain) and gain[k] > 1e-6:
                 j = int(js[k])
@@ -226,3 +238,72 @@ def order_stops(points: np.ndarray, home: np.ndarray, sweeps: int = 12) -> list[
         if not better:
             break
     return (tour[1:-1] - 1).tolist()
+
+
+#: Metres of a degree, as everywhere on the plane.
+_DEGREE = 111_320.0
+#: The ways round a fragment, by the ends fa, fb, la, lb: where it begins and where it ends. Two and three run the passes backwards, one
+#: and three each pass.
+STARTS, ENDS = (0, 1, 2, 3), (3, 2, 1, 0)
+
+
+def metres(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Planar metres between places (lat, lng), at their middle latitude."""
+    dx = (q[..., 1] - p[..., 1]) * np.cos(np.radians((p[..., 0] + q[..., 0]) / 2))
+    return np.hypot(dx, q[..., 0] - p[..., 0]) * _DEGREE
+
+
+def tour_cost(order: list[int], corners: np.ndarray, home: np.ndarray) -> tuple[float, list[int]]:
+    """The least transit of a given order from home and back, and the way round each fragment that gives it: a shortest path over four
+    states a fragment."""
+    if not order:
+        return 0.0, []
+    cost, back = metres(home, corners[order[0]][list(STARTS)]), []
+    for i, j in zip(order, order[1:], strict=False):
+        step = cost[:, None] + metres(corners[i][list(ENDS)][:, None], corners[j][list(STARTS)][None, :])
+        back.append(step.argmin(axis=0))
+        cost = step.min(axis=0)
+    cost = cost + metres(corners[order[-1]][list(ENDS)], home)
+    at = int(cost.argmin())
+    total, choice = float(cost[at]), [at]
+    for came in reversed(back):
+        at = int(came[at])
+        choice.append(at)
+    return total, choice[::-1]
+
+
+def service_cost(order: list[int], spray: np.ndarray, centres: np.ndarray, stations: np.ndarray, dry_at: tuple[float, ...]) -> float:
+    """Twice the way from where each load runs out to the nearest station."""
+    total, cost = float(spray[order].sum()), 0.0
+    if not len(stations) or total <= 0:
+        return 0.0
+    ends = np.cumsum(spray[order])
+    for f in dry_at:
+        if 0 < f < 1:
+            at = order[min(len(order) - 1, int(np.searchsorted(ends, total * f)))]
+            cost += 2 * float(metres(centres[at], stations).min())
+    return cost
+
+
+def order_fragments(corners: np.ndarray, spray: np.ndarray, centres: np.ndarray, home: np.ndarray, stations: np.ndarray, dry_at: tuple[float, ...] = (), sweeps: int = 12) -> tuple[list[int], list[int], float]:
+    """(order, ways round, cost): nearest neighbour from home, then reversals of runs while they gain, the cost being that of the best ways
+    round, the way home and the trips to the stations."""
+    left, order, here = list(range(len(corners))), [], home
+    while left:
+        reach = metres(here, corners[left][:, list(STARTS)])
+        k, o = divmod(int(reach.argmin()), 4)
+        here = corners[left[k]][ENDS[o]]
+        order.append(left.pop(k))
+    total = lambda x: tour_cost(x, corners, home)[0] + service_cost(x, spray, centres, stations, dry_at)
+    cost = total(order) if order else 0.0
+    for _ in range(sweeps):
+        better = False
+        for i in range(len(order) - 1):
+            for j in range(i + 1, len(order)):
+                trial = order[:i] + order[i : j + 1][::-1] + order[j + 1 :]
+                c = total(trial)
+                if c < cost - 1e-6:
+                    order, cost, better = trial, c, True
+        if not better:
+            break
+    return order, tour_cost(order, corners, home)[1], cost

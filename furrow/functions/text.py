@@ -120,3 +120,38 @@ def weather_text(code: Column) -> Column:
 
 def weather_icon(code: Column) -> Column:
     return _by_code(code, 2)
+
+
+def boundary_hash(rings: Column) -> Column:
+    """Fingerprint of an outline at about a centimetre: each vertex to seven decimals, an underscore after each ring; not padded."""
+    vertex = lambda p: F.format_string("%.7f,%.7f;", p["lat"], p["lng"])
+    text = F.array_join(F.transform(rings, lambda r: F.concat(F.array_join(F.transform(r, vertex), ""), F.lit("_"))), "")
+    return base36(fnv1a(text))
+
+
+def money(amount: Column, code: Column, digits: int = 2) -> Column:
+    """An amount with its currency's code; locales and symbols are left to the screen."""
+    return F.concat(F.format_string(f"%.{digits}f", amount.cast("double")), F.lit(" "), code)
+
+
+def place_key(kind: str, lat: Column, lng: Column) -> Column:
+    """Key of what is stored for a place, to three decimals."""
+    return F.concat(F.lit(kind + ":"), F.format_string("%.3f", lat), F.lit(","), F.format_string("%.3f", lng))
+
+
+def reason_text(reason: Column) -> Column:
+    """One reason against spraying as a sentence, in metric units (wind in km/h)."""
+    v, limit, kind = reason["value"], reason["limit"], reason["kind"]
+    n = lambda x, d: F.format_string(f"%.{d}f", x)
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    whole = F.floor(v + 0.5).cast("string")
+    return (
+        F.when((kind == "wind") & (reason["severity"] == "hard"), say("Wind ", n(v, 1), " km/h, over the ", n(limit, 1), " km/h limit"))
+        .when(kind == "wind", say("Wind ", n(v, 1), " km/h, close to the ", n(limit, 1), " km/h limit"))
+        .when(kind == "gust", say("Gusts ", n(v, 1), " km/h, over the ", n(limit, 1), " km/h limit"))
+        .when(kind == "rain", say(n(v, 1), " mm of rain due within 6 hours"))
+        .when(kind == "cold", say("Too cold at ", n(v, 0), " \u00b0C, minimum ", n(limit, 0), " \u00b0C"))
+        .when(kind == "hot", say("Warm at ", n(v, 0), " \u00b0C, evaporation and drift risk"))
+        .when(kind == "humidity-low", say("Humidity ", whole, "%, below the ", n(limit, 0), "% target"))
+        .when(kind == "humidity-high", say("Humidity ", whole, "%, above the ", n(limit, 0), "% target"))
+    )

@@ -43,3 +43,12 @@ def decimals(value: Column, most: int = 3) -> Column:
 def half_up(value: Column) -> Column:
     """To whole numbers, halves toward plus infinity."""
     return F.floor(value + 0.5)
+
+
+def mph_shown(kmh: Column) -> Column:
+    """As the weather screen rounds it."""
+    return kmh * FORECAST_KMH_TO_MPH
+
+
+def inches(mm: Column) -> Column:
+    return mm / 25.4

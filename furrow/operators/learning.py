@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 #: Labelled examples that are broadcast at once, and rows that meet them in one product.
 EXAMPLES_EACH, ROWS_EACH = 16_384, 256
 DELTA = 0.5
+#: Equal widths that a key's values fall into before any are sorted.
+VALUE_BINS = 256
 OUTLIER_Z, OUTLIER_MIN_ROWS, MAD_SCALE = 3.5, 8, 1.4826
 
 
@@ -48,16 +50,32 @@ def standardise(features: DataFrame, floor: float = 1e-9) -> DataFrame:
 
 
 def order_statistic(rows: DataFrame, keys: list[str], value: str, **ranks: Column) -> DataFrame:
-    """Exact elements of each key's sorted values: name -> rank from 0, as a Column of `n`.
+    """Exact elements of each key's sorted values: name -> rank from 0, as a Column of `n`. Rows with a null key or value take no part.
 
-    Works on the histogram of values, which is pre-aggregated before the shuffle; no list of a key's
-    values is ever built.
+    Works on the histogram of values, which is pre-aggregated before the shuffle. Values fall into VALUE_BINS equal widths a key;
+    counts of the bins tell which of them hold the ranks, and only those are sorted, each on its own, so few keys with very
+    many values still spread.
     """
-    hist = rows.groupBy(*keys, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*keys).orderBy(value)
-    cum = hist.withColumn("hi", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(*keys)))
-    pick = [F.min(F.when(F.col("hi") > r, F.col(value))).alias(name) for name, r in ranks.items()]
-    return cum.groupBy(*keys).agg(F.max("n").alias("n"), *pick)
+    known = F.col(value).isNotNull()
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    hist = rows.filter(known).groupBy(*keys, value).agg(F.count("*").alias("__c"))
+    reach = hist.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.sum("__c").alias("n"))
+    share = (F.col(value) - F.col("__lo")).cast("double") / (F.col("__hi") - F.col("__lo")).cast("double")
+    bin_ = F.when(F.col("__hi") > F.col("__lo"), F.least(F.floor(share * VALUE_BINS), F.lit(VALUE_BINS - 1))).otherwise(F.lit(0).cast("long"))
+    placed = hist.join(reach, keys).withColumn("__bin", bin_)
+    bins = placed.groupBy(*keys, "__bin", "n").agg(F.sum("__c").alias("__b"))
+    before = F.sum("__b").over(Window.partitionBy(*keys).orderBy("__bin")) - F.col("__b")  # at most VALUE_BINS rows a key
+    held = [(F.col("__from") <= r) & (r < F.col("__from") + F.col("__b")) for r in ranks.values()]
+    wanted = bins.withColumn("__from", before)
+    some = held[0]
+    for h in held[1:]:
+        some = some | h
+    wanted = wanted.filter(some).select(*keys, "__bin", "__from")
+    upto = F.sum("__c").over(Window.partitionBy(*keys, "__bin").orderBy(value)) + F.col("__from")
+    found = placed.join(wanted, [*keys, "__bin"]).withColumn("__upto", upto)
+    pick = [F.min(F.when((F.col("__upto") > r) & (F.col("__upto") - F.col("__c") <= r), F.col(value))).alias(name) for name, r in ranks.items()]
+    return found.groupBy(*keys).agg(F.max("n").alias("n"), *pick)
 
 
 def nearest_rank(q: float) -> Column:

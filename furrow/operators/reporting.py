@@ -20,27 +20,40 @@ ISSUE_INPUT = {
     "bare_soil": "reseeding",
     "waterlogging": None,
 }
-#: Ordered tests of an issue's text; the first that matches wins. Fixed values.
-ISSUE_PATTERNS = [
-    (r"water|drain|saturat|pond", "waterlogging"),
-    (r"bare|reseed|gap|establish", "bare_soil"),
-    (r"nitrogen|\bn\s+def", "nitrogen_deficiency"),
-    (r"phosphor|\bp\s+def", "phosphorus_deficiency"),
-    (r"potass|\bk\s+def", "potassium_deficiency"),
-    (r"weed|herbicid", "weed_pressure"),
-    (r"disease|fung|blight|rust|mildew", "disease"),
-    (r"pest|insect|aphid|worm|beetle", "pest_damage"),
-    (r"fertili", "nitrogen_deficiency"),
+#: Ordered tests of an issue's text: parts of words, a letter that stands alone before "def...", and the key; the first that
+#: holds wins. Fixed values.
+ISSUE_TESTS = [
+    ("water drain saturat pond", None, "waterlogging"),
+    ("bare reseed gap establish", None, "bare_soil"),
+    ("nitrogen", "n", "nitrogen_deficiency"),
+    ("phosphor", "p", "phosphorus_deficiency"),
+    ("potass", "k", "potassium_deficiency"),
+    ("weed herbicid", None, "weed_pressure"),
+    ("disease fung blight rust mildew", None, "disease"),
+    ("pest insect aphid worm beetle", None, "pest_damage"),
+    ("fertili", None, "nitrogen_deficiency"),
 ]
 
 
 def issue_cost_key(issue: Column, action: Column | None = None) -> Column:
-    """The first pattern that the lower-cased issue and action match; null if none does."""
-    text = F.lower(F.concat_ws(" ", F.coalesce(issue, F.lit("")), F.coalesce(action, F.lit("")) if action is not None else F.lit("")))
-    out = F.lit(None).cast("string")
-    for pattern, key in reversed(ISSUE_PATTERNS):
-        out = F.when(text.rlike(pattern), key).otherwise(out)
-    return out
+    """The key of the first test that the lower-cased issue and action pass; null if none does.
+
+    The text is lowered once, and words are looked for as plain text, which is several times faster than patterns.
+    """
+    text = F.concat_ws(" ", F.coalesce(issue, F.lit("")), F.coalesce(action, F.lit("")) if action is not None else F.lit(""))
+
+    def first(low: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for words, letter, key in reversed(ISSUE_TESTS):
+            hit = F.lit(False)
+            for w in words.split():
+                hit = hit | F.contains(low, F.lit(w))
+            if letter:
+                hit = hit | (F.contains(low, F.lit("def")) & low.rlike(rf"\b{letter}\s+def"))
+            out = F.when(hit, key).otherwise(out)
+        return out
+
+    return F.transform(F.array(F.lower(text)), first)[0]
 
 
 def issue_input(key: Column) -> Column:
@@ -119,7 +132,7 @@ def union_tagged(**sources: DataFrame) -> DataFrame:
 
 
 def bucket_by_day(rows: DataFrame, time: str, item: str, tz: str = "UTC") -> DataFrame:
-    """Items of each local day in the order of time."""
+    """(day, place, item): items of each local day, numbered in the order of time. Rows and not a list a day, so a day may hold any number."""
     day = F.date_format(F.from_utc_timestamp(time, tz), "yyyy-MM-dd")
-    listed = F.transform(F.array_sort(F.collect_list(F.struct(time, item))), lambda x: x[item])
-    return rows.groupBy(day.alias("day")).agg(listed.alias("items"))
+    w = Window.partitionBy("day").orderBy(time, item)
+    return rows.select(day.alias("day"), time, item).withColumn("place", F.row_number().over(w)).select("day", "place", item)

@@ -10,13 +10,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from furrow.functions import geo, rules
 from furrow.functions import kernels as kn
-from furrow.functions import rules
 from furrow.functions.flight import turn_seconds
 
 #: Ceilings above which a field is refused. Fixed values.
 MAX_CELLS, MAX_CANDIDATES = 20_000, 80_000
 SLIVER_SHARE = 0.01
+#: A selection never grows by more than this share, whatever is asked for. Fixed value.
+MAX_GROWTH = 0.25
 
 
 @dataclass(frozen=True)
@@ -46,7 +48,7 @@ class GridTooLarge(ValueError):
 def tank_profile(segments: pd.DataFrame, start_litres: float, craft: Craft = Craft(), rho: float = 1.2, dt: float = 0.25) -> pd.DataFrame:
     """Samples every `dt` seconds of a mission's segments (t_start, t_end, speed, spray): litres, mass, slosh, amps.
 
-    All but the slosh is a vector expression of time; the slosh relaxes toward its target step by step.
+    All is vector expressions of time; the slosh, which relaxes toward its target, is a linear recurrence.
     """
     seg = segments.sort_values("t_start")
     total = float(seg.t_end.max()) if len(seg) else 0.0
@@ -64,10 +66,7 @@ def tank_profile(segments: pd.DataFrame, start_litres: float, craft: Craft = Cra
     pitch = np.clip(np.degrees(np.arctan2(accel, 9.80665)), -craft.max_pitch_deg, craft.max_pitch_deg)
     target = np.where(fill > 0, pitch / craft.max_pitch_deg * fill * craft.slosh_max_cm, 0.0)
     share = np.where(fill > 0, 1 - np.exp(-dt / np.maximum(0.15, craft.slosh_tau_s * (0.35 + 0.65 * fill))), 1.0)
-    slosh = np.zeros(len(t))
-    for i in range(len(t)):
-        before = slosh[i - 1] if i else 0.0
-        slosh[i] = before + (target[i] - before) * share[i]
+    slosh = kn.recurrence(1 - share, target * share)
     cog = (fill - 1) * craft.static_offset_cm + slosh
     mass = craft.dry_kg + litres * craft.density
     hover = (np.maximum(1.0, mass) * 9.80665) ** 1.5 / np.sqrt(2 * max(rho, 0.3) * craft.rotor_m2)
@@ -104,6 +103,39 @@ def tours(stops: DataFrame, mission: str, stop: str, home: tuple[float, float] =
     return stops.select(mission, stop, "x", "y").groupBy(mission).applyInPandas(run, f"{mission} {kinds[mission]}, {stop} {kinds[stop]}, seq int")
 
 
+def fragment_ends(segments: DataFrame, *keys: str) -> DataFrame:
+    """A row a fragment of (keys, lane, nth, a, b): the four ends where it can be entered and left, its sprayed metres and its centre."""
+    down = F.struct(-F.col("lane"), F.col("nth"))
+    d = geo.planar_distance(F.col("a.lat"), F.col("a.lng"), F.col("b.lat"), F.col("b.lng"))
+    ends = {"fa": F.min_by("a", "nth"), "fb": F.max_by("b", down), "la": F.min_by("a", down), "lb": F.max_by("b", "nth")}
+    middle = [F.avg((F.col(f"a.{c}") + F.col(f"b.{c}")) / 2).alias(f"c_{c}") for c in ("lat", "lng")]
+    s = segments.groupBy(*keys).agg(*[v.alias(k) for k, v in ends.items()], F.sum(d).alias("spray_m"), *middle)
+    return s.select(*keys, *[F.col(f"{e}.{c}").alias(f"{e}_{c}") for e in ends for c in ("lat", "lng")], "spray_m", "c_lat", "c_lng")
+
+
+def fragment_tours(ends: DataFrame, mission: str, fragment: str, home: tuple[float, float], pads: tuple = (), dry_at: tuple[float, ...] = ()) -> DataFrame:
+    """(mission, fragment, seq, rev, flip, cost_m): the order of a mission's fragments and the way round each of them.
+
+    A mission's fragments are as many as its route may hold; missions spread over the cluster. `dry_at` are shares of sprayed distance at
+    which a load runs out: the trip from there to the nearest pad (home is one) counts for the order.
+    """
+    kinds = {c: ends.schema[c].dataType.simpleString() for c in (mission, fragment)}
+    columns = [f"{e}_{c}" for e in ("fa", "fb", "la", "lb") for c in ("lat", "lng")]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(fragment)
+        corners = rows[columns].to_numpy(float).reshape(-1, 4, 2)
+        stations = np.array([home, *pads], float)
+        order, choice, cost = kn.order_fragments(corners, rows["spray_m"].to_numpy(float), rows[["c_lat", "c_lng"]].to_numpy(float), np.array(home, float), stations, dry_at)
+        out = rows.iloc[order][[mission, fragment]].copy()
+        out["seq"] = np.arange(len(out), dtype=np.int32)
+        out["rev"], out["flip"] = np.array(choice) >= 2, np.array(choice) % 2 == 1
+        out["cost_m"] = cost
+        return out
+
+    return ends.groupBy(mission).applyInPandas(run, f"{mission} {kinds[mission]}, {fragment} {kinds[fragment]}, seq int, rev boolean, flip boolean, cost_m double")
+
+
 def outlines(cells: DataFrame, zone: str) -> DataFrame:
     """(zone, loop, area, points): boundary loops of each zone's cells (col, row); holes have negative area."""
     kind = cells.schema[zone].dataType.simpleString()
@@ -118,8 +150,8 @@ def outlines(cells: DataFrame, zone: str) -> DataFrame:
 def lattice(fields: DataFrame, field: str, size: float) -> DataFrame:
     """(field, col, row, area, clipped) of a field's ring (array<array<double>> of x, y) cut into square cells.
 
-    Candidate cells are exploded natively from the ring's box, and dealt out by cell; each is clipped on its own, those wholly
-    inside without clipping. Slivers below a hundredth of a cell go.
+    Candidate cells are exploded natively from the ring's box. Those with all corners inside are whole and stay in the engine; the others,
+    about the ring, are clipped in Arrow batches. Slivers below a hundredth of a cell go.
     """
     xs, ys = F.transform("ring", lambda p: p[0]), F.transform("ring", lambda p: p[1])
     box = fields.select(field, "ring", *[F.floor(f(v) / size).cast("int").alias(n) for n, f, v in (("c0", F.array_min, xs), ("c1", F.array_max, xs), ("r0", F.array_min, ys), ("r1", F.array_max, ys))])
@@ -127,6 +159,11 @@ def lattice(fields: DataFrame, field: str, size: float) -> DataFrame:
     checked = box.withColumn("c0", F.when(n <= MAX_CANDIDATES, F.col("c0")).otherwise(F.raise_error(F.lit("a field has too many cells")).cast("int")))
     cells = checked.withColumn("col", F.explode(F.sequence("c0", "c1"))).withColumn("row", F.explode(F.sequence("r0", "r1"))).select(field, "ring", "col", "row")
     kind = fields.schema[field].dataType.simpleString()
+    as_ring = F.transform("ring", lambda p: F.struct(p[1].alias("lat"), p[0].alias("lng")))
+    corner = lambda dx, dy: geo.point_in_ring((F.col("row") + dy) * F.lit(float(size)), (F.col("col") + dx) * F.lit(float(size)), as_ring)
+    judged = cells.withColumn("__whole", corner(0, 0) & corner(1, 0) & corner(1, 1) & corner(0, 1))
+    whole = judged.filter("__whole").select(field, "col", "row", F.lit(float(size * size)).alias("area"), F.lit(False).alias("clipped"))
+    cells = judged.filter("NOT __whole").drop("__whole")
 
     def cut(batches):
         for b in batches:
@@ -140,7 +177,7 @@ def lattice(fields: DataFrame, field: str, size: float) -> DataFrame:
                     keep.append((f, int(c), int(r), area, area < size * size * (1 - 1e-9)))
             yield pd.DataFrame(keep, columns=[field, "col", "row", "area", "clipped"])
 
-    return cells.mapInPandas(cut, f"{field} {kind}, col int, row int, area double, clipped boolean")
+    return whole.unionByName(cells.mapInPandas(cut, f"{field} {kind}, col int, row int, area double, clipped boolean"))
 
 
 def sweep_lines(zones: DataFrame, zone: str, spacing: float) -> DataFrame:
@@ -186,7 +223,7 @@ def regularise(cells: DataFrame, field: str, radius: int = 1, ceiling: float = 0
     fresh = closed.join(taken, [field, "col", "row"], "left_anti")
     once = fresh.groupBy(field, "col", "row").agg(F.min("rate").alias("rate"), F.count("*").alias("k")).filter("k = 1").select(field, "rate", "col", "row")
     sizes = marked.groupBy(field).agg(F.count("*").alias("m")).join(once.groupBy(field).agg(F.count("*").alias("a")), field, "left")
-    allowed = sizes.filter(F.coalesce("a", F.lit(0)) <= F.col("m") * ceiling).select(field)
+    allowed = sizes.filter(F.coalesce("a", F.lit(0)) <= F.col("m") * min(ceiling, MAX_GROWTH)).select(field)
     return marked.withColumn("added", F.lit(False)).unionByName(once.join(allowed, field, "left_semi").withColumn("added", F.lit(True)))
 
 

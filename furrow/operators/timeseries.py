@@ -125,3 +125,26 @@ def conditions_at(missions: DataFrame, hourly: DataFrame, daily: DataFrame, curr
         pick(F.col("r_temp_c"), (F.col("_d.tmin_c") + F.col("_d.tmax_c")) / 2, F.col("_c.temp_c")).alias("temp_c"),
         pick(F.col("r_desc"), F.col("_d.desc"), F.col("_c.desc")).alias("sky"),
     )
+
+
+def mission_outcomes(missions: DataFrame, sites: DataFrame, hours: DataFrame, site: str = "site_id", at: str = "at") -> DataFrame:
+    """Missions with site_known, outcome (no_site, beyond_forecast or the hour's verdict): not knowing where, not knowing yet and
+    knowing are three different things. A site without hours counts as unknown, as does a mission without a time."""
+    known = hours.select(site).distinct().join(sites.select(site).distinct(), site, "left_semi").withColumn("__known", F.lit(True))
+    near = asof_first_within(missions, hours, site, at, "t", "idx", 1800).join(known, site, "left")
+    lost = F.col("__known").isNull() | F.col(at).isNull()
+    outcome = F.when(lost, "no_site").when(F.col("r_idx").isNull(), "beyond_forecast").otherwise(F.col("r_verdict"))
+    return near.select(*missions.columns, (~lost).alias("site_known"), outcome.alias("outcome"))
+
+
+def first_after(probes: DataFrame, events: DataFrame, key: str, at: str, start: str, *carry: str) -> DataFrame:
+    """Probes with the columns of the first event that starts strictly later; one sort of the union, no range join.
+
+    Running backwards in time, the last event seen is the next one.
+    """
+    e = events.select(F.col(key), F.col(start).alias("__t"), F.lit(True).alias("__e"), F.struct(*carry).alias("__c"))
+    p = probes.select(F.col(key), F.col(at).alias("__t"), F.lit(False).alias("__e"), F.struct(*probes.columns).alias("__p"))
+    # At equal times the probe comes after the event in time, so that the event isn't later than it.
+    w = Window.partitionBy(key).orderBy(F.col("__t").desc(), F.col("__e").asc()).rowsBetween(Window.unboundedPreceding, 0)
+    found = e.unionByName(p, allowMissingColumns=True).withColumn("__f", F.last(F.when(F.col("__e"), F.col("__c")), ignorenulls=True).over(w))
+    return found.filter(~F.col("__e")).select("__p.*", "__f.*")

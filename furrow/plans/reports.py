@@ -157,8 +157,7 @@ def union_tagged(spark, sf_dir):
 
 def day_buckets(spark, sf_dir):
     e = table(spark, sf_dir, "events").filter("event_type = 'purchase'")
-    b = rp.bucket_by_day(e, "ts", "event_id")
-    return b.select("day", F.array_join(F.col("items").cast("array<string>"), ",").alias("items"))
+    return rp.bucket_by_day(e, "ts", "event_id")
 
 
 def spec_lookup(spark, sf_dir):
@@ -177,7 +176,7 @@ def refill_plan(spark, sf_dir):
     return o.select("o_orderkey", "p.loads", "p.refills", dry.alias("first_dry"), F.col("p.leftover").alias("leftover"))
 
 
-_ISSUE = "CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{k}'" for p, k in rp.ISSUE_PATTERNS) + " END"
+_ISSUE = "CASE " + " ".join("WHEN regexp_matches(t, '" + "|".join([*w.split(), *([rf"\b{x}\s+def"] if x else [])]) + f"') THEN '{k}'" for w, x, k in rp.ISSUE_TESTS) + " END"
 _INPUT = "CASE k " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rp.ISSUE_INPUT.items() if v) + " END"
 _LIST = "[" + ", ".join(f"'{x}'" for x in ISSUES) + "]"
 
@@ -216,7 +215,7 @@ ORACLES = {
     "semi_membership": "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1",
     "anti_undecided": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')",
     "union_tagged": "SELECT s_suppkey AS id, s_acctbal AS rate, NULL AS issue, 'ai' AS source FROM supplier UNION ALL SELECT c_custkey, NULL, c_mktsegment, 'grid' FROM customer UNION ALL SELECT DISTINCT user_id, NULL, NULL, 'user' FROM events",
-    "day_buckets": "SELECT strftime(ts, '%Y-%m-%d') AS day, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts, event_id) AS items FROM events WHERE event_type = 'purchase' GROUP BY 1",
+    "day_buckets": "SELECT strftime(ts, '%Y-%m-%d') AS day, CAST(row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id) AS INTEGER) AS place, event_id FROM events WHERE event_type = 'purchase'",
     "spec_lookup": f"""WITH s(k, t, w, kg) AS (VALUES ('DJI Agras T40', 40, 9, 65.5), ('XAG P100 Pro', 50, 10, 75), ('XAG V40', 16, 5, 40), ('DJI Mavic 3M', 0, 0, 0.95)), a(alias, k) AS (VALUES ('XAG P100', 'XAG P100 Pro'), ('DJI Mavic 3 Multispectral', 'DJI Mavic 3M')), p AS (SELECT p_partkey, p_size, {list(MODELS)!r}[p_size % 7 + 1] AS m FROM part)
         SELECT p_partkey, coalesce(s.k, nullif(m, ''), 'Custom') AS model_key, s.k IS NULL AS is_custom, coalesce(s.t, p_size)::DOUBLE AS tank_l, coalesce(s.w, 6)::DOUBLE AS spray_swath_m, coalesce(s.kg, 50)::DOUBLE AS weight_kg FROM p LEFT JOIN a ON a.alias = m LEFT JOIN s ON s.k = coalesce(a.k, m)""",
     "refill_plan": """WITH o AS (SELECT o_orderkey, o_totalprice / 1000 AS required FROM orders), l AS (SELECT *, greatest(1, CAST(ceil(required / 32.0::DOUBLE) AS BIGINT)) AS loads FROM o)

@@ -97,11 +97,18 @@ def conflicts_only(spark, sf_dir):
 
 
 def suggested_move(spark, sf_dir):
+    """The first window that opens strictly after each mission that shouldn't fly."""
     bad = asof_first_within(spark, sf_dir).filter(F.col("verdict") != "green").select("mission_id", "site_id", "at")
-    w = ts.spray_windows(_judged(spark, sf_dir), horizon=1 << 30).select("site_id", F.unix_timestamp("start_ts").alias("s"), F.unix_timestamp("end_ts").alias("e"))
-    return (
-        bad.join(w, "site_id").filter(F.col("s") > F.col("at")).groupBy("mission_id").agg(F.min("s").alias("start_s"), F.min_by("e", "s").alias("end_s"))
-    )
+    w = ts.spray_windows(_judged(spark, sf_dir), horizon=1 << 30).select("site_id", F.unix_timestamp("start_ts").alias("start_s"), F.unix_timestamp("end_ts").alias("end_s"))
+    moved = ts.first_after(bad, w, "site_id", "at", "start_s", "start_s", "end_s")
+    return moved.filter(F.col("start_s").isNotNull()).select("mission_id", "start_s", "end_s")
+
+
+def mission_outcomes(spark, sf_dir):
+    """Every third user is no site of the board, and purchases of other users may lie beyond their hours."""
+    h = _judged(spark, sf_dir).select("site_id", "idx", F.unix_timestamp("time").alias("t"), "verdict")
+    sites = h.select("site_id").filter("site_id % 3 > 0")
+    return ts.mission_outcomes(_missions(spark, sf_dir), sites, h).select("mission_id", "site_known", "outcome")
 
 
 def _board(spark, sf_dir):
@@ -150,7 +157,7 @@ _BOARD = (
 
 QUERIES = {
     f.__name__: f
-    for f in (rolling_rain, hour_verdict, verdict_reasons, spray_windows, next_window, asof_first_within, mission_checks, conflicts_only, suggested_move, site_board, board_summary, condition_fallback)
+    for f in (rolling_rain, hour_verdict, verdict_reasons, spray_windows, next_window, asof_first_within, mission_checks, conflicts_only, suggested_move, mission_outcomes, site_board, board_summary, condition_fallback)
 }
 ORACLES = {
     "rolling_rain": f"{_W} SELECT site_id, idx, CAST(rain_next AS DOUBLE) AS rain_next FROM judged",
@@ -165,6 +172,7 @@ ORACLES = {
     "next_window": _NEXT + " SELECT * FROM nextw",
     "asof_first_within": _ASOF + " SELECT * FROM matched",
     "mission_checks": _ASOF + " SELECT mission_id, coalesce(verdict, 'beyond_forecast') AS outcome FROM matched",
+    "mission_outcomes": _ASOF + """ , k AS (SELECT DISTINCT user_id FROM events WHERE user_id % 3 > 0) SELECT mission_id, k.user_id IS NOT NULL AS site_known, CASE WHEN k.user_id IS NULL THEN 'no_site' ELSE coalesce(verdict, 'beyond_forecast') END AS outcome FROM matched LEFT JOIN k ON k.user_id = site_id""",
     "conflicts_only": _ASOF + " SELECT mission_id, verdict FROM matched WHERE verdict <> 'green'",
     "suggested_move": _ASOF.replace("idx < 72 AND ", "") + """ SELECT mission_id, CAST(floor(epoch(min(start_ts))) AS BIGINT) AS start_s,
         CAST(floor(epoch(arg_min(end_ts, start_ts))) AS BIGINT) AS end_s FROM matched JOIN runs USING (site_id)

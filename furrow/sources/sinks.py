@@ -26,6 +26,12 @@ def upsert(existing: DataFrame, changes: DataFrame, *key: str) -> DataFrame:
     return existing.join(changes.select(*key), list(key), "left_anti").unionByName(changes, allowMissingColumns=True)
 
 
+def insert(existing: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Existing rows and the fresh ones, of which only columns that the table has are written; those they lack are null."""
+    known = [c for c in existing.columns if c in fresh.columns]
+    return existing.unionByName(fresh.select(*known), allowMissingColumns=True)
+
+
 def delete_by_key(existing: DataFrame, keys: DataFrame, *key: str) -> DataFrame:
     return existing.join(keys.select(*key), list(key), "left_anti")
 
