@@ -1,9 +1,10 @@
 """Main text of web pages from streamed parser events.
 
 The standard library's parser yields tags and text. Text is gathered into lines (one for each block
-of the page) with the number of tags since the line before. Lines inside menus, adverts, forms and the
-like are set aside by element or by name. The text-to-tag ratio of the other lines is smoothed by
-a Gaussian and cut at a threshold. All lines above it are the article, wherever they stand, and so are
+of the page) with the number of tags since the line before. Text inside menus, adverts, forms and the
+like is left out by element, or set aside by name. The text-to-tag ratio of the other lines is smoothed by
+a Gaussian and cut at a threshold. Names only weigh: where by density none of the other lines is content, they are ignored.
+Lines of links only, in a row or several in a line, are menus unless they stand in an article. All lines above it are the article, wherever they stand, and so are
 the short lines of the regions, which are the elements that hold the dense lines. Names like article and main
 say only how far a region reaches.
 
@@ -61,41 +62,57 @@ SINGLE = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 td th tr span b i em strong a p
 PAGE = frozenset(("#root", "html", "body"))
 _OPENED = re.compile(r"<[A-Za-z/!?]")
 _WORDS = re.compile(r"[a-z]+")
+_LETTER = re.compile(r"\w")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class _Node:
     """An open element that may hold the region."""
 
-    __slots__ = ("tag", "parent", "outside", "named", "dense", "kids", "names", "inside")
+    __slots__ = ("tag", "parent", "outside", "aside", "named", "dense", "kids", "names", "inside", "article")
 
-    def __init__(self, tag: str, parent: "_Node | None", outside: bool, named: bool):
-        self.tag, self.parent, self.outside, self.named = tag, parent, outside, named
+    def __init__(self, tag: str, parent: "_Node | None", outside: bool, aside: bool, named: bool):
+        self.tag, self.parent, self.outside, self.aside, self.named = tag, parent, outside, aside, named
+        self.article = named or (parent is not None and parent.article)
         # dense lines of its own; elements in it that hold some; whether a named one does
         self.dense, self.kids, self.names, self.inside = False, [], False, False
 
 
+class _Line:
+    """Text of a block, tags before it, the element that holds it, and how many links hold all of it (0: not all)."""
+
+    __slots__ = ("text", "tags", "node", "links")
+
+    def __init__(self, text: str, tags: int, node: _Node, links: int):
+        self.text, self.tags, self.node, self.links = text, tags, node, links
+
+
 class Lines(HTMLParser):
-    """The page as lines: text, tags before it, and the element that holds it."""
+    """The page as lines, once without and once with what names set aside."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = _Node("#root", None, False, False)
+        self.root = _Node("#root", None, False, False, False)
         self.open: list[_Node] = [self.root]
         self.nodes: list[_Node] = [self.root]  # parents before children
         self.count: dict[str, int] = {}
-        self.buffer: list[str] = []
-        self.tags = 0
-        self.lines: list[tuple[str, int, _Node]] = []
-        self.holder = self.root
+        #: Text of the block so far: what it is, whether names set it aside, the link that holds it (0: none), and the element.
+        self.buffer: list[tuple[str, bool, int, _Node]] = []
+        self.links = 0
+        self.tags = [0, 0]
+        self.lines: tuple[list[_Line], list[_Line]] = ([], [])
 
     def _flush(self) -> None:
-        if self.buffer:
-            text = " ".join("".join(self.buffer).split())
-            self.buffer = []
+        if not self.buffer:
+            return
+        for k in (0, 1):
+            parts = [p for p in self.buffer if k or not p[1]]
+            text = " ".join("".join([p[0] for p in parts]).split())
             if text:
-                self.lines.append((text, self.tags, self.holder))
-                self.tags = 0
+                own = {p[2] for p in parts if _LETTER.search(p[0])}
+                self.lines[k].append(_Line(text, self.tags[k], self._block(parts[0][3]), 0 if 0 in own else len(own)))
+                self.tags[k] = 0
+        self.buffer = []
 
     def _pop(self, to: int) -> None:
         for node in self.open[to:]:
@@ -112,18 +129,21 @@ class Lines(HTMLParser):
                 return
 
     def _is_outside(self, tag: str, attrs: dict[str, str | None]) -> bool:
-        parent = self.open[-1]
-        if parent.outside:
-            return True
-        if tag in OUTSIDE:
+        if self.open[-1].outside or tag in OUTSIDE:
             return True
         within = self.count.get("article", 0) or self.count.get("main", 0)
         if tag == "header" and not within:
             return True
         if "hidden" in attrs or attrs.get("aria-hidden") == "true" or _HIDDEN.search((attrs.get("style") or "").lower()):
             return True
+        return False
+
+    def _is_aside(self, tag: str, attrs: dict[str, str | None]) -> bool:
+        if self.open[-1].aside:
+            return True
         if tag in ("html", "body", "main"):
             return False
+        within = self.count.get("article", 0) or self.count.get("main", 0)
         words = set(_WORDS.findall(" ".join(attrs.get(k) or "" for k in ("class", "id", "role")).lower()))
         if words & COMMENT_WORDS:
             return True
@@ -133,9 +153,9 @@ class Lines(HTMLParser):
         return False
 
     def handle_starttag(self, tag: str, attributes: list[tuple[str, str | None]]) -> None:
-        self.tags += 1
+        self._tag()
         if tag == "br":
-            self.buffer.append(" ")
+            self.buffer.append((" ", self.open[-1].aside, 0, self.open[-1]))
             return
         if tag in BLOCK:
             self._flush()
@@ -149,7 +169,9 @@ class Lines(HTMLParser):
             return
         attrs = dict(attributes)
         named = tag in ("article", "main") or attrs.get("role") in ("main", "article") or attrs.get("itemprop") == "articleBody"
-        self.open.append(_Node(tag, self.open[-1], self._is_outside(tag, attrs), named))
+        self.links += tag == "a"
+        outside = self._is_outside(tag, attrs)
+        self.open.append(_Node(tag, self.open[-1], outside, outside or self._is_aside(tag, attrs), named))
         self.nodes.append(self.open[-1])
         self.count[tag] = self.count.get(tag, 0) + 1
 
@@ -157,7 +179,7 @@ class Lines(HTMLParser):
         self.handle_starttag(tag, attributes)  # as browsers do: the slash closes nothing but void elements
 
     def handle_endtag(self, tag: str) -> None:
-        self.tags += 1
+        self._tag()
         if tag in BLOCK:
             self._flush()
         if not self.count.get(tag, 0):
@@ -170,18 +192,22 @@ class Lines(HTMLParser):
             if tag not in BLOCK and here in BLOCK:  # a stray end of an inline element
                 return
 
+    def _tag(self) -> None:
+        self.tags[0] += 1
+        self.tags[1] += 1
+
+    @staticmethod
+    def _block(node: _Node) -> _Node:
+        while node.tag not in BLOCK and node.parent is not None:
+            node = node.parent
+        return node
+
     def handle_data(self, data: str) -> None:
         top = self.open[-1]
-        if top.outside:
-            return
-        if not self.buffer:
-            holder = top
-            while holder.tag not in BLOCK and holder.parent is not None:
-                holder = holder.parent
-            self.holder = holder
-        self.buffer.append(data)
+        if not top.outside:
+            self.buffer.append((data, top.aside, self.links if self.count.get("a", 0) else 0, top))
 
-    def finish(self) -> list[tuple[str, int, _Node]]:
+    def finish(self) -> tuple[list[_Line], list[_Line]]:
         self.close()
         self._flush()
         return self.lines
@@ -195,10 +221,10 @@ def smoothed(values: np.ndarray, sigma: float) -> np.ndarray:
     return full / np.convolve(np.ones(len(values)), kernel)[reach : reach + len(values)]
 
 
-def content_lines(lines: list[tuple[str, int, _Node]], sigma: float) -> tuple[np.ndarray, np.ndarray]:
+def content_lines(lines: list[_Line], sigma: float) -> tuple[np.ndarray, np.ndarray]:
     """Lines whose smoothed text-to-tag ratio reaches the threshold, a share of the spread as in
     the ratio's own distribution; at least the densest line. Then those of them that reach it by themselves."""
-    ratio = np.array([len(text) / max(1, tags) for text, tags, _ in lines], float)
+    ratio = np.array([len(x.text) / max(1, x.tags) for x in lines], float)
     smooth = smoothed(ratio, sigma)
     least = min(float(smooth.max()), 0.5 * float(smooth.std()) or float(smooth.max())) * (1 - 1e-9)
     good = smooth >= least
@@ -206,6 +232,24 @@ def content_lines(lines: list[tuple[str, int, _Node]], sigma: float) -> tuple[np
     return good, dense if dense.any() else good
 
 
+def weighed(lines: tuple[list[_Line], list[_Line]], sigma: float) -> list[_Line]:
+    """The lines that names leave; all of them where by density no content is among those that they leave."""
+    rest, every = lines
+    if len(rest) == len(every) or not every:
+        return rest
+    dense = content_lines(every, sigma)[1]
+    return rest if rest and any(not every[k].node.aside for k in dense.nonzero()[0].tolist()) else every
+
+
+def menus(lines: list[_Line]) -> np.ndarray:
+    """Lines of links only: several in one line, or such lines in a row."""
+    some = np.array([x.links > 0 for x in lines])
+    near = np.zeros(len(some), bool)
+    near[1:] |= some[:-1]
+    near[:-1] |= some[1:]
+    return some & (near | np.array([x.links > 1 for x in lines])) & np.array([not x.node.article for x in lines])
+
+
 def regions(root: _Node) -> list[_Node]:
     """The elements that together hold all dense lines.
 
@@ -239,12 +283,17 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     if opened := _OPENED.search(html, tail):
         html = html[: opened.start()]  # markup that never closes is no text
     parser.feed(html)
-    lines = parser.finish()
+    lines = weighed(parser.finish(), sigma)
     if not lines:
         return ""
     good, dense = content_lines(lines, sigma)
+    menu = menus(lines)
+    if menu.all():
+        menu[:] = False
+    if (dense & ~menu).any():
+        dense &= ~menu
     for k in dense.nonzero()[0].tolist():
-        node = lines[k][2]
+        node = lines[k].node
         while node.tag in SINGLE and node.parent is not None and not node.named:
             node = node.parent
         node.dense = True
@@ -256,7 +305,7 @@ def main_text(html: str, sigma: float = 1.0) -> str:
         node.inside = True
     for node in parser.nodes[1:]:
         node.inside |= node.parent.inside
-    return "\n\n".join(text for (text, _, node), kept in zip(lines, good.tolist(), strict=True) if kept or node.inside)
+    return "\n\n".join(x.text for x, kept, link in zip(lines, good.tolist(), menu.tolist(), strict=True) if (kept or x.node.inside) and not link)
 
 
 def extract_main_text(df: DataFrame, html_col: str = "html", out: str = "main_text") -> DataFrame:

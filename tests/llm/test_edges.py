@@ -1,5 +1,6 @@
 """Cases that whole tables seldom hold: odd columns, hot keys, long texts, and queries against slow versions."""
 
+import math
 import random
 import re
 import zlib
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from furrow.llm import bpe, chat, common, decontam, langid, pii, queries, simhash, topk
+from furrow.llm import bpe, chat, common, decontam, html, langid, pii, queries, simhash, topk
 
 SF = "/root/testdata/sf0.001"
 
@@ -228,3 +229,63 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
             columns, docs = docs.columns, spark.read.parquet(str(tmp_path / name / step))
             assert step == "encode" or docs.columns == columns
         assert docs.count() == (3 if some else 0) and docs.filter("NOT round_trip").count() == 0
+
+
+DENSE = "A paragraph that holds quite a number of words, so that it is dense, number {}."
+BODY = [DENSE.format(i) for i in range(4)]
+MARKED = "".join(f"<p>{t}</p>" for t in BODY)
+
+
+def slow_content(lines, sigma):
+    """Ratio, Gaussian smoothing and threshold by plain loops."""
+    ratio = [len(x.text) / max(1, x.tags) for x in lines]
+    reach = max(1, math.ceil(3 * sigma))
+    smooth = []
+    for i in range(len(ratio)):
+        weights = {j: math.exp(-0.5 * ((i - j) / sigma) ** 2) for j in range(max(0, i - reach), min(len(ratio), i + reach + 1))}
+        smooth.append(sum(w * ratio[j] for j, w in weights.items()) / sum(weights.values()))
+    mean = sum(smooth) / len(smooth)
+    spread = math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth))
+    least = min(max(smooth), 0.5 * spread or max(smooth)) * (1 - 1e-9)
+    good = [x >= least for x in smooth]
+    return good, [g and r >= least for g, r in zip(good, ratio, strict=True)]
+
+
+def test_content_lines_are_those_of_the_slow_version(spark):
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        parser = html.Lines()
+        parser.feed(r.html)
+        for lines in parser.finish():
+            if lines:
+                good, dense = html.content_lines(lines, 1.0)
+                slow_good, slow_dense = slow_content(lines, 1.0)
+                assert good.tolist() == slow_good and dense.tolist() == (slow_dense if any(slow_dense) else slow_good)
+
+
+def test_main_text_without_an_article():
+    menu, foot = "<a href=/>Home</a> <a href=/n>News</a> <a href=/s>Sport</a>", "<a href=/t>Terms</a> | <a href=/p>Privacy</a>"
+    assert html.main_text(f"<body>{menu}{MARKED}{foot}</body>").split("\n\n") == BODY
+    assert html.main_text(f"<body><ul><li><a>Home</a><li><a>News</a></ul>{MARKED}</body>").split("\n\n") == BODY
+    assert html.main_text(f"<body><div><h2><a href=/>A title in a link</a></h2>{MARKED}</div></body>").split("\n\n") == ["A title in a link", *BODY]
+    assert html.main_text(f"<body><article>{menu}{MARKED}</article></body>").split("\n\n") == ["Home News Sport", *BODY]
+    assert html.main_text("<body><a>one</a> <a>two</a></body>") == "one two"
+
+
+@pytest.mark.parametrize("name", ["banner-free", "ad", "sidebar share", "header"])
+def test_misleading_names_give_way_to_density(name):
+    assert html.main_text(f"<body><div class='{name}'>{MARKED}</div></body>").split("\n\n") == BODY
+    assert html.main_text(f"<body><p>x</p><div id='{name}'>{MARKED}</div></body>").split("\n\n")[-4:] == BODY
+    # beside text that is content by density, names hold
+    assert html.main_text(f"<body><div>{MARKED}</div><div class='{name}'><p>Buy this, buy that, and buy some more of it now.</p></div></body>").split("\n\n") == BODY
+
+
+def test_density_decides(monkeypatch):
+    page = "<body>" + "<div><a href=/a>Home</a></div><div><b>x</b><i>y</i></div>" * 4 + f"<div class=story>{MARKED}</div></body>"
+    before = html.main_text(page)
+    assert before.split("\n\n")[-4:] == BODY and "Home" not in before
+    monkeypatch.setattr(html, "content_lines", lambda lines, sigma: (np.ones(len(lines), bool), np.ones(len(lines), bool)))
+    assert html.main_text(page) != before
+
+
+def test_deep_inline_markup_is_read_in_linear_time():
+    html.main_text("<b>" * 20_000 + "x<i>y" * 20_000)
