@@ -57,47 +57,77 @@ class Bands:
     ambiguous: bool
 
 
-def _role(text: str, taken: dict[str, int]) -> str | None:
-    edge = re.search(RED_EDGE, text) is not None
-    fits = (r for r, p in ROLE_PATTERNS if r not in taken and (r == "rededge" or not (edge and r in ("red", "nir"))) and re.search(p, text))
-    return next(fits, None)
+@dataclass(frozen=True)
+class Sheet:
+    """A raster's metadata: what is said of each band, from band 1 on."""
+
+    labels: tuple[str, ...]
+    colours: tuple[str, ...]
+    total: int
+    camera: str
+
+    @property
+    def alphas(self) -> set[int]:
+        return {b for b, c in enumerate(self.colours, 1) if c == "alpha"}
+
+    @property
+    def spectral(self) -> int:
+        return max(0, self.total - len(self.alphas))
+
+
+def roles_of_label(label: str) -> list[str]:
+    """The roles that a label fits, in the order of ROLE_PATTERNS; what speaks of a red edge is neither red nor near infrared."""
+    fits = [role for role, pattern in ROLE_PATTERNS if re.search(pattern, label)]
+    return [r for r in fits if r not in ("red", "nir")] if "rededge" in fits else fits
+
+
+def by_label(sheet: Sheet) -> dict[str, int]:
+    """Each band takes the first role that its label fits and that no band before it has."""
+    out: dict[str, int] = {}
+    for band, label in enumerate(sheet.labels, 1):
+        if band not in sheet.alphas:
+            out |= {r: band for r in [r for r in roles_of_label(label) if r not in out][:1]}
+    return out
+
+
+def by_colour(sheet: Sheet) -> dict[str, int]:
+    return {c: b for b, c in reversed(list(enumerate(sheet.colours, 1))) if c in ("red", "green", "blue")}
+
+
+def by_spare_band(sheet: Sheet) -> dict[str, int]:
+    """Of four bands the one beside red, green and blue is near infrared."""
+    known = by_colour(sheet) | by_label(sheet)
+    free = sorted(set(range(1, sheet.total + 1)) - sheet.alphas - set(known.values()))
+    fits = sheet.spectral == 4 and {"red", "green", "blue"} <= set(known) and "nir" not in known
+    return {"nir": free[0]} if fits and free else {}
+
+
+def by_layout(sheet: Sheet) -> dict[str, int]:
+    """A sensor's layout: the one of that many bands that the camera names, else the only one of that size. Only for bands without
+    labels whose red or near infrared nothing else gives."""
+    known = by_colour(sheet) | by_label(sheet) | by_spare_band(sheet)
+    if {"red", "nir"} <= set(known) or not all(re.fullmatch(UNLABELLED, label) for label in sheet.labels):
+        return {}
+    sized = [(pattern, roles) for pattern, roles in LAYOUTS if len(roles) == sheet.spectral]
+    named = [x for x in sized if sheet.camera and x[0] and re.search(x[0], sheet.camera, re.I)]
+    chosen = named if len(named) == 1 else sized
+    return {r: b for b, r in enumerate(chosen[0][1], 1)} if len(chosen) == 1 else {}
 
 
-def _layout(spectral: int, camera: str) -> tuple[str, ...] | None:
-    """The one layout that the camera names, else the only one of that many bands."""
-    sized = [x for x in LAYOUTS if len(x[1]) == spectral]
-    named = [x for x in sized if camera and x[0] and re.search(x[0], camera, re.I)]
-    if len(named) == 1:
-        return named[0][1]
-    return sized[0][1] if len(sized) == 1 else None
+#: Each looks at the sheet alone; of a role the first one that answers holds. The name of the rarest one that answered is the method.
+RESOLVERS = {"profile": by_layout, "descriptions": by_label, "colorinterp": by_colour, "convention": by_spare_band}
+RAREST = ("profile", "convention", "descriptions", "colorinterp")
 
 
 def analyse(descriptions: list[str], colours: list[str], count: int | None = None, camera: str = "") -> Bands:
-    """Roles by description, then colour, then red, green, blue and one spare band, then sensor layout; alpha never gets a role.
-
-    A layout needs bands without labels, and more than one of a size needs a camera; else roles stay open.
-    """
-    names, colours = [d.strip().lower() for d in descriptions], [c.lower() for c in colours]
-    total = count or len(colours) or 3
-    is_alpha = lambda band: band <= len(colours) and colours[band - 1] == "alpha"
-    spectral, roles, method = max(0, total - colours.count("alpha")), {}, "unresolved"
-    for band, text in enumerate(names, 1):
-        role = None if is_alpha(band) else _role(text, roles)
-        if role:
-            roles[role], method = band, "descriptions"
-    for band, colour in enumerate(colours, 1):
-        if colour in ("red", "green", "blue") and colour not in roles:
-            roles[colour], method = band, "colorinterp" if method == "unresolved" else method
-    if spectral == 4 and "nir" not in roles and {"red", "green", "blue"} <= set(roles):
-        spare = [b for b in range(1, total + 1) if not is_alpha(b) and b not in roles.values()]
-        if spare:
-            roles["nir"], method = spare[0], "convention"
-    layout = _layout(spectral, camera.strip())
-    if ("nir" not in roles or "red" not in roles) and layout and all(re.fullmatch(UNLABELLED, n) for n in names):
-        roles |= {r: i for i, r in enumerate(layout, 1)}
-        method = "profile"
+    """Roles of a raster's bands by all resolvers; alpha never gets a role."""
+    read = lambda texts: tuple(t.strip().lower() for t in texts)
+    sheet = Sheet(read(descriptions), read(colours), count or len(colours) or 3, camera.strip())
+    answers = {name: resolve(sheet) for name, resolve in RESOLVERS.items()}
+    roles = {r: b for answer in reversed(answers.values()) for r, b in answer.items()}
     can = available(roles)
-    return Bands(spectral, roles, method if can else "unresolved", "NDVI" not in can and spectral >= 4)
+    method = next((name for name in RAREST if answers[name]), "unresolved") if can else "unresolved"
+    return Bands(sheet.spectral, roles, method, "NDVI" not in can and sheet.spectral >= 4)
 
 
 def band_roles(descriptions: list[str], colours: list[str]) -> dict[str, int]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,12 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset (tests on one machine) a temporary folder serves.
+    Only where that is unset and the master is local, as in tests, a temporary folder serves; on a cluster no machine's own folder
+    would outlive its machine, so there it is an error.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="furrow-checkpoint-"))
 
 

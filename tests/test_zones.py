@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -201,3 +202,41 @@ def test_selections_never_grow_beyond_a_quarter(spark):
     assert sim.regularise(cells, "field", 2, 10.0).filter("added").count() == 0
     hole = spark.createDataFrame([(1, c, r, 1, False) for c in range(5) for r in range(5) if (c, r) != (2, 2)], "field int, col int, row int, rate int, skip boolean")
     assert sim.regularise(hole, "field", 1, 10.0).filter("added").count() == 1
+
+
+def _run(spark, stream, name, mode):
+    # A stream with timers never runs out of batches, so wait for its rows and not for its end.
+    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).start()
+    until = time.time() + 60
+    while not spark.table(name).count() and time.time() < until:
+        time.sleep(0.2)
+    q.stop()
+    return spark.table(name).collect()
+
+
+def test_leases_cursors_and_uploads(spark, tmp_path):
+    from furrow.streaming import leases
+
+    kind = "task_id long, worker string, at double"
+    spark.createDataFrame([(1, "a", 0.0), (1, "b", 60.0), (1, "a", 100.0), (1, "b", 2000.0), (2, "b", 5.0)], kind).coalesce(1).write.parquet(str(tmp_path / "c"))
+    got = _run(spark, leases.leases(spark.readStream.schema(kind).parquet(str(tmp_path / "c"))), "leases", "append")
+    assert {(r.task_id, r.worker, r.at): r.granted for r in got} == {(1, "a", 0.0): True, (1, "b", 60.0): False, (1, "a", 100.0): True, (1, "b", 2000.0): True, (2, "b", 5.0): True}
+    kind = "bake_id long, call int, total int, size int, failed array<int>"
+    rows = [(1, 0, 10, 4, []), (1, 1, 10, 4, [6]), (1, 2, 10, 4, [6]), (2, 0, 5, 9, []), (3, 0, 9, 3, [0]), (3, 1, 9, 3, [0]), (3, 2, 9, 3, [0])]
+    spark.createDataFrame(rows, kind).coalesce(1).write.parquet(str(tmp_path / "b"))
+    got = _run(spark, leases.bake_cursors(spark.readStream.schema(kind).parquet(str(tmp_path / "b"))), "bakes", "update")
+    assert {r.bake_id: (r.cursor, r.stalls, r.done) for r in got} == {1: (6, 1, False), 2: (5, 0, True), 3: (1, 0, False)}
+    files = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "key string")
+    tried = spark.createDataFrame([("a", False), ("a", True), ("b", False), *[("c", False)] * 4], "key string, ok boolean")
+    assert {r.key: r.tried for r in leases.uploads_left(files, tried).collect()} == {"b": 1, "d": 0}
+
+
+def test_a_cluster_needs_a_shared_checkpoint_folder():
+    from types import SimpleNamespace
+
+    from furrow.session import ensure_checkpoint_dir
+
+    empty = SimpleNamespace(isDefined=lambda: False)
+    sc = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: empty)), getConf=lambda: {})
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc))
