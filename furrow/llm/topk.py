@@ -18,6 +18,7 @@ smaller id.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,16 +79,21 @@ class Side:
         return out
 
 
+def able(queries: Side, candidates: Side, limit: np.ndarray) -> np.ndarray:
+    """The queries that the longest of the candidates could still serve."""
+    return np.flatnonzero(queries.norm * candidates.norm.max(initial=0) * (1 + SLACK) + SLACK >= limit)
+
+
 def survivors(queries: Side, candidates: Side, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (query row, candidate row, score) whose exact score reaches the query's limit."""
-    able = np.flatnonzero(queries.norm * candidates.norm.max(initial=0) * (1 + SLACK) + SLACK >= limit)
-    if not len(able) or not len(candidates.ids):
+    live = able(queries, candidates, limit)
+    if not len(live) or not len(candidates.ids):
         none = np.zeros(0, np.int64)
         return none, none, none
-    q = queries.take(able)
+    q = queries.take(live)
     bound = q.lead @ candidates.lead.T + np.outer(q.rest, candidates.rest)
     bound += SLACK * np.outer(q.norm, candidates.norm) + SLACK
-    row, col = np.nonzero(bound >= limit[able][:, None])
+    row, col = np.nonzero(bound >= limit[live][:, None])
     if float(queries.top) * candidates.top * candidates.whole.shape[1] < 2**52:
         if len(row) * 4 > bound.size:
             score = (q.real @ candidates.real.T)[row, col].astype(np.int64)
@@ -98,8 +104,8 @@ def survivors(queries: Side, candidates: Side, limit: np.ndarray) -> tuple[np.nd
                 score[part] = np.einsum("ij,ij->i", q.real[row[part]], candidates.real[col[part]]).astype(np.int64)
     else:
         score = np.einsum("ij,ij->i", q.whole[row], candidates.whole[col])
-    good = (score >= limit[able][row]) & (q.ids[row] != candidates.ids[col])
-    return able[row[good]], col[good], score[good]
+    good = (score >= limit[live][row]) & (q.ids[row] != candidates.ids[col])
+    return live[row[good]], col[good], score[good]
 
 
 class Best:
@@ -122,11 +128,10 @@ class Best:
         self.rows = np.stack([r, s, i])[:, rank < self.k]
 
 
-def _batches(batches: Iterator[pa.RecordBatch], width: int, rotation: np.ndarray, step: int) -> Iterator[Side]:
+def _parts(batches: Iterator[pa.RecordBatch], step: int = 1_024) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, step):
-            part = batch.slice(at, step)
-            yield Side(part.column(0).to_numpy(), _matrix(part.column(1), width), rotation)
+            yield batch.slice(at, step)
 
 
 def top_inner_products(
@@ -135,7 +140,9 @@ def top_inner_products(
     """(query_id, rank, id, score) of each query's k highest integer inner products.
 
     `is_query` is a condition on the column `id`. Candidates are shuffled once, by norm. Each block of
-    queries is broadcast and meets all candidates; a task returns at most k rows a query.
+    queries is broadcast and meets the candidates; a task returns at most k rows a query, and leaves its remaining candidates
+    unread as vectors once they are too short for every query. A block's ranks are written under the checkpoint folder and its
+    broadcast is let go before the next, so plan and driver hold one block however many queries there are.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -159,17 +166,19 @@ def top_inner_products(
     def thresholds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, whole, turn = first.value
         longest = Side(ids, whole, turn)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1_024):
-                part = batch.slice(at, 1_024)
-                q = Side(part.column(0).to_numpy(), _matrix(part.column(1), width), turn)
-                best = Best(len(q.ids), k, np.full(len(q.ids), -np.inf))
-                r, c, s = survivors(q, longest, best.limit)
-                best.add(r, s, longest.ids[c])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(best.limit)], names=["id", "v", "least"])
+        for part in _parts(batches):
+            q = Side(part.column(0).to_numpy(), _matrix(part.column(1), width), turn)
+            best = Best(len(q.ids), k, np.full(len(q.ids), -np.inf))
+            r, c, s = survivors(q, longest, best.limit)
+            best.add(r, s, longest.ids[c])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(best.limit)], names=["id", "v", "least"])
 
     queries = ranked.filter(is_query).select("id", "v").distinct().mapInArrow(thresholds, "id long, v array<long>, least double").checkpoint()
-    out = None
+    first.destroy()
+    folder = f"{spark.sparkContext.getCheckpointDir()}/top-products-{uuid.uuid4().hex}"
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    none = spark.createDataFrame([], "query_id long, rank int, id long, score long")
+    none.write.parquet(folder)
     for held in _blocks(queries, query_block):
         block = spark.sparkContext.broadcast((held.column(0).to_numpy(), _matrix(held.column(1), width), held.column(2).to_numpy(), rotation))
 
@@ -177,18 +186,22 @@ def top_inner_products(
             ids, whole, least, turn = block.value
             q = Side(ids, whole, turn)
             best = Best(len(ids), k, least)
-            for candidates in _batches(batches, width, turn, 1_024):
+            spent = False  # the norms descend, so what follows is no longer
+            for part in _parts(batches):
+                if spent:
+                    continue
+                candidates = Side(part.column(0).to_numpy(), _matrix(part.column(1), width), turn)
+                spent = not len(able(q, candidates, best.limit))
                 r, c, s = survivors(q, candidates, best.limit)
                 best.add(r, s, candidates.ids[c])
             r, s, i = best.rows
             yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(i), pa.array(s)], names=["query_id", "id", "score"])
 
         found = ranked.select("id", "v").mapInArrow(search, "query_id long, id long, score long")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, rank int, id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+        ranks = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        ranks.select(*none.columns).write.mode("append").parquet(folder)
+        block.destroy()
+    return spark.read.schema(none.schema).parquet(folder)
 
 
 def _blocks(queries: DataFrame, size: int) -> Iterator[pa.RecordBatch]:
