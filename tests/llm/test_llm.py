@@ -341,6 +341,21 @@ def test_top_products(spark):
     assert topk.top_inner_products(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def test_top_products_leave_short_candidates(spark):
+    """Tasks of more than one part of candidates, most of them too short to be among any query's best."""
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(12_000, 3)) * np.geomspace(300, 0.01, 12_000)[rng.permutation(12_000), None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vectors.tolist())], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.id, r.score) for r in topk.top_inner_products(df, F.col("id") % 400 == 0, query_block=20).collect()}
+    whole = np.floor(vectors * 64).astype(np.int64)
+    want = {}
+    for q in range(0, 12_000, 400):
+        score = whole @ whole[q]
+        order = [i for i in np.lexsort((np.arange(len(score)), -score))[:21].tolist() if i != q][:20]
+        want |= {(q, k + 1): (i, int(score[i])) for k, i in enumerate(order)}
+    assert got == want
+
+
 def slow_cut(rows, length):
     key = lambda i: 1 << 62 if i is None else i
     first, out = {}, []
