@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import bpe, chat, decontam, html, langid, pii, simhash, suffix_dedup, token_count, topk
-from furrow.session import table
+from furrow.llm import (
+    bpe, chat, decontam, fill_middle, html, langid, pii, simhash, suffix_dedup, token_count, token_files, topk, vector_codes
+)
+from furrow.session import ensure_checkpoint_dir, table
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +95,28 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_language": op2_language, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op5_chat": op5_chat, "op6_top_products": op6_top_products, "op7_suffix_dedup": op7_suffix_dedup, "op8_decontamination": op8_decontamination, "op9_main_text": op9_main_text, "op10_token_count": op10_token_count}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    coded, books = vector_codes.compress(rows.filter(vector_codes.usable(F.col("embedding"))))
+    summed = vector_codes.with_group_total(coded, "label", "error", "label_error")
+    return summed.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    filled = fill_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    digests = [F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return fill_middle.restore(filled).select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/token-files-{uuid.uuid4().hex}"
+    token_files.write_tokens(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    size = (F.octet_length("token_ids") / 4).cast("long")
+    return token_files.read_tokens(spark, folder).select("doc_id", "start", size.alias("n_tokens"), F.crc32("token_ids").alias("ids_crc32"))
+
+
+QUERIES = {"op1_pii": op1_pii, "op2_language": op2_language, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op5_chat": op5_chat, "op6_top_products": op6_top_products, "op7_suffix_dedup": op7_suffix_dedup, "op8_decontamination": op8_decontamination, "op9_main_text": op9_main_text, "op10_token_count": op10_token_count, "op11_vector_codes": op11_vector_codes, "op12_fill_in_middle": op12_fill_in_middle, "op13_token_files": op13_token_files}
 
 ORACLES: dict[str, str] = {
     "op6_top_products": """
@@ -108,4 +133,66 @@ ORACLES: dict[str, str] = {
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM s QUALIFY rank <= 20
     """,
+    "op11_vector_codes": """
+        WITH v AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS n, vec_id, label,
+                   list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS w
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), x AS MATERIALIZED (
+            SELECT n, p, w[p * (len(w) // 16) + 1 : (p + 1) * (len(w) // 16)] AS x FROM v, range(16) AS r(p)
+        ), c0 AS MATERIALIZED (
+            SELECT p, n - 1 AS e, x AS c FROM x WHERE n <= 64
+        ), a0 AS MATERIALIZED (
+            SELECT n, p, any_value(x) AS x, min({'d': list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': e}) AS m
+            FROM x JOIN c0 USING (p) GROUP BY n, p
+        ), s0 AS (
+            SELECT p, m.e AS e, i, sum(x[i]) AS s, count(*) AS k FROM a0, LATERAL (SELECT unnest(range(1, len(x) + 1)) AS i) GROUP BY p, m.e, i
+        ), c1 AS MATERIALIZED (
+            SELECT p, e, coalesce(t.c, c0.c) AS c FROM c0 LEFT JOIN (
+                SELECT p, e, list(CAST((s - (s % k + k) % k) // k AS BIGINT) ORDER BY i) AS c FROM s0 GROUP BY p, e
+            ) AS t USING (p, e)
+        ), a1 AS MATERIALIZED (
+            SELECT n, p, any_value(x) AS x, min({'d': list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': e}) AS m
+            FROM x JOIN c1 USING (p) GROUP BY n, p
+        ), s1 AS (
+            SELECT p, m.e AS e, i, sum(x[i]) AS s, count(*) AS k FROM a1, LATERAL (SELECT unnest(range(1, len(x) + 1)) AS i) GROUP BY p, m.e, i
+        ), c2 AS MATERIALIZED (
+            SELECT p, e, coalesce(t.c, c1.c) AS c FROM c1 LEFT JOIN (
+                SELECT p, e, list(CAST((s - (s % k + k) % k) // k AS BIGINT) ORDER BY i) AS c FROM s1 GROUP BY p, e
+            ) AS t USING (p, e)
+        ), a2 AS MATERIALIZED (
+            SELECT n, p, min({'d': list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': e}) AS m
+            FROM x JOIN c2 USING (p) GROUP BY n, p
+        ), coded AS (
+            SELECT n, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a2 GROUP BY n
+        )
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+               (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM c2) AS codebooks_sha256
+        FROM coded JOIN v USING (n)
+    """,
+    "op12_fill_in_middle": """
+        WITH h AS (
+            SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+                   sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+            FROM documents
+        ), d AS (
+            SELECT doc_id, text, u, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+                   CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4
+            FROM h
+        ), c AS (
+            SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                        WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM d
+        ), p AS (
+            SELECT *, array_to_string(u[1 : a], '') AS prefix, array_to_string(u[a + 1 : b], '') AS middle, array_to_string(u[b + 1 : n], '') AS suffix FROM c
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM p
+    """,
 }
