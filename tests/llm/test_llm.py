@@ -456,7 +456,7 @@ def test_decontamination_of_edited_copies_in_a_hot_group(spark):
     docs = spark.createDataFrame([(i, "lead in " + " ".join(edited) if i < 30 else "nothing of the kind") for i in range(60)], "doc_id long, text string")
     hits = {r.doc_id: [(h.item_id, h.score, h.first_word, h.last_word) for h in r.contamination] for r in decontam.find_contamination(docs, b).collect()}
     assert hits == {i: [(1, 0.7, 2, 17)] if i < 30 else [] for i in range(60)}
-    # one seed is enough, and words put in between don't move the end out of the stretch
+    # words put in between don't move the end out of the stretch
     spread = "one two three four x five x six x seven x eight x nine x ten x eleven x twelve x thirteen x fourteen x fifteen"
     lone = "one two three zz five six zz eight nine zz eleven twelve zz fourteen fifteen"
     assert [[h[1:] for h in f] for f in decontam.matches(decontam.Items([(1, " ".join(words))]), [spread, lone])] == [[(19 / 30, 0, 26)], [(18 / 30, 0, 15)]]
