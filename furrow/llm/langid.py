@@ -17,7 +17,8 @@ Score is the second-best estimate over the sum of the two best: 0.5 is a tie, 1.
 
 from __future__ import annotations
 
-import uuid
+import hashlib
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,9 @@ from pyspark.sql import types as T
 from furrow.llm.common import append_columns, quoted, resident, texts
 
 UNKNOWN = "und"
-#: Bounds of the sample that is learned from: labelled rows a language, and what of each row is learned, in characters. All
-#: of it is learned, so an automaton reads ROWS * CHARS symbols at most.
-SAMPLE_ROWS, SAMPLE_CHARS = 64, 640
+#: Bounds of the sample that is learned from: labelled rows a language, and their characters together. Rows are learned whole, so
+#: those go first that take a sixteenth of the characters at most; a language whose shortest row is over the bound is learned from this row alone.
+SAMPLE_ROWS, SAMPLE_CHARS = 64, 40_960
 #: Letters with a symbol of their own; the rest share BUCKETS symbols.
 LETTERS, BUCKETS = 160, 16
 BLOCK = 2_048
@@ -230,29 +231,40 @@ def fit(
     sample_rows: int = SAMPLE_ROWS,
     sample_chars: int = SAMPLE_CHARS,
 ) -> Model:
-    """Learn from a bounded sample of the learnable rows: for each language those with the lowest hash of
-    the id, and of each `sample_chars` characters from its first letter on. Only ids and languages are ranked, with the limit pushed
-    before the shuffle; what is learned of the few chosen rows goes to the driver."""
+    """Learn from a bounded sample of the learnable rows, each of them whole.
+
+    Of each language the rows of up to a sixteenth of `sample_chars` come first, by a hash of the id, then longer ones by length; of these
+    `sample_rows` those are taken that still fit into `sample_chars`, and the first one always. Ids, languages and lengths are ranked only, with
+    the limit pushed before the shuffle; the texts of the few chosen rows go to the driver.
+    """
     id_, lang, text = (F.col(quoted(c)) for c in (id_col, lang_col, text_col))
     rows = docs.select(id_.alias("id"), lang.cast("string").alias("lang"), text.alias("text"))
     rows = rows.filter(learnable("id") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = rows.select("id", "lang").withColumn("nth", nth).filter(F.col("nth") <= sample_rows).select("id", "lang")
-    part = F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, sample_chars)
-    sample = rows.join(F.broadcast(chosen.distinct()), ["id", "lang"], "left_semi").select(
-        "lang", F.xxhash64("id").alias("h"), "id", part.alias("text")
-    )
+    ranked = rows.select("id", "lang", F.length("text").alias("chars"), F.xxhash64("text").alias("mark"))
+    over = F.greatest(F.col("chars") - sample_chars // 16, F.lit(0))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(over, F.xxhash64("id"), "id", "mark"))
+    near = ranked.withColumn("nth", nth).filter(F.col("nth") <= sample_rows)
+    left: dict[str, int] = {}
+    chosen = []
+    for r in sorted(near.collect(), key=lambda r: (r.lang, r.nth)):
+        if r.lang not in left or r.chars <= left[r.lang]:
+            left[r.lang] = left.get(r.lang, sample_chars) - r.chars
+            chosen.append((r.id, r.lang, r.mark))
+    if not chosen:
+        return Model({})
+    wanted = docs.sparkSession.createDataFrame(chosen, T.StructType([ranked.schema[c] for c in ("id", "lang", "mark")]))
+    sample = rows.withColumn("mark", F.xxhash64("text")).join(F.broadcast(wanted.distinct()), ["id", "lang", "mark"], "left_semi")
     samples: dict[str, list[str]] = {}
-    for r in sorted(sample.distinct().collect(), key=lambda r: (r.lang, r.h, r.id, r.text)):
+    for r in sorted(sample.select("lang", F.xxhash64("id").alias("h"), "id", "text").distinct().collect(), key=lambda r: (r.lang, r.h, r.id, r.text)):
         samples.setdefault(r.lang, []).append(r.text)
-    return Model({lang: t[:sample_rows] for lang, t in samples.items()})
+    return Model(samples)
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "lang_score") -> DataFrame:
     """Append language and score of each whole text; one pass, no shuffle."""
     shared = df.sparkSession.sparkContext.broadcast(model)
+    key = ("langid", hashlib.sha256(pickle.dumps((model.langs, model.alphabet, model.sequences))).hexdigest())
     fields = T.StructType([T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
-    key = ("langid", uuid.uuid4().hex)
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         model = shared.value

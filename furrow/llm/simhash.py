@@ -205,11 +205,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     classes = _classes(rows.groupBy("fingerprint").agg(F.min(first).alias("rep")), radius)
     keep = classes.groupBy("class").agg(F.min("rep").alias("rep")).select("rep.*").checkpoint()
     named = docs.select("*", *[c.alias(n) for n, c in key.items()]).alias("d")
-    k = keep.alias("k")
-    same = F.col(f"d.{i}").eqNullSafe(F.col(f"k.{i}")) & (F.col(f"d.{a}") == F.col(f"k.{a}")) & (F.col(f"d.{b}") == F.col(f"k.{b}"))
-    kept = named.join(k, same, "left_semi")
-    if not keep.filter(F.col("rows") > 1).isEmpty():
-        # Rows equal in id and text may differ in other columns: the same one of them stays in every run.
-        whole = F.struct(*[F.col(quoted(c)) for c in docs.columns])
-        kept = kept.groupBy(i, a, b).agg(F.min_by(whole, F.sha2(F.to_json(whole), 256)).alias("row")).select("row.*")
-    return kept.select(*[F.col(quoted(c)) for c in docs.columns])
+
+    def of(chosen: DataFrame) -> DataFrame:
+        k = chosen.alias("k")
+        same = F.col(f"d.{i}").eqNullSafe(F.col(f"k.{i}")) & (F.col(f"d.{a}") == F.col(f"k.{a}")) & (F.col(f"d.{b}") == F.col(f"k.{b}"))
+        return named.join(k, same, "left_semi")
+
+    # Of rows equal in id and text, which may differ in other columns, the same one stays in every run. Only such rows are grouped, and one of
+    # each task and key goes on; both joins read the same shuffle of the documents.
+    whole = F.struct(*[F.col(quoted(c)) for c in docs.columns])
+    repeated = of(keep.filter(F.col("rows") > 1)).groupBy(i, a, b).agg(F.min_by(whole, F.sha2(F.to_json(whole), 256)).alias("row"))
+    return of(keep.filter(F.col("rows") == 1)).select(*[F.col(quoted(c)) for c in docs.columns]).unionByName(repeated.select("row.*"))

@@ -67,10 +67,16 @@ def test_language_query(spark):
     assert sum(r.lang_pred == docs[r.doc_id].lang for r in held) >= 0.97 * len(held)
 
 
-def test_language_learns_every_row_of_its_sample(spark):
-    rows = [(i, "123 " + "ab cd " * 500 if i % 2 else "", "x") for i in range(400)]
+def test_language_learns_whole_rows(spark):
+    text = "123 " + "ab cd " * 500
+    rows = [(i, text if i % 2 else "", "x") for i in range(400)] + [(1_000 + i, "ef " * 20_000, "long") for i in range(8)]
+    rows += [(2_000 + i, "gh " * 100, "many") for i in range(400)]
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert len(model.sequences) == 1 and langid.SAMPLE_ROWS * (langid.SAMPLE_CHARS - 1) <= len(model.sequences[0]) <= langid.SAMPLE_ROWS * (langid.SAMPLE_CHARS + 1)
+    own = lambda t: len(langid.letters_of(t)) + 1
+    taken = langid.SAMPLE_CHARS // len(text)
+    assert model.langs == ["long", "many", "x"]
+    assert [len(s) for s in model.sequences] == [own("ef " * 20_000), langid.SAMPLE_ROWS * own("gh " * 100), taken * own(text)]
+    assert langid.fit(spark.createDataFrame(rows[:1], "doc_id long, text string, lang string")).langs == []
 
 
 def test_language_stage_fills_missing_labels_and_keeps_columns(spark):
