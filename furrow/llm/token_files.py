@@ -35,10 +35,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.llm.common import quoted, resident, slices, texts
-from furrow.llm.pretokens import Memory
 from furrow.session import shuffle_width
 
 VOCABULARY_BYTES = 64 << 20
+#: Stretches that a worker process remembers, in bytes, before it keeps those of the texts at hand only.
+MEMORY_BYTES = 64 << 20
 #: Ids that a reader hands on at once.
 READ_IDS = 1 << 20
 #: A task's share of the texts.
@@ -75,6 +76,9 @@ class Flat:
 class Encoder:
     """The library's ids of texts, as bytes of one unsigned width."""
 
+    #: A control character between stretches that are encoded together; a text may hold it too.
+    BORDER = "\x02"
+
     def __init__(self, raw: bytes, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on each core
         from tokenizers import Tokenizer
@@ -85,26 +89,46 @@ class Encoder:
         spec = json.loads(raw)
         self.dtype = width(spec, end_id)
         self.end = np.array([end_id], self.dtype).tobytes()
-        self.divides = drops_white_space(spec)
-        self.memory = Memory()
+        border = self.tokenizer.encode(self.BORDER, add_special_tokens=False).ids
+        #: The id of the border, if stretches may be told apart by it. No other character's bytes give that id.
+        self.border = border[0] if len(border) == 1 and drops_white_space(spec) else None
+        self.known: dict[str, bytes] = {}
+        self.room = MEMORY_BYTES
 
     def encode(self, rows: list[str]) -> list[bytes]:
         """The ids of each text and the end id."""
-        split = [t.replace("\n", " ").split(" ") if self.divides else [t] for t in rows]
-        known: dict[str, bytes] = {}
-        missing = []
-        for part in {p for parts in split for p in parts}:
-            ids = self.memory.get(part)
-            if ids is None:
-                missing.append(part)
-            else:
-                known[part] = ids
+        if self.border is None:
+            return [self._ids(t) + self.end for t in rows]
+        split = [t.replace("\n", " ").split(" ") for t in rows]
+        parts = set().union(*split)
+        if self.room < 0:  # what these texts need stays
+            self.known = {p: self.known[p] for p in parts & self.known.keys()}
+            self.room = MEMORY_BYTES - sum(map(self._size, self.known))
+        missing = list(parts.difference(self.known))
         for at in range(0, len(missing), 10_000):
-            group = missing[at : at + 10_000]
-            for part, encoding in zip(group, self.tokenizer.encode_batch_fast(group, add_special_tokens=False), strict=True):
-                known[part] = ids = np.array(encoding.ids, self.dtype).tobytes()
-                self.memory.put(part, ids)
-        return [b"".join(map(known.__getitem__, parts)) + self.end for parts in split]
+            self._learn(missing[at : at + 10_000])
+        known = self.known.__getitem__
+        return [b"".join(map(known, own)) + self.end for own in split]
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes()
+
+    def _learn(self, parts: list[str]) -> None:
+        """Encode many stretches in one text, with borders between them."""
+        plain = [p for p in parts if self.BORDER not in p]
+        ids = np.array(self.tokenizer.encode_batch_fast([f" {self.BORDER} ".join(plain)], add_special_tokens=False)[0].ids, self.dtype)
+        borders = np.flatnonzero(ids == self.border)
+        if len(plain) and len(borders) != len(plain) - 1:
+            raise ValueError("the tokenizer lost a border")
+        raw, step = ids.tobytes(), ids.itemsize
+        begins, ends = [0, *((borders + 1) * step).tolist()], [*(borders * step).tolist(), len(raw)]
+        self.known.update((p, raw[a:b]) for p, a, b in zip(plain, begins, ends, strict=False))
+        self.known.update((p, self._ids(p)) for p in parts if self.BORDER in p)
+        self.room -= sum(map(self._size, parts))
+
+    def _size(self, part: str) -> int:
+        """About what an entry takes, its objects and place included."""
+        return 200 + 2 * len(part) + len(self.known[part])
 
 
 def width(spec: dict, end_id: int) -> str:

@@ -126,22 +126,29 @@ def library():
     return Tokenizer.from_file(WORDS)
 
 
-def test_stretches_encode_as_the_whole_text(library):
+def test_stretches_encode_as_the_whole_text(library, monkeypatch):
     rng = random.Random(2)
     encoder = token_files.Encoder(open(WORDS, "rb").read(), 2)
-    assert encoder.divides and encoder.dtype == "<u2"
-    letters = "aB'sétΣß1日 \n\t́ͅ \x1c\x85😀.<|>"
+    assert encoder.border is not None and encoder.dtype == "<u2"
+    letters = "aB'sétΣß1日 \n\t́ͅ \x1c\x85\x02😀.<|>"
     texts = [t or "" for t in TEXTS] + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
     texts += ["<|endoftext|>".join("a b\n ") + "".join(rng.choice(letters) for _ in range(9)) for _ in range(200)]
     want = [e.ids + [2] for e in library.encode_batch(texts, add_special_tokens=False)]
     assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(texts)] == want
+    monkeypatch.setattr(token_files, "MEMORY_BYTES", 5_000)
+    small = token_files.Encoder(open(WORDS, "rb").read(), 2)
+    got = []
+    for at in range(0, len(texts), 50):
+        got += small.encode(texts[at : at + 50])
+        assert sum(map(small._size, small.known)) < 5_000 + 120_000
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == want
 
 
 def test_a_file_that_keeps_white_space_is_encoded_whole():
     raw = open(public_tokenizers.path("byte_bpe_50k.json"), "rb").read()
     encoder = token_files.Encoder(raw, 50256)
     other = Tokenizer.from_str(raw.decode())
-    assert not encoder.divides
+    assert encoder.border is None
     texts = ["a  b\n c", "", "the end"]
     assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(texts)] == [other.encode(t, add_special_tokens=False).ids + [50256] for t in texts]
 
