@@ -39,7 +39,7 @@ from furrow.session import shuffle_width
 
 VOCABULARY_BYTES = 64 << 20
 #: Stretches that a worker process remembers, in bytes, before it keeps those of the texts at hand only.
-MEMORY_BYTES = 64 << 20
+MEMORY_BYTES = 96 << 20
 #: Ids that a reader hands on at once.
 READ_IDS = 1 << 20
 #: A task's share of the texts.
@@ -78,6 +78,8 @@ class Encoder:
 
     #: A control character between stretches that are encoded together; a text may hold it too.
     BORDER = "\x02"
+    #: Marks that may close a stretch; no match of the pattern begins with one of them and goes on with a letter.
+    MARKS = ".,;:!?*#$%&()[]{}+=/|-"
 
     def __init__(self, raw: bytes, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on each core
@@ -92,6 +94,7 @@ class Encoder:
         border = self.tokenizer.encode(self.BORDER, add_special_tokens=False).ids
         #: The id of the border, if stretches may be told apart by it. No other character's bytes give that id.
         self.border = border[0] if len(border) == 1 and drops_white_space(spec) else None
+        self.opening = {t["content"][0] for t in spec["added_tokens"]}
         self.known: dict[str, bytes] = {}
         self.room = MEMORY_BYTES
 
@@ -114,17 +117,34 @@ class Encoder:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes()
 
     def _learn(self, parts: list[str]) -> None:
-        """Encode many stretches in one text, with borders between them."""
-        plain = [p for p in parts if self.BORDER not in p]
+        """Encode many stretches in one text, with borders between them; those that differ in case or in closing marks only, once."""
+        forms = {p: self._form(p) for p in parts}
+        new = {x for form in forms.values() for x in form}.difference(self.known)
+        plain = [p for p in new if self.BORDER not in p]
         ids = np.array(self.tokenizer.encode_batch_fast([f" {self.BORDER} ".join(plain)], add_special_tokens=False)[0].ids, self.dtype)
         borders = np.flatnonzero(ids == self.border)
         if len(plain) and len(borders) != len(plain) - 1:
             raise ValueError("the tokenizer lost a border")
         raw, step = ids.tobytes(), ids.itemsize
         begins, ends = [0, *((borders + 1) * step).tolist()], [*(borders * step).tolist(), len(raw)]
-        self.known.update((p, raw[a:b]) for p, a, b in zip(plain, begins, ends, strict=False))
-        self.known.update((p, self._ids(p)) for p in parts if self.BORDER in p)
-        self.room -= sum(map(self._size, parts))
+        known = self.known
+        known.update((p, raw[a:b]) for p, a, b in zip(plain, begins, ends, strict=False))
+        known.update((p, self._ids(p)) for p in new if self.BORDER in p)
+        known.update((p, known[f[0]] if len(f) == 1 else known[f[0]] + known[f[1]]) for p, f in forms.items())
+        self.room -= sum(map(self._size, new.union(parts)))
+
+    def _form(self, part: str) -> tuple[str, ...]:
+        """Stretches whose ids, one after the other, are those of `part`.
+
+        Up to U+00FF a character has one lower-case form and normalisation changes nothing. A run of marks that follows a letter or digit is a match of
+        its own. What may hold a special token stays as it is.
+        """
+        if not part or max(part) > "\xff" or any(c in part for c in self.opening):
+            return (part,)
+        core = part.rstrip(self.MARKS)
+        if core and len(core) < len(part) and core[-1].isalnum():
+            return core.lower(), part[len(core) :]
+        return (part.lower(),)
 
     def _size(self, part: str) -> int:
         """About what an entry takes, its objects and place included."""

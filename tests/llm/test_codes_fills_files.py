@@ -132,6 +132,8 @@ def test_stretches_encode_as_the_whole_text(library, monkeypatch):
     assert encoder.border is not None and encoder.dtype == "<u2"
     letters = "aB'sétΣß1日 \n\t́ͅ \x1c\x85\x02😀.<|>"
     texts = [t or "" for t in TEXTS] + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    marks = ["thing", "Thing,", "THING...", "don't.", "It's|", "É,", "ª.", "½!", "x\xa0,", "<|EndOfText|>", "<|endoftext|>,", "-|x|-", "a.b.", "...", "Ω.", "e\u0301,", "İ.", "'S,"]
+    texts += marks + [" ".join(rng.choice(marks) for _ in range(6)) for _ in range(300)]
     texts += ["<|endoftext|>".join("a b\n ") + "".join(rng.choice(letters) for _ in range(9)) for _ in range(200)]
     want = [e.ids + [2] for e in library.encode_batch(texts, add_special_tokens=False)]
     assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(texts)] == want
