@@ -147,11 +147,18 @@ class Items:
         starts = np.flatnonzero(new)
         ends = end[np.append(starts[1:], len(item)) - 1]
         out = []
+        seen = np.zeros(self.base, bool)
         for k, a, b in zip(item[starts].tolist(), begin[starts].tolist(), ends.tolist(), strict=True):
             words, stretch = self.sequences[k], numbers[a:b]
             least = self.needed[k] / MATCH
-            if len(stretch) >= least and np.isin(words, stretch).sum() >= least and np.isin(stretch, words).sum() >= least:
-                out.append((k, a, b))
+            seen[stretch] = True
+            enough = np.count_nonzero(seen[words]) >= least
+            seen[stretch] = False
+            if enough:
+                seen[words] = True
+                if np.count_nonzero(seen[stretch]) >= least:
+                    out.append((k, a, b))
+                seen[words] = False
         return out
 
 
@@ -192,8 +199,12 @@ def matches(items: Items, rows: list[str]) -> list[list[tuple[int, float, int, i
     jobs.sort(key=lambda j: (len(j[3]), len(items.sequences[j[1]])))
     at = 0
     while at < len(jobs):
-        size = max(1, CELLS // max(1, len(jobs[min(len(jobs) - 1, at + 2_000)][3])))
-        group = jobs[at : at + min(size, 2_000)]
+        # Stretches of one group are at most twice as long as its shortest, so little of the table is padding.
+        most = 2 * len(jobs[at][3])
+        end = at + 1
+        while end < len(jobs) and len(jobs[end][3]) <= most and (end - at + 1) * len(jobs[end][3]) <= CELLS:
+            end += 1
+        group = jobs[at:end]
         at += len(group)
         queries = [items.sequences[j[1]] for j in group]
         best, end = align(queries, [j[3] for j in group])
