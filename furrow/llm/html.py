@@ -1,13 +1,18 @@
 """Main text of web pages from streamed parser events.
 
 The standard library's parser yields tags and text. Text is gathered into lines (one for each block
-of the page) with the number of tags since the line before. Text inside menus, adverts, forms and the
-like is left out by element, or set aside by name. The text-to-tag ratio of the other lines is smoothed by
-a Gaussian and cut at a threshold. Names only weigh: where by density none of the other lines is content, they are ignored.
-Lines of links only, in a row or several in a line, are menus unless they stand in an article. All lines above it are the article, wherever they stand, and so are
+of the page) with the number of tags since the line before. Elements that hold no article's text, such as scripts, menus, forms and asides, are left out. The
+text-to-tag ratio of the lines is smoothed by a Gaussian and cut at a threshold. All lines above it are the article, wherever they stand, and so are
 the short lines of the regions, which are the elements that hold the dense lines. Names like article and main
 say only how far a region reaches.
 
+Names of adverts, menus, comments and the like weigh: a line in such an element needs a ratio eight times (words of layout) or four times (words that may be a
+topic as well) as high. Inside an article or content element a topic's word counts for nothing but that the element's short lines stay only beside a dense
+one; an element named for discussion is one of reader comments there only if it repeats: if it has a form, or several parts with such a name. Where
+by density all content stands in elements with such names, they are ignored.
+
+Lines of links only, in a row or several in a line, are menus unless they stand in an article or between dense lines of their own element.
+
 Defined results: null html, empty html and pages without text give an empty text; repeated rows get
 equal rows; pages of any length are read whole.
 """
@@ -46,16 +51,23 @@ CLOSES = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select", "datalist"}),
 }
-#: Words in a class, id or role that mark what is not the article.
-ASIDE_WORDS = frozenset(
-    "ad ads adsense advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright"
-    " disqus dialog discussion footer form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices"
-    " notification overlay pagination paywall popup promo promotion recommended related replies reply respond rail search share sharing"
-    " sidebar signup skip social sponsor sponsored subscribe teaser toolbar widget complementary contentinfo alert alertdialog".split()
+#: Words in a class, id or role that stand for layout about an article, and words that may be an article's topic as well.
+LAYOUT_WORDS = frozenset(
+    "ad ads adsense advert advertisement adverts advertising banner breadcrumb breadcrumbs cookie cookies consent contentinfo complementary copyright"
+    " dialog alertdialog footer gdpr header masthead menu menubar modal nav navbar navigation newsletter overlay pagination paywall popup rail"
+    " sidebar skip sponsor sponsored subscribe toolbar widget".split()
 )
-#: Words that mark the article; an element with both kinds counts as article unless it holds comments.
-ARTICLE_WORDS = frozenset("article content entry main post story text body page wrapper container layout".split())
+TOPIC_WORDS = frozenset("alert form login notice notices notification promo promotion recommended related search share sharing signup social teaser".split())
+#: Words of reader comments, and those of them that are a topic in an article unless they repeat there.
 COMMENT_WORDS = frozenset("comment comments disqus replies reply respond discussion".split())
+TALK_WORDS = frozenset("comment reply respond discussion".split())
+#: Words that mark the article, so that those of layout and topics in the same element count for nothing; and those of them in whose elements topics do.
+ARTICLE_WORDS = frozenset("article content entry main post story text body page wrapper container layout".split())
+CONTENT_WORDS = frozenset("article content entry post story text".split())
+#: What a line's ratio is multiplied by.
+LAYOUT_WEIGHT, TOPIC_WEIGHT = 1 / 8, 1 / 4
+#: Parts with names of comments from which an element in an article is one of comments.
+REPEATS = 2
 #: Elements that hold one line, and so are no region.
 SINGLE = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 td th tr span b i em strong a pre blockquote".split())
 #: Elements that hold menus as well as text: a region only if dense lines stand in them directly.
@@ -69,49 +81,59 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 class _Node:
     """An open element that may hold the region."""
 
-    __slots__ = ("tag", "parent", "outside", "aside", "named", "dense", "kids", "names", "inside", "article")
+    __slots__ = ("tag", "parent", "outside", "weight", "topic", "talk", "content", "named", "dense", "kids", "names", "inside", "article")
 
-    def __init__(self, tag: str, parent: "_Node | None", outside: bool, aside: bool, named: bool):
-        self.tag, self.parent, self.outside, self.aside, self.named = tag, parent, outside, aside, named
+    def __init__(self, tag: str, parent: "_Node | None", outside: bool = False, named: bool = False, content: bool = False):
+        self.tag, self.parent, self.outside, self.named = tag, parent, outside, named
         self.article = named or (parent is not None and parent.article)
+        self.content = named or content or (parent is not None and parent.content)
+        # what names weigh; the topmost element in an article that has a topic's name; how much of comments the topmost discussion has
+        self.weight: float = parent.weight if parent else 1.0
+        self.topic: _Node | None = parent.topic if parent else None
+        self.talk: list[int] | None = parent.talk if parent else None
         # dense lines of its own; elements in it that hold some; whether a named one does
         self.dense, self.kids, self.names, self.inside = False, [], False, False
 
+    def set_aside(self) -> bool:
+        return self.weight < 1 or (self.talk is not None and self.talk[0] >= REPEATS)
+
 
 class _Line:
-    """Text of a block, tags before it, the element that holds it, and how many links hold all of it (0: not all)."""
+    """Text of a block, tags so far and since the line before, the element that holds it, and how many links hold all of it (0: not all)."""
 
-    __slots__ = ("text", "tags", "node", "links")
+    __slots__ = ("text", "at", "tags", "node", "links")
 
-    def __init__(self, text: str, tags: int, node: _Node, links: int):
-        self.text, self.tags, self.node, self.links = text, tags, node, links
+    def __init__(self, text: str, at: int, node: _Node, links: int):
+        self.text, self.at, self.tags, self.node, self.links = text, at, at, node, links
 
 
 class Lines(HTMLParser):
-    """The page as lines, once without and once with what names set aside."""
+    """The page as lines."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = _Node("#root", None, False, False, False)
+        self.root = _Node("#root", None)
         self.open: list[_Node] = [self.root]
         self.nodes: list[_Node] = [self.root]  # parents before children
         self.count: dict[str, int] = {}
-        #: Text of the block so far: what it is, whether names set it aside, the link that holds it (0: none), and the element.
-        self.buffer: list[tuple[str, bool, int, _Node]] = []
+        #: Text of the block so far: what it is, the link that holds it (0: none), and the element.
+        self.buffer: list[tuple[str, int, _Node]] = []
         self.links = 0
-        self.tags = [0, 0]
-        self.lines: tuple[list[_Line], list[_Line]] = ([], [])
+        self.tags = 0
+        self.lines: list[_Line] = []
 
     def _flush(self) -> None:
+        """The block's text as a line; what weighs otherwise than the block's first text is a line of its own."""
         if not self.buffer:
             return
-        for k in (0, 1):
-            parts = [p for p in self.buffer if k or not p[1]]
-            text = " ".join("".join([p[0] for p in parts]).split())
+        parts: dict[float, list[tuple[str, int, _Node]]] = {}
+        for p in self.buffer:
+            parts.setdefault(p[2].weight, []).append(p)
+        for some in parts.values():
+            text = " ".join("".join([p[0] for p in some]).split())
             if text:
-                own = {p[2] for p in parts if _LETTER.search(p[0])}
-                self.lines[k].append(_Line(text, self.tags[k], self._block(parts[0][3]), 0 if 0 in own else len(own)))
-                self.tags[k] = 0
+                own = {p[1] for p in some if _LETTER.search(p[0])}
+                self.lines.append(_Line(text, self.tags, self._block(some[0][2]), 0 if 0 in own else len(own)))
         self.buffer = []
 
     def _pop(self, to: int) -> None:
@@ -138,24 +160,32 @@ class Lines(HTMLParser):
             return True
         return False
 
-    def _is_aside(self, tag: str, attrs: dict[str, str | None]) -> bool:
-        if self.open[-1].aside:
-            return True
+    def _name(self, node: _Node, words: set[str]) -> None:
+        """What the words of an element's class, id and role weigh."""
+        tag, parent = node.tag, node.parent
         if tag in ("html", "body", "main"):
-            return False
-        within = self.count.get("article", 0) or self.count.get("main", 0)
-        words = set(_WORDS.findall(" ".join(attrs.get(k) or "" for k in ("class", "id", "role")).lower()))
+            return
+        if parent.content and node.talk is not None and (words & COMMENT_WORDS or tag in ("form", "textarea", "button")):
+            node.talk[0] += 1 if words & COMMENT_WORDS else REPEATS
         if words & COMMENT_WORDS:
-            return True
-        if words & ASIDE_WORDS:
-            inside_header = tag == "header" or bool(within and words & {"header"} and not words & (ASIDE_WORDS - {"header"}))
-            return not (words & ARTICLE_WORDS) and tag != "article" and not inside_header
-        return False
+            if not parent.content or words & (COMMENT_WORDS - TALK_WORDS):
+                node.weight = LAYOUT_WEIGHT
+            elif node.talk is None:
+                node.talk, node.topic = [0], node.topic or node
+        elif not words & ARTICLE_WORDS and tag != "article":
+            within = self.count.get("article", 0) or self.count.get("main", 0)
+            if words & LAYOUT_WORDS and not (tag == "header" or (within and words & LAYOUT_WORDS == {"header"})):
+                node.weight = LAYOUT_WEIGHT
+            elif words & TOPIC_WORDS:
+                if parent.content:
+                    node.topic = node.topic or node
+                else:
+                    node.weight = min(node.weight, TOPIC_WEIGHT)
 
     def handle_starttag(self, tag: str, attributes: list[tuple[str, str | None]]) -> None:
         self._tag()
         if tag == "br":
-            self.buffer.append((" ", self.open[-1].aside, 0, self.open[-1]))
+            self.buffer.append((" ", 0, self.open[-1]))
             return
         if tag in BLOCK:
             self._flush()
@@ -170,9 +200,11 @@ class Lines(HTMLParser):
         attrs = dict(attributes)
         named = tag in ("article", "main") or attrs.get("role") in ("main", "article") or attrs.get("itemprop") == "articleBody"
         self.links += tag == "a"
-        outside = self._is_outside(tag, attrs)
-        self.open.append(_Node(tag, self.open[-1], outside, outside or self._is_aside(tag, attrs), named))
-        self.nodes.append(self.open[-1])
+        words = set(_WORDS.findall(" ".join(attrs.get(k) or "" for k in ("class", "id", "role")).lower()))
+        node = _Node(tag, self.open[-1], self._is_outside(tag, attrs), named, bool(words & CONTENT_WORDS))
+        self._name(node, words)
+        self.open.append(node)
+        self.nodes.append(node)
         self.count[tag] = self.count.get(tag, 0) + 1
 
     def handle_startendtag(self, tag: str, attributes: list[tuple[str, str | None]]) -> None:
@@ -193,8 +225,7 @@ class Lines(HTMLParser):
                 return
 
     def _tag(self) -> None:
-        self.tags[0] += 1
-        self.tags[1] += 1
+        self.tags += 1
 
     @staticmethod
     def _block(node: _Node) -> _Node:
@@ -205,14 +236,22 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         top = self.open[-1]
         if not top.outside:
-            self.buffer.append((data, top.aside, self.links if self.count.get("a", 0) else 0, top))
+            self.buffer.append((data, self.links if self.count.get("a", 0) else 0, top))
 
-    def finish(self) -> tuple[list[_Line], list[_Line]]:
+    def finish(self) -> list[_Line]:
         self.close()
         self._flush()
         return self.lines
 
 
+def counted(lines: list[_Line]) -> list[_Line]:
+    """The lines with the tags since the one before."""
+    at = 0
+    for x in lines:
+        x.tags, at = x.at - at, x.at
+    return lines
+
+
 def smoothed(values: np.ndarray, sigma: float) -> np.ndarray:
     """Gaussian smoothing, the kernel renormalised at the borders."""
     reach = max(1, math.ceil(3 * sigma))
@@ -232,22 +271,40 @@ def content_lines(lines: list[_Line], sigma: float) -> tuple[np.ndarray, np.ndar
     return good, dense if dense.any() else good
 
 
-def weighed(lines: tuple[list[_Line], list[_Line]], sigma: float) -> list[_Line]:
-    """The lines that names leave; all of them where by density no content is among those that they leave."""
-    rest, every = lines
-    if len(rest) == len(every) or not every:
-        return rest
-    dense = content_lines(every, sigma)[1]
-    return rest if rest and any(not every[k].node.aside for k in dense.nonzero()[0].tolist()) else every
+def weighed(lines: list[_Line], sigma: float) -> tuple[list[_Line], list[_Line]]:
+    """The lines that names leave as they are, and those that need a higher ratio; none of the latter where by density all content is among them."""
+    rest, aside = [x for x in lines if not x.node.set_aside()], [x for x in lines if x.node.set_aside()]
+    if not aside:
+        return counted(rest), []
+    dense = content_lines(counted(lines), sigma)[1]
+    if not rest or all(lines[k].node.set_aside() for k in dense.nonzero()[0].tolist()):
+        return lines, []
+    return counted(rest), aside
 
 
-def menus(lines: list[_Line]) -> np.ndarray:
-    """Lines of links only: several in one line, or such lines in a row."""
+def menus(lines: list[_Line], dense: np.ndarray) -> np.ndarray:
+    """Lines of links only: several in one line, or such lines in a row. Not those in an article, nor those between dense lines of their list's element."""
     some = np.array([x.links > 0 for x in lines])
     near = np.zeros(len(some), bool)
     near[1:] |= some[:-1]
     near[:-1] |= some[1:]
-    return some & (near | np.array([x.links > 1 for x in lines])) & np.array([not x.node.article for x in lines])
+    menu = some & (near | np.array([x.links > 1 for x in lines])) & np.array([not x.node.article for x in lines])
+    if menu.any():
+        holders = [_holder(x.node) for x in lines]
+        spans: dict[_Node, list[int]] = {}
+        for k in (dense & ~menu).nonzero()[0].tolist():
+            spans.setdefault(holders[k], [k, k])[1] = k
+        for k in menu.nonzero()[0].tolist():
+            first, last = spans.get(holders[k], (k, k))
+            menu[k] = not (first < k < last and holders[k].tag not in PAGE)
+    return menu
+
+
+def _holder(node: _Node) -> _Node:
+    """The element that holds a line's block or list."""
+    while node.parent is not None and (node.tag in SINGLE or node.tag in ("ul", "ol", "dl")):
+        node = node.parent
+    return node
 
 
 def regions(root: _Node) -> list[_Node]:
@@ -283,17 +340,20 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     if opened := _OPENED.search(html, tail):
         html = html[: opened.start()]  # markup that never closes is no text
     parser.feed(html)
-    lines = weighed(parser.finish(), sigma)
-    if not lines:
+    every = parser.finish()
+    if not every:
         return ""
+    lines, aside = weighed(every, sigma)
     good, dense = content_lines(lines, sigma)
-    menu = menus(lines)
+    menu = menus(lines, dense)
     if menu.all():
         menu[:] = False
     if (dense & ~menu).any():
         dense &= ~menu
+    topics = set()
     for k in dense.nonzero()[0].tolist():
         node = lines[k].node
+        topics.add(node.topic)
         while node.tag in SINGLE and node.parent is not None and not node.named:
             node = node.parent
         node.dense = True
@@ -305,7 +365,18 @@ def main_text(html: str, sigma: float = 1.0) -> str:
         node.inside = True
     for node in parser.nodes[1:]:
         node.inside |= node.parent.inside
-    return "\n\n".join(x.text for x, kept, link in zip(lines, good.tolist(), menu.tolist(), strict=True) if (kept or x.node.inside) and not link)
+    kept = {
+        id(x)
+        for x, fine, link in zip(lines, good.tolist(), menu.tolist(), strict=True)
+        if (fine or x.node.inside) and not link and (x.node.topic is None or x.node.topic in topics)
+    }
+    if aside:
+        least = min(len(x.text) / max(1, x.tags) for x, d in zip(lines, dense.tolist(), strict=True) if d)
+        for x in counted(every):
+            weight = x.node.weight if x.node.weight < 1 else LAYOUT_WEIGHT
+            if x.node.set_aside() and len(x.text) / max(1, x.tags) * weight >= least:
+                kept.add(id(x))
+    return "\n\n".join(x.text for x in every if id(x) in kept)
 
 
 def extract_main_text(df: DataFrame, html_col: str = "html", out: str = "main_text") -> DataFrame:

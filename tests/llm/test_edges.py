@@ -276,7 +276,7 @@ def test_content_lines_are_those_of_the_slow_version(spark):
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
         parser = html.Lines()
         parser.feed(r.html)
-        for lines in parser.finish():
+        for lines in (html.counted(parser.finish()),):
             if lines:
                 good, dense = html.content_lines(lines, 1.0)
                 slow_good, slow_dense = slow_content(lines, 1.0)
@@ -300,6 +300,44 @@ def test_misleading_names_give_way_to_density(name):
     assert html.main_text(f"<body><div>{MARKED}</div><div class='{name}'><p>Buy this, buy that, and buy some more of it now.</p></div></body>").split("\n\n") == BODY
 
 
+PARAGRAPHS = [f"{x} is a sentence of some length about the matter at hand, and it goes on for a while so that the line is dense. " * 3 for x in ("This", "That", "Here", "There")]
+SOLID = "".join(f"<p>{t}</p>" for t in PARAGRAPHS)
+
+
+@pytest.mark.parametrize("name", ["discussion", "related-work", "login", "sharing", "comment", "notice", "search"])
+@pytest.mark.parametrize("holder", ["<article>{}</article>", "<main>{}</main>", "<div class=content>{}</div>"])
+@pytest.mark.parametrize("by", ["id", "class"])
+def test_topics_stay_in_articles(name, holder, by):
+    section = f"<section {by}={name}><h2>Heading</h2>{SOLID}<p>Short.</p></section>"
+    page = "<body><nav><a>Home</a></nav>" + holder.format(f"<section id=methods><h2>Methods</h2>{SOLID}</section>{section}") + "<div class=ad>Buy now</div></body>"
+    own = [t.strip() for t in PARAGRAPHS]
+    assert html.main_text(page).split("\n\n") == ["Methods", *own, "Heading", *own, "Short."]
+
+
+@pytest.mark.parametrize("holder", ["<article>{}</article>", "<div class=content>{}</div>"])
+def test_comments_and_small_boxes_go_from_articles(holder):
+    own = [t.strip() for t in PARAGRAPHS]
+    comments = "".join(f"<div class=comment><b>Reader {i}</b><p>I do not agree with this at all, and I say so at some length here.</p></div>" for i in range(3))
+    for inner in (
+        f"<section class=comments>{comments}</section>", f"<div id=discussion>{comments}</div>", "<div id=respond><h3>Leave a reply</h3><form><textarea></textarea></form><p>Be kind to each other.</p></div>",
+        "<div class=share>Share this page</div>", "<div class='ad'>Buy this now, and buy some more.</div>", "<div class=related><ul><li><a>One</a><li><a>Two</a></ul></div>", "<div class=newsletter><p>Sign up for our letter</p></div>",
+    ):
+        page = f"<body>{holder.format(SOLID + inner)}</body>"
+        assert html.main_text(page).split("\n\n") == own, inner
+
+
+def test_links_between_paragraphs_of_their_element_are_text():
+    own, menu = [t.strip() for t in PARAGRAPHS], "<ul><li><a>See also Foo</a><li><a>Bar paper</a></ul>"
+    page = f"<body><ul><li><a>Home</a><li><a>News</a></ul><div>{SOLID}{menu}{SOLID}</div><ul><li><a>Terms</a><li><a>Help</a></ul></body>"
+    assert html.main_text(page).split("\n\n") == [*own, "See also Foo", "Bar paper", *own]
+
+
+def test_a_name_only_weighs():
+    wall = "<p>" + "This long text stands in a box with a name of layout, and yet it is far denser than the rest. " * 40 + "</p>"
+    assert "far denser" in html.main_text(f"<body><div>{SOLID}</div><div class=sidebar>{wall}</div></body>")
+    assert "sentence" not in html.main_text(f"<body><div>{SOLID.replace('sentence', 'line')}</div><div class=sidebar>{SOLID}</div></body>")
+
+
 def test_density_decides(monkeypatch):
     page = "<body>" + "<div><a href=/a>Home</a></div><div><b>x</b><i>y</i></div>" * 4 + f"<div class=story>{MARKED}</div></body>"
     before = html.main_text(page)
