@@ -10,26 +10,6 @@ def signed_area(ring: np.ndarray) -> float:
     return float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2
 
 
-def clip_convex(ring: np.ndarray, clipper: np.ndarray) -> np.ndarray:
-    """The part of a ring inside a convex ring (either direction), edge by edge of the clipper."""
-    if signed_area(clipper) < 0:
-        clipper = clipper[::-1]
-    out = ring
-    for a, b in zip(clipper, np.roll(clipper, -1, axis=0), strict=True):
-        if not len(out):
-            break
-        edge = b - a
-        side = edge[0] * (out[:, 1] - a[1]) - edge[1] * (out[:, 0] - a[0])
-        after, side2 = np.roll(out, -1, axis=0), np.roll(side, -1)
-        cross = (side < 0) != (side2 < 0)
-        t = np.where(cross, side / np.where(cross, side - side2, 1.0), 0.0)
-        met = out + t[:, None] * (after - out)
-        # each vertex, if inside, is followed by its edge's crossing, if there is one
-        both = np.stack([out, met], axis=1).reshape(-1, 2)
-        out = both[np.stack([side >= 0, cross], axis=1).reshape(-1)]
-    return out
-
-
 def convex_hull(points: np.ndarray) -> np.ndarray:
     """Counter-clockwise hull, without repeats."""
     p = np.unique(points, axis=0)
@@ -62,143 +42,6 @@ def least_width(points: np.ndarray) -> float:
     return float((reach.max(axis=1) - reach.min(axis=1)).min())
 
 
-def inset(ring: np.ndarray, by: np.ndarray) -> np.ndarray | None:
-    """Each edge moved inward by its own distance; corners are where moved edges meet. None if nothing sound is left."""
-    area = signed_area(ring)
-    if len(ring) < 3 or abs(area) < 1e-9:
-        return None
-    if area < 0:
-        ring, by = ring[::-1], np.roll(by[::-1], -1)
-    edge = np.roll(ring, -1, axis=0) - ring
-    length = np.hypot(edge[:, 0], edge[:, 1])
-    if (length < 1e-9).any():
-        return None
-    along = edge / length[:, None]
-    start = ring + np.stack([-along[:, 1], along[:, 0]], axis=1) * by[:, None]
-    before, origin = np.roll(along, 1, axis=0), np.roll(start, 1, axis=0)
-    turn = before[:, 0] * along[:, 1] - before[:, 1] * along[:, 0]
-    gap = start - origin
-    straight = np.abs(turn) < 1e-9
-    t = (gap[:, 0] * along[:, 1] - gap[:, 1] * along[:, 0]) / np.where(straight, 1.0, turn)
-    out = np.where(straight[:, None], start, origin + before * t[:, None])
-    moved = np.roll(out, -1, axis=0) - out
-    if (np.einsum("ij,ij->i", moved, along) <= 0).any():  # an edge turned over
-        return None
-    return out
-
-
-def headland(ring: np.ndarray, by: np.ndarray) -> tuple[str, np.ndarray, float, str | None]:
-    """(kind, ring, area share, reason): inset, or waived where the ring is too narrow for it or little would be left."""
-    whole = abs(signed_area(ring))
-    if not (by > 0).any():
-        return "none", ring, 1.0, None
-    if least_width(ring) <= 2 * float(by.max()) + 1e-6:
-        return "waived", ring, 1.0, "narrow"
-    inner = inset(ring, by)
-    if inner is None:
-        return "waived", ring, 1.0, "collapsed"
-    left = abs(signed_area(inner))
-    if left >= whole or left < 0.01 * whole:
-        return "waived", ring, 1.0, "area"
-    return "inset", inner, left / whole, None
-
-
-def inside(points: np.ndarray, ring: np.ndarray) -> np.ndarray:
-    """Even-odd test of many points."""
-    x, y = points[:, 0][:, None], points[:, 1][:, None]
-    a, b = ring, np.roll(ring, -1, axis=0)
-    high = (a[:, 1] > y) != (b[:, 1] > y)
-    at = (b[:, 0] - a[:, 0]) * (y - a[:, 1]) / (b[:, 1] - a[:, 1] + 1e-12) + a[:, 0]
-    return (np.count_nonzero(high & (x < at), axis=1) % 2) == 1
-
-
-def interior_point(ring: np.ndarray, grid: int = 23) -> np.ndarray:
-    """The vertex mean if it is inside, else the inside grid point nearest to it."""
-    mean = ring.mean(axis=0)
-    if inside(mean[None, :], ring)[0]:
-        return mean
-    low, high = ring.min(axis=0), ring.max(axis=0)
-    share = (np.arange(grid) + 0.5) / grid
-    gx, gy = np.meshgrid(low[0] + share * (high[0] - low[0]), low[1] + share * (high[1] - low[1]))
-    points = np.stack([gx.ravel(), gy.ravel()], axis=1)
-    points = points[inside(points, ring)]
-    if not len(points):
-        return mean
-    return points[np.argmin(((points - mean) ** 2).sum(axis=1))]
-
-
-def segment_gap(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> float:
-    """Distance between two segments, 0 where they cross."""
-    r, s, w = b - a, d - c, c - a
-    den = r[0] * s[1] - r[1] * s[0]
-    if abs(den) > 1e-12:
-        t, u = (w[0] * s[1] - w[1] * s[0]) / den, (w[0] * r[1] - w[1] * r[0]) / den
-        if 0 <= t <= 1 and 0 <= u <= 1:
-            return 0.0
-
-    def to(p, q, e):
-        ee = float(e @ e)
-        t = min(1.0, max(0.0, float((p - q) @ e) / ee)) if ee > 0 else 0.0
-        return float(np.hypot(*(p - (q + t * e))))
-
-    return min(to(a, c, s), to(b, c, s), to(c, a, r), to(d, a, r))
-
-
-def ring_gap(one: np.ndarray, two: np.ndarray) -> float:
-    """Distance between rings, 0 if they touch or one holds the other."""
-    if inside(one[:1], two)[0] or inside(two[:1], one)[0]:
-        return 0.0
-    return min(segment_gap(a, b, c, d) for a, b in zip(one, np.roll(one, -1, axis=0), strict=True) for c, d in zip(two, np.roll(two, -1, axis=0), strict=True))
-
-
-def trace_loops(cells: set[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """Boundary loops of lattice cells, the cells on the left; at pinches the rightmost turn keeps loops simple."""
-    leave: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for c, r in cells:
-        for dc, dr, a, b in ((0, -1, (c, r), (c + 1, r)), (1, 0, (c + 1, r), (c + 1, r + 1)), (0, 1, (c + 1, r + 1), (c, r + 1)), (-1, 0, (c, r + 1), (c, r))):
-            if (c + dc, r + dr) not in cells:
-                leave.setdefault(a, []).append(b)
-    loops = []
-    for start in sorted(leave):
-        while leave.get(start):
-            loop, here, came = [start], start, None
-            while True:
-                options = leave[here]
-                if came is not None and len(options) > 1:
-                    options.sort(key=lambda b: (came[0] * (b[1] - here[1]) - came[1] * (b[0] - here[0])))
-                to = options.pop(0)
-                came, here = (to[0] - here[0], to[1] - here[1]), to
-                if here == start:
-                    break
-                loop.append(here)
-            loops.append([p for i, p in enumerate(loop) if (loop[i - 1][0] - p[0]) * (loop[(i + 1) % len(loop)][1] - p[1]) != (loop[i - 1][1] - p[1]) * (loop[(i + 1) % len(loop)][0] - p[0])])
-    return loops
-
-
-def shortest_path(free: np.ndarray, start: tuple[int, int], goal: tuple[int, int]) -> list[tuple[int, int]]:
-    """Breadth-first route over the free cells of a grid, eight ways; empty if there is none."""
-    if not (free[start] and free[goal]):
-        return []
-    came = {start: start}
-    edge = [start]
-    while edge and goal not in came:
-        grown = []
-        for r, c in edge:
-            for dr in (-1, 0, 1):
-                for dc in (-1, 0, 1):
-                    n = (r + dr, c + dc)
-                    if n not in came and 0 <= n[0] < free.shape[0] and 0 <= n[1] < free.shape[1] and free[n]:
-                        came[n] = (r, c)
-                        grown.append(n)
-        edge = grown
-    if goal not in came:
-        return []
-    out = [goal]
-    while out[-1] != start:
-        out.append(came[out[-1]])
-    return out[::-1]
-
-
 def recurrence(keep: np.ndarray, add: np.ndarray) -> np.ndarray:
     """s[i] = keep[i] * s[i-1] + add[i] from s[-1] = 0, in logarithmically many vector steps; keep is within 0..1, so nothing grows."""
     a, b, d = keep.astype(float), add.astype(float), 1
@@ -285,6 +128,68 @@ def service_cost(order: list[int], spray: np.ndarray, centres: np.ndarray, stati
     return cost
 
 
+class _Trials:
+    """Costs of reversing a run of an order, each in constant time.
+
+    A path over the four ways round each fragment is a min-plus product of 4 x 4 steps. The products before and after a run are kept as vectors; for runs that begin
+    at one place the product of the reversed run grows by one step with each place that the run goes on.
+    """
+
+    def __init__(self, order: list[int], corners: np.ndarray, spray: np.ndarray, centres: np.ndarray, home: np.ndarray, stations: np.ndarray, dry_at: tuple[float, ...]):
+        self.begin, self.end, self.home = corners[:, list(STARTS)], corners[:, list(ENDS)], home
+        self.spray, total = spray, float(spray.sum())
+        some = len(stations) and total > 0
+        self.dry = np.array([f for f in dry_at if 0 < f < 1], float) * total if some else np.zeros(0)
+        self.trip = 2 * metres(centres[:, None, :], stations[None, :, :]).min(axis=1) if some else np.zeros(len(spray))
+        self.set(order)
+
+    def set(self, order: list[int]) -> None:
+        self.order = np.array(order)
+        o, n = self.order, len(order)
+        leave, enter = self.end[o], self.begin[o]
+        self.forth = metres(leave[:-1, :, None, :], enter[1:, None, :, :])  # from place j to j + 1
+        self.back = metres(leave[1:, :, None, :], enter[:-1, None, :, :])  # from place j + 1 to j
+        self.before, self.after = np.zeros((n, 4)), np.zeros((n, 4))
+        self.before[0], self.after[-1] = metres(self.home, enter[0]), metres(leave[-1], self.home)
+        for k in range(1, n):
+            self.before[k] = (self.before[k - 1][:, None] + self.forth[k - 1]).min(axis=0)
+            self.after[n - 1 - k] = (self.forth[n - 1 - k] + self.after[n - k][None, :]).min(axis=1)
+        self.sums = np.concatenate([[0.0], np.cumsum(self.spray[o])])
+
+    def cost(self) -> float:
+        return float((self.before[-1] + self.after[-1]).min()) + self.service(0, np.zeros(1, int))[0]
+
+    def service(self, i: int, js: np.ndarray) -> np.ndarray:
+        """Trips to the stations if the run from i to each j is reversed: a dry point in the run is where its mirror image was."""
+        out, n = np.zeros(len(js)), len(self.order)
+        for at in self.dry:
+            own = np.minimum(n - 1, np.searchsorted(self.sums[1:], at))
+            place = np.full(len(js), own)
+            within = (own >= i) & (own <= js)
+            mirror = self.sums[i] + self.sums[js + 1] - at
+            place[within] = np.clip(np.searchsorted(self.sums, mirror[within], side="right") - 1, i, js[within])
+            out += self.trip[self.order[place]]
+        return out
+
+    def reversals(self, i: int) -> np.ndarray:
+        """The costs for runs from i to each place behind it."""
+        o, n = self.order, len(self.order)
+        js = np.arange(i + 1, n)
+        run, product = np.zeros((len(js), 4, 4)), np.where(np.eye(4) > 0, 0.0, np.inf)
+        for k, j in enumerate(js.tolist()):
+            product = (self.back[j - 1][:, :, None] + product[None, :, :]).min(axis=1)
+            run[k] = product
+        into = self.begin[o[js]]
+        if i:
+            head = (self.before[i - 1][None, :, None] + metres(self.end[o[i - 1]][None, :, None, :], into[:, None, :, :])).min(axis=1)
+        else:
+            head = metres(self.home, into)
+        tail = np.zeros((len(js), 4))
+        tail[:-1] = (metres(self.end[o[i]][None, :, None, :], self.begin[o[js[1:]]][:, None, :, :]) + self.after[js[1:]][:, None, :]).min(axis=2)
+        tail[-1] = metres(self.end[o[i]], self.home)
+        return (head[:, :, None] + run + tail[:, None, :]).min(axis=(1, 2)) + self.service(i, js)
+
+
 def order_fragments(corners: np.ndarray, spray: np.ndarray, centres: np.ndarray, home: np.ndarray, stations: np.ndarray, dry_at: tuple[float, ...] = (), sweeps: int = 12) -> tuple[list[int], list[int], float]:
     """(order, ways round, cost): nearest neighbour from home, then reversals of runs while they gain, the cost being that of the best ways
     round, the way home and the trips to the stations."""
@@ -294,16 +199,23 @@ def order_fragments(corners: np.ndarray, spray: np.ndarray, centres: np.ndarray,
         k, o = divmod(int(reach.argmin()), 4)
         here = corners[left[k]][ENDS[o]]
         order.append(left.pop(k))
-    total = lambda x: tour_cost(x, corners, home)[0] + service_cost(x, spray, centres, stations, dry_at)
-    cost = total(order) if order else 0.0
+    if not order:
+        return [], [], 0.0
+    trials = _Trials(order, corners, spray, centres, home, stations, dry_at)
+    cost = trials.cost()
     for _ in range(sweeps):
         better = False
         for i in range(len(order) - 1):
-            for j in range(i + 1, len(order)):
-                trial = order[:i] + order[i : j + 1][::-1] + order[j + 1 :]
-                c = total(trial)
-                if c < cost - 1e-6:
-                    order, cost, better = trial, c, True
+            done = i  # runs up to here were tried
+            while done < len(order) - 1:
+                costs = trials.reversals(i)[done - i :]
+                gain = np.flatnonzero(costs < cost - 1e-6)
+                if not len(gain):
+                    break
+                done += int(gain[0]) + 1
+                order[i : done + 1] = order[i : done + 1][::-1]
+                trials.set(order)
+                cost, better = trials.cost(), True
         if not better:
             break
     return order, tour_cost(order, corners, home)[1], cost

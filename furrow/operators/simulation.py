@@ -13,10 +13,8 @@ from pyspark.sql import functions as F
 from furrow.functions import geo, rules
 from furrow.functions import kernels as kn
 from furrow.functions.flight import turn_seconds
+from furrow.operators import lattices
 
-#: Ceilings above which a field is refused. Fixed values.
-MAX_CELLS, MAX_CANDIDATES = 20_000, 80_000
-SLIVER_SHARE = 0.01
 #: A selection never grows by more than this share, whatever is asked for. Fixed value.
 MAX_GROWTH = 0.25
 
@@ -41,10 +39,6 @@ class Craft:
     pivot_s: float = 2.5
 
 
-class GridTooLarge(ValueError):
-    """More cells than a field may have."""
-
-
 def tank_profile(segments: pd.DataFrame, start_litres: float, craft: Craft = Craft(), rho: float = 1.2, dt: float = 0.25) -> pd.DataFrame:
     """Samples every `dt` seconds of a mission's segments (t_start, t_end, speed, spray): litres, mass, slosh, amps.
 
@@ -136,48 +130,28 @@ def fragment_tours(ends: DataFrame, mission: str, fragment: str, home: tuple[flo
     return ends.groupBy(mission).applyInPandas(run, f"{mission} {kinds[mission]}, {fragment} {kinds[fragment]}, seq int, rev boolean, flip boolean, cost_m double")
 
 
-def outlines(cells: DataFrame, zone: str) -> DataFrame:
-    """(zone, loop, area, points): boundary loops of each zone's cells (col, row); holes have negative area."""
-    kind = cells.schema[zone].dataType.simpleString()
-
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        loops = kn.trace_loops(set(zip(rows["col"].astype(int), rows["row"].astype(int), strict=True)))
-        return pd.DataFrame([(key[0], i, kn.signed_area(np.array(p, float)), [[float(a), float(b)] for a, b in p]) for i, p in enumerate(loops)], columns=[zone, "loop", "area", "points"])
-
-    return cells.groupBy(zone).applyInPandas(run, f"{zone} {kind}, loop int, area double, points array<array<double>>")
-
-
 def lattice(fields: DataFrame, field: str, size: float) -> DataFrame:
     """(field, col, row, area, clipped) of a field's ring (array<array<double>> of x, y) cut into square cells.
 
-    Candidate cells are exploded natively from the ring's box. Those with all corners inside are whole and stay in the engine; the others,
-    about the ring, are clipped in Arrow batches. Slivers below a hundredth of a cell go.
+    Candidate cells are exploded from the ring's box. Those with all corners inside are whole; the others, about the ring, are clipped by a fold over
+    their four sides. Slivers below a hundredth of a cell go.
     """
     xs, ys = F.transform("ring", lambda p: p[0]), F.transform("ring", lambda p: p[1])
     box = fields.select(field, "ring", *[F.floor(f(v) / size).cast("int").alias(n) for n, f, v in (("c0", F.array_min, xs), ("c1", F.array_max, xs), ("r0", F.array_min, ys), ("r1", F.array_max, ys))])
     n = (F.col("c1") - F.col("c0") + 1).cast("long") * (F.col("r1") - F.col("r0") + 1)
-    checked = box.withColumn("c0", F.when(n <= MAX_CANDIDATES, F.col("c0")).otherwise(F.raise_error(F.lit("a field has too many cells")).cast("int")))
+    checked = box.withColumn("c0", F.when(n <= lattices.MAX_CANDIDATES, F.col("c0")).otherwise(F.raise_error(F.lit("a field has too many cells")).cast("int")))
     cells = checked.withColumn("col", F.explode(F.sequence("c0", "c1"))).withColumn("row", F.explode(F.sequence("r0", "r1"))).select(field, "ring", "col", "row")
-    kind = fields.schema[field].dataType.simpleString()
     as_ring = F.transform("ring", lambda p: F.struct(p[1].alias("lat"), p[0].alias("lng")))
     corner = lambda dx, dy: geo.point_in_ring((F.col("row") + dy) * F.lit(float(size)), (F.col("col") + dx) * F.lit(float(size)), as_ring)
     judged = cells.withColumn("__whole", corner(0, 0) & corner(1, 0) & corner(1, 1) & corner(0, 1))
     whole = judged.filter("__whole").select(field, "col", "row", F.lit(float(size * size)).alias("area"), F.lit(False).alias("clipped"))
     cells = judged.filter("NOT __whole").drop("__whole")
 
-    def cut(batches):
-        for b in batches:
-            keep = []
-            for f, ring, c, r in zip(b[field], b["ring"], b["col"], b["row"], strict=True):
-                ring = np.array([list(p) for p in ring], float)
-                cell = np.array([[c, r], [c + 1, r], [c + 1, r + 1], [c, r + 1]], float) * size
-                piece = kn.clip_convex(ring, cell)
-                area = abs(kn.signed_area(piece)) if len(piece) > 2 else 0.0
-                if area >= SLIVER_SHARE * size * size:
-                    keep.append((f, int(c), int(r), area, area < size * size * (1 - 1e-9)))
-            yield pd.DataFrame(keep, columns=[field, "col", "row", "area", "clipped"])
-
-    return whole.unionByName(cells.mapInPandas(cut, f"{field} {kind}, col int, row int, area double, clipped boolean"))
+    col, row = F.col("col") * F.lit(float(size)), F.col("row") * F.lit(float(size))
+    piece = lattices.clip_to_box(as_ring, row, col, row + size, col + size)
+    cut = cells.withColumn("piece", piece).filter(F.size("piece") > 2).withColumn("area", lattices.shoelace(F.col("piece")))
+    cut = cut.filter(F.col("area") >= lattices.SLIVER_SHARE * size * size)
+    return whole.unionByName(cut.select(field, "col", "row", "area", (F.col("area") < size * size * (1 - 1e-9)).alias("clipped")))
 
 
 def sweep_lines(zones: DataFrame, zone: str, spacing: float) -> DataFrame:

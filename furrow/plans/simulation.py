@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from furrow.operators import outlines
 from furrow.operators import simulation as sim
 from furrow.operators import zones as zn
 from furrow.plans.spatial import _C, _COMP, _cells, _points, components
@@ -38,8 +39,9 @@ def fragment_order(spark, sf_dir):
 
 
 def outline(spark, sf_dir):
+    """The area within each zone's loops, holes taken away."""
     z = components(spark, sf_dir)
-    loops = sim.outlines(z, "component")
+    loops = outlines.outlines(z, "component")
     return loops.groupBy("component").agg(F.sum("area").alias("area"))
 
 

@@ -1,10 +1,11 @@
 import numpy as np
 import pandas as pd
+import plane
 import pytest
 from pyspark.sql import functions as F
 
 from furrow.functions import bands, filters, flight, geo, kernels, rules, text, units
-from furrow.operators import learning, paths, reporting, simulation, spatial, timeseries
+from furrow.operators import learning, outlines, paths, reporting, simulation, spatial, timeseries
 from furrow.operators.graph import connected_components
 from furrow.sources import binary, semistructured, sinks
 from furrow.streaming import pipeline, windows
@@ -92,7 +93,7 @@ def test_point_in_ring_and_nearest(spark):
 
 def test_outline_of_a_zone_with_a_hole(spark):
     cells = [(1, c, r) for c in range(3) for r in range(3) if (c, r) != (1, 1)]
-    loops = simulation.outlines(spark.createDataFrame(cells, "z int, col int, row int"), "z").collect()
+    loops = outlines.outlines(spark.createDataFrame(cells, "z int, col int, row int"), "z").collect()
     assert sorted(x.area for x in loops) == [-1.0, 9.0]
     assert sorted(len(x.points) for x in loops) == [4, 4]
 
@@ -107,19 +108,19 @@ def test_regularise_keeps_marks_and_skips(spark):
 
 def test_kernels():
     square = np.array([[0, 0], [4, 0], [4, 4], [0, 4]], float)
-    assert abs(kernels.signed_area(kernels.clip_convex(square, square + 2))) == 4
-    assert kernels.signed_area(kernels.inset(square, np.ones(4))) == 4
-    assert kernels.headland(square, np.full(4, 2.0))[0] == "waived"
-    assert kernels.headland(square, np.full(4, 0.5))[2] == pytest.approx(9 / 16)
+    assert abs(kernels.signed_area(plane.clip_convex(square, square + 2))) == 4
+    assert kernels.signed_area(plane.inset(square, np.ones(4))) == 4
+    assert plane.headland(square, np.full(4, 2.0))[0] == "waived"
+    assert plane.headland(square, np.full(4, 0.5))[2] == pytest.approx(9 / 16)
     assert kernels.least_width(np.array([[0, 0], [10, 0], [10, 2], [0, 2]], float)) == pytest.approx(2)
-    assert kernels.ring_gap(square, square + [6, 0]) == pytest.approx(2)
-    assert kernels.ring_gap(square, square + 1) == 0
+    assert plane.ring_gap(square, square + [6, 0]) == pytest.approx(2)
+    assert plane.ring_gap(square, square + 1) == 0
     assert sorted(kernels.order_stops(np.random.default_rng(0).random((9, 2)), np.zeros(2))) == list(range(9))
     free = np.ones((3, 3), bool)
     free[1, :2] = False
-    assert kernels.shortest_path(free, (0, 0), (2, 0))[0] == (0, 0) and len(kernels.shortest_path(free, (0, 0), (2, 0))) == 5
+    assert plane.shortest_path(free, (0, 0), (2, 0))[0] == (0, 0) and len(plane.shortest_path(free, (0, 0), (2, 0))) == 5
     u = np.array([[0, 0], [6, 0], [6, 6], [5, 6], [5, 1], [1, 1], [1, 6], [0, 6]], float)
-    assert kernels.inside(kernels.interior_point(u)[None, :], u)[0]
+    assert plane.inside(plane.interior_point(u)[None, :], u)[0]
 
 
 def test_tank_profile_empties_over_the_spray_legs():

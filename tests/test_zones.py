@@ -144,6 +144,49 @@ def test_fragment_order_is_no_worse_than_any_single_reversal(spark):
     assert all(total(order[:i] + order[i : j + 1][::-1] + order[j + 1 :]) >= cost - 1e-6 for i in range(7) for j in range(i + 1, 7))
 
 
+def slow_order(corners, spray, centres, home, stations, dry_at):
+    """Each trial's whole path anew."""
+    left, order, here = list(range(len(corners))), [], home
+    while left:
+        k, o = min(((k, o) for k in left for o in range(4)), key=lambda x: float(kn.metres(here, corners[x[0]][kn.STARTS[x[1]]])))
+        here = corners[k][kn.ENDS[o]]
+        order.append(k)
+        left.remove(k)
+    total = lambda x: kn.tour_cost(x, corners, home)[0] + kn.service_cost(x, spray, centres, stations, dry_at)
+    cost, better = total(order), True
+    for _ in range(12):
+        if not better:
+            break
+        better = False
+        for i, j in itertools.combinations(range(len(order)), 2):
+            trial = order[:i] + order[i : j + 1][::-1] + order[j + 1 :]
+            if total(trial) < cost - 1e-6:
+                order, cost, better = trial, total(trial), True
+    return order, cost
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_fragment_order_is_that_of_whole_recomputation(seed):
+    rng = np.random.default_rng(seed)
+    n, home = int(rng.integers(1, 13)), np.array([41.0, -93.0])
+    corners = home + rng.normal(size=(n, 1, 2)) / 300 + rng.normal(size=(n, 4, 2)) / 3000
+    spray, centres, stations = rng.random(n) * 100, corners.mean(axis=1), home + rng.normal(size=(2, 2)) / 300
+    dry = tuple(rng.random(3)) if seed % 3 else ()
+    order, choice, cost = kn.order_fragments(corners, spray, centres, home, stations, dry)
+    slow, slow_cost = slow_order(corners, spray, centres, home, stations, dry)
+    assert order == slow and cost == pytest.approx(slow_cost) and len(choice) == n
+
+
+def test_many_fragments_are_ordered_in_seconds():
+    rng = np.random.default_rng(3)
+    home = np.array([41.0, -93.0])
+    corners = home + rng.normal(size=(200, 1, 2)) / 300 + rng.normal(size=(200, 4, 2)) / 3000
+    began = time.perf_counter()
+    order, _, cost = kn.order_fragments(corners, np.ones(200), corners.mean(axis=1), home, home[None], (0.3, 0.6))
+    assert time.perf_counter() - began < 30 and sorted(order) == list(range(200))
+    assert cost == pytest.approx(kn.tour_cost(order, corners, home)[0] + kn.service_cost(order, np.ones(200), corners.mean(axis=1), home[None], (0.3, 0.6)))
+
+
 def test_recurrence_and_tours():
     rng = np.random.default_rng(2)
     keep, add = rng.random(777), rng.normal(size=777)
