@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.llm.common import quoted, resident, slices, texts
+from furrow.llm.token_count import byte_letters
 from furrow.session import shuffle_width
 
 VOCABULARY_BYTES = 64 << 20
@@ -95,6 +96,7 @@ class Encoder:
         #: The id of the border, if stretches may be told apart by it. No other character's bytes give that id.
         self.border = border[0] if len(border) == 1 and drops_white_space(spec) else None
         self.opening = {t["content"][0] for t in spec["added_tokens"]}
+        self.letters = dict(enumerate(byte_letters()))
         self.known: dict[str, bytes] = {}
         self.room = MEMORY_BYTES
 
@@ -120,14 +122,20 @@ class Encoder:
         """Encode many stretches in one text, with borders between them; those that differ in case or in closing marks only, once."""
         forms = {p: self._form(p) for p in parts}
         new = {x for form in forms.values() for x in form}.difference(self.known)
-        plain = [p for p in new if self.BORDER not in p]
+        known = self.known
+        # A form of letters only is one match of the pattern, and the library's model takes it as it is, its bytes as letters.
+        words = [p for p in new if p.isalpha() and p[0] not in self.opening and max(p) <= "\xff" and p == p.lower()]
+        model, dtype = self.tokenizer.model, self.dtype
+        for p in words:
+            piece = p if p.isascii() else p.encode().decode("latin-1").translate(self.letters)
+            known[p] = np.array([t.id for t in model.tokenize(piece)], dtype).tobytes()
+        plain = [p for p in new.difference(words) if self.BORDER not in p]
         ids = np.array(self.tokenizer.encode_batch_fast([f" {self.BORDER} ".join(plain)], add_special_tokens=False)[0].ids, self.dtype)
         borders = np.flatnonzero(ids == self.border)
         if len(plain) and len(borders) != len(plain) - 1:
             raise ValueError("the tokenizer lost a border")
         raw, step = ids.tobytes(), ids.itemsize
         begins, ends = [0, *((borders + 1) * step).tolist()], [*(borders * step).tolist(), len(raw)]
-        known = self.known
         known.update((p, raw[a:b]) for p, a, b in zip(plain, begins, ends, strict=False))
         known.update((p, self._ids(p)) for p in new if self.BORDER in p)
         known.update((p, known[f[0]] if len(f) == 1 else known[f[0]] + known[f[1]]) for p, f in forms.items())
