@@ -6,6 +6,7 @@ import io
 import re
 import struct
 import zipfile
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -44,31 +45,41 @@ def write_geotiff(values: np.ndarray, west: float, north: float, dx: float, dy:
     return b"II*\0" + struct.pack("<IH", 8, len(tags)) + directory + struct.pack("<I", 0) + extra + data
 
 
-def _tags(raw: bytes) -> dict[int, tuple | bytes]:
-    if raw[:4] != b"II*\0":
+def read_tags(fetch: Callable[[int, int], bytes]) -> dict[int, tuple | bytes]:
+    """The tags of a little-endian TIFF, by a function of (offset, size)."""
+    if fetch(0, 4) != b"II*\0":
         raise ValueError("a little-endian TIFF is needed")
-    at = struct.unpack_from("<I", raw, 4)[0]
-    out: dict[int, tuple | bytes] = {}
-    for i in range(struct.unpack_from("<H", raw, at)[0]):
-        tag, kind, n = struct.unpack_from("<HHI", raw, at + 2 + 12 * i)
+    at = struct.unpack("<I", fetch(4, 4))[0]
+    count = struct.unpack("<H", fetch(at, 2))[0]
+    entries, out = fetch(at + 2, 12 * count), {}
+    for i in range(count):
+        tag, kind, n = struct.unpack_from("<HHI", entries, 12 * i)
         size = _SIZES.get(kind, 0) * n
-        where = at + 10 + 12 * i if size <= 4 else struct.unpack_from("<I", raw, at + 10 + 12 * i)[0]
-        out[tag] = raw[where : where + size] if kind == 2 else struct.unpack_from(f"<{n}{_CODES[kind]}", raw, where) if kind in _CODES else ()
+        body = entries[12 * i + 8 : 12 * i + 12] if size <= 4 else fetch(struct.unpack_from("<I", entries, 12 * i + 8)[0], size)
+        out[tag] = body[:size] if kind == 2 else struct.unpack_from(f"<{n}{_CODES[kind]}", body) if kind in _CODES else ()
     return out
 
 
-def read_geotiff(raw: bytes) -> tuple[np.ndarray, dict[str, float | None]]:
-    """Values and georeference; ground size is in metres if the scale is in degrees."""
-    t = _tags(raw)
-    w, h = t[WIDTH][0], t[HEIGHT][0]
+def raster_shape(t: dict[int, tuple | bytes]) -> tuple[int, int, int, float | None]:
+    """(width, height, offset of the values, no-data value) of a single strip of float32."""
     if t[BITS][0] != 32 or t[SAMPLE_FORMAT][0] != 3 or len(t[STRIP_AT]) != 1:
         raise ValueError("a single strip of float32 is needed")
-    values = np.frombuffer(raw, "<f4", w * h, t[STRIP_AT][0]).reshape(h, w)
+    return t[WIDTH][0], t[HEIGHT][0], t[STRIP_AT][0], float(t[NO_DATA].rstrip(b"\0")) if NO_DATA in t else None
+
+
+def georeference(t: dict[int, tuple | bytes], w: int, h: int) -> dict[str, float | None]:
+    """Bounds and scale; ground size is in metres if the scale is in degrees."""
     dx, dy = t[PIXEL_SCALE][:2]
     west, north = t[TIE_POINT][3:5]
-    no_data = float(t[NO_DATA].rstrip(b"\0")) if NO_DATA in t else None
     metres = dx * 111_320 if abs(dx) < 0.1 else dx
-    return values, {"west": west, "north": north, "dx": dx, "dy": dy, "east": west + w * dx, "south": north - h * dy, "gsd_m": metres, "no_data": no_data}
+    return {"west": west, "north": north, "dx": dx, "dy": dy, "east": west + w * dx, "south": north - h * dy, "gsd_m": metres, "no_data": raster_shape(t)[3]}
+
+
+def read_geotiff(raw: bytes) -> tuple[np.ndarray, dict[str, float | None]]:
+    """Values and georeference."""
+    t = read_tags(lambda at, n: raw[at : at + n])
+    w, h, at, _ = raster_shape(t)
+    return np.frombuffer(raw, "<f4", w * h, at).reshape(h, w), georeference(t, w, h)
 
 
 def world_file(west: float, north: float, dx: float, dy: float) -> str:
@@ -126,18 +137,24 @@ def write_dbf(rows: list[dict[str, str | float]], width: int = 32) -> bytes:
     return head + fields + b"\r" + b"".join(b" " + b"".join(cell(r, n) for n in names) for r in rows) + b"\x1a"
 
 
-def read_dbf(raw: bytes) -> list[dict[str, str]]:
-    """Rows of trimmed strings."""
-    n, head, record = struct.unpack_from("<IHH", raw, 4)
-    fields = []
-    for at in range(32, head - 1, 32):
+def table_head(fetch: Callable[[int, int], bytes]) -> tuple[int, int, int, list[tuple[str, str, int]]]:
+    """(records, bytes of the head, bytes of a record, [(name, kind, width)])."""
+    n, head, record = struct.unpack("<IHH", fetch(4, 8))
+    raw, fields = fetch(32, head - 32), []
+    for at in range(0, head - 33, 32):
         if raw[at] == 0x0D:
             break
-        fields.append((raw[at : at + 11].split(b"\0")[0].decode("ascii"), raw[at + 16]))
+        fields.append((raw[at : at + 11].split(b"\0")[0].decode("ascii"), chr(raw[at + 11]), raw[at + 16]))
+    return n, head, record, fields
+
+
+def read_dbf(raw: bytes) -> list[dict[str, str]]:
+    """Rows of trimmed strings."""
+    n, head, record, fields = table_head(lambda at, size: raw[at : at + size])
     out = []
     for i in range(n):
         at, row = head + i * record + 1, {}
-        for name, width in fields:
+        for name, _, width in fields:
             row[name] = raw[at : at + width].decode("ascii", "replace").strip()
             at += width
         out.append(row)
