@@ -42,7 +42,7 @@ def second_raster(pixels: DataFrame, values: DataFrame, box: dict[str, float], w
 def cell_pixels(pixels: DataFrame, cells: DataFrame, box: dict[str, float], width: int, height: int, cap: int = PIXEL_CAP) -> DataFrame:
     """Pixels (x, y, r, g, b, a, ...) with the cells whose ring holds their middle, at the cell's stride: the larger a cell, the sparser.
 
-    Off-field (alpha 0) and black pixels go. The join is on buckets of the rings' boxes.
+    Off-field (alpha 0) and black pixels go. The join is on buckets as wide as the cells' boxes.
     """
     f = geo.footprint(F.col("ring"))
     x0, y0 = pixel_of(F.col("__f.north"), F.col("__f.west"), box, width, height)
@@ -53,8 +53,7 @@ def cell_pixels(pixels: DataFrame, cells: DataFrame, box: dict[str, float], widt
     c = c.withColumn("stride", F.greatest(F.lit(1), F.floor(F.sqrt(area / cap)))).select("cell_id", "ring", "x0", "y0", "stride")
     lat, lng = place_of(F.col("x"), F.col("y"), box, width, height)
     p = pixels.filter((F.col("a") > 0) & (F.col("r") + F.col("g") + F.col("b") > 0)).withColumns({"lat": lat, "lng": lng})
-    span = max(box["north"] - box["south"], box["east"] - box["west"])
-    held = points_in_rings(p, c, bucket_deg=span / 16)
+    held = points_in_rings(p, c)
     return held.filter(((F.col("x") - F.col("x0")) % F.col("stride") == 0) & ((F.col("y") - F.col("y0")) % F.col("stride") == 0)).drop("ring", "x0", "y0", "stride")
 
 
@@ -118,9 +117,7 @@ def first_not_ended(probes: DataFrame, segments: DataFrame, key: str, at: str, e
 def covered_at(probes: DataFrame, legs: DataFrame, key: str, at: str) -> DataFrame:
     """Probes with `covered`: the distance flown at their time, with the share of the leg under way, from legs (t_start, t_end, distance at
     the end, leg); 0 before the first and all of it after the last."""
-    w = Window.partitionBy(key)
-    whole = legs.withColumn("__all", F.max("distance").over(w))
-    found = first_not_ended(probes, whole, key, at, "t_end", "t_start", "t_end", "distance", "leg")
+    found = first_not_ended(probes, legs, key, at, "t_end", "t_start", "t_end", "distance", "leg")
     total = legs.groupBy(key).agg(F.max("distance").alias("__all"))
     share = F.when(F.col("t_end") > F.col("t_start"), (F.col(at) - F.col("t_start")) / (F.col("t_end") - F.col("t_start"))).otherwise(F.lit(1.0))
     inside = F.col("distance") - F.col("leg") * (1 - geo.clamp(share, 0.0, 1.0))

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from furrow.session import ensure_checkpoint_dir
+
 #: Labelled examples that are broadcast at once, and rows that meet them in one product.
 EXAMPLES_EACH, ROWS_EACH = 16_384, 256
 DELTA = 0.5
@@ -139,10 +141,18 @@ def nearest_examples(rows: DataFrame, examples: DataFrame, vector: str, k: int,
         if held:
             yield held
 
-    for held in blocks():
-        packed = (np.array([r[0] for r in held]), np.array([r[1] for r in held]), np.array([list(r[2]) for r in held], float))
-        out = chained(out, spark.sparkContext.broadcast(packed))
-    return out
+    def shared(held: list):
+        return spark.sparkContext.broadcast((np.array([r[0] for r in held]), np.array([r[1] for r in held]), np.array([list(r[2]) for r in held], float)))
+
+    found = blocks()
+    held, after = next(found, []), next(found, None)
+    while after is not None:  # several blocks: each one's best are checkpointed before the next, so the plan doesn't grow
+        ensure_checkpoint_dir(spark)
+        block = shared(held)
+        out = chained(out, block).checkpoint()
+        block.destroy()
+        held, after = after, next(found, None)
+    return chained(out, shared(held)) if held else out
 
 
 def knn_score(near: Column) -> Column:

@@ -81,13 +81,24 @@ def interpolate(samples: DataFrame, key: str, t: str, value: str, step: float) -
     return at.select(key, (F.col("k") * step).alias("t"), (F.col("v0") + (F.col("v1") - F.col("v0")) * share).alias("value"))
 
 
-def at_fractions(legs: DataFrame, key: str, order: list[str], length: str, fractions: list[float]) -> DataFrame:
-    """The row in which each fraction of a key's total length falls: (key, fraction, covered, *order)."""
-    total = F.sum(length).over(Window.partitionBy(key))
-    c = legs.withColumns({"hi": F.sum(length).over(running(key, *order)), "total": total})
-    f = c.withColumn("fraction", F.explode(F.array(*[F.lit(x) for x in fractions])))
-    target = F.col("fraction") * F.col("total")
-    hit = f.filter((F.col("hi") >= target) & (F.col("hi") - F.col(length) < target))
+def at_fractions(legs: DataFrame, key: str, order: list[str], length: str, fractions: list[float], bins: int = 256) -> DataFrame:
+    """The row in which each fraction of a key's total length falls: (key, fraction, *order).
+
+    Lengths are summed by bins of the first order column, which is a number, before the shuffle; only the rows of the bin in
+    which a fraction falls are sorted, so a key with very many rows isn't sorted by one task.
+    """
+    first = F.col(order[0]).cast("double")
+    ends = legs.groupBy(key).agg(F.min(first).alias("__lo"), F.max(first).alias("__hi"))
+    wide = F.when(F.col("__hi") > F.col("__lo"), F.floor((first - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * bins)).otherwise(F.lit(0))
+    binned = legs.join(ends, key).withColumn("__bin", F.least(F.lit(bins - 1), wide).cast("int")).drop("__lo", "__hi")
+    sums = binned.groupBy(key, "__bin").agg(F.sum(length).alias("__sum"))  # at most `bins` rows a key
+    total = F.sum("__sum").over(Window.partitionBy(key))
+    s = sums.withColumns({"__to": F.sum("__sum").over(running(key, "__bin")), "__total": total}).withColumn("fraction", F.explode(F.array(*[F.lit(x) for x in fractions])))
+    target = F.col("fraction") * F.col("__total")
+    s = s.filter((F.col("__to") >= target) & (F.col("__to") - F.col("__sum") < target)).select(key, "__bin", "fraction", target.alias("__target"), (F.col("__to") - F.col("__sum")).alias("__before"))
+    near = binned.join(s, [key, "__bin"])
+    hi = F.col("__before") + F.sum(length).over(Window.partitionBy(key, "__bin", "fraction").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    hit = near.withColumn("__reached", hi).filter((F.col("__reached") >= F.col("__target")) & (F.col("__reached") - F.col(length) < F.col("__target")))
     return hit.groupBy(key, "fraction").agg(F.min(F.struct(*order)).alias("m")).select(key, "fraction", *[f"m.{c}" for c in order])
 
 
@@ -98,12 +109,11 @@ def depletion(rows: DataFrame, level: Column, drain: Column, recall_at: float =
     return rows.withColumn("recall_minute", F.array_min(F.filter(series, lambda m: left(m) <= recall_at)))
 
 
-def month_grid(spark, first_of_month: str, week_start: int = 0) -> DataFrame:
-    """The 42 days a month's calendar shows; week_start 0 is Sunday."""
-    first = F.lit(first_of_month).cast("date")
-    back = F.pmod(F.dayofweek(first) - 1 - week_start, F.lit(7))
-    start = F.date_sub(first, back.cast("int"))
-    return spark.range(1).select(F.explode(F.sequence(start, F.date_add(start, 41))).alias("day"))
+def month_grid(day: Column, week_start: int = 0) -> Column:
+    """The 42 days that the calendar of a day's month shows; week_start 0 is Sunday."""
+    first = F.trunc(day, "month")
+    start = F.date_sub(first, F.pmod(F.dayofweek(first) - 1 - week_start, F.lit(7)).cast("int"))
+    return F.sequence(start, F.date_add(start, 41))
 
 
 def crossfade(position: Column, n: int) -> Column:

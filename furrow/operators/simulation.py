@@ -3,10 +3,12 @@ own ceilings bound; groups spread over the cluster."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from furrow.functions import geo, rules
 from furrow.functions import kernels as kn
 from furrow.functions.flight import turn_seconds
 from furrow.operators import lattices
+from furrow.session import shuffle_width
 
 #: A selection never grows by more than this share, whatever is asked for. Fixed value.
 MAX_GROWTH = 0.25
@@ -39,18 +42,22 @@ class Craft:
     pivot_s: float = 2.5
 
 
-def tank_profile(segments: pd.DataFrame, start_litres: float, craft: Craft = Craft(), rho: float = 1.2, dt: float = 0.25) -> pd.DataFrame:
-    """Samples every `dt` seconds of a mission's segments (t_start, t_end, speed, spray): litres, mass, slosh, amps.
+FIELDS = ("t", "litres", "mass_kg", "pitch_deg", "slosh_cm", "cog_cm", "amps", "amp_s", "spraying")
+PROFILE = "t double, litres double, mass_kg double, pitch_deg double, slosh_cm double, cog_cm double, amps double, amp_s double, spraying boolean"
+
+
+def tank_profile(start: np.ndarray, end: np.ndarray, speeds: np.ndarray, sprays: np.ndarray, start_litres: float, craft: Craft = Craft(), rho: float = 1.2, dt: float = 0.25) -> tuple[np.ndarray, ...]:
+    """FIELDS every `dt` seconds of a mission's segments in order of time: litres, mass, slosh, amps.
 
     All is vector expressions of time; the slosh, which relaxes toward its target, is a linear recurrence.
     """
-    seg = segments.sort_values("t_start")
-    total = float(seg.t_end.max()) if len(seg) else 0.0
+    n = len(start)
+    total = float(end.max()) if n else 0.0
     t = np.minimum(total, np.arange(max(1, int(np.ceil(total / dt))) + 1) * dt)
-    at = np.minimum(np.searchsorted(seg.t_end.to_numpy(), t, side="right"), max(0, len(seg) - 1))
-    speed = seg.speed.to_numpy(float)[at] if len(seg) else np.zeros(len(t))
-    spray = seg.spray.to_numpy(bool)[at] if len(seg) else np.zeros(len(t), bool)
-    spray_s = float((seg.t_end - seg.t_start)[seg.spray].sum()) if len(seg) else 0.0
+    at = np.minimum(np.searchsorted(end, t, side="right"), max(0, n - 1))
+    speed = speeds[at] if n else np.zeros(len(t))
+    spray = sprays[at] if n else np.zeros(len(t), bool)
+    spray_s = float((end - start)[sprays].sum()) if n else 0.0
     full = min(max(0.0, start_litres), craft.tank_l)
     flow = full / spray_s if spray_s > 0 else 0.0
     worked = np.concatenate([[0.0], np.cumsum(spray[1:] * dt)])
@@ -66,21 +73,49 @@ def tank_profile(segments: pd.DataFrame, start_litres: float, craft: Craft = Cra
     hover = (np.maximum(1.0, mass) * 9.80665) ** 1.5 / np.sqrt(2 * max(rho, 0.3) * craft.rotor_m2)
     amps = hover / max(0.2, craft.efficiency) / max(1.0, craft.voltage) + craft.amp_per_cm * np.abs(cog)
     used = np.concatenate([[0.0], np.cumsum(amps[1:] * dt)])
-    return pd.DataFrame({"t": t, "litres": litres, "mass_kg": mass, "pitch_deg": pitch, "slosh_cm": slosh, "cog_cm": cog, "amps": amps, "amp_s": used, "spraying": spray})
-
-
-PROFILE = "t double, litres double, mass_kg double, pitch_deg double, slosh_cm double, cog_cm double, amps double, amp_s double, spraying boolean"
+    return t, litres, mass, pitch, slosh, cog, amps, used, spray
 
 
 def tank_profiles(segments: DataFrame, mission: str, start_litres: float, craft: Craft = Craft()) -> DataFrame:
-    kind = segments.schema[mission].dataType.simpleString()
+    """(mission, FIELDS) of missions of segments (t_start, t_end, speed, spray).
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        out = tank_profile(rows, start_litres, craft)
-        out.insert(0, mission, key[0])
-        return out
+    Missions are dealt out by key and sorted within partitions; a task reads them one after the other in Arrow batches and
+    holds the segments of one.
+    """
+    kind = segments.schema[mission].dataType.simpleString()
 
-    return segments.groupBy(mission).applyInPandas(run, f"{mission} {kind}, {PROFILE}")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # parts of the mission that is still open
+
+        def profile(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            columns = [np.concatenate([p.column(k).to_numpy(zero_copy_only=False) for p in parts]) for k in range(1, 5)]
+            start, end, speed = (c.astype(float) for c in columns[:3])
+            made = tank_profile(start, end, speed, columns[3].astype(bool), start_litres, craft)
+            key = parts[0].column(0)[0].as_py()
+            return pa.RecordBatch.from_arrays([pa.array([key] * len(made[0]), parts[0].column(0).type), *map(pa.array, made)], names=[mission, *FIELDS])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0).to_pylist()
+            borders = [k for k in range(1, len(keys)) if keys[k] != keys[k - 1]]
+            if held and held[0].column(0)[0].as_py() != keys[0]:
+                yield profile(held)
+                held = []
+            out = []
+            for a, b in zip([0, *borders], [*borders, len(keys)], strict=True):
+                held.append(batch.slice(a, b - a))
+                if b < len(keys):
+                    out.append(profile(held))
+                    held = []
+            if out:
+                yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+        if held:
+            yield profile(held)
+
+    rows = segments.select(mission, F.col("t_start").cast("double"), F.col("t_end").cast("double"), F.col("speed").cast("double"), F.coalesce("spray", F.lit(False)).alias("spray"))
+    dealt = rows.repartition(shuffle_width(segments.sparkSession, rows), mission).sortWithinPartitions(mission, "t_start", "t_end")
+    return dealt.mapInArrow(run, f"{mission} {kind}, {PROFILE}")
 
 
 def tours(stops: DataFrame, mission: str, stop: str, home: tuple[float, float] = (0.0, 0.0)) -> DataFrame:

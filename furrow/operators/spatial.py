@@ -22,20 +22,26 @@ def cell_of(key: Column) -> tuple[Column, Column]:
     return F.floor(key / (2 * HALF)) - HALF, key % (2 * HALF) - HALF
 
 
-def points_in_rings(points: DataFrame, rings: DataFrame, lat: str = "lat", lng: str = "lng", ring: str = "ring", bucket_deg: float = 1.0) -> DataFrame:
-    """Pairs of points and rings that hold them. A ring stands in each bucket that its box touches; a point in one.
+def points_in_rings(points: DataFrame, rings: DataFrame, lat: str = "lat", lng: str = "lng", ring: str = "ring") -> DataFrame:
+    """Pairs of points and rings that hold them, joined on buckets; the box test comes before the ray cast.
 
-    The join is on buckets; the box test comes before the ray cast.
+    A ring's bucket is as wide as its box, up to the next power of two, so it stands in four buckets at most, and a point in one
+    of each width that some ring has: small rings among large ones neither fill many buckets nor share a few.
     """
     box = {f"__{f}_{c}": getattr(F, f"array_{f}")(F.col(ring).getField(c)) for f in ("min", "max") for c in ("lat", "lng")}
-    r = rings.withColumns(box)
-    span = lambda c: F.sequence(F.floor(F.col(f"__min_{c}") / bucket_deg), F.floor(F.col(f"__max_{c}") / bucket_deg))
+    wide = F.greatest(F.col("__max_lat") - F.col("__min_lat"), F.col("__max_lng") - F.col("__min_lng"), F.lit(1e-9))
+    r = rings.withColumns(box).filter("__min_lat IS NOT NULL").withColumn("__level", F.ceil(F.log2(wide)).cast("int"))
+    levels = sorted(row[0] for row in r.select("__level").distinct().collect())  # as many as box sizes have powers of two
+    size = F.pow(F.lit(2.0), F.col("__level"))
+    span = lambda c: F.sequence(F.floor(F.col(f"__min_{c}") / size), F.floor(F.col(f"__max_{c}") / size))
     r = r.withColumn("__by", F.explode(span("lat"))).withColumn("__bx", F.explode(span("lng")))
-    p = points.withColumns({"__py": F.floor(F.col(lat) / bucket_deg), "__px": F.floor(F.col(lng) / bucket_deg)})
-    near = (F.col("__py") == F.col("__by")) & (F.col("__px") == F.col("__bx"))
+    p = points.withColumn("__at", F.explode(F.array(*[F.lit(x) for x in levels]) if levels else F.array().cast("array<int>")))
+    place = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("__at")))
+    p = p.withColumns({"__py": place(lat), "__px": place(lng)})
+    near = (F.col("__at") == F.col("__level")) & (F.col("__py") == F.col("__by")) & (F.col("__px") == F.col("__bx"))
     inside = F.col(lat).between(F.col("__min_lat"), F.col("__max_lat")) & F.col(lng).between(F.col("__min_lng"), F.col("__max_lng"))
     hit = p.join(r, near & inside).filter(geo.point_in_ring(F.col(lat), F.col(lng), F.col(ring)))
-    return hit.drop("__by", "__bx", "__py", "__px", *box)
+    return hit.drop("__at", "__level", "__by", "__bx", "__py", "__px", *box)
 
 
 def nearest_within(points: DataFrame, sites: DataFrame, radius_m: float, id_col: str = "id", site_id: str = "site_id") -> DataFrame:

@@ -216,10 +216,10 @@ def reason_texts(spark, sf_dir):
 
 
 def radar_frames(spark, sf_dir):
-    """Past and coming frames of a user's hour, and where play starts."""
-    e = table(spark, sf_dir, "events").filter("event_id < 5000").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
+    """Past and coming frames of each user's hours, and where play starts."""
+    e = table(spark, sf_dir, "events").groupBy("user_id", F.date_trunc("hour", "ts").alias("hour")).agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
     past = F.filter("ids", lambda x: x % 3 > 0)
-    return e.select("user_id", ss.radar_frames(past, F.filter("ids", lambda x: x % 3 == 0)).alias("f")).select("user_id", F.concat_ws(",", F.col("f.frames").cast("array<string>")).alias("frames"), "f.start")
+    return e.select("user_id", "hour", ss.radar_frames(past, F.filter("ids", lambda x: x % 3 == 0)).alias("f")).select("user_id", "hour", F.concat_ws(",", F.col("f.frames").cast("array<string>")).alias("frames"), "f.start")
 
 
 def boundary_rings(spark, sf_dir):
@@ -335,7 +335,7 @@ ORACLES = {
     "reason_texts": """WITH e AS (SELECT event_id, CAST(floor(value) AS BIGINT) AS v FROM events), h AS (SELECT event_id, v % 40 AS w, v % 55 AS g, v % 3 / 4::DOUBLE AS r, v % 37 AS t, v % 90 AS u FROM e)
         SELECT event_id, CASE WHEN w > 16 THEN 'Wind ' || w || '.0 km/h, over the 16.0 km/h limit' WHEN g > 24 THEN 'Gusts ' || g || '.0 km/h, over the 24.0 km/h limit' WHEN r > 0.5 THEN 'never' WHEN t < 10 THEN 'Too cold at ' || t || ' °C, minimum 10 °C' WHEN w > 13 THEN 'Wind ' || w || '.0 km/h, close to the 16.0 km/h limit'
          WHEN t > 29 THEN 'Warm at ' || t || ' °C, evaporation and drift risk' WHEN u < 40 THEN 'Humidity ' || u || '%, below the 40% target' WHEN u > 70 THEN 'Humidity ' || u || '%, above the 70% target' END AS text FROM h""",
-    "radar_frames": "SELECT user_id, string_agg(event_id::VARCHAR, ',' ORDER BY event_id % 3 = 0, event_id) AS frames, CAST(greatest(0, count(*) FILTER (event_id % 3 > 0) - 1) AS INTEGER) AS start FROM events WHERE event_id < 5000 GROUP BY 1",
+    "radar_frames": "SELECT user_id, date_trunc('hour', ts) AS hour, string_agg(event_id::VARCHAR, ',' ORDER BY event_id % 3 = 0, event_id) AS frames, CAST(greatest(0, count(*) FILTER (event_id % 3 > 0) - 1) AS INTEGER) AS start FROM events GROUP BY 1, 2",
     "boundary_rings": "SELECT s_suppkey, CAST(CASE s_suppkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE -1 END AS INTEGER) AS rings, CAST(CASE s_suppkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 3 WHEN 2 THEN 6 ELSE 0 END AS INTEGER) AS points FROM supplier",
     "repaired_vertices": "WITH c AS (SELECT c_custkey, c_custkey % 4 AS m, c_custkey % 10 / 10::DOUBLE AS a, c_custkey % 7 / 7::DOUBLE AS b FROM customer) SELECT c_custkey, CASE WHEN m < 2 THEN round(40 + a, 9) WHEN m = 2 THEN round(41 - b, 9) END AS lat, CASE WHEN m < 2 THEN round(-94 + b, 9) WHEN m = 2 THEN round(-94 + a, 9) END AS lng FROM c",
     "settings_leaves": "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'ha' ELSE 'ac' END AS units_area, CASE WHEN c_custkey % 5 = 0 THEN 30 ELSE c_custkey % 40 END AS tank, c_custkey % 5 = 0 OR c_custkey % 2 > 0 AS alerts FROM customer",

@@ -68,7 +68,11 @@ def battery_recall(spark, sf_dir):
 
 
 def month_grid(spark, sf_dir):
-    return pa.month_grid(spark, "2026-03-01", 1)
+    """The calendar of each month that has orders, with the orders of each day that it shows."""
+    o = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("n"))
+    months = o.select(F.trunc("day", "month").alias("month")).distinct()
+    shown = months.select("month", F.explode(pa.month_grid(F.col("month"), 1)).alias("day"))
+    return shown.join(o, "day", "left").select("month", "day", F.coalesce("n", F.lit(0)).alias("orders"))
 
 
 def crossfade(spark, sf_dir):
@@ -125,7 +129,8 @@ ORACLES = {
     "at_fraction": """WITH l AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q FROM lineitem GROUP BY ALL), c AS (SELECT *, sum(q) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey ROWS UNBOUNDED PRECEDING) AS hi, sum(q) OVER (PARTITION BY l_suppkey) AS total FROM l),
         f AS (SELECT *, unnest([0.25, 0.5, 0.75])::DOUBLE AS fraction FROM c) SELECT l_suppkey, fraction, l_orderkey, l_linenumber, l_partkey FROM f WHERE hi >= fraction * total AND hi - q < fraction * total""",
     "battery_recall": "SELECT p_partkey, CAST(list_min(list_filter(range(0, 61), lambda m: floor(greatest(0, p_retailprice % 100 - (p_size / 20) * m) * 10 + 0.5) / 10 <= 25.0)) AS INTEGER) AS recall_minute FROM part",
-    "month_grid": "SELECT CAST(DATE '2026-02-23' + CAST(i AS INTEGER) AS DATE) AS day FROM range(42) t(i)",
+    "month_grid": """WITH o AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1), m AS (SELECT DISTINCT CAST(date_trunc('month', day) AS DATE) AS month FROM o),
+        g AS (SELECT month, CAST(month - CAST((isodow(month) - 1) AS INTEGER) + CAST(i AS INTEGER) AS DATE) AS day FROM m, range(42) t(i)) SELECT month, g.day, coalesce(n, 0) AS orders FROM g LEFT JOIN o ON o.day = g.day""",
     "crossfade": """WITH p AS (SELECT event_id, greatest(0.0::DOUBLE, least(7.0::DOUBLE, value / 50)) AS p FROM events), q AS (SELECT *, CAST(floor(p) AS BIGINT) AS a, least(CAST(floor(p) AS BIGINT) + 1, 7) AS b FROM p)
         SELECT event_id, a, b, 1 - (p - a) AS weight_a, CASE WHEN b > a THEN p - a ELSE 0 END AS weight_b FROM q""",
     "fnv_id": f"WITH s AS (SELECT p_partkey, p_name, p_name || '|' || p_size AS g FROM part) SELECT p_partkey, {_HASH.format(s='p_name')} AS h, lower(to_base({_HASH.format(s='g')}, 36, 7)) AS grid_id FROM s",

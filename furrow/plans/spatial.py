@@ -36,7 +36,7 @@ def _rings(spark):
 
 
 def point_in_ring(spark, sf_dir):
-    return sp.points_in_rings(_points(spark, sf_dir), _rings(spark), bucket_deg=20.0).select("id", "ring_id")
+    return sp.points_in_rings(_points(spark, sf_dir), _rings(spark)).select("id", "ring_id")
 
 
 def ring_area(spark, sf_dir):

@@ -125,7 +125,7 @@ def test_kernels():
 
 def test_tank_profile_empties_over_the_spray_legs():
     seg = pd.DataFrame({"t_start": [0.0, 10.0], "t_end": [10.0, 30.0], "speed": [0.0, 5.0], "spray": [False, True]})
-    p = simulation.tank_profile(seg, 20.0)
+    p = pd.DataFrame(dict(zip(simulation.FIELDS, simulation.tank_profile(*(seg[c].to_numpy() for c in ("t_start", "t_end", "speed", "spray")), 20.0), strict=True)))
     assert p.litres.iloc[0] == 20.0 and p.litres.iloc[-1] == pytest.approx(0, abs=0.3)
     assert (p.amp_s.diff().dropna() > 0).all() and p.slosh_cm.abs().max() > 0
 
