@@ -1,20 +1,10 @@
-"""Writers: keyed tables on plain files, route texts and packages, prescription packages, a format registry."""
+"""Writers: keyed tables on plain files and route texts."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Callable
-from xml.sax.saxutils import escape
-
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furrow.sources import binary
-
-#: Limits of the consumer formats. Fixed values.
-MAX_WAYPOINTS, MAX_PIXELS, AREA_DRIFT = 200, 2_000_000, 0.005
 #: Fixed values of the waypoint text: header, command codes, the pump's servo and its pulse widths.
 HEADER, WAYPOINT = "QGC WPL 110", 16
 COMMANDS = {"TAKEOFF": 22, "SPEED_CHANGE": 178, "SPRAY_ON": 183, "SPRAY_OFF": 183, "RTH": 20, "LAND": 21}
@@ -63,60 +53,3 @@ def waypoint_text(points: DataFrame, mission: str) -> DataFrame:
     first = F.array(at(F.lit(0), F.lit(HEADER)), at(F.lit(1), home), at(F.lit(2), own))
     lines = F.when(F.col("seq") == 0, first).otherwise(F.array(at(F.col("seq") + 2, own)))
     return points.select(mission, F.inline(lines))
-
-
-def route_package(name: str, points: list[tuple[float, float, float]]) -> bytes:
-    """A zipped route of placemarks (lng, lat, alt)."""
-    if len(points) > MAX_WAYPOINTS:
-        raise ValueError(f"{len(points)} waypoints; the format holds {MAX_WAYPOINTS}")
-    marks = "".join(f"<Placemark><Point><coordinates>{lng:.8f},{lat:.8f}</coordinates></Point><index>{i}</index><height>{alt:.2f}</height></Placemark>" for i, (lng, lat, alt) in enumerate(points))
-    document = f'<?xml version="1.0" encoding="UTF-8"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document><name>{escape(name)}</name><Folder>{marks}</Folder></Document></kml>'
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("template.kml", document)
-        z.writestr("waylines.wpml", document)
-    return out.getvalue()
-
-
-def prescription_package(rates: np.ndarray, west: float, north: float, dx: float, dy: float, ring: np.ndarray) -> dict[str, bytes]:
-    """Raster, world file and boundary of a prescription, read back before they are handed out."""
-    if rates.size > MAX_PIXELS:
-        raise ValueError("too many pixels")
-    if not (rates > 0).any():
-        raise ValueError("no pixel is treated")
-    shp, shx, dbf = binary.write_shapefile([ring], [{"name": "boundary", "id": 1.0}])
-    files = {"rx.tif": binary.write_geotiff(rates, west, north, dx, dy), "rx.tfw": binary.world_file(west, north, dx, dy).encode(), "rx.shp": shp, "rx.shx": shx, "rx.dbf": dbf}
-    problems = verify_package(files, rates, ring)
-    if problems:
-        raise ValueError("; ".join(problems))
-    return files
-
-
-def verify_package(files: dict[str, bytes], rates: np.ndarray, ring: np.ndarray) -> list[str]:
-    """What a read-back finds wrong: other values, an area that drifted, an unclosed boundary."""
-    from furrow.functions.kernels import signed_area
-
-    out = []
-    values, _ = binary.read_geotiff(files["rx.tif"])
-    if not np.array_equal(values, rates.astype(np.float32)):
-        out.append("the raster's values differ")
-    (back,) = binary.read_shapefile(files["rx.shp"])
-    want, got = abs(signed_area(ring)), abs(signed_area(back[:-1]))
-    if abs(got - want) > AREA_DRIFT * want:
-        out.append("the boundary's area drifted")
-    if not np.array_equal(back[0], back[-1]):
-        out.append("the boundary is open")
-    return out
-
-
-FORMATS: dict[str, tuple[bool, Callable]] = {
-    "waypoints": (True, waypoint_text),
-    "route": (True, route_package),
-    "prescription": (True, prescription_package),
-    "geotiff": (False, binary.write_geotiff),
-}
-
-
-def shipping_formats() -> list[str]:
-    """Only these are offered."""
-    return [name for name, (ready, _) in FORMATS.items() if ready]

@@ -149,13 +149,6 @@ def test_binary_round_trips(spark, tmp_path):
     ring = np.array([[0, 0], [4, 0], [4, 3], [0, 3]], float)
     shp, _, dbf = binary.write_shapefile([ring], [{"name": "x", "rate": 2.5}])
     assert abs(kernels.signed_area(binary.read_shapefile(shp)[0][:-1])) == 12 and binary.read_dbf(dbf) == [{"name": "x", "rate": "2.500000"}]
-    assert set(sinks.prescription_package(v, 0, 1, 0.1, 0.1, ring)) == {"rx.tif", "rx.tfw", "rx.shp", "rx.shx", "rx.dbf"}
-    with pytest.raises(ValueError):
-        sinks.prescription_package(np.zeros((2, 2)), 0, 1, 0.1, 0.1, ring)
-    with pytest.raises(ValueError):
-        sinks.route_package("r", [(0.0, 0.0, 1.0)] * 201)
-    name, content = binary.zip_member(sinks.route_package("r", [(0.0, 0.0, 1.0)]), r"missing", r"\.kml$")
-    assert name == "template.kml" and b"Placemark" in content
 
 
 def test_semistructured(spark):
