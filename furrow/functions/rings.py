@@ -172,6 +172,13 @@ def inset(ring: Column, by: Column) -> Column:
 
 def headland(ring: Column, width: Column, inset_m: Column) -> Column:
     """(kind, ring, scale, reason): the ring without its headland and the share of area left, or waived and whole."""
+    return headland_by_edge(ring, width, F.transform(ring, lambda p: inset_m))
+
+
+def headland_by_edge(ring: Column, width: Column, by: Column) -> Column:
+    """As `headland`, with the metres of each edge in the array `by`: the edge from a vertex to the next has the vertex's place. The widest counts for
+    what is too narrow."""
+    inset_m = F.array_max(by)
 
     def judge(v: Column) -> Column:
         reason = (
@@ -188,4 +195,26 @@ def headland(ring: Column, width: Column, inset_m: Column) -> Column:
         ))
 
     areas = lambda inner: F.struct(inner.alias("inner"), geo.ring_area(ring).alias("before"), F.coalesce(geo.ring_area(inner), F.lit(0.0)).alias("after"))
-    return let(let(inset(ring, F.transform(ring, lambda p: inset_m)), areas), judge)
+    return let(let(inset(ring, by), areas), judge)
+
+
+def interior_point(ring: Column, samples: int = 24) -> Column:
+    """A place inside the ring: the mean of its vertices if that is inside, else the inside one of a grid over its box that is nearest to it; null if
+    there is none."""
+    steps = F.sequence(F.lit(1), F.lit(samples - 1))
+    struct = lambda lat, lng: F.struct(lat.alias("lat"), lng.alias("lng"))
+
+    def nearest(v: Column) -> Column:
+        def at(i: Column, j: Column) -> Column:
+            lat = v["f"]["south"] + (v["f"]["north"] - v["f"]["south"]) * i / samples
+            lng = v["f"]["west"] + (v["f"]["east"] - v["f"]["west"]) * j / samples
+            far = geo.planar_distance(v["c"]["lat"], v["c"]["lng"], lat, lng)
+            return F.struct(far.alias("d"), i.alias("i"), j.alias("j"), lat.alias("lat"), lng.alias("lng"))
+
+        grid = F.flatten(F.transform(steps, lambda i: F.transform(steps, lambda j: at(i, j))))
+        best = F.array_min(F.filter(grid, lambda p: geo.point_in_ring(p["lat"], p["lng"], ring)))
+        found = let(best, lambda b: F.when(b.isNotNull(), struct(b["lat"], b["lng"])))
+        return F.when(geo.point_in_ring(v["c"]["lat"], v["c"]["lng"], ring), v["c"]).otherwise(found)
+
+    whole = let(F.struct(geo.vertex_mean(ring).alias("c"), geo.footprint(ring).alias("f")), nearest)
+    return F.when(F.size(ring) >= 3, whole)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -57,3 +57,27 @@ def uploads_left(files: DataFrame, attempts: DataFrame, most: int = MAX_ATTEMPTS
     seen = attempts.groupBy("key").agg(F.max("ok").alias("__ok"), F.count_if(~F.col("ok")).alias("tried"))
     left = files.join(seen, "key", "left").withColumn("tried", F.coalesce("tried", F.lit(0)))
     return left.filter(~F.coalesce("__ok", F.lit(False)) & (F.col("tried") < most)).drop("__ok")
+
+
+#: How long a stored upload checkpoint is good for, in hours. Fixed value.
+CHECKPOINT_HOURS = 24
+
+
+def checkpoint_uploads(stored: DataFrame, batch: DataFrame, attempts: DataFrame, now: Column) -> DataFrame:
+    """The stored checkpoints (batch, saved_at, done) with those of the batches in `batch` (batch, key) renewed: the keys that attempts (key, ok) have sent.
+
+    What a checkpoint held before stays done; a batch whose files are all done needs none and goes.
+    """
+    sent = attempts.filter("ok").select("key").distinct()
+    before = stored.select("batch", F.explode("done").alias("key"))
+    done = batch.join(sent, "key", "left_semi").select("batch", "key").unionByName(before.join(batch.select("batch").distinct(), "batch", "left_semi")).distinct()
+    renewed = done.groupBy("batch").agg(F.collect_set("key").alias("done")).select("batch", now.alias("saved_at"), "done")
+    sizes = batch.groupBy("batch").agg(F.count_distinct("key").alias("n"))
+    open_ = renewed.join(sizes, "batch").filter(F.size("done") < F.col("n")).drop("n")
+    return stored.join(sizes, "batch", "left_anti").select("batch", "saved_at", "done").unionByName(open_)
+
+
+def resume_uploads(files: DataFrame, stored: DataFrame, now: Column, hours: int = CHECKPOINT_HOURS) -> DataFrame:
+    """The files (batch, key, ..) that are still to be sent by the stored checkpoints (batch, saved_at, done); one that is older counts for nothing."""
+    fresh = stored.filter(now - F.col("saved_at") <= F.make_dt_interval(hours=F.lit(hours))).select("batch", F.explode("done").alias("key"))
+    return files.join(fresh, ["batch", "key"], "left_anti")
