@@ -2,7 +2,8 @@
 
 Kinds with a fixed definition (email, ip, card, phone) are always reported when their own test
 holds; kinds that only context or a checksum makes credible (iban, ssn, secret) need `min_score`. A secret is a key in the form
-of its issuer, a private key block, or a value that a word such as token or password assigns, if it looks random.
+of its issuer, a private key block (one without an end line goes as far as its lines do), or a value that a word such as token or password assigns, if it
+looks random; what is assigned to a password needs no digit if it is long. Account numbers in small letters or with hyphens need their country's length.
 
 Defined results: a null text has no spans and an empty text none; repeated rows get the same
 spans each; spans of one kind never overlap, spans of different kinds may. Offsets are code
@@ -39,16 +40,16 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 _ALNUM = re.compile(r"[A-Za-z0-9]")
+#: As account numbers are written otherwise: small letters, hyphens; in one piece or in groups of four.
+_IBAN_LOOSE = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}[0-9]{2}(?:(?P<gap>[ -])[A-Za-z0-9]{4}(?:(?P=gap)[A-Za-z0-9]{1,4}){2,7}|[A-Za-z0-9]{11,30})(?![A-Za-z0-9])")
 _IBAN_WORD = re.compile(r"[A-Z0-9]+(?![A-Za-z0-9])")
-#: Characters of an account number by country; other countries and lengths are tried too, after these.
-_IBAN_LENGTH = {
-    country: int(group[:2])
-    for group in (
-        "15NO 16BE 18DKFIFKFOGLNLSD 19MKSI 20ATBAEEKZLTLUMNXK 21CHHRLILV 22BGBHCRDEGBGEIEMERSVA 23AEGIILIQOMSOTL 24ADCZESMDPKROSASESKTNVG 25LYPTST"
-        " 26ISTR 27BIDJFRGRITMCMRSM 28ALAZBYCYDOGTHULBNIPLSV 29BREGPSQAUA 30JOKWMUYE 31MTSC 32LC 33RU"
-    ).split()
-    for country in re.findall("[A-Z]{2}", group)
-}
+#: Countries by the characters of an account number; in capitals other countries and lengths are tried too, after these. Fixed values.
+_IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN_LENGTH = {country: n for n, countries in _IBAN_COUNTRIES.items() for country in countries.split()}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
 #: Forms in which issuers write their keys.
@@ -60,14 +61,18 @@ _KEY = re.compile(
 _BLOCK_BEGIN, _BLOCK_END = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"), re.compile(r"-----END [A-Z ]{0,30}PRIVATE KEY-----")
 #: A word that names a secret, what assigns it, and the value, quoted or not.
 _ASSIGNED = re.compile(
-    r"(?i:token|secret|passwd|password|passphrase|pwd|api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key|credentials?|bearer)[\"'`]?"
-    r"(?:[ \t]{0,4}(?:=>|:=|[=:])[ \t]{0,4}[\"'`]?|[ \t][\"'`]?)([A-Za-z0-9_/+.=~!@#$%^&*-]{8,})"
+    r"(?P<name>(?i:token|secret|passwd|password|passphrase|pwd|api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key|credentials?|bearer))[\"'`]?"
+    r"(?P<sign>[ \t]{0,4}(?:=>|:=|[=:])[ \t]{0,4}[\"'`]?|[ \t]{1,4}(?i:is|was)[ \t]{1,4}[\"'`]?|[ \t][\"'`]?)(?P<value>[A-Za-z0-9_/+.=~!@#$%^&*-]{8,})"
 )
 #: One of these stands in every text that a pattern for secrets can match; plain search is far faster than the patterns.
 _KEY_PARTS = ("AKIA", "ASIA", "gho_", "ghp_", "ghs_", "ghu_", "ghr_", "github_pat_", "xox", "AIza", "k_live_", "k_test_", "sk-", "glpat-", "npm_", "eyJ")
 _NAME_PARTS = ("token", "secret", "pass", "pwd", "key", "credential", "bearer")
 #: Bits a character from which a value counts as random, and from which length on letters alone do.
 RANDOM_BITS, RANDOM_CHARS = 2.5, 8
+#: Names whose assigned value needs no digit if it has so many characters.
+_PASSWORDS, PASSWORD_CHARS = frozenset(("password", "passwd", "passphrase", "pwd")), 12
+#: Lines of a key block whose end line is missing.
+_BLOCK_LINES = re.compile(r"(?:\s{1,4}[A-Za-z0-9+/=]{16,})+")
 
 #: Start score of a kind once its own test holds, and the words nearby that raise or lower it.
 BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3, "secret": 0.6}
@@ -157,6 +162,26 @@ def _ibans(text: str) -> Iterator[tuple[int, int]]:
         m = _IBAN.search(text, done)
 
 
+def _accounts(text: str) -> Iterator[tuple[int, int]]:
+    found = list(_ibans(text))
+    taken = set()
+    for start, end in found:
+        taken.update(range(start, end))
+    at = 0
+    while m := _IBAN_LOOSE.search(text, at):
+        start, at = m.start(), m.start() + 1
+        need = _IBAN_LENGTH.get(text[start : start + 2].upper(), 0)
+        gap = m["gap"]
+        ends = [m.end()] if gap is None else [k for k in range(start + 4, m.end() + 1) if k == m.end() or text[k] == gap]
+        for end in ends:
+            code = text[start:end].replace(gap, "") if gap else text[start:end]
+            if len(code) == need and not taken.intersection((start, end - 1)) and mod97(code.upper()):
+                found.append((start, end))
+                at = end
+                break
+    return iter(sorted(found))
+
+
 def _ssns(text: str) -> Iterator[tuple[int, int]]:
     for m in _SSN.finditer(text):
         a, b, c = m.group().split("-")
@@ -169,7 +194,24 @@ def looks_random(value: str) -> bool:
     n = len(value)
     if n < RANDOM_CHARS or not any(c.isdigit() for c in value) or not any(c.isalpha() for c in value):
         return False
-    return sum(-k / n * math.log2(k / n) for k in Counter(value).values()) >= RANDOM_BITS
+    return bits(value) >= RANDOM_BITS
+
+
+def bits(value: str) -> float:
+    """Bits a character of the value's own distribution."""
+    n = len(value)
+    return sum(-k / n * math.log2(k / n) for k in Counter(value).values())
+
+
+def _is_secret(m: re.Match) -> bool:
+    """Whether what a word assigns is a secret: not the word itself again, and random, or a long password after a sign."""
+    name, value = m["name"].lower(), m["value"]
+    if value.lower().startswith(name):
+        return False
+    if looks_random(value):
+        return True
+    signed = any(c in m["sign"] for c in "=:")
+    return signed and name in _PASSWORDS and len(value) >= PASSWORD_CHARS and value.isalnum() and bits(value) >= RANDOM_BITS
 
 
 def _secrets(text: str) -> Iterator[tuple[int, int]]:
@@ -179,12 +221,15 @@ def _secrets(text: str) -> Iterator[tuple[int, int]]:
         while m := _BLOCK_BEGIN.search(text, at):
             end = _BLOCK_END.search(text, m.end())
             if end is None:
-                break
+                if lines := _BLOCK_LINES.match(text, m.end()):
+                    found.append((m.start(), lines.end()))
+                at = m.end()
+                continue
             found.append((m.start(), end.end()))
             at = end.end()
     low = text.lower()
     if any(x in low for x in _NAME_PARTS):
-        found += [m.span(1) for m in _ASSIGNED.finditer(text) if looks_random(m.group(1))]
+        found += [m.span("value") for m in _ASSIGNED.finditer(text) if _is_secret(m)]
     done = 0
     for start, end in sorted(found, key=lambda s: (s[0], -s[1])):
         if start >= done:
@@ -192,7 +237,7 @@ def _secrets(text: str) -> Iterator[tuple[int, int]]:
             done = end
 
 
-_FINDERS = {"secret": _secrets, "email": _emails, "ip": _ips, "card": _cards, "phone": _phones, "iban": _ibans, "ssn": _ssns}
+_FINDERS = {"secret": _secrets, "email": _emails, "ip": _ips, "card": _cards, "phone": _phones, "iban": _accounts, "ssn": _ssns}
 _ALWAYS = ("email", "ip", "card", "phone")
 
 
