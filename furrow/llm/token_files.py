@@ -24,7 +24,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
+import sys
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,8 +97,10 @@ class Encoder:
         self.end = np.array([end_id], self.dtype).tobytes()
         border = self.tokenizer.encode(self.BORDER, add_special_tokens=False).ids
         #: The id of the border, if stretches may be told apart by it. No other character's bytes give that id.
-        self.border = border[0] if len(border) == 1 and drops_white_space(spec) else None
-        self.opening = {t["content"][0] for t in spec["added_tokens"]}
+        self.border = border[0] if len(border) == 1 and drops_white_space(spec) and sys.byteorder == "little" else None
+        #: Finds what may begin a special token.
+        self.opening = re.compile("|".join(sorted({re.escape(t["content"][0]) for t in spec["added_tokens"]})) or "(?!)").search
+        self.code = "H" if self.dtype == "<u2" else "I"
         self.letters = dict(enumerate(byte_letters()))
         self.known: dict[str, bytes] = {}
         self.room = MEMORY_BYTES
@@ -119,17 +124,25 @@ class Encoder:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes()
 
     def _learn(self, parts: list[str]) -> None:
-        """Encode many stretches in one text, with borders between them; those that differ in case or in closing marks only, once."""
-        forms = {p: self._form(p) for p in parts}
-        new = {x for form in forms.values() for x in form}.difference(self.known)
-        known = self.known
-        # A form of letters only is one match of the pattern, and the library's model takes it as it is, its bytes as letters.
-        words = [p for p in new if p.isalpha() and p[0] not in self.opening and max(p) <= "\xff" and p == p.lower()]
-        model, dtype = self.tokenizer.model, self.dtype
-        for p in words:
-            piece = p if p.isascii() else p.encode().decode("latin-1").translate(self.letters)
-            known[p] = np.array([t.id for t in model.tokenize(piece)], dtype).tobytes()
-        plain = [p for p in new.difference(words) if self.BORDER not in p]
+        """Encode many stretches; those that differ in case or in closing marks only, once.
+
+        A form of letters only is one match of the pattern, and the library's model takes it as it is, its bytes as letters. The others
+        are encoded in one text, with borders between them.
+        """
+        known, tokenize, code = self.known, self.tokenizer.model.tokenize, self.code
+        forms = [self._form(p) for p in parts]
+        others = set()
+        for form in forms:
+            for p in form:
+                if p in known:
+                    continue
+                if p.isalpha() and p.islower() and (p.isascii() or max(p) <= "\xff"):
+                    piece = p if p.isascii() else p.encode().decode("latin-1").translate(self.letters)
+                    known[p] = array(code, [t.id for t in tokenize(piece)]).tobytes()
+                    self.room -= self._size(p)
+                else:
+                    others.add(p)
+        plain = [p for p in others if self.BORDER not in p]
         ids = np.array(self.tokenizer.encode_batch_fast([f" {self.BORDER} ".join(plain)], add_special_tokens=False)[0].ids, self.dtype)
         borders = np.flatnonzero(ids == self.border)
         if len(plain) and len(borders) != len(plain) - 1:
@@ -137,9 +150,12 @@ class Encoder:
         raw, step = ids.tobytes(), ids.itemsize
         begins, ends = [0, *((borders + 1) * step).tolist()], [*(borders * step).tolist(), len(raw)]
         known.update((p, raw[a:b]) for p, a, b in zip(plain, begins, ends, strict=False))
-        known.update((p, self._ids(p)) for p in new if self.BORDER in p)
-        known.update((p, known[f[0]] if len(f) == 1 else known[f[0]] + known[f[1]]) for p, f in forms.items())
-        self.room -= sum(map(self._size, new.union(parts)))
+        known.update((p, self._ids(p)) for p in others if self.BORDER in p)
+        self.room -= sum(map(self._size, others))
+        for p, form in zip(parts, forms, strict=True):
+            if p not in known:
+                known[p] = known[form[0]] if len(form) == 1 else known[form[0]] + known[form[1]]
+                self.room -= 200 + 2 * len(p)
 
     def _form(self, part: str) -> tuple[str, ...]:
         """Stretches whose ids, one after the other, are those of `part`.
@@ -147,7 +163,7 @@ class Encoder:
         Up to U+00FF a character has one lower-case form and normalisation changes nothing. A run of marks that follows a letter or digit is a match of
         its own. What may hold a special token stays as it is.
         """
-        if not part or max(part) > "\xff" or any(c in part for c in self.opening):
+        if not (part.isascii() or max(part) <= "\xff") or self.opening(part):
             return (part,)
         core = part.rstrip(self.MARKS)
         if core and len(core) < len(part) and core[-1].isalnum():
