@@ -7,17 +7,18 @@ missing or unknown); before it, and at the end, empty turns may be inserted (2 e
 automaton's states finds the cheapest repair.
 
 A step's costs form a min-plus matrix over the states, so blocks of a long conversation multiply to
-one matrix each. The matrices decide the state at each border, and then every block is repaired on
-its own: no task needs more than one block, however long the conversation.
+one matrix each. Walking the matrices back from a conversation's end gives each block what the turns behind it cost from each state; with
+that each block finds its own way from any state that it may be entered in, and walking forward chooses among them. So
+no task needs more than one block, however long the conversation, and where the blocks begin changes nothing in the result.
 
 Rows are range-partitioned in the order of their turns and cut into blocks where they lie, so a block has `block_turns` rows at
-most whatever the numbers of its turns are: null, repeated or far apart.
+most whatever the numbers of its turns are: null, repeated or far apart. The walks over a conversation's blocks are streams of sorted rows.
 
 Defined results: turns are ordered by turn number (null last), then role (null first), then a hash of the text, then text;
 repeated rows are turns of their own; a null text is empty; rows with a null conversation id form one conversation; an
 empty table gives no rows. A control string inside a text is no control string of the rendering: a backslash goes behind its first
-character (and one more where backslashes stand there already), so that `unescaped` gives the text back. Among repairs of equal cost, keep goes before merge, merge before relabel, fewer insertions
-before more, and states follow their listed order; at the border of two blocks the state listed first goes first.
+character (and one more where backslashes stand there already), so that `unescaped` gives the text back. Among repairs of equal cost the one with fewer inserted turns
+goes first, then the one whose turns' roles come first in the listed order, from the first turn on; a step from one state to another keeps rather than merges, and merges rather than relabels.
 """
 
 from __future__ import annotations
@@ -42,7 +43,6 @@ FINAL = 2
 MERGE, RELABEL, RELABEL_UNKNOWN, INSERT = 1, 3, 2, 2
 #: Turns of one block.
 BLOCK_TURNS = 4_096
-FAR = 10**9
 
 OPEN, CLOSE, BETWEEN = "<|im_start|>{role}\n", "<|im_end|>\n", "\n\n"
 
@@ -106,14 +106,18 @@ def role_number(role: str | None) -> int | None:
     return ROLES.index(name) if name in ROLES else None
 
 
+#: What a step weighs: its cost, and then the turns that it inserts.
+UNIT = 1 << 32
+FAR = 1 << 61
+WEIGHT = {role: [[FAR if x is None else x[0] * UNIT + len(x[3]) for x in row] for row in step] for role, step in STEP.items()}
+
+
 def block_matrix(roles: list[int | None]) -> list[int]:
-    """The least cost from each state to each state through the turns, row by row."""
+    """The least weight from each state to each state through the turns, row by row."""
     rows = [[0 if a == b else FAR for b in range(STATES)] for a in range(STATES)]
     for role in roles:
-        step = STEP[role]
-        rows = [
-            [min([row[a] + step[a][b][0] for a in range(STATES) if step[a][b] is not None] + [FAR]) for b in range(STATES)] for row in rows
-        ]
+        w = WEIGHT[role]
+        rows = [[min(FAR, min(row[a] + w[a][b] for a in range(STATES))) for b in range(STATES)] for row in rows]
     return [c for row in rows for c in row]
 
 
@@ -122,48 +126,48 @@ def closing(state: int) -> tuple[int, ...] | None:
     return INSERTED[state][FINAL]
 
 
-def borders(matrices: list[list[int]]) -> tuple[int, list[int]]:
-    """The least cost of a whole conversation, and the states before, between and after its blocks."""
-    cost = [0 if s == START else FAR for s in range(STATES)]
-    back = []
-    for m in matrices:
-        grown, came = [], []
-        for b in range(STATES):
-            best = min((cost[a] + m[a * STATES + b], a) for a in range(STATES))
-            grown.append(best[0])
-            came.append(best[1])
-        cost = grown
-        back.append(came)
-    total, state = min((cost[s] + INSERT * len(closing(s)), s) for s in range(STATES) if closing(s) is not None)
-    states = [state]
-    for came in reversed(back):
-        state = came[state]
-        states.append(state)
-    return total, states[::-1]
-
-
-def repair(roles: list[int | None], entry: int, exit_: int) -> list[tuple[str, int, tuple[int, ...]]]:
-    """For each turn: operation, role, and the turns inserted before it."""
-    cost = [0 if s == entry else FAR for s in range(STATES)]
-    back = []
-    for role in roles:
-        step = STEP[role]
-        grown, came = [FAR] * STATES, [0] * STATES
-        for b in range(STATES):
-            ways = [(cost[a] + step[a][b][0], a) for a in range(STATES) if step[a][b] is not None]
-            if ways:
-                grown[b], came[b] = min(ways)
-        cost = grown
-        back.append(came)
-    out, state = [], exit_
-    for role, came in zip(reversed(roles), reversed(back), strict=True):
-        before = came[state]
-        _, op, _, inserted = STEP[role][before][state]
-        out.append((op, state, inserted))
-        state = before
+#: What it takes to end a conversation in each state.
+ENDING = [FAR if closing(s) is None else len(closing(s)) * (INSERT * UNIT + 1) for s in range(STATES)]
+
+
+def before_block(matrix: list[int], behind: list[int]) -> list[int]:
+    """What a block and all behind it weigh from each state, given what is behind it."""
+    return [min(FAR, min(matrix[a * STATES + b] + behind[b] for b in range(STATES))) for a in range(STATES)]
+
+
+def to_go(roles: list[int | None], behind: list[int]) -> list[list[int]]:
+    """What is left from each state before each turn, and behind the last."""
+    out = [behind]
+    for role in reversed(roles):
+        w, after = WEIGHT[role], out[-1]
+        out.append([min(FAR, min(w[a][b] + after[b] for b in range(STATES))) for a in range(STATES)])
     return out[::-1]
 
 
+def repair(roles: list[int | None], entry: int, behind: list[int]) -> list[tuple[str, int, tuple[int, ...]]]:
+    """For each turn: operation, role, and the turns inserted before it; of ways of equal weight the one whose states come first."""
+    left, state, out = to_go(roles, behind), entry, []
+    for k, role in enumerate(roles):
+        w, after = WEIGHT[role][state], left[k + 1]
+        to = min(range(STATES), key=lambda b: (w[b] + after[b], b))
+        _, op, _, inserted = STEP[role][state][to]
+        out.append((op, to, inserted))
+        state = to
+    return out
+
+
+def passages(roles: list[int | None], behind: list[int]) -> list[int]:
+    """For each state that a block may be entered in: the state behind it, and how many turns it inserts."""
+    left, out = to_go(roles, behind), []
+    for entry in range(STATES):
+        if left[0][entry] >= FAR:
+            out += [-1, 0]
+            continue
+        steps = repair(roles, entry, behind)
+        out += [steps[-1][1] if steps else entry, sum(len(x[2]) for x in steps)]
+    return out
+
+
 def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
     """Runs of equal keys of sorted rows; one run is held at a time."""
     key, held = None, []
@@ -181,9 +185,9 @@ def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tu
 def repair_chats(
     df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", block_turns: int = BLOCK_TURNS
 ) -> DataFrame:
-    """The repaired and rendered turns, a row for each piece: conversation, block and piece give the order.
+    """The repaired and rendered turns, a row for each piece.
 
-    Columns: conv_id, block, piece, turn (null if inserted), role, op (keep, relabel, merge, insert), cost
+    Columns: conv_id, piece (from 0 on in each conversation), turn (null if inserted), role, op (keep, relabel, merge, insert), cost
     (of the whole conversation), rendered. The pieces' texts, in order, are the rendered conversation.
     """
     ensure_checkpoint_dir(df.sparkSession)
@@ -217,37 +221,72 @@ def repair_chats(
     schema = "b long, p long, c long, n long, r string, t string"
     numbered = laid.mapInArrow(number, schema).checkpoint()
 
+    long_list = pa.list_(pa.int64())
+
+    def table(rows: list[tuple], **kinds: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (c, b), held in _groups(batches, 2):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([c], pa.int64()), pa.array([b], pa.int64()), pa.array([block_matrix([role_number(x[0]) for x in held])], pa.list_(pa.int64()))],
-                names=["c", "b", "m"],
-            )
+            yield table([(c, b, block_matrix([role_number(x[0]) for x in held]))], c=pa.int64(), b=pa.int64(), m=long_list)
 
+    def backward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv: tuple = ()
+        behind = ENDING
+        for batch in batches:
+            out = []
+            for c, b, m in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                behind = behind if (c,) == conv else ENDING
+                conv = (c,)
+                out.append((c, b, behind))
+                behind = before_block(m, behind)
+            if out:
+                yield table(out, c=pa.int64(), b=pa.int64(), behind=long_list)
+
+    # What is behind a block travels as its first row, so that no join can tear a block apart.
+    def with_first(rows: DataFrame, first: DataFrame, *columns: str) -> DataFrame:
+        both = rows.withColumn("behind", F.lit(None).cast("array<long>")).unionByName(first, allowMissingColumns=True)
+        return both.repartition("c", "b").sortWithinPartitions("c", "b", F.col("behind").isNull(), "p").select("c", "b", *columns)
+
+    width = shuffle_width(df.sparkSession, numbered.select("c", "b", "r"))
     blocks = numbered.select("c", "b", "r").mapInArrow(_batched(matrices), "c long, b long, m array<long>")
-    whole = blocks.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("b", "m"))).alias("blocks"))
+    back = blocks.repartition(width, "c").sortWithinPartitions("c", F.col("b").desc()).mapInArrow(backward, "c long, b long, behind array<long>").checkpoint()
 
-    def plans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def crossings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (c, b), held in _groups(batches, 2):
+            behind, roles = held[0][0], [role_number(x[1]) for x in held[1:]]
+            left = to_go(roles, behind)[0][START]
+            yield table([(c, b, behind, passages(roles, behind), len(roles), left)], c=pa.int64(), b=pa.int64(), behind=long_list, ways=long_list, n=pa.int64(), left=pa.int64())
+
+    crossed = with_first(numbered.select("c", "b", "p", "r"), back, "behind", "r").mapInArrow(_batched(crossings), "c long, b long, behind array<long>, ways array<long>, n long, left long")
+
+    def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv: tuple = ()
+        state, piece, cost = START, 0, 0
         for batch in batches:
-            out: list[tuple] = []
-            for c, found in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                cost, states = borders([x["m"] for x in found])
-                for i, x in enumerate(found):
-                    out.append((c, x["b"], f"{states[i]} {states[i + 1]} {cost} {int(i == len(found) - 1)} {i}"))
+            out = []
+            for c, b, behind, ways, n, left in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if (c,) != conv:
+                    conv, state, piece, cost = (c,), START, 0, left // UNIT
+                # Behind the last block stands the conversation's end, and behind no other.
+                out.append((c, b, [*behind, state, piece, cost]))
+                state, piece = ways[2 * state], piece + n + ways[2 * state + 1]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)], names=["c", "b", "plan"])
+                yield table(out, c=pa.int64(), b=pa.int64(), behind=long_list)
 
-    planned = whole.mapInArrow(plans, "c long, b long, plan string")
-    # A block's plan travels as its first row, so that no join can tear a block apart.
-    both = numbered.withColumn("plan", F.lit(None).cast("string")).unionByName(planned, allowMissingColumns=True)
-    ready = both.repartition("c", "b").sortWithinPartitions("c", "b", F.col("plan").isNull(), "p").select("c", "b", "n", "r", "t", "plan")
+    planned = crossed.repartition(width, "c").sortWithinPartitions("c", "b").mapInArrow(forward, "c long, b long, behind array<long>")
+    ends = crossed.groupBy("c").agg(F.max("b").alias("last")).withColumn("final", F.lit(1))
+    planned = planned.join(ends, planned["c"].eqNullSafe(ends["c"]) & (planned["b"] == ends["last"]), "left").select(
+        planned["c"], planned["b"], F.concat("behind", F.array(F.coalesce("final", F.lit(0)).cast("long"))).alias("behind")
+    )
+    ready = with_first(numbered, planned, "n", "r", "t", "behind")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (c, _), held in _groups(batches, 2):
-            entry, exit_, cost, final, b = map(int, held[0][3].split())
+            *behind, entry, first, cost, final = held[0][3]
             turns = held[1:]
             out: list[tuple] = []
-            started = entry != START
+            started = first > 0
 
             def begin(role: int) -> str:
                 nonlocal started
@@ -255,24 +294,21 @@ def repair_chats(
                 started = True
                 return mark
 
-            for (op, role, inserted), (n, _, text, _) in zip(repair([role_number(x[1]) for x in turns], entry, exit_), turns, strict=True):
+            state = entry
+            for (op, role, inserted), (n, _, text, _) in zip(repair([role_number(x[1]) for x in turns], entry, behind), turns, strict=True):
                 for extra in inserted:
-                    out.append((c, b, len(out), None, ROLES[extra], "insert", cost, begin(extra)))
+                    out.append((c, first + len(out), None, ROLES[extra], "insert", cost, begin(extra)))
                 mark = BETWEEN if op == "merge" else begin(role)
-                out.append((c, b, len(out), n, ROLES[role], op, cost, mark + escaped(text or "")))
+                out.append((c, first + len(out), n, ROLES[role], op, cost, mark + escaped(text or "")))
+                state = role
             if final:
-                for extra in closing(exit_):
-                    out.append((c, b, len(out), None, ROLES[extra], "insert", cost, begin(extra)))
+                for extra in closing(state):
+                    out.append((c, first + len(out), None, ROLES[extra], "insert", cost, begin(extra)))
                 out[-1] = (*out[-1][:-1], out[-1][-1] + CLOSE)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)],
-                names=["conv_id", "block", "piece", "turn", "role", "op", "cost", "rendered"],
-            )
-
-    return ready.mapInArrow(
-        _batched(pieces), "conv_id long, block long, piece int, turn long, role string, op string, cost long, rendered string"
-    )
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
+            yield table(out, **dict(zip(("conv_id", "piece", "turn", "role", "op", "cost", "rendered"), kinds, strict=True)))
+
+    return ready.mapInArrow(_batched(pieces), "conv_id long, piece long, turn long, role string, op string, cost long, rendered string")
 
 
 def _batched(fn):

@@ -295,16 +295,80 @@ def test_chat_repair_costs_least():
         roles = [rng.choice([None, 0, 1, 2, 3]) for _ in range(rng.randint(1, 9))]
         k = rng.randint(1, 3)
         parts = [roles[i : i + k] for i in range(0, len(roles), k)]
-        cost, states = chat.borders([chat.block_matrix(p) for p in parts])
+        behind = [chat.ENDING]
+        for part in reversed(parts):
+            behind.append(chat.before_block(chat.block_matrix(part), behind[-1]))
+        behind.reverse()
+        cost = behind[0][chat.START] // chat.UNIT
         assert cost == cheapest(roles)
-        state, paid = chat.START, 0
-        for part, a, b in zip(parts, states, states[1:], strict=False):
-            for (op, role, inserted), was in zip(chat.repair(part, a, b), part, strict=True):
+        state, paid, whole = chat.START, 0, []
+        for part, left in zip(parts, behind[1:], strict=True):
+            steps = chat.repair(part, state, left)
+            assert chat.passages(part, left)[2 * state : 2 * state + 2] == [steps[-1][1], sum(len(x[2]) for x in steps)]
+            whole += steps
+            for (op, role, inserted), was in zip(steps, part, strict=True):
                 for x in (*inserted, *(() if op == "merge" else (role,))):
                     assert state in chat.FOLLOWS[x]
                     state = x
                 paid += 2 * len(inserted) + (op == "merge") + (0 if role == was else 3 if was is not None else 2)
         assert paid + 2 * len(chat.closing(state)) == cost
+        assert whole == chat.repair(roles, chat.START, chat.ENDING)  # wherever the blocks begin
+
+
+def slow_chat(rows):
+    """(piece, turn, role, op, cost, rendered) of one conversation: all ways through the automaton, the best by cost, insertions and roles."""
+    roles = [chat.role_number(r[1]) for r in rows]
+    best = {chat.START: ((0, 0, ()), ())}
+    for role in roles:
+        grown = {}
+        for state, ((cost, extra, seen), steps) in best.items():
+            for to in range(4):
+                step = chat.STEP[role][state][to]
+                if step is not None:
+                    key = (cost + step[0], extra + len(step[3]), (*seen, to))
+                    if to not in grown or key < grown[to][0]:
+                        grown[to] = (key, (*steps, (step[1], to, step[3])))
+        best = grown
+    ends = {s: ((k[0] + 2 * len(chat.closing(s)), k[1] + len(chat.closing(s)), k[2]), steps) for s, (k, steps) in best.items() if chat.closing(s) is not None}
+    (cost, _, seen), steps = min(ends.values())
+    out = []
+    opened = lambda role: ("<|im_end|>\n" if out else "") + f"<|im_start|>{chat.ROLES[role]}\n"
+    for (op, role, inserted), (turn, _, text) in zip(steps, rows, strict=True):
+        for extra in inserted:
+            out.append([len(out), None, chat.ROLES[extra], "insert", cost, opened(extra)])
+        out.append([len(out), turn, chat.ROLES[role], op, cost, ("\n\n" if op == "merge" else opened(role)) + chat.escaped(text or "")])
+    for extra in chat.closing(seen[-1]):
+        out.append([len(out), None, chat.ROLES[extra], "insert", cost, opened(extra)])
+    out[-1][-1] += "<|im_end|>\n"
+    return [tuple(x) for x in out]
+
+
+def test_chat_query(spark):
+    turns = {}
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").collect():
+        turns.setdefault(r.conv_id, []).append((r.turn, r.role, r.text))
+    got = {}
+    for r in queries.op5_chat(spark, SF).collect():
+        got.setdefault(r.conv_id, []).append((r.piece, r.turn, r.role, r.op, r.cost, r.rendered))
+    assert got.keys() == turns.keys()
+    for conv, rows in turns.items():
+        assert len({t for t, *_ in rows}) == len(rows)  # no ties in the table
+        assert sorted(got[conv]) == slow_chat(sorted(rows))
+
+
+def test_chat_does_not_depend_on_partitions(spark):
+    rng = random.Random(11)
+    rows = [(c, n, rng.choice([*chat.ROLES, "odd", None]), f"{c} {n}") for c in (None, 1, 2) for n in range(90)] + [(3, None, "user", "x")] * 5
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    seen = []
+    try:
+        for width, block in ((1, 4096), (3, 7), (13, 16), (5, 1)):
+            spark.conf.set("spark.sql.shuffle.partitions", width)
+            seen.append(sorted(map(str, chat.repair_chats(df, block_turns=block).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert all(x == seen[0] for x in seen) and len(seen[0]) >= len(rows)
 
 
 def test_chat_tables(spark):
@@ -312,7 +376,7 @@ def test_chat_tables(spark):
     rows = [(1, i, r, f"t{i}", "x") for i, r in enumerate(["user", "user", "assistant", "odd", "system"])]
     rows += [(None, None, None, None, None), (2, 1, "assistant", "b", "x"), (2, 1, "assistant", "b", "x"), (2, None, "user", None, "x")]
     df = spark.createDataFrame(rows, cols)
-    out = chat.repair_chats(df).orderBy("conv_id", "block", "piece").collect()
+    out = chat.repair_chats(df).orderBy("conv_id", "piece").collect()
     assert sum(r.op != "insert" for r in out) == len(rows)
     for conv in (None, 1, 2):
         text = "".join(r.rendered for r in out if r.conv_id == conv)
@@ -320,7 +384,6 @@ def test_chat_tables(spark):
     long = spark.createDataFrame([(1, i, random.Random(i).choice(chat.ROLES), "t", "x") for i in range(300)], cols)
     assert {r.cost for r in chat.repair_chats(long, block_turns=7).collect()} == {r.cost for r in chat.repair_chats(long).collect()}
     assert chat.repair_chats(df.limit(0)).count() == 0
-    assert queries.op5_chat(spark, SF).count() > 0
 
 
 def test_top_products(spark):
