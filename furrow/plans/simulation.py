@@ -112,6 +112,14 @@ ORACLES = {
         SELECT a.s_suppkey, CAST(a.pass AS INTEGER) AS pass, round(a.x, 9) AS x1, round(b.x, 9) AS x2 FROM r a JOIN r b ON a.s_suppkey = b.s_suppkey AND a.pass = b.pass AND a.k % 2 = 1 AND b.k = a.k + 1""",
     "lattice_cells_of_boxes": """WITH s AS (SELECT s_suppkey, s_nationkey + 2.3::DOUBLE AS w, s_suppkey % 7 + 1.6::DOUBLE AS h FROM supplier), c AS (SELECT *, unnest(range(0, CAST(floor(w) AS BIGINT) + 1)) AS col FROM s), r AS (SELECT *, unnest(range(0, CAST(floor(h) AS BIGINT) + 1)) AS "row" FROM c),
         a AS (SELECT s_suppkey, CAST(col AS INTEGER) AS col, CAST("row" AS INTEGER) AS "row", (least(col + 1, w) - greatest(col, 0.25)) * (least("row" + 1, h) - greatest("row", 0.5)) AS area FROM r) SELECT s_suppkey, col, "row", round(area, 9) AS area, area < 1 - 1e-9 AS clipped FROM a WHERE area >= 0.01""",
+    "lattice_area": """WITH s AS (SELECT s_suppkey, CAST(s_nationkey + 5 AS DOUBLE) AS h FROM supplier), uv AS MATERIALIZED (SELECT s_suppkey, i, u, v FROM s, LATERAL (VALUES (0, 0.0::DOUBLE, 0.0::DOUBLE), (1, h, 2.5), (2, h + 2, 9.0), (3, 1.0, 7.0)) AS r(i, u, v)),
+        e AS MATERIALIZED (SELECT a.s_suppkey, a.u AS ua, a.v AS va, b.u AS ub, b.v AS vb FROM uv a JOIN uv b ON a.s_suppkey = b.s_suppkey AND b.i = (a.i + 1) % 4),
+        c AS MATERIALIZED (SELECT s_suppkey, col, "row" FROM s, LATERAL (SELECT unnest(range(0, CAST(floor(h + 2) AS BIGINT) + 1)) AS col), range(10) AS t("row")),
+        w AS (SELECT c.*, sign(ub - ua) AS way, greatest(least(ua, ub), col) AS lo, least(greatest(ua, ub), col + 1) AS hi, va + (greatest(least(ua, ub), col) - ua) * (vb - va) / (ub - ua) AS v1, va + (least(greatest(ua, ub), col + 1) - ua) * (vb - va) / (ub - ua) AS v2 FROM c JOIN e USING (s_suppkey)),
+        k AS (SELECT *, CASE WHEN v1 < "row" THEN "row" * v1 WHEN v1 <= "row" + 1 THEN "row" * "row" + (v1 * v1 - "row" * "row") / 2 ELSE "row" * "row" + (2 * "row" + 1) / 2.0::DOUBLE + ("row" + 1) * (v1 - "row" - 1) END AS g1,
+            CASE WHEN v2 < "row" THEN "row" * v2 WHEN v2 <= "row" + 1 THEN "row" * "row" + (v2 * v2 - "row" * "row") / 2 ELSE "row" * "row" + (2 * "row" + 1) / 2.0::DOUBLE + ("row" + 1) * (v2 - "row" - 1) END AS g2 FROM w WHERE hi > lo),
+        a AS (SELECT s_suppkey, col, "row", abs(sum(way * (hi - lo) * (g2 - g1) / (v2 - v1))) AS area FROM k GROUP BY 1, 2, 3)
+        SELECT s_suppkey, count(*) AS cells, round(sum(area), 6) AS area, count(*) FILTER (area < 1 - 1e-9) AS clipped FROM a WHERE area >= 0.01 GROUP BY 1""",
     "regularised": f"""WITH {_C}, m AS (SELECT * FROM cells WHERE col % 5 <> 0), g AS (SELECT DISTINCT rate, col + dc AS col, "row" + dr AS "row" FROM m, range(-1, 2) a(dc), range(-1, 2) b(dr)),
         k AS (SELECT rate, col + dc AS col, "row" + dr AS "row" FROM g, range(-1, 2) a(dc), range(-1, 2) b(dr) GROUP BY ALL HAVING count(*) = 9), f AS (SELECT col, "row", min(rate) AS rate FROM k WHERE NOT EXISTS (SELECT 1 FROM cells c WHERE c.col = k.col AND c."row" = k."row") GROUP BY 1, 2 HAVING count(*) = 1)
         SELECT 1 AS field, rate, col, "row", false AS added FROM m UNION ALL SELECT 1, rate, col, "row", true FROM f WHERE (SELECT count(*) FROM f) <= 0.25 * (SELECT count(*) FROM m)""",
