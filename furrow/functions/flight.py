@@ -106,18 +106,6 @@ def ninth(y: Column, x: Column, north: Column, south: Column, east: Column, west
     return F.when((row == "C") & (col == "C"), "Center").otherwise(F.concat(row, col))
 
 
-def replay_marks(events: Column) -> Column:
-    """Marks after a log of (cell, label) in order: the same mark again takes it away, a null label unmarks, a null cell clears."""
-
-    def step(marks: Column, e: Column) -> Column:
-        without = F.map_filter(marks, lambda k, _: k != e["cell"])
-        gone = e["label"].isNull() | F.coalesce(F.element_at(marks, e["cell"]) == e["label"], F.lit(False))
-        added = F.map_concat(without, F.map_from_arrays(F.array(F.coalesce(e["cell"], F.lit(""))), F.array(e["label"])))
-        return F.when(e["cell"].isNull(), F.create_map().cast("map<string,string>")).when(gone, without).otherwise(added)
-
-    return F.aggregate(events, F.create_map().cast("map<string,string>"), step)
-
-
 def readiness(wanted: Column, unwanted: Column, least: int = 3) -> Column:
     more_w, more_u = F.greatest(F.lit(0), least - wanted), F.greatest(F.lit(0), least - unwanted)
     ask = F.concat_ws(" and ", F.when(more_w > 0, F.concat(more_w.cast("string"), F.lit(" more to treat"))), F.when(more_u > 0, F.concat(more_u.cast("string"), F.lit(" more to leave"))))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from furrow.functions import flight as fl
 from furrow.functions import rules
+from furrow.operators import marks
 from furrow.operators import reporting as rp
 from furrow.session import table
 
@@ -59,10 +60,10 @@ def mark_replay(spark, sf_dir):
     """Each user's marks after replaying events as clicks on a few cells, counted."""
     label = F.when(F.col("event_type") == "error", F.lit(None)).when(F.col("event_type").isin("click", "view"), "wanted").otherwise("unwanted")
     e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 7).cast("string").alias("cell"), label.alias("label"))
-    log = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "cell", "label"))).alias("log"))
-    m = log.select("user_id", F.map_values(fl.replay_marks(F.col("log"))).alias("m"))
-    w, u = F.size(F.filter("m", lambda x: x == "wanted")), F.size(F.filter("m", lambda x: x == "unwanted"))
-    return m.select("user_id", w.alias("wanted"), u.alias("unwanted"), fl.readiness(w, u).alias("message"))
+    log = e.withColumn("action", F.when(F.col("label").isNull(), "unmark").otherwise("mark"))
+    m = marks.replay(log, "user_id", "event_id").groupBy("user_id").agg(F.count_if(F.col("label") == "wanted").alias("w"), F.count_if(F.col("label") == "unwanted").alias("u"))
+    w, u = (F.coalesce(c, F.lit(0)).cast("int") for c in ("w", "u"))
+    return e.select("user_id").distinct().join(m, "user_id", "left").select("user_id", w.alias("wanted"), u.alias("unwanted"), fl.readiness(w, u).alias("message"))
 
 
 def logged_litres(spark, sf_dir):
@@ -74,6 +75,12 @@ _G = "9.81::DOUBLE * tan(radians(25))"
 _MPP = "cos(radians((lat + lat + d) / 2)) * (2 * pi() * 6378137.0::DOUBLE / 256 / (1 << z))"
 QUERIES = {f.__name__: f for f in (pass_spacing, maneuvers, derating, drift_and_air, sampling_zoom, ninths, mark_replay, logged_litres)}
 ORACLES = {
+    "mark_replay": """WITH e AS (SELECT user_id, event_id, event_id % 7 AS cell, CASE WHEN event_type = 'error' THEN NULL WHEN event_type IN ('click', 'view') THEN 'wanted' ELSE 'unwanted' END AS label FROM events),
+        r AS (SELECT *, row_number() OVER (PARTITION BY user_id, cell ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, cell, label ORDER BY event_id) AS run, max(event_id) OVER (PARTITION BY user_id, cell) AS last FROM e),
+        f AS (SELECT user_id, cell, label FROM r GROUP BY user_id, cell, label, run HAVING max(event_id) = any_value(last) AND count(*) % 2 = 1 AND label IS NOT NULL),
+        c AS (SELECT user_id, CAST(count(*) FILTER (label = 'wanted') AS INTEGER) AS w, CAST(count(*) FILTER (label = 'unwanted') AS INTEGER) AS u FROM f RIGHT JOIN (SELECT DISTINCT user_id FROM events) USING (user_id) GROUP BY 1)
+        SELECT user_id, w AS wanted, u AS unwanted, CASE WHEN w >= 3 AND u >= 3 THEN w || ' wanted · ' || u || ' not wanted'
+            ELSE 'Mark ' || concat_ws(' and ', CASE WHEN w < 3 THEN (3 - w) || ' more to treat' END, CASE WHEN u < 3 THEN (3 - u) || ' more to leave' END) || '.' END AS message FROM c""",
     "pass_spacing": """WITH s AS (SELECT p_partkey, p_retailprice * 10 AS a, (CASE WHEN p_size > 5 THEN CAST(p_size - 5 AS DOUBLE) ELSE 6.0 END) * (p_size / 10) * (1 - greatest(0, least(0.5::DOUBLE, CASE WHEN p_size > 3 THEN p_size / 40 ELSE 0.1::DOUBLE END))) AS spacing FROM part)
         SELECT p_partkey, spacing, CASE WHEN a > 0 THEN greatest(0, CAST(ceil(a / (spacing * 50)) AS BIGINT) - 1) ELSE 0 END AS turns FROM s""",
     "maneuvers": f"""WITH p AS (SELECT p_partkey, CAST(p_size % 12 + 1 AS DOUBLE) AS v, CAST(p_partkey % 9 + 1 AS DOUBLE) AS s, CAST(p_partkey % 23 AS DOUBLE) AS h FROM part), b AS (SELECT *, s / 2 < v * v / ({_G}) AS bank, abs(h - 3) / 2 * v > s * 4 AS climb,
