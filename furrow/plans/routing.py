@@ -8,7 +8,7 @@ from furrow.functions import rings
 from furrow.operators import lattices, routing
 from furrow.operators import zones as zn
 from furrow.plans import fields as fp
-from furrow.plans.zones import _zones
+from furrow.plans.zones import _HEAD, _zones
 from furrow.session import table
 from furrow.streaming import leases
 
@@ -73,6 +73,9 @@ _SHOE = """s AS (SELECT s_suppkey, CAST(s_suppkey AS DOUBLE) AS k, 20.3::DOUBLE
 _IN = "(e.pa > {lat}) <> (e.qa > {lat}) AND {lng} < (e.qn - e.pn) * ({lat} - e.pa) / (e.qa - e.pa + 1e-12::DOUBLE) + e.pn"
 _FAR = "sqrt(((p.lat - {a}.lat) * 111320) ^ 2 + ((p.lng - {a}.lng) * cos(radians((p.lat + {a}.lat) / 2)) * 111320) ^ 2)"
 
+_BY = "[1.5::DOUBLE, CAST(p.zone_id % 3 AS DOUBLE), 0.5::DOUBLE, 2.0::DOUBLE][p.i]"
+_EDGES = _HEAD.replace("dy * 5 AS", f"dy * {_BY} AS").replace("dx * 5 AS", f"dx * {_BY} AS").replace("w <= 10 + 1e-6", "w <= 4 + 1e-6")
+
 QUERIES = {f.__name__: f for f in (inside_routes, interior_points, hit_cells, zones_in_field, edge_headlands, resumed_uploads)}
 ORACLES = {
     "inside_routes": f"""WITH RECURSIVE {_SHOE}, ends AS (SELECT s_suppkey, 0 AS w, 41 + (60.3::DOUBLE + k % 7) / 111320.0::DOUBLE AS lat, -93 + (10.9::DOUBLE + k % 3) / 84000.0::DOUBLE AS lng FROM s UNION ALL SELECT s_suppkey, 1, 41 + (58.7::DOUBLE - k % 11) / 111320.0::DOUBLE, -93 + (88.3::DOUBLE - k % 6) / 84000.0::DOUBLE FROM s),
@@ -103,5 +106,6 @@ ORACLES = {
         f AS (SELECT n_nationkey AS n, [{'y': 40.9991::DOUBLE - n_nationkey * 1e-5::DOUBLE, 'x': -92.9993::DOUBLE}, {'y': 40.99871::DOUBLE, 'x': -92.99417::DOUBLE + n_nationkey * 1e-5::DOUBLE}, {'y': 40.99613::DOUBLE, 'x': -92.99501::DOUBLE}, {'y': 40.99629::DOUBLE + n_nationkey * 1e-5::DOUBLE, 'x': -92.99877::DOUBLE}] AS r FROM nation),
         e AS (SELECT n, r[i] AS p, r[i % 4 + 1] AS q FROM f, range(1, 5) AS t(i))
         SELECT n AS n_nationkey, count(*) AS zones, CAST(sum(rate) AS DOUBLE) AS rates FROM z WHERE (SELECT count(*) FROM e WHERE e.n = z.n AND (e.p.y > z.lat) <> (e.q.y > z.lat) AND z.lng < (e.q.x - e.p.x) * (z.lat - e.p.y) / (e.q.y - e.p.y + 1e-12::DOUBLE) + e.p.x) % 2 = 1 GROUP BY 1""",
+    "edge_headlands": f"WITH {_EDGES} SELECT zone_id, CASE WHEN reason IS NULL THEN 'applied' ELSE 'waived' END AS kind, round(scale, 5) AS scale FROM hl",
     "resumed_uploads": """WITH f AS (SELECT o_custkey AS batch, o_orderkey % 3 = 0 AND o_custkey % 2 = 0 AS done, CAST(o_orderkey AS VARCHAR) AS key FROM orders) SELECT batch, count(*) AS "left", min(key) AS first FROM f WHERE NOT done GROUP BY 1""",
 }

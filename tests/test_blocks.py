@@ -27,8 +27,9 @@ def solid(c0, r0, w, h, rate=20.0, without=()):
 
 
 def plan(cells, tolerance=bl.DEFAULT_TOLERANCE):
-    selection = bl.close_gaps(cells, "field", tolerance).collect()
-    blocks = bl.blocks(bl.close_gaps(cells, "field", tolerance), "field").collect()
+    closed = bl.close_gaps(cells, "field", tolerance).cache()
+    selection, blocks = closed.collect(), bl.blocks(closed, "field").collect()
+    closed.unpersist()
     covered = [(c, r) for b in blocks for c in range(b.col0, b.col0 + b.cols) for r in range(b.row0, b.row0 + b.rows)]
     assert len(covered) == len(set(covered)) == sum(b.cells for b in blocks)
     assert set(covered) == {(s.col, s.row) for s in selection}
