@@ -35,18 +35,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null and empty texts hold none and stay; all columns stay as they are, whatever their names."""
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by its kind; n_chars follows the text."""
+    """Personal data replaced by its kind; n_chars follows the text. A null text stays null (and so does its n_chars); all columns stay."""
     clean = pii.redact_pii(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, and whether they decode to its bytes."""
+    """Token ids of each text, and whether they decode to its bytes: doc_id, lang, source and these, no other column. A null text has no ids."""
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, pattern, decoded_out="decoded")
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
