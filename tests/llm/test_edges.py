@@ -251,6 +251,13 @@ def test_chat_blocks_of_null_and_repeated_turn_numbers(spark):
     assert chat.repair_chats(df.withColumn("a.b", F.lit(1))).count() == len(whole)
 
 
+def test_top_products_with_clashing_names(spark):
+    rows = [(i, [float(i % 5), 1.0, -2.0], i, "v", 1.5) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, id long, v string, norm double")
+    plain = topk.top_inner_products(df.select("vec_id", "embedding"), F.col("id") % 20 == 0, k=3).collect()
+    assert sorted(topk.top_inner_products(df, F.col("id") % 20 == 0, k=3).collect()) == sorted(plain) and len(plain) == 6
+
+
 def test_top_products_refuse_what_may_not_fit(spark):
     df = spark.createDataFrame([(20, [3e17, 1.0]), (1, [3e17, 2.0])], "vec_id long, embedding array<double>")
     with pytest.raises(OverflowError):
