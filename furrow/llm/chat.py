@@ -244,11 +244,13 @@ def repair_chats(
                 yield table(out, c=pa.int64(), b=pa.int64(), behind=long_list)
 
     # What is behind a block travels as its first row, so that no join can tear a block apart.
-    def with_first(rows: DataFrame, first: DataFrame, *columns: str) -> DataFrame:
+    def with_first(rows: DataFrame, first: DataFrame, *columns: str, width: int | None = None) -> DataFrame:
         both = rows.withColumn("behind", F.lit(None).cast("array<long>")).unionByName(first, allowMissingColumns=True)
-        return both.repartition("c", "b").sortWithinPartitions("c", "b", F.col("behind").isNull(), "p").select("c", "b", *columns)
+        dealt = both.repartition(width, "c", "b") if width else both.repartition("c", "b")
+        return dealt.sortWithinPartitions("c", "b", F.col("behind").isNull(), "p").select("c", "b", *columns)
 
-    width = shuffle_width(df.sparkSession, numbered.select("c", "b", "r"))
+    # Roles are small, but each takes a step of the dynamic programme: more tasks than their bytes ask for.
+    width = shuffle_width(df.sparkSession, numbered.select("c", "b", "r"), mb_each=4)
     blocks = numbered.select("c", "b", "r").mapInArrow(_batched(matrices), "c long, b long, m array<long>")
     back = blocks.repartition(width, "c").sortWithinPartitions("c", F.col("b").desc()).mapInArrow(backward, "c long, b long, behind array<long>").checkpoint()
 
@@ -258,7 +260,8 @@ def repair_chats(
             left = to_go(roles, behind)[0][START]
             yield table([(c, b, behind, passages(roles, behind), len(roles), left)], c=pa.int64(), b=pa.int64(), behind=long_list, ways=long_list, n=pa.int64(), left=pa.int64())
 
-    crossed = with_first(numbered.select("c", "b", "p", "r"), back, "behind", "r").mapInArrow(_batched(crossings), "c long, b long, behind array<long>, ways array<long>, n long, left long")
+    crossed = with_first(numbered.select("c", "b", "p", "r"), back, "behind", "r", width=width)
+    crossed = crossed.mapInArrow(_batched(crossings), "c long, b long, behind array<long>, ways array<long>, n long, left long").checkpoint()
 
     def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv: tuple = ()
