@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from furrow.functions import geo
 from furrow.operators import zones
+from furrow.session import shuffle_width
 
 #: Ceilings above which a field is refused, and the share of a cell below which a piece is a sliver. Fixed values.
 MAX_CELLS, MAX_CANDIDATES = 20_000, 80_000
@@ -66,7 +67,9 @@ def treatment_lattice(fields: DataFrame, field: str) -> DataFrame:
     f = f.withColumns({"c0": low(lngs), "c1": high(lngs), "r0": low(lats), "r1": high(lats)})
     n = (F.col("c1") - F.col("c0") + 1).cast("long") * (F.col("r1") - F.col("r0") + 1)
     f = f.withColumn("r0", F.when(n <= MAX_CANDIDATES, F.col("r0")).otherwise(F.raise_error(F.lit("a field has too many cells")).cast("int")))
-    cells = f.withColumn("row", F.explode(F.sequence("r0", "r1"))).withColumn("col", F.explode(F.sequence("c0", "c1")))
+    # Few fields make many cells, each with work to do: a field's rows are dealt out before its cells are made.
+    bands = f.withColumn("row", F.explode(F.sequence("r0", "r1"))).repartition(shuffle_width(fields.sparkSession, fields), field, "row")
+    cells = bands.withColumn("col", F.explode(F.sequence("c0", "c1")))
     col, row = F.col("col").cast("double"), F.col("row").cast("double")
     corner = lambda dc, dr: F.exists("flat", lambda r: geo.point_in_ring(row + dr, col + dc, r))
     cells = cells.withColumn("whole", corner(0, 0) & corner(1, 0) & corner(1, 1) & corner(0, 1))
