@@ -1,15 +1,19 @@
-"""Treatment lattices: a field's boundary cut into square cells along its heading, as expressions only.
+"""Treatment lattices: a field's boundary cut into square cells along its heading.
 
-Rings are turned into the lattice's frame once, where a cell is a unit square. Candidate cells are exploded from the box, row by row. A cell whose corners
-all lie in the boundary is whole; the others are clipped by a fold over the cell's four half-planes.
+Rings are turned into the lattice's frame once, where a cell is a unit square. Rows of candidate cells are exploded from the box and dealt out. A cell whose
+corners all lie in the boundary is whole; the others are clipped along the cell's four sides, many cells at once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.functions import geo
+from furrow.functions import clips, geo, rings
 from furrow.operators import zones
 from furrow.session import shuffle_width
 
@@ -18,34 +22,6 @@ MAX_CELLS, MAX_CANDIDATES = 20_000, 80_000
 SLIVER_SHARE = 0.01
 
 
-def clip_half(ring: Column, plane: Column) -> Column:
-    """The part of a ring where a * lng + b * lat + c >= 0; each vertex inside is followed by its edge's crossing, if there is one."""
-    side = lambda p: plane["a"] * p["lng"] + plane["b"] * p["lat"] + plane["c"]
-
-    def crossing(p: Column, q: Column) -> Column:
-        t = side(p) / (side(p) - side(q))
-        return F.struct((p["lat"] + (q["lat"] - p["lat"]) * t).alias("lat"), (p["lng"] + (q["lng"] - p["lng"]) * t).alias("lng"))
-
-    def step(p: Column, q: Column) -> Column:
-        met = F.when((side(p) >= 0) != (side(q) >= 0), crossing(p, q))
-        return F.filter(F.array(F.when(side(p) >= 0, p), met), lambda v: v.isNotNull())
-
-    return F.flatten(F.zip_with(ring, geo.next_vertices(ring), step))
-
-
-def clip_to_box(ring: Column, south: Column, west: Column, north: Column, east: Column) -> Column:
-    """A ring's part in a level box, by four folds; where the ring enters twice, the parts hang together by connectors without area."""
-    plane = lambda a, b, c: F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b"), c.cast("double").alias("c"))
-    planes = F.array(plane(1, 0, -west), plane(-1, 0, east), plane(0, 1, -south), plane(0, -1, north))
-    return F.aggregate(planes, ring, clip_half)
-
-
-def shoelace(ring: Column) -> Column:
-    """Area on the plane, whatever the direction."""
-    part = F.zip_with(ring, geo.next_vertices(ring), lambda p, q: p["lng"] * q["lat"] - p["lat"] * q["lng"])
-    return F.abs(F.aggregate(part, F.lit(0.0), lambda s, v: s + v)) / 2
-
-
 def treatment_lattice(fields: DataFrame, field: str) -> DataFrame:
     """(field, col, row, ring, area_m2, share, clipped, centroid): the cells of each field.
 
@@ -68,21 +44,28 @@ def treatment_lattice(fields: DataFrame, field: str) -> DataFrame:
     n = (F.col("c1") - F.col("c0") + 1).cast("long") * (F.col("r1") - F.col("r0") + 1)
     f = f.withColumn("r0", F.when(n <= MAX_CANDIDATES, F.col("r0")).otherwise(F.raise_error(F.lit("a field has too many cells")).cast("int")))
     # Few fields make many cells, each with work to do: a field's rows are dealt out before its cells are made.
-    bands = f.withColumn("row", F.explode(F.sequence("r0", "r1"))).repartition(shuffle_width(fields.sparkSession, fields), field, "row")
-    cells = bands.withColumn("col", F.explode(F.sequence("c0", "c1")))
-    col, row = F.col("col").cast("double"), F.col("row").cast("double")
-    corner = lambda dc, dr: F.exists("flat", lambda r: geo.point_in_ring(row + dr, col + dc, r))
-    cells = cells.withColumn("whole", corner(0, 0) & corner(1, 0) & corner(1, 1) & corner(0, 1))
-    at = lambda dc, dr: F.struct((row + dr).alias("lat"), (col + dc).alias("lng"))
-    square = F.array(at(0, 0), at(1, 0), at(1, 1), at(0, 1))
-    pieces = F.filter(F.transform("flat", lambda r: clip_to_box(r, row, col, row + 1, col + 1)), lambda p: F.size(p) >= 3)
-    cells = cells.withColumn("piece", F.when(F.col("whole"), square).otherwise(F.get(pieces, F.lit(0)))).filter("piece IS NOT NULL")
-    east = lambda p: (p["lng"] * F.col("cos") - p["lat"] * F.col("sin")) * F.col("size")
-    north = lambda p: (p["lng"] * F.col("sin") + p["lat"] * F.col("cos")) * F.col("size")
-    ground = F.transform("piece", lambda p: F.struct((F.col("lat0") + north(p) / geo.M_PER_DEG).alias("lat"), (F.col("lng0") + east(p) / F.col("wide")).alias("lng")))
-    cells = cells.select(field, "col", "row", ground.alias("ring"), shoelace(F.col("piece")).alias("share"), (~F.col("whole")).alias("clipped"), "size")
-    cells = cells.withColumn("area_m2", geo.ring_area(F.col("ring"))).filter(F.col("area_m2") >= F.col("size") * F.col("size") * SLIVER_SHARE)
-    return cells.select(field, "col", "row", "ring", "area_m2", "share", "clipped", geo.vertex_mean(F.col("ring")).alias("centroid"))
+    f = f.withColumn("row", F.explode(F.sequence("r0", "r1"))).repartition(shuffle_width(fields.sparkSession, fields), field, "row")
+    kind = fields.schema[field].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, lat0, lng0, wide, cos, sin = (batch.column(n).to_numpy() for n in ("size", "lat0", "lng0", "wide", "cos", "sin"))
+            for c in clips.cells(batch.column("flat"), batch.column("row"), batch.column("c0"), batch.column("c1")):
+                own = np.repeat(c.band, c.count)
+                lat = lat0[own] + (c.lng * sin[own] + c.lat * cos[own]) * size[own] / geo.M_PER_DEG
+                lng = lng0[own] + (c.lng * cos[own] - c.lat * sin[own]) * size[own] / wide[own]
+                ground = clips.Rings(lat, lng, c.count)
+                area = ground.area_m2()
+                keep = area >= size[c.band] * size[c.band] * SLIVER_SHARE
+                mid_lat, mid_lng = ground.means()
+                point = [pa.field("lat", pa.float64()), pa.field("lng", pa.float64())]
+                ring = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(c.count)), pa.int32()), pa.StructArray.from_arrays([pa.array(lat), pa.array(lng)], fields=point))
+                made = {field: batch.column(field).take(pa.array(c.band)), "col": pa.array(c.col), "row": pa.array(c.row), "ring": ring, "area_m2": pa.array(area), "share": pa.array(clips.Rings(c.lat, c.lng, c.count).shoelace())}
+                made |= {"clipped": pa.array(~c.whole), "centroid": pa.StructArray.from_arrays([pa.array(mid_lat), pa.array(mid_lng)], fields=point)}
+                yield pa.RecordBatch.from_pydict(made).filter(pa.array(keep))
+
+    bands = f.select(field, "row", "c0", "c1", "size", "lat0", "lng0", "wide", "cos", "sin", "flat")
+    return bands.mapInArrow(cut, f"{field} {kind}, col int, row int, ring {rings.RING}, area_m2 double, share double, clipped boolean, centroid struct<lat:double,lng:double>")
 
 
 def oversized(cells: DataFrame, field: str) -> DataFrame:
@@ -94,6 +77,6 @@ def lattice_warnings(fields: DataFrame, field: str) -> DataFrame:
     """(field, kind, ring, width_m): cells smaller than the swath (no ring), and rings narrower than it, by their hull."""
     size = F.col("swath_m") * F.col("cell_multiple")
     small = fields.filter(size < F.col("swath_m")).select(field, F.lit("sub-swath-cell").alias("kind"), F.lit(None).cast("int").alias("ring"), size.cast("double").alias("width_m"))
-    rings = fields.select(field, "swath_m", F.posexplode("rings").alias("at", "ring"))
-    narrow = zones.with_width(rings, out="width_m").filter((F.col("width_m") > 0) & (F.col("width_m") < F.col("swath_m")))
+    each = fields.select(field, "swath_m", F.posexplode("rings").alias("at", "ring"))
+    narrow = zones.with_width(each, out="width_m").filter((F.col("width_m") > 0) & (F.col("width_m") < F.col("swath_m")))
     return small.unionByName(narrow.select(field, F.lit("narrower-than-swath").alias("kind"), F.col("at").alias("ring"), "width_m"))

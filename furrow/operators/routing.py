@@ -122,12 +122,13 @@ def cell_at(lat: Column, lng: Column, origin: Column, heading: Column, size_m: C
 def hit_cells(points: DataFrame, fields: DataFrame, cells: DataFrame, field: str) -> DataFrame:
     """Points (field, lat, lng, ...) with the field's cell (col, row) under them; those over none go.
 
-    The cell's number follows from the place, so the join is on keys; a clipped cell's ring then decides.
+    The cell's number follows from the place, so the join is on keys; a clipped cell's ring then decides. Both joins are merged, since a few fields' size
+    tells nothing of how many cells they make: a plan's estimate would send all of them through the driver.
     """
     lattice = fields.select(field, "origin", "heading", (F.col("swath_m") * F.col("cell_multiple")).alias("__size"))
     col, row = cell_at(F.col("lat"), F.col("lng"), F.col("origin"), F.col("heading"), F.col("__size"))
-    keyed = points.join(lattice, field).withColumns({"col": col, "row": row}).drop("origin", "heading", "__size")
-    hit = keyed.join(cells.select(field, "col", "row", "clipped", F.col("ring").alias("__ring")), [field, "col", "row"])
+    keyed = points.join(lattice.hint("merge"), field).withColumns({"col": col, "row": row}).drop("origin", "heading", "__size")
+    hit = keyed.join(cells.select(field, "col", "row", "clipped", F.col("ring").alias("__ring")).hint("merge"), [field, "col", "row"])
     return hit.filter(~F.col("clipped") | geo.point_in_ring(F.col("lat"), F.col("lng"), F.col("__ring"))).drop("clipped", "__ring")
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furrow.functions import geo, rules
+from furrow.functions import clips, geo, rules
 from furrow.functions import kernels as kn
 from furrow.functions.flight import turn_seconds
 from furrow.operators import lattices
@@ -168,25 +168,26 @@ def fragment_tours(ends: DataFrame, mission: str, fragment: str, home: tuple[flo
 def lattice(fields: DataFrame, field: str, size: float) -> DataFrame:
     """(field, col, row, area, clipped) of a field's ring (array<array<double>> of x, y) cut into square cells.
 
-    Candidate cells are exploded from the ring's box. Those with all corners inside are whole; the others, about the ring, are clipped by a fold over
-    their four sides. Slivers below a hundredth of a cell go.
+    Rows of candidate cells are exploded from the ring's box and dealt out. Cells with all corners inside are whole; the others, about the ring, are clipped
+    along their four sides, many at once. Slivers below a hundredth of a cell go.
     """
     xs, ys = F.transform("ring", lambda p: p[0]), F.transform("ring", lambda p: p[1])
     box = fields.select(field, "ring", *[F.floor(f(v) / size).cast("int").alias(n) for n, f, v in (("c0", F.array_min, xs), ("c1", F.array_max, xs), ("r0", F.array_min, ys), ("r1", F.array_max, ys))])
     n = (F.col("c1") - F.col("c0") + 1).cast("long") * (F.col("r1") - F.col("r0") + 1)
-    checked = box.withColumn("c0", F.when(n <= lattices.MAX_CANDIDATES, F.col("c0")).otherwise(F.raise_error(F.lit("a field has too many cells")).cast("int")))
-    cells = checked.withColumn("col", F.explode(F.sequence("c0", "c1"))).withColumn("row", F.explode(F.sequence("r0", "r1"))).select(field, "ring", "col", "row")
-    as_ring = F.transform("ring", lambda p: F.struct(p[1].alias("lat"), p[0].alias("lng")))
-    corner = lambda dx, dy: geo.point_in_ring((F.col("row") + dy) * F.lit(float(size)), (F.col("col") + dx) * F.lit(float(size)), as_ring)
-    judged = cells.withColumn("__whole", corner(0, 0) & corner(1, 0) & corner(1, 1) & corner(0, 1))
-    whole = judged.filter("__whole").select(field, "col", "row", F.lit(float(size * size)).alias("area"), F.lit(False).alias("clipped"))
-    cells = judged.filter("NOT __whole").drop("__whole")
-
-    col, row = F.col("col") * F.lit(float(size)), F.col("row") * F.lit(float(size))
-    piece = lattices.clip_to_box(as_ring, row, col, row + size, col + size)
-    cut = cells.withColumn("piece", piece).filter(F.size("piece") > 2).withColumn("area", lattices.shoelace(F.col("piece")))
-    cut = cut.filter(F.col("area") >= lattices.SLIVER_SHARE * size * size)
-    return whole.unionByName(cut.select(field, "col", "row", "area", (F.col("area") < size * size * (1 - 1e-9)).alias("clipped")))
+    checked = box.withColumn("r0", F.when(n <= lattices.MAX_CANDIDATES, F.col("r0")).otherwise(F.raise_error(F.lit("a field has too many cells")).cast("int")))
+    as_ring = F.transform("ring", lambda p: F.struct(p[1].cast("double").alias("lat"), p[0].cast("double").alias("lng")))
+    bands = checked.select(field, F.explode(F.sequence("r0", "r1")).alias("row"), "c0", "c1", F.array(as_ring).alias("flat"))
+    kind = fields.schema[field].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in clips.cells(batch.column("flat"), batch.column("row"), batch.column("c0"), batch.column("c1"), float(size)):
+                area = np.where(c.whole, float(size * size), clips.Rings(c.lat, c.lng, c.count).shoelace())
+                made = {field: batch.column(field).take(pa.array(c.band)), "col": pa.array(c.col), "row": pa.array(c.row), "area": pa.array(area), "clipped": pa.array(~c.whole & (area < size * size * (1 - 1e-9)))}
+                yield pa.RecordBatch.from_pydict(made).filter(pa.array(c.whole | (area >= lattices.SLIVER_SHARE * size * size)))
+
+    dealt = bands.repartition(shuffle_width(fields.sparkSession, fields), field, "row")
+    return dealt.mapInArrow(cut, f"{field} {kind}, col int, row int, area double, clipped boolean")
 
 
 def sweep_lines(zones: DataFrame, zone: str, spacing: float) -> DataFrame:
