@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from furrow.functions import clips, geo, rules
 from furrow.functions import kernels as kn
 from furrow.functions.flight import turn_seconds
+from furrow.functions.rings import let
 from furrow.operators import lattices
 from furrow.session import shuffle_width
 
@@ -266,33 +267,43 @@ def integrate_flight(
     the swing is folded. The peak offset is the one largest in size, with its sign. Turns cost time and 15 % more than the mean current.
     """
     number = lambda x: F.lit(float(x))
-    dt = total_s / STEPS
     start = F.greatest(number(0), F.least(number(craft.tank_l), litres))
     sprayed_steps = F.least(number(STEPS), F.ceil(F.when(total_s > 0, spray_s / total_s).otherwise(0.0) * STEPS))
-    flow = F.when(spray_s > 0, start / spray_s).otherwise(0.0)
     lean = F.degrees(F.atan2(head_ms * 0.15, number(9.80665)))
     pitch = F.greatest(number(-craft.max_pitch_deg), F.least(number(craft.max_pitch_deg), lean)) / craft.max_pitch_deg
-    left = lambda i: F.greatest(number(0), F.least(start, start - flow * dt * F.least(i + 1, sprayed_steps)))
-
-    def step(state: Column, i: Column) -> Column:
-        fill = left(i) / craft.tank_l
-        share = 1 - F.exp(-dt / F.greatest(number(0.15), craft.slosh_tau_s * (0.35 + 0.65 * fill)))
-        swing = F.when(fill > 0, state["slosh"] + (pitch * fill * craft.slosh_max_cm - state["slosh"]) * share).otherwise(0.0)
-        cog = (fill - 1) * craft.static_offset_cm + swing
-        amps = rules.hover_amps(craft.dry_kg + left(i) * craft.density, cog, rho, craft.efficiency, craft.voltage, craft.rotor_m2, craft.amp_per_cm)
-        peak = F.when(F.abs(cog) > F.abs(state["cog"]), cog).otherwise(state["cog"])
-        return F.struct(swing.alias("slosh"), (state["sum"] + amps).alias("sum"), F.greatest(state["peak"], amps).alias("peak"), peak.alias("cog"))
-
-    zero = F.struct(*[number(0).alias(n) for n in ("slosh", "sum", "peak", "cog")])
+    flow = lambda k: F.when(k["spray"] > 0, k["start"] / k["spray"]).otherwise(0.0)
+    given = F.struct(total_s.alias("total"), spray_s.alias("spray"), start.alias("start"), (total_s / STEPS).alias("dt"), sprayed_steps.alias("steps"), pitch.alias("pitch"), rho.alias("rho"), turns.alias("turns"))
     usable = rules.usable_capacity(number(craft.battery_ah), cycles if cycles is not None else F.lit(0), number(reserve))
 
-    def finish(state: Column) -> Column:
-        mean = F.when(total_s > 0, state["sum"] / STEPS).otherwise(0.0)
-        turning = turn_seconds(turns, number(turn_ms), craft.pivot_s)
-        used = (state["sum"] * dt + turning * mean * 1.15) / 3600
-        return F.struct(
-            mean.alias("mean_amps"), state["peak"].alias("peak_amps"), state["cog"].alias("peak_cog_cm"), (craft.dry_kg + left(F.lit(STEPS - 1)) * craft.density).alias("end_kg"),
-            usable.alias("usable_ah"), ((total_s + turning) / 60).alias("minutes"), F.when(usable > 0, F.greatest(F.lit(1), F.ceil(used / usable))).otherwise(F.lit(1)).alias("batteries"),
-        )
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(STEPS - 1)), zero, step, finish)
+    # What a step uses more than once has a name, since a fold computes an expression anew wherever it stands.
+    def flown(k: Column, used: Column) -> Column:
+        left = lambda i: F.greatest(number(0), F.least(k["start"], k["start"] - used * F.least(i + 1, k["steps"])))
+
+        def swung(state: Column, litres: Column) -> Column:
+            fill = litres / craft.tank_l
+            share = 1 - F.exp(-k["dt"] / F.greatest(number(0.15), craft.slosh_tau_s * (0.35 + 0.65 * fill)))
+            return F.when(fill > 0, state["slosh"] + (k["pitch"] * fill * craft.slosh_max_cm - state["slosh"]) * share).otherwise(0.0)
+
+        def costs(state: Column, litres: Column, swing: Column, cog: Column) -> Column:
+            amps = rules.hover_amps(craft.dry_kg + litres * craft.density, cog, k["rho"], craft.efficiency, craft.voltage, craft.rotor_m2, craft.amp_per_cm)
+            peak = F.when(F.abs(cog) > F.abs(state["cog"]), cog).otherwise(state["cog"])
+            sums = lambda a: F.struct(swing.alias("slosh"), (state["sum"] + a).alias("sum"), F.greatest(state["peak"], a).alias("peak"), peak.alias("cog"))
+            return let(amps, sums)
+
+        def step(state: Column, i: Column) -> Column:
+            offset = lambda litres, swing: (litres / craft.tank_l - 1) * craft.static_offset_cm + swing
+            return let(left(i), lambda litres: let(swung(state, litres), lambda swing: let(offset(litres, swing), lambda cog: costs(state, litres, swing, cog))))
+
+        def finish(state: Column) -> Column:
+            mean = F.when(k["total"] > 0, state["sum"] / STEPS).otherwise(0.0)
+            turning = turn_seconds(k["turns"], number(turn_ms), craft.pivot_s)
+            used_ah = (state["sum"] * k["dt"] + turning * mean * 1.15) / 3600
+            return F.struct(
+                mean.alias("mean_amps"), state["peak"].alias("peak_amps"), state["cog"].alias("peak_cog_cm"), (craft.dry_kg + left(F.lit(STEPS - 1)) * craft.density).alias("end_kg"),
+                usable.alias("usable_ah"), ((k["total"] + turning) / 60).alias("minutes"), F.when(usable > 0, F.greatest(F.lit(1), F.ceil(used_ah / usable))).otherwise(F.lit(1)).alias("batteries"),
+            )
+
+        zero = F.struct(*[number(0).alias(n) for n in ("slosh", "sum", "peak", "cog")])
+        return F.aggregate(F.sequence(F.lit(0), F.lit(STEPS - 1)), zero, step, finish)
+
+    return let(given, lambda k: let(flow(k) * k["dt"], lambda used: flown(k, used)))

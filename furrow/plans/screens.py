@@ -9,7 +9,7 @@ from furrow.functions import bands, filters, geo
 from furrow.functions import text as tx
 from furrow.operators import paths
 from furrow.operators import simulation as sim
-from furrow.session import table
+from furrow.session import dealt, table
 from furrow.sources import semistructured as ss
 from furrow.sources import sinks
 
@@ -124,7 +124,7 @@ def flight_physics(spark, sf_dir):
     """A flight a supplier, summed up in 240 steps."""
     k = F.col("s_suppkey")
     f = sim.integrate_flight(k % 7 * 60 + 60.0, k % 5 * 30.0, k % 50 + 0.0, 0.9 + k % 4 / 10, k % 11 - 5.0, k % 6)
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", f.alias("f"))
+    s = dealt(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey").select("s_suppkey", f.alias("f"))
     return s.select("s_suppkey", *[F.round(f"f.{n}", 6).alias(n) for n in ("mean_amps", "peak_amps", "end_kg", "minutes")], "f.batteries")
 
 

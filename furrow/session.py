@@ -51,3 +51,8 @@ def shuffle_width(spark: SparkSession, df: DataFrame | None = None, mb_each: int
         if size < 1 << 60:  # an unknown size is reported as a huge one
             width = max(width, size // (mb_each << 20))
     return width
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt out by key before work that is heavy for each: a small file of them would be one task, however much it makes to do."""
+    return df.repartition(shuffle_width(df.sparkSession, df), *keys)
