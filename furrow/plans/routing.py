@@ -9,7 +9,7 @@ from furrow.operators import lattices, routing
 from furrow.operators import zones as zn
 from furrow.plans import fields as fp
 from furrow.plans.zones import _HEAD, _zones
-from furrow.session import table
+from furrow.session import dealt, table
 from furrow.streaming import leases
 
 
@@ -31,7 +31,7 @@ def inside_routes(spark, sf_dir):
 def interior_points(spark, sf_dir):
     """A place inside each horseshoe, whose mean may lie in the notch."""
     p = rings.interior_point(F.col("rings")[0])
-    return _horseshoes(spark, sf_dir).select("s_suppkey", p.alias("p")).select("s_suppkey", F.round("p.lat", 9).alias("lat"), F.round("p.lng", 9).alias("lng"))
+    return dealt(_horseshoes(spark, sf_dir), "s_suppkey").select("s_suppkey", p.alias("p")).select("s_suppkey", F.round("p.lat", 9).alias("lat"), F.round("p.lng", 9).alias("lng"))
 
 
 def hit_cells(spark, sf_dir):
