@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from furrow.functions import geo
 from furrow.functions.kernels import metres
+from furrow.session import dealt
 
 #: Cells along a side of a route's lattice, and parts of a segment whose ends must lie inside. Fixed values.
 LATTICE, SAMPLES = 48, 12
@@ -93,7 +94,7 @@ def route_inside(a: np.ndarray, b: np.ndarray, field: Field, side: int = LATTICE
 def routes_inside(legs: DataFrame, route: str, side: int = LATTICE) -> DataFrame:
     """(route, path, steps, inside, length_m) of legs (route, a, b, rings): a and b are structs of lat and lng, rings an array of rings.
 
-    A leg is one row, and its lattice bounds its work; legs are read in Arrow batches, a leg at a time. `steps` counts the lattice cells of the way, 0 for
+    A leg is one row, and its lattice bounds its work; legs are dealt out and read in Arrow batches, a leg at a time. `steps` counts the lattice cells of the way, 0 for
     a straight one.
     """
     kind = legs.schema[route].dataType.simpleString()
@@ -110,7 +111,7 @@ def routes_inside(legs: DataFrame, route: str, side: int = LATTICE) -> DataFrame
             yield pa.RecordBatch.from_pylist(out, pa.schema([batch.schema.field(0), ("path", pa.list_(point)), ("steps", pa.int32()), ("inside", pa.bool_()), ("length_m", pa.float64())]))
 
     there = F.col("a").isNotNull() & F.col("b").isNotNull()
-    return legs.filter(there).select(route, "a", "b", "rings").mapInArrow(run, f"{route} {kind}, path array<struct<lat:double,lng:double>>, steps int, inside boolean, length_m double")
+    return dealt(legs.filter(there).select(route, "a", "b", "rings"), route).mapInArrow(run, f"{route} {kind}, path array<struct<lat:double,lng:double>>, steps int, inside boolean, length_m double")
 
 
 def cell_at(lat: Column, lng: Column, origin: Column, heading: Column, size_m: Column) -> tuple[Column, Column]:
