@@ -10,6 +10,7 @@ import math
 import struct
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,8 +24,12 @@ from furrow.sources import binary, files, png
 
 #: Bytes of a file that one task reads, unless the option `splitBytes` says otherwise.
 SPLIT_BYTES = 32 << 20
+#: Tasks that a reader cuts its files into at most, as long as none gets more than SPLIT_BYTES; and what opening a file counts for. Fixed values.
+MAX_SHARES, OPENING_BYTES = 512, 4096
 #: Pixels along a tile's side, and tiles that one mosaic may have. Fixed values.
 TILE, MAX_TILES = 256, 64
+#: Objects that get their names at once. Fixed value.
+COMMITS = 16
 #: Rows of one Arrow batch.
 BATCH = 65_536
 
@@ -39,6 +44,34 @@ class Share(InputPartition):
         return items * self.k // self.n, items * (self.k + 1) // self.n
 
 
+class Pack(InputPartition):
+    """What one task reads: shares of one or several files."""
+
+    def __init__(self, shares: list[Share]):
+        self.shares = shares
+
+
+def packed(found: list[tuple[str, int]], split: int) -> list[Pack]:
+    """Files (path, bytes) in shares of `split` bytes each, or of more where that would make more than MAX_SHARES tasks, so that tasks don't
+    grow in number with the files but in bytes, up to SPLIT_BYTES. Small files are read by one task together then."""
+    fine = sum(max(1, -(-size // split)) for _, size in found)
+    if fine <= MAX_SHARES:
+        return [Pack([Share(path, k, n)]) for path, size in found for n in (max(1, -(-size // split)),) for k in range(n)]
+    each = max(split, min(SPLIT_BYTES, -(-sum(size + OPENING_BYTES for _, size in found) // MAX_SHARES)))
+    out: list[Pack] = []
+    load = each
+    for path, size in found:
+        n = max(1, -(-size // each))
+        for k in range(n):
+            weight = size // n + OPENING_BYTES
+            if load + weight > each:
+                out.append(Pack([]))
+                load = 0
+            out[-1].shares.append(Share(path, k, n))
+            load += weight
+    return out
+
+
 class _Files(DataSourceReader):
     """A reader of files that are split by size."""
 
@@ -48,30 +81,32 @@ class _Files(DataSourceReader):
         self.path, self.split = options["path"], int(options.get("splitBytes", SPLIT_BYTES))
 
     def partitions(self) -> list[InputPartition]:
-        out: list[InputPartition] = []
-        for path, size in files.listed(self.path, *self.endings):
-            n = max(1, -(-size // self.split))
-            out += [Share(path, k, n) for k in range(n)]
-        return out or [Share("", 0, 1)]
+        return packed(files.listed(self.path, *self.endings), self.split) or [Pack([])]
+
+    def read(self, partition: Pack) -> Iterator:
+        for share in partition.shares:
+            yield from self.rows(share)
+
+    def rows(self, share: Share) -> Iterator:
+        """The rows of a part of a file."""
+        raise NotImplementedError
 
 
 class FloatRasterReader(_Files):
     endings = (".tif", ".tiff")
 
-    def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
-        fetch = files.ranges(partition.path)
+    def rows(self, share: Share) -> Iterator[pa.RecordBatch]:
+        fetch = files.ranges(share.path)
         tags = binary.read_tags(fetch)
         w, h, at, no_data = binary.raster_shape(tags)
-        first, last = partition.of(h)
+        first, last = share.of(h)
         step = max(1, BATCH // max(1, w))
         for y0 in range(first, last, step):
             rows = min(step, last - y0)
             values = np.frombuffer(fetch(at + y0 * w * 4, rows * w * 4), "<f4")
             y, x = np.divmod(np.arange(len(values)), w)
             keep = np.ones(len(values), bool) if no_data is None else values != np.float32(no_data)
-            columns = [pa.array([partition.path] * int(keep.sum())), pa.array(x[keep].astype(np.int32)), pa.array((y[keep] + y0).astype(np.int32)), pa.array(values[keep].astype(np.float32))]
+            columns = [pa.array([share.path] * int(keep.sum())), pa.array(x[keep].astype(np.int32)), pa.array((y[keep] + y0).astype(np.int32)), pa.array(values[keep].astype(np.float32))]
             yield pa.RecordBatch.from_arrays(columns, names=["path", "x", "y", "value"])
 
 
@@ -93,15 +128,13 @@ class RasterHeadReader(_Files):
     endings = (".tif", ".tiff")
 
     def partitions(self) -> list[InputPartition]:
-        return [Share(path, 0, 1) for path, _ in files.listed(self.path, *self.endings)] or [Share("", 0, 1)]
+        return packed([(path, 0) for path, _ in files.listed(self.path, *self.endings)], self.split) or [Pack([])]
 
-    def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
-        tags = binary.read_tags(files.ranges(partition.path))
+    def rows(self, share: Share) -> Iterator[pa.RecordBatch]:
+        tags = binary.read_tags(files.ranges(share.path))
         w, h, _, _ = binary.raster_shape(tags)
         ref = binary.georeference(tags, w, h)
-        row = {"path": partition.path, "width": w, "height": h, **{k: ref[k] for k in ("west", "north", "east", "south", "gsd_m", "no_data")}}
+        row = {"path": share.path, "width": w, "height": h, **{k: ref[k] for k in ("west", "north", "east", "south", "gsd_m", "no_data")}}
         kinds = [pa.string(), pa.int32(), pa.int32(), *[pa.float64()] * 6]
         yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], names=list(row))
 
@@ -123,13 +156,11 @@ class RasterHeads(DataSource):
 class PolygonReader(_Files):
     endings = (".shp",)
 
-    def read(self, partition: Share) -> Iterator[tuple]:
-        if not partition.path:
-            return
-        fetch = files.ranges(partition.path)
-        index = files.ranges(partition.path[:-1] + "x")
+    def rows(self, share: Share) -> Iterator[tuple]:
+        fetch = files.ranges(share.path)
+        index = files.ranges(share.path[:-1] + "x")
         size = struct.unpack(">i", index(24, 4))[0] * 2
-        first, last = partition.of((size - 100) // 8)
+        first, last = share.of((size - 100) // 8)
         for k in range(first, last):
             at, length = (v * 2 for v in struct.unpack(">2i", index(100 + 8 * k, 8)))
             body = fetch(at + 8, length)
@@ -139,7 +170,7 @@ class PolygonReader(_Files):
             starts = [*struct.unpack_from(f"<{parts}i", body, 44), points]
             xy = np.frombuffer(body, "<f8", points * 2, 44 + 4 * parts).reshape(-1, 2).tolist()
             for p in range(parts):
-                yield partition.path, k, p, [(lat, lng) for lng, lat in xy[starts[p] : starts[p + 1]]]
+                yield share.path, k, p, [(lat, lng) for lng, lat in xy[starts[p] : starts[p + 1]]]
 
 
 class Polygons(DataSource):
@@ -159,12 +190,10 @@ class Polygons(DataSource):
 class AttributeReader(_Files):
     endings = (".dbf",)
 
-    def read(self, partition: Share) -> Iterator[tuple]:
-        if not partition.path:
-            return
-        fetch = files.ranges(partition.path)
+    def rows(self, share: Share) -> Iterator[tuple]:
+        fetch = files.ranges(share.path)
         n, head, record, fields = binary.table_head(fetch)
-        first, last = partition.of(n)
+        first, last = share.of(n)
         step = max(1, (1 << 20) // record)
         for at in range(first, last, step):
             rows = min(step, last - at)
@@ -178,7 +207,7 @@ class AttributeReader(_Files):
                     text = raw[place : place + width].decode("ascii", "replace").strip()
                     row.append((float(text) if text else None) if kind == "N" else text)
                     place += width
-                yield partition.path, at + i, *row
+                yield share.path, at + i, *row
 
 
 class Attributes(DataSource):
@@ -298,12 +327,15 @@ class ObjectWriter(DataSourceWriter):
             keys = [key for _, key in staged]
             if len(set(keys)) < len(keys):
                 raise ValueError("two objects of one key in one write")
-            if not self.upsert and (old := next((k for k in keys if files.exists(f"{self.path}/{k}")), None)):
-                raise ValueError(f"an object of this key exists: {old}")
             system, top = files.opened(self.path)
-            for name, key in staged:
-                system.create_dir(f"{top}/{key}".rsplit("/", 1)[0], recursive=True)
-                system.move(f"{files.opened(self.staging)[1]}/{name}", f"{top}/{key}")
+            aside = files.opened(self.staging)[1]
+            with ThreadPoolExecutor(COMMITS) as pool:
+                there = pool.map(lambda k: files.exists(f"{self.path}/{k}"), () if self.upsert else keys)
+                if old := next((k for k, found in zip(keys, there) if found), None):  # noqa: B905
+                    raise ValueError(f"an object of this key exists: {old}")
+                for folder in sorted({f"{top}/{key}".rsplit("/", 1)[0] for key in keys}):
+                    system.create_dir(folder, recursive=True)
+                list(pool.map(lambda o: system.move(f"{aside}/{o[0]}", f"{top}/{o[1]}"), staged))
         finally:
             self.abort(messages)
 
