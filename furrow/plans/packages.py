@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from furrow.operators import paths
 from furrow.plans.fields import _BURNT, _prescription
 from furrow.sources import files, formats, packages
-from furrow.session import ensure_checkpoint_dir, table
+from furrow.session import ensure_checkpoint_dir, shuffle_width, table
 
 
 def _through(spark, objects, read) -> DataFrame:
@@ -84,6 +84,7 @@ def route_round_trip(spark, sf_dir):
 
     def read(folder):
         raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.kmz").load(folder)
+        raw = raw.coalesce(shuffle_width(spark, raw))  # a small file counts as 4 MB where files are dealt out, which makes very many tasks
         return packages.read_routes(raw.select(F.split(_named("path"), r"\.")[0].alias("mission"), "content"), "mission").drop("index")
 
     return _through(spark, objects, read)
