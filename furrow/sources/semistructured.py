@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions.geo import point_in_ring, vertex_mean
+from furrow.functions.rings import let
 from furrow.functions.text import normalise_note, weather_icon, weather_text
 
 POINT = "struct<lat: double, lng: double>"
@@ -30,7 +31,11 @@ def stored_grid(raw: Column) -> Column:
     A malformed rate is dropped alone, hence each is read on its own; detection goes as a whole if its
     arrays differ in length, hold a null or lack their version. Blank issues and notes become null.
     """
-    d = F.from_json(F.get_json_object(raw, "$.definition"), DEFINITION)
+    return let(F.from_json(F.get_json_object(raw, "$.definition"), DEFINITION), lambda d: _grid(raw, d))
+
+
+def _grid(raw: Column, d: Column) -> Column:
+    """The grid of a definition that was read once; an unsound one reads no more."""
     sound = (d["swathM"] > 0) & d["cellMultiple"].isNotNull() & d["headingRad"].isNotNull() & d["boundaryHash"].isNotNull()
     sound = sound & d["origin"]["lat"].isNotNull() & d["origin"]["lng"].isNotNull()
     texts = F.from_json(F.get_json_object(raw, "$.rates"), "map<string, string>")
