@@ -1,8 +1,8 @@
 """Blocks to fly from a selection of lattice cells: small gaps are closed within a tolerance, the rest is cut into rectangles.
 
 Inferred contract: every marked cell is covered, a cell that was explicitly left out never is, rates are never mixed, a tolerance of 0 gives the
-selection as it is, and what is added is reported. All steps are grouped counts and joins on neighbours' keys, so fields are spread over
-tasks by cell, not by field; only the few cells that may be added are ranked within their field.
+selection as it is, and what is added is reported. All steps are grouped counts and joins on neighbours' keys. A lattice bounds a field's cells, so
+growing and shrinking keep a field's cells in one partition, as sorted or hashed rows and never as a list.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.functions import geo
+from furrow.session import shuffle_width
 
 #: Share of the marked area that may be added if nothing is asked for, the most that ever is, and from which share on gaps are closed with the wider
 #: kernel. Fixed values, the first and the last inferred.
@@ -37,13 +38,18 @@ def _moved(cells: DataFrame, keys: list[str], by: Column) -> DataFrame:
     return moved.select(*keys, (F.col("col") + F.col("d.dc")).alias("col"), (F.col("row") + F.col("d.dr")).alias("row"))
 
 
+def _by_field(cells: DataFrame, field: str) -> DataFrame:
+    """The cells with those of a field together, so that the many rows that growing makes of each are counted where they are and never shuffled."""
+    return cells.repartition(shuffle_width(cells.sparkSession, cells), field)
+
+
 def gaps(cells: DataFrame, field: str, radius: int) -> DataFrame:
     """(field, rate, col, row, near, area, skip): cells that growing and shrinking the selection of one rate would take.
 
     `cells` holds (field, col, row, area, state, rate); states are treated, skip or anything else. `near` counts the marked cells about. A cell that two
     rates would take, or that the field doesn't have, is none.
     """
-    marked = cells.filter("state = 'treated'").select(field, "rate", "col", "row")
+    marked = _by_field(cells.filter("state = 'treated'").select(field, "rate", "col", "row"), field)
     keys, around = [field, "rate"], _square(-radius, radius)
     grown = _moved(marked, keys, around).groupBy(*keys, "col", "row").agg(F.count("*").alias("near"))
     # A cell survives the shrinking if all cells about it were grown.
