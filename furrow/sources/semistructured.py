@@ -31,11 +31,12 @@ def stored_grid(raw: Column) -> Column:
     A malformed rate is dropped alone, hence each is read on its own; detection goes as a whole if its
     arrays differ in length, hold a null or lack their version. Blank issues and notes become null.
     """
-    return let(F.from_json(F.get_json_object(raw, "$.definition"), DEFINITION), lambda d: _grid(raw, d))
+    part = lambda text, name, kind: F.from_json(F.get_json_object(text, f"$.{name}"), kind)
+    return let(raw, lambda text: let(part(text, "definition", DEFINITION), lambda d: let(part(text, "detection", DETECTION), lambda p: _grid(text, d, p))))
 
 
-def _grid(raw: Column, d: Column) -> Column:
-    """The grid of a definition that was read once; an unsound one reads no more."""
+def _grid(raw: Column, d: Column, p: Column) -> Column:
+    """The grid of a definition and a detection that were read once each."""
     sound = (d["swathM"] > 0) & d["cellMultiple"].isNotNull() & d["headingRad"].isNotNull() & d["boundaryHash"].isNotNull()
     sound = sound & d["origin"]["lat"].isNotNull() & d["origin"]["lng"].isNotNull()
     texts = F.from_json(F.get_json_object(raw, "$.rates"), "map<string, string>")
@@ -50,7 +51,6 @@ def _grid(raw: Column, d: Column) -> Column:
         F.when(treated(r), normalise_note(r["note"])).alias("note"),
     )
     rates = F.coalesce(F.transform_values(F.map_filter(read, fit), rate), F.create_map().cast("map<string, struct<state: string, source: string, rate_lha: double, issue: string, note: string>>"))
-    p = F.from_json(F.get_json_object(raw, "$.detection"), DETECTION)
     ids, scores = p["cellIds"], p["scores"]
     whole = (F.size(ids) == F.size(scores)) & p["modelVersion"].isNotNull() & p["scoredAt"].isNotNull()
     whole = whole & ~F.exists(ids, lambda x: x.isNull()) & ~F.exists(scores, lambda x: x.isNull())
