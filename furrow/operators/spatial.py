@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from furrow.functions import geo
 from furrow.operators.graph import connected_components
+from furrow.session import dealt, ensure_checkpoint_dir
 
 #: Cell numbers are packed into one long: two signed halves of 31 bits.
 HALF = 1 << 30
+#: Sites of a cell that are compared one by one, the size in metres from which no cell is cut, and what rounding may take from a bound.
+LEAF_SITES, FINEST_M, SLACK = 32, 1e-8, 1e-9
 
 
 def cell_key(col: Column, row: Column) -> Column:
@@ -47,18 +50,67 @@ def points_in_rings(points: DataFrame, rings: DataFrame, lat: str = "lat", lng:
 def nearest_within(points: DataFrame, sites: DataFrame, radius_m: float, id_col: str = "id", site_id: str = "site_id") -> DataFrame:
     """(id, site_id, distance) of the nearest site within the radius, ties to the smaller site id.
 
-    Buckets are as tall as the radius and, at the site's latitude, as wide; a site stands in the 3 x 3 around it,
-    widened where meridians converge.
+    Places are matched, not rows, so copies cost nothing. Sites lie in cells as tall and wide as the radius; a cell of more than
+    LEAF_SITES is cut into 16, and so on. The sites of a place's own smallest cell give a first bound. Then a place meets the cells
+    about it (more where meridians converge) and goes down only into those that neither the bound nor the farthest site of another
+    cell rules out, so dense sites add steps, a power of 16 each, and few pairs.
     """
+    ensure_checkpoint_dir(sites.sparkSession)
     size = radius_m / geo.SITE_RADIUS_M * 180 / math.pi * 1.001
-    wide = F.ceil(1 / F.greatest(F.cos(F.radians(F.abs(F.col("s_lat")) + size)), F.lit(0.01))).cast("int")
-    s = sites.select(F.col(site_id), F.col("lat").alias("s_lat"), F.col("lng").alias("s_lng"))
-    s = s.withColumn("__y", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: F.floor(F.col("s_lat") / size) + d)))
-    s = s.withColumn("__x", F.explode(F.transform(F.sequence(-wide, wide), lambda d: F.floor(F.col("s_lng") / size) + d)))
-    p = points.withColumns({"__py": F.floor(F.col("lat") / size), "__px": F.floor(F.col("lng") / size)})
+    finite = lambda df: df.filter((F.abs("lat") < math.inf) & (F.abs("lng") < math.inf))
+    spots = finite(sites).groupBy("lat", "lng").agg(F.min(site_id).alias(site_id)).checkpoint()
+    # Powers of two scale exactly, so cells nest.
+    cell = lambda c, depth: F.floor(F.col(c) / size * F.pow(F.lit(4.0), depth))
+    box = {f"{f}_{c}": getattr(F, f)(c) for c in ("lat", "lng") for f in ("min", "max")}
+
+    def nodes(depth: int) -> DataFrame:
+        keys = [cell(c, F.lit(depth)).alias(k) for c, k in (("lat", "cy"), ("lng", "cx"))]
+        return spots.groupBy(*keys).agg(F.count("*").alias("n"), *[v.alias(k) for k, v in box.items()])
+
+    def reach() -> dict[str, Column]:
+        """No site of the box is nearer than `near` or farther than `far`."""
+        gap = lambda c: F.greatest(F.col(f"min_{c}") - F.col(c), F.col(c) - F.col(f"max_{c}"), F.lit(0.0))
+        span = lambda c: F.greatest(F.col(f"max_{c}") - F.col(c), F.col(c) - F.col(f"min_{c}"))
+        turn = F.radians(span("lat")) / 2  # the mean latitude is so far from the place's at most, and its cosine no farther
+        narrow, broad = F.greatest(F.lit(0.0), F.col("k") - turn), F.least(F.lit(1.0), F.col("k") + turn)
+        metres = lambda y, x: F.sqrt(y * y + x * x) * geo.SITE_RADIUS_M
+        near = metres(F.radians(gap("lat")), F.radians(gap("lng")) * narrow) * (1 - SLACK)
+        return {"near": near, "far": metres(F.radians(span("lat")), F.radians(span("lng")) * broad) * (1 + SLACK)}
+
+    def open_to(met: DataFrame) -> DataFrame:
+        best = F.least("best", F.min("far").over(Window.partitionBy("lat", "lng")))
+        return met.filter("near <= best").withColumn("best", best).filter("near <= best")
+
+    levels = [nodes(0)]
+    while radius_m > FINEST_M * 4 ** (len(levels) - 1) and (levels[-1].agg(F.max("n")).first()[0] or 0) > LEAF_SITES:
+        levels.append(nodes(len(levels)))
+    last = len(levels) - 1
+    depths = F.explode(F.sequence(F.lit(0), F.lit(last))).alias("depth")
+    cells = {"cy": cell("lat", F.col("depth")), "cx": cell("lng", F.col("depth"))}
+    leaves = levels[last].select(F.lit(last).alias("depth"), "cy", "cx")
+    for depth in range(last):
+        leaves = leaves.unionByName(levels[depth].filter(F.col("n") <= LEAF_SITES).select(F.lit(depth).alias("depth"), "cy", "cx"))
+    homes = spots.select("*", depths).withColumns(cells).join(leaves, ["depth", "cy", "cx"]).groupBy("lat", "lng", site_id).agg(F.min("depth").alias("depth"))
+    homes = homes.withColumns(cells).withColumnsRenamed({"lat": "s_lat", "lng": "s_lng"}).checkpoint()
     d = geo.site_distance(F.col("lat"), F.col("lng"), F.col("s_lat"), F.col("s_lng"))
-    pairs = p.join(s, (F.col("__py") == F.col("__y")) & (F.col("__px") == F.col("__x"))).withColumn("distance", d).filter(F.col("distance") <= radius_m)
-    best = pairs.groupBy(id_col).agg(F.min(F.struct("distance", site_id)).alias("m"))
+    places = finite(points).select("lat", "lng").distinct()
+    own = places.select("*", depths).withColumns(cells).join(homes, ["depth", "cy", "cx"]).groupBy("lat", "lng").agg(F.min(d).alias("best"))
+    bound = F.least(F.lit(float(radius_m)), F.col("best") * (1 + SLACK))  # least skips nulls
+    places = dealt(places.join(own, ["lat", "lng"], "left").select("lat", "lng", F.abs(F.cos(F.radians("lat"))).alias("k"), bound.alias("best")), "lat", "lng")
+    places = places.withColumns({"py": cell("lat", F.lit(0)), "px": cell("lng", F.lit(0))})
+    wide = F.ceil(1 / F.greatest(F.cos(F.radians(F.greatest(F.abs("min_lat"), F.abs("max_lat")) + size)), F.lit(0.01))).cast("int")
+    about = levels[0].withColumn("py", F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1)))
+    about = about.withColumn("px", F.explode(F.sequence(F.col("cx") - wide, F.col("cx") + wide)))
+    met = open_to(places.join(about, ["py", "px"]).withColumns({**reach(), "depth": F.lit(0)}).drop("py", "px", *box))
+    for depth in range(1, last + 1):
+        inner = levels[depth].select(F.shiftright("cy", 2).alias("py"), F.shiftright("cx", 2).alias("px"), F.col("cy").alias("iy"), F.col("cx").alias("ix"), F.col("n").alias("m"), *box)
+        cut = (F.col("depth") == depth - 1) & (F.col("n") > LEAF_SITES)
+        down = met.join(inner, cut & (F.col("cy") == F.col("py")) & (F.col("cx") == F.col("px")), "left")
+        new = {**reach(), "depth": F.lit(depth), "cy": F.col("iy"), "cx": F.col("ix"), "n": F.col("m")}
+        met = open_to(down.select("lat", "lng", "k", "best", *[F.when(F.col("m").isNotNull(), v).otherwise(F.col(k)).alias(k) for k, v in new.items()]))
+    pairs = met.select("lat", "lng", "depth", "cy", "cx").join(homes, ["depth", "cy", "cx"]).withColumn("distance", d).filter(F.col("distance") <= radius_m)
+    found = pairs.groupBy("lat", "lng").agg(F.min(F.struct("distance", site_id)).alias("m"))
+    best = points.select(id_col, "lat", "lng").join(found, ["lat", "lng"]).groupBy(id_col).agg(F.min("m").alias("m"))
     return best.select(id_col, f"m.{site_id}", "m.distance")
 
 
