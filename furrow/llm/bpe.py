@@ -24,13 +24,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from furrow.llm.common import append_columns, resident, texts
-from furrow.llm.pretokens import Memory, Pieces, chunks
+from furrow.llm.pretokens import Memory, Pieces, chunks, single
 
 #: A vocabulary file is broadcast; larger ones are refused.
 VOCABULARY_BYTES = 64 << 20
 
 #: Pairs of tokens whose test one process remembers before it starts anew, at about 110 bytes each.
-PAIRS = 200_000
+PAIRS = 400_000
+
+#: Bytes of one generation of an encoder's memory: corpora repeat their rare words late.
+MEMORY_BYTES = 64 << 20
 
 
 class Vocabulary:
@@ -173,7 +176,9 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary = vocabulary
         self.pieces = Pieces(pattern)
-        self.memory = Memory()
+        #: Whether the pattern takes words as `single` does.
+        self.words = r"| ?\p{L}+|" in pattern
+        self.memory = Memory(MEMORY_BYTES)
         size = max(vocabulary.bytes_of) + 1
         self.lengths = np.zeros(size, np.int64)
         for rank, token in vocabulary.bytes_of.items():
@@ -188,6 +193,8 @@ class Encoder:
         return array("i", [whole] if whole is not None else PrefixTable(self.vocabulary, raw).ids()).tobytes()
 
     def chunk_ids(self, chunk: str) -> bytes:
+        if self.words and single(chunk):
+            return self.piece_ids(chunk)
         pieces = self.pieces(chunk)
         if len(pieces) == 1:
             return self.piece_ids(chunk)
@@ -200,16 +207,21 @@ class Encoder:
             out.append(ids)
         return b"".join(out)
 
-    def encode(self, text: str) -> bytes:
-        """The ids as native 32-bit integers."""
-        memory, parts = self.memory, []
-        for chunk in chunks(text):
-            ids = memory.new.get(chunk)
-            if ids is None and (ids := memory.get(chunk)) is None:
+    def encode_all(self, rows: list[str]) -> list[bytes]:
+        """The ids of each text as native 32-bit integers; each distinct chunk is looked up once."""
+        split = [chunks(text) for text in rows]
+        memory, known = self.memory, {}
+        for chunk in set().union(*split):
+            ids = memory.get(chunk)
+            if ids is None:
                 ids = self.chunk_ids(chunk)
                 memory.put(chunk, ids)
-            parts.append(ids)
-        return b"".join(parts)
+            known[chunk] = ids
+        of = known.__getitem__
+        return [b"".join(map(of, own)) for own in split]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of a flat array of ids."""
@@ -239,7 +251,7 @@ def _shared(spark: SparkSession, path: str):
 
 
 def _encoded(enc: Encoder, rows: list[str]) -> pa.ListArray:
-    coded = [enc.encode(text) for text in rows]
+    coded = enc.encode_all(rows)
     ends = np.zeros(len(coded) + 1, np.int32)
     np.cumsum([len(c) // 4 for c in coded], out=ends[1:])
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), np.int32)))

@@ -23,10 +23,10 @@ _ENTRY_BYTES = 180
 class Memory:
     """Results by chunk or piece: two generations, of which the older is dropped when the newer is full."""
 
-    def __init__(self):
+    def __init__(self, room: int | None = None):
         self.new: dict[str, object] = {}
         self.old: dict[str, object] = {}
-        self.left = MEMORY_BYTES
+        self.room = self.left = MEMORY_BYTES if room is None else room
 
     def get(self, key: str):
         found = self.new.get(key)
@@ -39,7 +39,7 @@ class Memory:
             self.new[key] = value
             self.left -= _ENTRY_BYTES + len(key) + (len(value) if isinstance(value, bytes) else 0)
             if self.left < 0:
-                self.old, self.new, self.left = self.new, {}, MEMORY_BYTES
+                self.old, self.new, self.left = self.new, {}, self.room
 
 
 def chunks(text: str) -> list[str]:
@@ -55,6 +55,12 @@ def chunks(text: str) -> list[str]:
     return out
 
 
+def single(chunk: str) -> bool:
+    """Whether a chunk surely is one match of ` ?\\p{L}+`; letters beyond Latin-1 are left to the pattern, whose Unicode may be newer."""
+    word = chunk[1:] if chunk[:1] == " " else chunk
+    return word.isalpha() and (word.isascii() or max(word) <= "\xff")
+
+
 class Pieces:
     """The pattern's matches in a chunk."""
 
